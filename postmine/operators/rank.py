@@ -36,7 +36,7 @@ def to_fixed2(v: Column) -> Column:
         F.try_variant_get(v, "$", "double")
     )
     d = F.when(J.is_json_null(v), F.lit(0.0)).otherwise(d)
-    return F.when(d.isNull(), F.lit("NaN")).otherwise(F.format_string("%.2f", F.round(d.cast("decimal(38,10)"), 2)))
+    return F.when(d.isNull(), F.lit("NaN")).otherwise(F.round(d.cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string"))
 
 
 def ranked_rows(replies: DataFrame, reply_col: str = "reply", keys=("page_url", "batch_id")) -> DataFrame:

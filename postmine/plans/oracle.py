@@ -402,3 +402,19 @@ FROM e"""
 
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
+
+_KEYED = f"""WITH p AS ({duck(FX.POSTS)}),
+k AS (SELECT page_url, seq, post, sha256('analyze' || chr(1) || page_url || chr(1) || CAST(seq AS VARCHAR)) AS key
+      FROM p WHERE post IS NOT NULL AND post <> ''),
+kk AS (SELECT *, CAST(('0x' || substring(key, 1, 2)) AS INTEGER) % 16 AS kind FROM k)"""
+
+Q["enrich_stub"] = _KEYED + """
+SELECT seq, key, CASE WHEN kind IN (1, 2) THEN 'failed' ELSE 'ok' END AS status,
+  CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 1 END AS BIGINT) AS attempts,
+  CASE kind WHEN 1 THEN 'Request timed out' WHEN 2 THEN 'LLM request failed: 400 Bad Request - invalid' END AS error
+FROM kk"""
+
+Q["analyze_stub"] = _KEYED + f"""
+SELECT seq, 'parsed' AS status, substring({trim(collapse('post'))}, 1, 80) AS summary_text, 'neutral' AS sentiment,
+       CAST(0 AS BIGINT) AS n_topics
+FROM kk WHERE kind NOT IN (1, 2)"""

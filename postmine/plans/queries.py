@@ -368,3 +368,113 @@ def q_retryable_errors(spark, sf):
     """F8 + S9 + J4: recorded failures, classified as retryable or fatal."""
     e = fixture(spark, sf, FX.ERRORS)
     return e.select("seq", "message", "status", "code", G.is_retryable("message", "status", "code").alias("retryable"))
+
+
+# ----------------------------------------------------------------------------------------------
+# model-backed operators on the offline stand-in client (labelled: not model output)
+# ----------------------------------------------------------------------------------------------
+def _no_sleep(_s):
+    return None
+
+
+def _scripted_client():
+    from ..operators.offline_client import OfflineClient, ScriptedFailures
+
+    return ScriptedFailures(OfflineClient())
+
+
+def _offline_client():
+    from ..operators.offline_client import OfflineClient
+
+    return OfflineClient()
+
+
+def _stub_analysis(spark, sf):
+    from ..operators.enrich import enrich
+    from ..operators.requests import analysis_prompt, build_requests
+
+    posts = fixture(spark, sf, FX.POSTS).filter(F.col("post").isNotNull() & (F.col("post") != ""))
+    req = build_requests(posts, "analyze", ["page_url", "seq"], analysis_prompt("post"))
+    return req, enrich(req, _scripted_client, sleep=_no_sleep)
+
+
+def q_enrich_stub(spark, sf):
+    """S7 + S8 + S9 + F8: analysis calls through scripted failures (429 once, timeouts, fatal 400)."""
+    req, rep = _stub_analysis(spark, sf)
+    return req.select("seq", "key").join(rep, "key").select(
+        "seq", "key", "status", F.col("attempts").cast("bigint").alias("attempts"), "error"
+    )
+
+
+def q_analyze_stub(spark, sf):
+    """M1 on the offline client: parsed insights of the successful calls."""
+    from ..operators.model_tasks import analyze_posts
+
+    posts = fixture(spark, sf, FX.POSTS)
+    ins, _dead = analyze_posts(posts, _scripted_client, sleep=_no_sleep)
+    return ins.select(
+        "seq", F.col("ins.status").alias("status"), F.col("ins.summary_text").alias("summary_text"),
+        F.col("ins.sentiment").alias("sentiment"), F.size("ins.topics").cast("bigint").alias("n_topics"),
+    )
+
+
+def q_ideate_stub(spark, sf):
+    """M4 on the offline client (rows only): ideas from analysed documents."""
+    from ..operators.model_tasks import analyze_posts, generate_ideas
+
+    posts = fixture(spark, sf, FX.POSTS)
+    ins, _ = analyze_posts(posts, _offline_client, sleep=_no_sleep)
+    x = ins.filter(F.col("ins.ok")).join(posts, ["page_url", "seq"])
+    ideas = generate_ideas(x, _offline_client, sleep=_no_sleep)
+    return ideas.select("seq", F.size("ideas").cast("bigint").alias("n_ideas"), _j("ideas").alias("ideas"))
+
+
+def q_rank_stub(spark, sf):
+    """M5 on the offline client (rows only): ranked rows per batch of the recorded idea store."""
+    from ..operators.model_tasks import rank_ideas
+
+    ranked, fallback = rank_ideas(store(spark, sf), _offline_client, sleep=_no_sleep)
+    return ranked.select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("bigint").alias("pos"),
+                         "idea", "score", "estimated_revenue_usd")
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.col("url").alias("page_url"), "html")
+
+
+def q_page_candidates(spark, sf):
+    """S2 + G2 + F2 + F3 + U1 + B3 (rows only): candidate blocks of every page (<= 80 each)."""
+    from ..operators import html_blocks as H
+
+    kept, _ = G.url_gate(_pages(spark, sf))
+    c = H.candidates(H.page_blocks(kept))
+    return c.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("block").cast("bigint").alias("n_chars"),
+                    F.md5(F.encode("block", "UTF-8")).alias("block_md5"))
+
+
+def q_page_selector_scan(spark, sf):
+    """G3 (rows only): selector-scan posts of every page."""
+    from ..operators import html_blocks as H
+
+    kept, _ = G.url_gate(_pages(spark, sf))
+    s = H.selector_scan(H.page_blocks(kept))
+    return s.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
+
+
+def q_page_cascade(spark, sf):
+    """U4 + M2 + M3 + G4 (rows only): extractor cascade with the offline client."""
+    from ..operators.model_tasks import extract_posts
+
+    kept, _ = G.url_gate(_pages(spark, sf))
+    p = extract_posts(kept, _offline_client, sleep=_no_sleep)
+    return p.select("page_url", "tier", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
+
+
+def q_extract_text_stub(spark, sf):
+    """M3 + G1 + P12 (rows only): full-text extraction of the documents grouped per source."""
+    from ..operators.model_tasks import extract_from_text
+
+    texts = table(spark, sf, "documents").select(F.col("source").alias("page_url"), "doc_id", "text")
+    texts = texts.select(F.concat_ws("|", "page_url", F.col("doc_id").cast("string")).alias("page_url"), "text")
+    p = extract_from_text(texts, _offline_client, sleep=_no_sleep)
+    return p.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))

@@ -55,3 +55,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def ship_module(module) -> None:
+    """Pickle a module's functions by value into Python tasks, so executors need no install of
+    this package (the function travels with the task, like a closure)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    for m in (sys.modules.get(__name__.split(".")[0]), module):
+        try:
+            if m is not None:
+                cloudpickle.register_pickle_by_value(m)
+        except Exception:  # noqa: BLE001 - already registered or not a module
+            pass
