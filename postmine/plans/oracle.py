@@ -418,3 +418,26 @@ Q["analyze_stub"] = _KEYED + f"""
 SELECT seq, 'parsed' AS status, substring({trim(collapse('post'))}, 1, 80) AS summary_text, 'neutral' AS sentiment,
        CAST(0 AS BIGINT) AS n_topics
 FROM kk WHERE kind NOT IN (1, 2)"""
+
+_LEX = "(VALUES ('awful', -1), ('bad', -1), ('best', 1), ('bien', 1), ('bon', 1), ('broken', -1), ('bueno', 1), ('excellent', 1), ('feliz', 1), ('good', 1), ('great', 1), ('gut', 1), ('happy', 1), ('hate', -1), ('helpful', 1), ('love', 1), ('malo', -1), ('mauvais', -1), ('nicht', -1), ('no', -1), ('problem', -1), ('schlecht', -1), ('schön', 1), ('terrible', -1), ('the', 0), ('triste', -1), ('worst', -1)) AS lex(word, polarity)"
+_TOK = "SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}]+')) AS token FROM documents"
+
+Q["sentiment_lexicon"] = f"""WITH t AS ({_TOK}),
+h AS (SELECT doc_id, CAST(sum(polarity) AS BIGINT) AS score, count(*) AS n_hits FROM t JOIN {_LEX} ON t.token = lex.word GROUP BY doc_id)
+SELECT d.doc_id, coalesce(h.score, 0) AS score, CAST(coalesce(h.n_hits, 0) AS BIGINT) AS n_hits,
+  CASE WHEN coalesce(h.score, 0) > 0 THEN 'positive' WHEN coalesce(h.score, 0) < 0 THEN 'negative' ELSE 'neutral' END AS sentiment
+FROM documents d LEFT JOIN h USING (doc_id)"""
+
+Q["topics_tfidf"] = f"""WITH t AS ({_TOK}),
+t4 AS (SELECT * FROM t WHERE token <> '' AND length(token) >= 4),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM t4 GROUP BY ALL),
+n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM documents),
+dfq AS (SELECT token, count(*) AS dfreq FROM tf GROUP BY token),
+s AS (SELECT tf.doc_id, tf.token, round(tf.tf * ln(n.n_docs / dfq.dfreq), 9) AS score FROM tf JOIN dfq USING (token), n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rk FROM s)
+SELECT doc_id, string_agg(token, {SEP} ORDER BY rk) AS topics FROM r WHERE rk <= 5 GROUP BY doc_id"""
+
+_C = trim(collapse("coalesce(text, '')"))
+Q["summary_lead"] = f"""WITH c AS (SELECT doc_id, {_C} AS c FROM documents),
+l AS (SELECT doc_id, c, regexp_extract(c, '^(.+?[.!?])(\\s|$)', 1) AS lead FROM c)
+SELECT doc_id, substring(CASE WHEN lead <> '' THEN lead ELSE c END, 1, 200) AS summary FROM l"""

@@ -15,6 +15,7 @@ from ..operators import gates as G
 from ..operators import idea_store as S
 from ..operators import rank as R
 from . import fixtures as FX
+from ..session import materialize
 from .common import SEP, fixture, table
 
 
@@ -57,11 +58,13 @@ def post_ideas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return S.idea_events(post_ideas(spark, sf))
+    """Idea events, materialized: the idea store reads them four times."""
+    return materialize(S.idea_events(post_ideas(spark, sf)))
 
 
 def store(spark: SparkSession, sf: str) -> DataFrame:
-    return S.idea_store(events(spark, sf))
+    """Idea store, materialized: ranking queries read it several times."""
+    return materialize(S.idea_store(events(spark, sf)))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -69,7 +72,7 @@ def store(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------------------------------
 def q_idea_store(spark, sf):
     """A1-A6, J1, J2, G6, P4 (flagship)."""
-    s = store(spark, sf)
+    s = S.idea_store(events(spark, sf))
     return s.select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "idea",
         "first_seq", F.col("first_pos").cast("bigint").alias("first_pos"), "cnt", "sentiment_sum",
@@ -478,3 +481,40 @@ def q_extract_text_stub(spark, sf):
     texts = texts.select(F.concat_ws("|", "page_url", F.col("doc_id").cast("string")).alias("page_url"), "text")
     p = extract_from_text(texts, _offline_client, sleep=_no_sleep)
     return p.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
+
+
+# ----------------------------------------------------------------------------------------------
+# native stand-ins (M6-M9) [ours]
+# ----------------------------------------------------------------------------------------------
+def q_sentiment_lexicon(spark, sf):
+    """M6: lexicon sentiment of every document."""
+    from ..operators.native import native_sentiment
+
+    s = native_sentiment(table(spark, sf, "documents"))
+    return s.select("doc_id", "score", F.col("n_hits").cast("bigint").alias("n_hits"), "sentiment")
+
+
+def q_topics_tfidf(spark, sf):
+    """M7: top-5 TF-IDF terms of every document."""
+    from ..operators.native import native_topics
+
+    t = native_topics(table(spark, sf, "documents"))
+    return t.select("doc_id", _j("topics").alias("topics"))
+
+
+def q_summary_lead(spark, sf):
+    """M8: leading sentence (<= 200 chars) of every document."""
+    from ..operators.native import native_summary
+
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", native_summary(F.col("text")).alias("summary"))
+
+
+def q_toxicity_lr(spark, sf):
+    """M9 (rows only): toxicity probability of every document from a model fitted on labels."""
+    from ..operators.native import fit_toxicity, native_toxicity
+
+    docs = table(spark, sf, "documents")
+    labelled = docs.join(table(spark, sf, "labels"), "doc_id")
+    model = fit_toxicity(labelled)
+    return native_toxicity(docs, model)

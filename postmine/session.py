@@ -70,3 +70,15 @@ def ship_module(module) -> None:
                 cloudpickle.register_pickle_by_value(m)
         except Exception:  # noqa: BLE001 - already registered or not a module
             pass
+
+
+def materialize(df):
+    """Cut lineage at a reuse point: a reliable checkpoint in ``spark.checkpoint.dir`` (shared
+    storage on a cluster), so branches reading ``df`` do not recompute it and a lost executor does
+    not replay its upstream (or its model calls). ``postmine.materialize=none`` disables it."""
+    spark = df.sparkSession
+    mode = spark.conf.get("postmine.materialize", "checkpoint")
+    if mode == "none":
+        return df
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
