@@ -441,3 +441,10 @@ _C = trim(collapse("coalesce(text, '')"))
 Q["summary_lead"] = f"""WITH c AS (SELECT doc_id, {_C} AS c FROM documents),
 l AS (SELECT doc_id, c, regexp_extract(c, '^(.+?[.!?])(\\s|$)', 1) AS lead FROM c)
 SELECT doc_id, substring(CASE WHEN lead <> '' THEN lead ELSE c END, 1, 200) AS summary FROM l"""
+
+Q["stream_distinct"] = f"""WITH p AS ({duck(FX.POSTS)}),
+t AS (SELECT page_url, {trim('post')} AS post FROM p)
+SELECT DISTINCT page_url, post FROM t WHERE post <> ''"""
+
+Q["stream_batches"] = f"""WITH {planned_ctes(duck(FX.POSTS), 'd_')}
+SELECT 'documents' AS src, page_url, seq, CAST(batch_id AS BIGINT) AS batch_id FROM d_planned"""

@@ -518,3 +518,60 @@ def q_toxicity_lr(spark, sf):
     labelled = docs.join(table(spark, sf, "labels"), "doc_id")
     model = fit_toxicity(labelled)
     return native_toxicity(docs, model)
+
+
+# ----------------------------------------------------------------------------------------------
+# streaming (T1-T5, S3): page snapshots replayed as file rounds in the checkpoint folder
+# ----------------------------------------------------------------------------------------------
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/postmine-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _write_rounds(df: DataFrame, path: str, rounds: int) -> None:
+    """Snapshot files: round r is one file folder (a growing page re-read each round)."""
+    for r in range(rounds):
+        df.withColumn("round", F.lit(r)).coalesce(1).write.mode("overwrite").parquet(f"{path}/r{r:03d}")
+
+
+def _run_to_memory(df_stream: DataFrame, name: str, ckpt: str, mode: str = "append") -> DataFrame:
+    q = df_stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", ckpt).trigger(
+        availableNow=True
+    ).start()
+    q.awaitTermination()
+    spark = df_stream.sparkSession
+    out = spark.table(name)
+    return materialize(out)
+
+
+def q_stream_distinct(spark, sf):
+    """T1 + S3: documents as a post stream; first occurrence per (source page, trimmed post)."""
+    from ..streaming.stream import stream_distinct
+
+    base = _scratch(spark, "stream-distinct")
+    posts = fixture(spark, sf, FX.POSTS).select("page_url", "seq", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
+    posts.coalesce(1).write.mode("overwrite").parquet(f"{base}/in/r000")
+    s = spark.readStream.schema(posts.schema).parquet(f"{base}/in/*")
+    d = stream_distinct(s)
+    name = "pm_stream_distinct_" + base.rsplit("-", 1)[-1]
+    out = _run_to_memory(d.select("page_url", "post"), name, f"{base}/ckpt")
+    return out.select("page_url", "post")
+
+
+def q_stream_batches(spark, sf):
+    """T3 + T4 + S3: three snapshot rounds of every source page -> batches released per round.
+
+    Every post is present from the first round, so the result equals the batch plan (B1)."""
+    from ..streaming.stream import stream_release
+
+    base = _scratch(spark, "stream-batches")
+    posts = U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post")
+    _write_rounds(posts, f"{base}/in", 3)
+    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    rel = stream_release(s)
+    name = "pm_stream_batches_" + base.rsplit("-", 1)[-1]
+    out = _run_to_memory(rel, name, f"{base}/ckpt")
+    return out.select(F.lit("documents").alias("src"), "page_url", "seq", F.col("batch_id").cast("bigint").alias("batch_id"))
