@@ -130,3 +130,20 @@ SELECT d.doc_id AS seq,
   CASE d.doc_id % 7 WHEN 0 THEN 429 WHEN 2 THEN 400 WHEN 3 THEN 429 ELSE NULL END AS status,
   CASE d.doc_id % 7 WHEN 1 THEN 'ETIMEDOUT' WHEN 4 THEN 'ECONNRESET' ELSE NULL END AS code
 FROM @documents@ d"""
+
+_E = "translate(substring(d.text, 1, 30), '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
+# service reply envelopes (chat and responses forms), shape by doc_id % 7
+ENVELOPE = """
+CASE d.doc_id % 7
+  WHEN 0 THEN '{"choices": [{"message": {"content": "' || d.s || '"}}]}'
+  WHEN 1 THEN '{"choices": [{"text": "' || d.s || '"}]}'
+  WHEN 2 THEN '{"choices": [{"message": {"content": ""}, "text": "' || d.s || '"}]}'
+  WHEN 3 THEN '{"output": [{"content": [{"type": "output_text", "text": "' || d.s || '"}, "tail"]}]}'
+  WHEN 4 THEN '{"output": [{"text": " ' || d.s || ' "}, {"content": "x"}], "output_text": "ignored"}'
+  WHEN 5 THEN '{"output_text": "  ' || d.s || '"}'
+  ELSE '{}'
+END"""
+ENVELOPES = (
+    f"SELECT d.doc_id AS seq, {ENVELOPE} AS envelope FROM "
+    f"(SELECT d.doc_id, {_E} AS s FROM @documents@ d) d"
+)

@@ -448,3 +448,21 @@ SELECT DISTINCT page_url, post FROM t WHERE post <> ''"""
 
 Q["stream_batches"] = f"""WITH {planned_ctes(duck(FX.POSTS), 'd_')}
 SELECT 'documents' AS src, page_url, seq, CAST(batch_id AS BIGINT) AS batch_id FROM d_planned"""
+
+_PT = "CASE WHEN json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') WHEN coalesce(json_extract_string(p, '$.text'), '') <> '' THEN json_extract_string(p, '$.text') ELSE '' END"
+_OT = (f"CASE WHEN json_type(o, '$.content') = 'VARCHAR' THEN json_extract_string(o, '$.content') "
+       f"WHEN json_type(o, '$.content') = 'ARRAY' THEN array_to_string(list_transform(json_extract(o, '$.content[*]'), lambda p: {_PT}), '') "
+       f"WHEN coalesce(json_extract_string(o, '$.text'), '') <> '' THEN json_extract_string(o, '$.text') ELSE '' END")
+Q["reply_text"] = f"""WITH e AS ({duck(FX.ENVELOPES)})
+SELECT seq,
+  CASE WHEN coalesce(json_extract_string(envelope, '$.choices[0].message.content'), '') <> '' THEN json_extract_string(envelope, '$.choices[0].message.content')
+       WHEN coalesce(json_extract_string(envelope, '$.choices[0].text'), '') <> '' THEN json_extract_string(envelope, '$.choices[0].text')
+       ELSE '' END AS chat_text,
+  {trim(f"CASE WHEN json_type(envelope, '$.output') = 'ARRAY' THEN array_to_string(list_transform(json_extract(envelope, '$.output[*]'), lambda o: {_OT}), '') WHEN coalesce(json_extract_string(envelope, '$.output_text'), '') <> '' THEN json_extract_string(envelope, '$.output_text') ELSE '' END")} AS responses_text
+FROM e"""
+
+Q["insight_log"] = f"""WITH {INSIGHT_CTES}
+SELECT page_url, count(*) AS n, count(*) FILTER (WHERE status = 'raw') AS n_raw,
+  count(*) FILTER (WHERE coalesce(CASE WHEN status = 'raw' THEN t ELSE json_extract_string(j, '$.summary') END, '') = '') AS n_empty_summary,
+  count(*) FILTER (WHERE status <> 'raw' AND json_type(j, '$.topics') = 'ARRAY') AS n_with_topics
+FROM ins2 i JOIN ar USING (page_url, seq) WHERE ok GROUP BY page_url"""

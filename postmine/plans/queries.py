@@ -575,3 +575,19 @@ def q_stream_batches(spark, sf):
     name = "pm_stream_batches_" + base.rsplit("-", 1)[-1]
     out = _run_to_memory(rel, name, f"{base}/ckpt")
     return out.select(F.lit("documents").alias("src"), "page_url", "seq", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+def q_reply_text(spark, sf):
+    """P10: reply text of recorded service envelopes, chat and responses forms."""
+    e = fixture(spark, sf, FX.ENVELOPES)
+    return e.select("seq", J.reply_text("envelope", "chat").alias("chat_text"), J.reply_text("envelope", "responses").alias("responses_text"))
+
+
+def q_insight_log(spark, sf):
+    """S4 + S5 + A9: truthy insights appended to a JSON-lines log, read back, summarised per page."""
+    from ..sources.insight_log import append_insights, log_quality, read_insights
+
+    path = _scratch(spark, "insight-log")
+    append_insights(insights(spark, sf), path)
+    log = read_insights(spark, path)
+    return log_quality(log)
