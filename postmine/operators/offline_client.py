@@ -95,3 +95,18 @@ class ScriptedFailures:
         if kind == 2:
             raise ModelError("LLM request failed: 400 Bad Request - invalid", status=400)
         return self.inner(key, task, system, prompt)
+
+
+def offline_client():
+    """Factory for :class:`OfflineClient` (built on the executor)."""
+    return OfflineClient()
+
+
+def scripted_client():
+    """Factory for the offline client behind :class:`ScriptedFailures`."""
+    return ScriptedFailures(OfflineClient())
+
+
+def no_sleep(_seconds):
+    """Retry waits skipped (tests and offline runs); the schedule is still followed."""
+    return None

@@ -376,20 +376,9 @@ def q_retryable_errors(spark, sf):
 # ----------------------------------------------------------------------------------------------
 # model-backed operators on the offline stand-in client (labelled: not model output)
 # ----------------------------------------------------------------------------------------------
-def _no_sleep(_s):
-    return None
-
-
-def _scripted_client():
-    from ..operators.offline_client import OfflineClient, ScriptedFailures
-
-    return ScriptedFailures(OfflineClient())
-
-
-def _offline_client():
-    from ..operators.offline_client import OfflineClient
-
-    return OfflineClient()
+from ..operators.offline_client import no_sleep as _no_sleep  # noqa: E402
+from ..operators.offline_client import offline_client as _offline_client  # noqa: E402
+from ..operators.offline_client import scripted_client as _scripted_client  # noqa: E402
 
 
 def _stub_analysis(spark, sf):
