@@ -44,27 +44,30 @@ def ranked_rows(replies: DataFrame, reply_col: str = "reply", keys=("page_url",
 
     Batches whose reply has no non-empty ``ranked`` array produce no rows here (see
     :func:`rank_fallback`). Typed fields are null when absent or of the wrong type; ``item`` keeps
-    the raw JSON value for rendering.
+    the raw JSON value for rendering. Fields are extracted once into columns, then typed.
     """
+    keys = list(keys)
     r = J.with_object(replies.select(*keys, reply_col), reply_col, "_obj")
-    v = F.col("_obj")
-    arr = F.try_variant_get(v, "$.ranked", "array<variant>")
-    x = r.select(*keys, F.when(J.is_array(J.field(v, "$.ranked")), arr).alias("_arr")).select(
+    r = r.withColumn("_ranked", J.field(F.col("_obj"), "$.ranked"))
+    arr = F.try_variant_get(F.col("_ranked"), "$", "array<variant>")
+    x = r.select(*keys, F.when(J.is_array(F.col("_ranked")), arr).alias("_arr")).select(
         *keys, F.posexplode("_arr").alias("pos0", "item")
     )
     it = F.col("item")
+    x = x.select(*keys, (F.col("pos0") + 1).alias("pos"), "item",
+                 *[J.field(it, f"$.{f}").alias(f"_f_{f}") for f in ("idea", "go_to_market_channels", "examples")])
     return x.select(
         *keys,
-        (F.col("pos0") + 1).alias("pos"),
+        "pos",
         "item",
-        F.when(J.field(it, "$.idea").isNotNull(), J.js_string(J.field(it, "$.idea"))).alias("idea"),
+        F.when(F.col("_f_idea").isNotNull(), J.js_string(F.col("_f_idea"))).alias("idea"),
         F.try_variant_get(it, "$.priority", "bigint").alias("priority"),
         F.try_variant_get(it, "$.score", "double").alias("score"),
         F.try_variant_get(it, "$.rationale", "string").alias("rationale"),
         F.try_variant_get(it, "$.estimated_revenue_usd", "double").alias("estimated_revenue_usd"),
         F.try_variant_get(it, "$.recommended_price_range", "string").alias("recommended_price_range"),
-        J.string_items(J.field(it, "$.go_to_market_channels")).alias("channels"),
-        J.string_items(J.field(it, "$.examples")).alias("examples"),
+        J.string_items(F.col("_f_go_to_market_channels")).alias("channels"),
+        J.string_items(F.col("_f_examples")).alias("examples"),
     )
 
 
@@ -120,12 +123,17 @@ def revenue_top_k(ranked: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def report_block(item: Column, pos: Column) -> Column:
-    """The printed block of one ranked item (lines joined by newline; absent lines skipped)."""
-    g = lambda p: J.field(item, p)
-    chans = F.try_variant_get(item, "$.go_to_market_channels", "array<variant>")
+def report_block(item: Column | None, pos: Column, staged: bool = False) -> Column:
+    """The printed block of one ranked item (lines joined by newline; absent lines skipped).
+
+    ``staged``: read fields from ``_r_<field>`` columns (see :func:`report_lines`)."""
+    if staged:
+        g = lambda p: F.col("_r_" + p[2:])
+    else:
+        g = lambda p: J.field(item, p)
+    chans = F.try_variant_get(g("$.go_to_market_channels"), "$", "array<variant>")
     chan_text = F.array_join(F.transform(chans, lambda x: F.when(J.is_json_null(x), F.lit("")).otherwise(J.js_string(x))), ", ")
-    exs = F.try_variant_get(item, "$.examples", "array<variant>")
+    exs = F.try_variant_get(g("$.examples"), "$", "array<variant>")
     ex_lines = F.transform(
         F.slice(exs, 1, MAX_REPORT_EXAMPLES),
         lambda x, i: F.concat(
@@ -152,9 +160,17 @@ def report_block(item: Column, pos: Column) -> Column:
     return lines
 
 
+REPORT_FIELDS = ["idea", "priority", "score", "estimated_revenue_usd", "recommended_price_range",
+                 "go_to_market_channels", "rationale", "examples"]
+
+
 def report_lines(ranked: DataFrame) -> DataFrame:
-    """One text block per ranked row; order by ``(page_url, batch_id, pos)`` when writing."""
-    return ranked.select("page_url", "batch_id", "pos", report_block(F.col("item"), F.col("pos")).alias("block"))
+    """One text block per ranked row; order by ``(page_url, batch_id, pos)`` when writing.
+
+    Each field is extracted once into a column before rendering."""
+    it = F.col("item")
+    x = ranked.select("page_url", "batch_id", "pos", *[J.field(it, f"$.{f}").alias(f"_r_{f}") for f in REPORT_FIELDS])
+    return x.select("page_url", "batch_id", "pos", report_block(None, F.col("pos"), staged=True).alias("block"))
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -87,13 +87,14 @@ RANK_ITEM_2 = (
     "'{\"idea\": \"' || b.i2 || '\", \"priority\": 2, \"score\": 3, \"estimated_revenue_usd\": ' || "
     "CAST(b.batch_id * 700 + 900 AS STRING) || ', \"go_to_market_channels\": []}'"
 )
-RANK_REPLY = f"""
+# the reply reads the two items from columns ``it1`` / ``it2`` computed once per batch
+RANK_REPLY = """
 CASE (b.batch_id + length(b.page_url)) % 5
-  WHEN 0 THEN '{{"ranked": [' || {RANK_ITEM_1} || ', ' || {RANK_ITEM_2} || ']}}'
-  WHEN 1 THEN 'Sure! ' || '{{"ranked": [' || {RANK_ITEM_2} || ', ' || {RANK_ITEM_1} || ',]}}' || ' Done.'
-  WHEN 2 THEN '{{"ranked": []}}'
+  WHEN 0 THEN '{"ranked": [' || b.it1 || ', ' || b.it2 || ']}'
+  WHEN 1 THEN 'Sure! ' || '{"ranked": [' || b.it2 || ', ' || b.it1 || ',]}' || ' Done.'
+  WHEN 2 THEN '{"ranked": []}'
   WHEN 3 THEN 'I cannot rank these.'
-  ELSE '{{"ranked": [' || {RANK_ITEM_1} || ']}}'
+  ELSE '{"ranked": [' || b.it1 || ']}'
 END"""
 
 

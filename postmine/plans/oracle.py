@@ -149,7 +149,8 @@ RANK_CTES = f"""
 b AS (SELECT page_url, batch_id, max(CASE WHEN payload_pos = 1 THEN idea END) AS i1,
          coalesce(max(CASE WHEN payload_pos = 2 THEN idea END), max(CASE WHEN payload_pos = 1 THEN idea END)) AS i2
       FROM payload WHERE payload_pos <= 2 GROUP BY page_url, batch_id),
-rep AS (SELECT b.page_url, b.batch_id, {FX.RANK_REPLY} AS reply FROM b),
+b2 AS (SELECT b.*, {FX.RANK_ITEM_1} AS it1, {FX.RANK_ITEM_2} AS it2 FROM b),
+rep AS (SELECT b.page_url, b.batch_id, {FX.RANK_REPLY} AS reply FROM b2 b),
 rw AS (SELECT page_url, batch_id, reply, {greedy_obj('reply')} AS w FROM rep),
 rp AS (SELECT page_url, batch_id, CASE WHEN w = '' THEN NULL WHEN {strict_ok('w')} THEN w WHEN {strict_ok(repair('w'))} THEN {repair('w')} END AS j FROM rw),
 rx AS (SELECT page_url, batch_id, j,
@@ -253,8 +254,8 @@ FROM p"""
 
 Q["url_gate"] = """WITH p AS (SELECT page_id, url AS page_url FROM pages),
 v AS (SELECT page_id + 1000000 AS page_id,
-        page_url || (['/login', '?app=1', '/Login', '/consent'])[CAST(floor(page_id / 25) AS BIGINT) % 4 + 1] AS page_url
-      FROM p WHERE page_id % 25 = 0),
+        page_url || (['/login', '?app=1', '/Login', '/consent'])[page_id % 4 + 1] AS page_url
+      FROM p),
 a AS (SELECT * FROM p UNION ALL SELECT * FROM v)
 SELECT page_id, page_url, regexp_matches(page_url, 'login|signup|consent|native_app|app=') AS blocked FROM a"""
 

@@ -52,14 +52,16 @@ def post_ideas(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ins.summary_text").alias("summary_text"),
     )
     x = I.with_ideas(x, "idea_reply", "summary_text", "ideas")
-    return x.withColumn("ideas", F.when(F.col("insight_ok"), F.col("ideas")).otherwise(F.array().cast("array<string>"))).drop(
+    x = x.withColumn("ideas", F.when(F.col("insight_ok"), F.col("ideas")).otherwise(F.array().cast("array<string>"))).drop(
         "idea_reply"
     )
+    # reuse point (events, cascade report); also keeps later filters from being pushed into the parse
+    return materialize(x)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """Idea events, materialized: the idea store reads them four times."""
-    return materialize(S.idea_events(post_ideas(spark, sf)))
+    """Idea events (from the materialized posts with ideas)."""
+    return S.idea_events(post_ideas(spark, sf))
 
 
 def store(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,12 +186,12 @@ def q_seed_urls(spark, sf):
 
 
 def q_url_gate(spark, sf):
-    """pages whose URL is blocked (with a few blocked variants derived from every 25th id)."""
+    """every page URL plus one redirected variant of each (blocked or a case near miss)."""
     pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("page_url"))
-    variants = pages.filter(F.col("page_id") % 25 == 0).select(
+    variants = pages.select(
         (F.col("page_id") + 1000000).alias("page_id"),
         F.concat(F.col("page_url"), F.element_at(F.array(F.lit("/login"), F.lit("?app=1"), F.lit("/Login"), F.lit("/consent")),
-                                                   (F.col("page_id") / 25 % 4 + 1).cast("int"))).alias("page_url"),
+                                                   (F.col("page_id") % 4 + 1).cast("int"))).alias("page_url"),
     )
     allp = pages.unionByName(variants)
     return allp.select("page_id", "page_url", G.is_blocked_url("page_url").alias("blocked"))
@@ -264,7 +266,7 @@ def q_idea_input(spark, sf):
     """Ideation input (summary <=800 collapsed, sentiment lower, topics <=5, post <=800)."""
     from ..operators.requests import idea_input
 
-    x = insights(spark, sf).filter(F.col("ins.ok"))
+    x = materialize(insights(spark, sf)).filter(F.col("ins.ok"))
     posts = fixture(spark, sf, FX.POSTS)
     j = posts.join(x, ["page_url", "seq"])
     inp = idea_input(j, "ins", "post")
@@ -290,6 +292,8 @@ def rank_replies(spark, sf) -> DataFrame:
         F.max(F.when(F.col("payload_pos") == 1, F.col("idea"))).alias("i1"),
         F.coalesce(F.max(F.when(F.col("payload_pos") == 2, F.col("idea"))), F.max(F.when(F.col("payload_pos") == 1, F.col("idea")))).alias("i2"),
     )
+    b = b.select("page_url", "batch_id", F.expr(FX.RANK_ITEM_1.replace("b.", "")).alias("it1"),
+                 F.expr(FX.RANK_ITEM_2.replace("b.", "")).alias("it2"))
     return b.select("page_url", "batch_id", F.expr(FX.RANK_REPLY.replace("b.", "")).alias("reply"))
 
 
@@ -520,10 +524,17 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/postmine-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _write_rounds(df: DataFrame, path: str, rounds: int) -> None:
-    """Snapshot files: round r is one file folder (a growing page re-read each round)."""
+def _write_rounds(df: DataFrame, path: str, rounds: int) -> int:
+    """Snapshot folders, one per round (the page re-read each round), written in round order.
+    Returns the number of files per round, to be used as ``maxFilesPerTrigger``."""
+    n_files = 0
     for r in range(rounds):
-        df.withColumn("round", F.lit(r)).coalesce(1).write.mode("overwrite").parquet(f"{path}/r{r:03d}")
+        df.withColumn("round", F.lit(r)).write.mode("overwrite").parquet(f"{path}/r{r:03d}")
+        files = df.sparkSession.read.parquet(f"{path}/r{r:03d}").inputFiles()
+        n_files = n_files or len(files)
+        if len(files) != n_files:
+            raise RuntimeError("snapshot rounds must have the same number of files")
+    return max(n_files, 1)
 
 
 def _run_to_memory(df_stream: DataFrame, name: str, ckpt: str, mode: str = "append") -> DataFrame:
@@ -542,7 +553,7 @@ def q_stream_distinct(spark, sf):
 
     base = _scratch(spark, "stream-distinct")
     posts = fixture(spark, sf, FX.POSTS).select("page_url", "seq", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
-    posts.coalesce(1).write.mode("overwrite").parquet(f"{base}/in/r000")
+    posts.write.mode("overwrite").parquet(f"{base}/in/r000")
     s = spark.readStream.schema(posts.schema).parquet(f"{base}/in/*")
     d = stream_distinct(s)
     name = "pm_stream_distinct_" + base.rsplit("-", 1)[-1]
@@ -558,8 +569,8 @@ def q_stream_batches(spark, sf):
 
     base = _scratch(spark, "stream-batches")
     posts = U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post")
-    _write_rounds(posts, f"{base}/in", 3)
-    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    per_round = _write_rounds(posts, f"{base}/in", 3)
+    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", per_round).parquet(f"{base}/in/*")
     rel = stream_release(s)
     name = "pm_stream_batches_" + base.rsplit("-", 1)[-1]
     out = _run_to_memory(rel, name, f"{base}/ckpt")
@@ -577,6 +588,6 @@ def q_insight_log(spark, sf):
     from ..sources.insight_log import append_insights, log_quality, read_insights
 
     path = _scratch(spark, "insight-log")
-    append_insights(insights(spark, sf), path)
+    append_insights(materialize(insights(spark, sf)), path)
     log = read_insights(spark, path)
     return log_quality(log)
