@@ -22,6 +22,15 @@ def _c(c) -> Column:
 WS_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+# Non-ASCII members of WS; mapped to spaces so Java's fast ``\\s`` (= the ASCII members) can be used.
+EXOTIC_WS = "\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def ascii_ws(c) -> Column:
+    """Every non-ASCII whitespace character of WS replaced by a space (a per-char map, no regex)."""
+    return F.translate(_c(c), EXOTIC_WS, " " * len(EXOTIC_WS))
+
+
 def trim_ws(c) -> Column:
     """Unicode trim."""
     return F.trim(_c(c), F.lit(WS_CHARS))
@@ -29,12 +38,12 @@ def trim_ws(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Every whitespace run becomes one space."""
-    return F.regexp_replace(_c(c), f"{WS}+", " ")
+    return F.regexp_replace(ascii_ws(c), r"\s+", " ")
 
 
 def non_blank(c) -> Column:
     """true when the trimmed text is non-empty (some non-whitespace character exists)."""
-    return F.coalesce(_c(c).rlike(f"[^{WS[1:-1]}]"), F.lit(False))
+    return F.coalesce(trim_ws(c) != F.lit(""), F.lit(False))
 
 
 def ellipsis_if_longer(original, n: int) -> Column:
@@ -96,4 +105,4 @@ def text_lines(c) -> Column:
 
 def word_count(c) -> Column:
     """``text.split(/\\s+/).length`` on already trimmed text."""
-    return F.size(F.split(_c(c), f"{WS}+"))
+    return F.size(F.split(ascii_ws(c), r"\s+"))

@@ -284,9 +284,9 @@ def q_idea_fields(spark, sf):
                      s["price"].alias("price"), s["price_usd"].alias("price_usd"))
 
 
-def rank_replies(spark, sf) -> DataFrame:
+def rank_replies(spark, sf, st: DataFrame | None = None) -> DataFrame:
     """Recorded ranking replies: one per batch with ideas, built from its first two payload ideas."""
-    st = store(spark, sf)
+    st = st if st is not None else store(spark, sf)
     first = S.payload_ideas(st, 2)
     b = first.groupBy("page_url", "batch_id").agg(
         F.max(F.when(F.col("payload_pos") == 1, F.col("idea"))).alias("i1"),
@@ -310,8 +310,9 @@ def q_rank_payload(spark, sf):
 
 def q_ranked_rows(spark, sf):
     """G7 + P15 + W2 + J3: ranked rows with the store signals of the same idea."""
-    rr = R.ranked_rows(rank_replies(spark, sf))
-    j = R.attach_signals(rr, store(spark, sf))
+    st = store(spark, sf)
+    rr = R.ranked_rows(rank_replies(spark, sf, st))
+    j = R.attach_signals(rr, st)
     return j.select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("bigint").alias("pos"), "idea",
         "priority", "score", "estimated_revenue_usd", "recommended_price_range", _j("channels").alias("channels"),
@@ -322,7 +323,7 @@ def q_ranked_rows(spark, sf):
 def q_rank_fallback(spark, sf):
     """W3 + W4: headline fallback for batches whose ranking failed, with every batch's idea count."""
     st = store(spark, sf)
-    fb = R.rank_fallback(st, rank_replies(spark, sf))
+    fb = R.rank_fallback(st, rank_replies(spark, sf, st))
     counts = R.all_batches(planned_posts(spark, sf), st)
     return counts.join(fb, ["page_url", "batch_id"], "left").select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "n_posts", "n_ideas",

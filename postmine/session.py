@@ -73,12 +73,25 @@ def ship_module(module) -> None:
 
 
 def materialize(df):
-    """Cut lineage at a reuse point: a reliable checkpoint in ``spark.checkpoint.dir`` (shared
-    storage on a cluster), so branches reading ``df`` do not recompute it and a lost executor does
-    not replay its upstream (or its model calls). ``postmine.materialize=none`` disables it."""
+    """Cut lineage at a reuse point: write ``df`` once as a Parquet table under
+    ``spark.checkpoint.dir`` (shared storage on a cluster) and read it back, so branches reading it
+    do not recompute it, a lost executor does not replay its upstream (or its model calls), and the
+    optimizer sees real sizes. ``postmine.materialize``: ``table`` (default), ``checkpoint``
+    (``Dataset.checkpoint``, persisted first so it is computed once) or ``none``."""
+    import uuid
+
     spark = df.sparkSession
-    mode = spark.conf.get("postmine.materialize", "checkpoint")
+    mode = spark.conf.get("postmine.materialize", "table")
     if mode == "none":
         return df
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    base = checkpoint_dir(spark).rstrip("/")
+    if mode == "checkpoint":
+        from pyspark import StorageLevel
+
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.checkpoint(eager=True)
+        df.unpersist()
+        return out
+    path = f"{base}/postmine-table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -95,3 +95,43 @@ def test_insight_log_roundtrip(spark, tmp_path):
     assert read_insights(spark, str(tmp_path / "missing")).count() == 0
     ts = log.first().timestamp
     assert ts.endswith("Z") and "T" in ts and len(ts) == 24
+
+
+def test_stream_round_counts_and_foreach_batch(spark, tmp_path):
+    from postmine.streaming.stream import run_stream, stream_distinct, stream_round_counts
+
+    rows = [("p", r, f"post {i}") for r in range(3) for i in range(2 + 2 * r)]  # growing page
+    posts = spark.createDataFrame(rows, "page_url string, round int, post string")
+    for r in range(3):
+        posts.filter(F.col("round") == r).coalesce(1).write.parquet(str(tmp_path / f"in/r{r}"))
+    s = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    d = stream_distinct(s)
+    q = stream_round_counts(d).writeStream.format("memory").queryName("t_rounds").outputMode("complete") \
+        .option("checkpointLocation", str(tmp_path / "ck1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["round"]: r.new_found for r in spark.table("t_rounds").collect()}
+    assert got == {0: 2, 1: 2, 2: 2}
+
+    out = str(tmp_path / "out")
+
+    def handle(df, epoch_id):
+        df.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
+
+    run_stream(d, handle, str(tmp_path / "ck2")).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_write_report(spark, tmp_path):
+    from postmine.operators.rank import ranked_rows, report_lines, write_report
+
+    reply = ('{"ranked":[{"idea":"A","priority":1,"score":4.2,"estimated_revenue_usd":12345,'
+             '"recommended_price_range":"$","go_to_market_channels":["x","y"],"rationale":"r","examples":["e  1"]},'
+             '{"idea":"B","score":null}]}')
+    rep = spark.createDataFrame([("u", 0, reply)], "page_url string, batch_id int, reply string")
+    lines = report_lines(ranked_rows(rep)).orderBy("pos").collect()
+    assert lines[0].block == ("\n1. A\nPriority: 1\nScore: 4.20\nEstimated revenue (USD): $12345\nRecommended price range: $\n"
+                              "Go-to-market channels: x, y\nRationale: r\nExamples:\n  1. e 1\n---")
+    assert lines[1].block == "\n2. B\nScore: 0.00\n---"
+    write_report(report_lines(ranked_rows(rep)), str(tmp_path / "report"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert "1. A" in text and "2. B" in text
