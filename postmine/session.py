@@ -73,15 +73,15 @@ def ship_module(module) -> None:
 
 
 def materialize(df):
-    """Cut lineage at a reuse point: write ``df`` once as a Parquet table under
-    ``spark.checkpoint.dir`` (shared storage on a cluster) and read it back, so branches reading it
-    do not recompute it, a lost executor does not replay its upstream (or its model calls), and the
-    optimizer sees real sizes. ``postmine.materialize``: ``table`` (default), ``checkpoint``
-    (``Dataset.checkpoint``, persisted first so it is computed once) or ``none``."""
+    """Cut lineage at a reuse point in ``spark.checkpoint.dir`` (shared storage on a cluster), so
+    branches reading ``df`` do not recompute it and a lost executor does not replay its upstream (or
+    its model calls). ``postmine.materialize``: ``checkpoint`` (default; ``Dataset.checkpoint`` of
+    the persisted frame, so it is computed once), ``table`` (a Parquet table written there and read
+    back) or ``none``."""
     import uuid
 
     spark = df.sparkSession
-    mode = spark.conf.get("postmine.materialize", "table")
+    mode = spark.conf.get("postmine.materialize", "checkpoint")
     if mode == "none":
         return df
     base = checkpoint_dir(spark).rstrip("/")
