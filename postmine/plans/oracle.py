@@ -321,12 +321,12 @@ FROM payload WHERE payload_pos <= 30 GROUP BY ALL"""
 
 Q["ranked_rows"] = CHAIN + "," + RANK_CTES + f"""
 SELECT r.page_url, CAST(r.batch_id AS BIGINT) AS batch_id, CAST(r.pos AS BIGINT) AS pos, json_extract_string(r.item, '$.idea') AS idea,
-  TRY_CAST(json_extract(r.item, '$.priority') AS BIGINT) AS priority, TRY_CAST(json_extract(r.item, '$.score') AS DOUBLE) AS score,
+  CAST(TRY_CAST(json_extract(r.item, '$.priority') AS BIGINT) AS VARCHAR) AS priority, TRY_CAST(json_extract(r.item, '$.score') AS DOUBLE) AS score,
   TRY_CAST(json_extract(r.item, '$.estimated_revenue_usd') AS DOUBLE) AS estimated_revenue_usd,
   json_extract_string(r.item, '$.recommended_price_range') AS recommended_price_range,
   array_to_string(CASE WHEN json_type(r.item, '$.go_to_market_channels') = 'ARRAY' THEN json_extract_string(r.item, '$.go_to_market_channels[*]') ELSE []::VARCHAR[] END, {SEP}) AS channels,
   CAST(CASE WHEN json_type(r.item, '$.examples') = 'ARRAY' THEN json_array_length(r.item, '$.examples') ELSE 0 END AS BIGINT) AS n_examples,
-  s.cnt, s.sentiment_sum
+  CAST(s.cnt AS VARCHAR) AS cnt, CAST(s.sentiment_sum AS VARCHAR) AS sentiment_sum
 FROM rrows r LEFT JOIN store s ON s.page_url = r.page_url AND s.batch_id = r.batch_id AND s.idea = json_extract_string(r.item, '$.idea')"""
 
 Q["rank_fallback"] = CHAIN + "," + RANK_CTES + """,
@@ -337,7 +337,7 @@ bc AS (SELECT page_url, batch_id, count(*) AS n_posts FROM planned GROUP BY ALL)
 ic AS (SELECT page_url, batch_id, count(*) AS n_ideas FROM store GROUP BY ALL),
 counts AS (SELECT bc.page_url, bc.batch_id, bc.n_posts, coalesce(ic.n_ideas, 0) AS n_ideas FROM bc LEFT JOIN ic USING (page_url, batch_id))
 SELECT c.page_url, CAST(c.batch_id AS BIGINT) AS batch_id, c.n_posts, CAST(c.n_ideas AS BIGINT) AS n_ideas,
-       CAST(fb.pos AS BIGINT) AS pos, fb.idea
+       CAST(fb.pos AS VARCHAR) AS pos, fb.idea
 FROM counts c LEFT JOIN fb ON fb.page_url = c.page_url AND fb.batch_id = c.batch_id"""
 
 Q["rank_native"] = CHAIN + """,
@@ -354,12 +354,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY page_url, batch_id ORDER BY esti
 SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, estimated_revenue_usd FROM k WHERE rk <= 1"""
 
 Q["leaderboard_rollup"] = CHAIN + """,
-lb AS (SELECT 'idea' AS kind, idea AS key, page_url, CAST(batch_id AS BIGINT) AS batch_id,
+lb AS (SELECT 'idea' AS kind, idea AS key, page_url, CAST(batch_id AS VARCHAR) AS batch_id,
          CAST(grouping(idea, page_url, batch_id) AS BIGINT) AS level, CAST(sum(cnt) AS BIGINT) AS cnt,
          CAST(sum(sentiment_sum) AS BIGINT) AS sentiment_sum
        FROM store GROUP BY ROLLUP (idea, page_url, batch_id)),
 te AS (SELECT page_url, unnest(topics) AS topic, s_score FROM ev),
-tp AS (SELECT 'topic' AS kind, topic AS key, page_url, CAST(NULL AS BIGINT) AS batch_id,
+tp AS (SELECT 'topic' AS kind, topic AS key, page_url, CAST(NULL AS VARCHAR) AS batch_id,
          CAST(grouping(topic, page_url) AS BIGINT) AS level, count(*) AS cnt, CAST(sum(s_score) AS BIGINT) AS sentiment_sum
        FROM te GROUP BY ROLLUP (topic, page_url))
 SELECT * FROM lb WHERE key IS NOT NULL AND level < 4
@@ -395,7 +395,7 @@ SELECT page_url, count(*) AS n, count(*) FILTER (WHERE status = 'parsed') AS n_p
 FROM ins2 GROUP BY page_url"""
 
 Q["retryable_errors"] = f"""WITH e AS ({duck(FX.ERRORS)})
-SELECT seq, message, status, code,
+SELECT seq, message, CAST(status AS VARCHAR) AS status, code,
   (regexp_matches(lower(coalesce(message, '')), 'rate limit|429|too many requests|timeout|timed out|etimedout|econnreset|ecancelled|fetch failed')
    OR coalesce(status = 429, false) OR coalesce(code IN ('ETIMEDOUT', 'ECONNRESET'), false)) AS retryable
 FROM e"""

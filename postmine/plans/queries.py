@@ -315,8 +315,9 @@ def q_ranked_rows(spark, sf):
     j = R.attach_signals(rr, st)
     return j.select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("bigint").alias("pos"), "idea",
-        "priority", "score", "estimated_revenue_usd", "recommended_price_range", _j("channels").alias("channels"),
-        F.size("examples").cast("bigint").alias("n_examples"), "cnt", "sentiment_sum",
+        F.col("priority").cast("string").alias("priority"), "score", "estimated_revenue_usd", "recommended_price_range",
+        _j("channels").alias("channels"), F.size("examples").cast("bigint").alias("n_examples"),
+        F.col("cnt").cast("string").alias("cnt"), F.col("sentiment_sum").cast("string").alias("sentiment_sum"),
     )
 
 
@@ -327,7 +328,7 @@ def q_rank_fallback(spark, sf):
     counts = R.all_batches(planned_posts(spark, sf), st)
     return counts.join(fb, ["page_url", "batch_id"], "left").select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "n_posts", "n_ideas",
-        F.col("pos").cast("bigint").alias("pos"), "idea",
+        F.col("pos").cast("string").alias("pos"), "idea",
     )
 
 
@@ -347,11 +348,11 @@ def q_revenue_topk(spark, sf):
 def q_leaderboard_rollup(spark, sf):
     """A10 + G8 [ours]: idea totals over batch -> page -> all, plus topic totals."""
     lb = S.leaderboard(store(spark, sf)).select(
-        F.lit("idea").alias("kind"), F.col("idea").alias("key"), "page_url", F.col("batch_id").cast("bigint").alias("batch_id"),
+        F.lit("idea").alias("kind"), F.col("idea").alias("key"), "page_url", F.col("batch_id").cast("string").alias("batch_id"),
         F.col("level").cast("bigint").alias("level"), "cnt", "sentiment_sum",
     )
     tp = S.topic_rollup(events(spark, sf)).select(
-        F.lit("topic").alias("kind"), F.col("topic").alias("key"), "page_url", F.lit(None).cast("bigint").alias("batch_id"),
+        F.lit("topic").alias("kind"), F.col("topic").alias("key"), "page_url", F.lit(None).cast("string").alias("batch_id"),
         F.col("level").cast("bigint").alias("level"), F.col("mentions").alias("cnt"), "sentiment_sum",
     )
     return lb.unionByName(tp)
@@ -375,7 +376,8 @@ def q_parse_quality(spark, sf):
 def q_retryable_errors(spark, sf):
     """F8 + S9 + J4: recorded failures, classified as retryable or fatal."""
     e = fixture(spark, sf, FX.ERRORS)
-    return e.select("seq", "message", "status", "code", G.is_retryable("message", "status", "code").alias("retryable"))
+    return e.select("seq", "message", F.col("status").cast("string").alias("status"), "code",
+                    G.is_retryable("message", "status", "code").alias("retryable"))
 
 
 # ----------------------------------------------------------------------------------------------
