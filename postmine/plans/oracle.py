@@ -467,3 +467,13 @@ SELECT page_url, count(*) AS n, count(*) FILTER (WHERE status = 'raw') AS n_raw,
   count(*) FILTER (WHERE coalesce(CASE WHEN status = 'raw' THEN t ELSE json_extract_string(j, '$.summary') END, '') = '') AS n_empty_summary,
   count(*) FILTER (WHERE status <> 'raw' AND json_type(j, '$.topics') = 'ARRAY') AS n_with_topics
 FROM ins2 i JOIN ar USING (page_url, seq) WHERE ok GROUP BY page_url"""
+
+Q["stream_rounds"] = f"""WITH l AS ({_LINES}),
+t AS (SELECT page_url, doc_id, {trim('post')} AS post FROM l),
+r AS (SELECT page_url, post, min(doc_id % 3) AS round FROM t WHERE post <> '' GROUP BY page_url, post)
+SELECT page_url, CAST(round AS BIGINT) AS round, count(*) AS new_found FROM r GROUP BY ALL"""
+
+Q["idea_topic_sets"] = CHAIN + """
+SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, topic, CAST(o // 1000 AS BIGINT) AS first_seq,
+       CAST((o % 1000) // 10 AS BIGINT) AS first_pos, CAST(o % 10 - 1 AS BIGINT) AS t_pos
+FROM tfirst"""

@@ -64,9 +64,10 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return S.idea_events(post_ideas(spark, sf))
 
 
-def store(spark: SparkSession, sf: str) -> DataFrame:
-    """Idea store, materialized: ranking queries read it several times."""
-    return materialize(S.idea_store(events(spark, sf)))
+def store(spark: SparkSession, sf: str, reuse: bool = False) -> DataFrame:
+    """Idea store; materialized when the caller reads it more than once."""
+    st = S.idea_store(events(spark, sf))
+    return materialize(st) if reuse else st
 
 
 # ----------------------------------------------------------------------------------------------
@@ -310,7 +311,7 @@ def q_rank_payload(spark, sf):
 
 def q_ranked_rows(spark, sf):
     """G7 + P15 + W2 + J3: ranked rows with the store signals of the same idea."""
-    st = store(spark, sf)
+    st = store(spark, sf, reuse=True)
     rr = R.ranked_rows(rank_replies(spark, sf, st))
     j = R.attach_signals(rr, st)
     return j.select(
@@ -323,7 +324,7 @@ def q_ranked_rows(spark, sf):
 
 def q_rank_fallback(spark, sf):
     """W3 + W4: headline fallback for batches whose ranking failed, with every batch's idea count."""
-    st = store(spark, sf)
+    st = store(spark, sf, reuse=True)
     fb = R.rank_fallback(st, rank_replies(spark, sf, st))
     counts = R.all_batches(planned_posts(spark, sf), st)
     return counts.join(fb, ["page_url", "batch_id"], "left").select(
@@ -594,3 +595,47 @@ def q_insight_log(spark, sf):
     append_insights(materialize(insights(spark, sf)), path)
     log = read_insights(spark, path)
     return log_quality(log)
+
+
+def q_extract_cand_stub(spark, sf):
+    """M2 + B2 + P13 (rows only): candidate blocks of every page through the offline client."""
+    from ..operators import html_blocks as H
+    from ..operators.model_tasks import extract_from_candidates
+
+    kept, _ = G.url_gate(_pages(spark, sf))
+    p = extract_from_candidates(H.candidates(H.page_blocks(kept)), _offline_client, sleep=_no_sleep)
+    return p.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
+
+
+def q_stream_rounds(spark, sf):
+    """T1 + T2 + S3: document lines of each source arriving in three growing snapshots (round r
+    holds the documents with ``doc_id % 3 <= r``); new distinct lines per page and round.
+
+    Each round is written, then the stream runs to completion on the same checkpoint, as rounds
+    arriving over time would (de-dup state and counts carry over)."""
+    from ..streaming.stream import stream_distinct, stream_round_counts
+
+    base = _scratch(spark, "stream-rounds")
+    lines = _doc_lines(spark, sf).select("page_url", "doc_id", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
+    schema = "page_url string, post string, round int"
+    name = "pm_stream_rounds_" + base.rsplit("-", 1)[-1]
+    for r in range(3):
+        lines.filter(F.col("doc_id") % 3 <= r).select("page_url", "post", F.lit(r).alias("round")).write.mode("overwrite").parquet(
+            f"{base}/in/r{r:03d}")
+        s = spark.readStream.schema(schema).parquet(f"{base}/in/*")
+        counts = stream_round_counts(stream_distinct(s))
+        q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option(
+            "checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = materialize(spark.table(name))
+    return out.select("page_url", F.col("round").cast("bigint").alias("round"), F.col("new_found").cast("bigint").alias("new_found"))
+
+
+def q_idea_topic_sets(spark, sf):
+    """A5 long form: every distinct topic of every idea-store key with its first-seen position."""
+    t = S.idea_topics(events(spark, sf))
+    return t.select(
+        "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "idea", "topic",
+        F.col("o.seq").alias("first_seq"), F.col("o.idea_pos").cast("bigint").alias("first_pos"),
+        F.col("o.t_pos").cast("bigint").alias("t_pos"),
+    )
