@@ -477,3 +477,5 @@ Q["idea_topic_sets"] = CHAIN + """
 SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, topic, CAST(o // 1000 AS BIGINT) AS first_seq,
        CAST((o % 1000) // 10 AS BIGINT) AS first_pos, CAST(o % 10 - 1 AS BIGINT) AS t_pos
 FROM tfirst"""
+
+Q["stream_idea_store"] = Q["idea_store"]

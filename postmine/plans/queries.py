@@ -37,12 +37,22 @@ def insights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def post_ideas(spark: SparkSession, sf: str) -> DataFrame:
-    """J1 + J2: planned posts with their insight (truthy only) and idea array."""
-    planned = planned_posts(spark, sf)
+    """J1 + J2: planned posts with their insight (truthy only) and idea array (materialized)."""
+    return materialize(ideas_of(spark, sf, planned_posts(spark, sf)))
+
+
+def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded analysis replies parsed (``ins``) next to the recorded idea replies, per post."""
     ins = insights(spark, sf)
     ir = fixture(spark, sf, FX.IDEA_REPLIES).select("page_url", "seq", F.col("reply").alias("idea_reply"))
-    # inner joins: a post without insight or idea reply has no ideas; falsy insights give none either
-    x = S.attach_ideas(planned.join(ins, ["page_url", "seq"]), ir)
+    return ins.join(ir, ["page_url", "seq"])
+
+
+def ideas_of(spark: SparkSession, sf: str, planned: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """Posts ``(page_url, batch_id, seq, post)`` joined with their recorded insight and ideas."""
+    replies = replies if replies is not None else parsed_replies(spark, sf)
+    # inner join: a post without insight or idea reply has no ideas; falsy insights give none either
+    x = planned.join(replies, ["page_url", "seq"])
     x = x.select(
         "page_url", "batch_id", "seq", "post", "idea_reply",
         F.col("ins.ok").alias("insight_ok"),
@@ -52,11 +62,10 @@ def post_ideas(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ins.summary_text").alias("summary_text"),
     )
     x = I.with_ideas(x, "idea_reply", "summary_text", "ideas")
-    x = x.withColumn("ideas", F.when(F.col("insight_ok"), F.col("ideas")).otherwise(F.array().cast("array<string>"))).drop(
+    # falsy insights give no ideas; the post still counts as processed
+    return x.withColumn("ideas", F.when(F.col("insight_ok"), F.col("ideas")).otherwise(F.array().cast("array<string>"))).drop(
         "idea_reply"
     )
-    # reuse point (events, cascade report); also keeps later filters from being pushed into the parse
-    return materialize(x)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,3 +648,32 @@ def q_idea_topic_sets(spark, sf):
         F.col("o.seq").alias("first_seq"), F.col("o.idea_pos").cast("bigint").alias("first_pos"),
         F.col("o.t_pos").cast("bigint").alias("t_pos"),
     )
+
+
+def q_stream_idea_store(spark, sf):
+    """T5 + T3 + S3: released batches of the snapshot stream go through ``foreachBatch``: insight
+    and idea join, per-batch idea store, written per epoch (a replayed epoch overwrites its own
+    output). Every post is present from the first round, so this equals the batch idea store."""
+    from ..streaming.stream import run_stream, stream_release
+
+    base = _scratch(spark, "stream-ideas")
+    posts = U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post")
+    per_round = _write_rounds(posts, f"{base}/in", 3)
+    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", per_round).parquet(f"{base}/in/*")
+    released = stream_release(s)
+    out = f"{base}/store"
+    replies = materialize(parsed_replies(spark, sf))  # parsed once, joined by every epoch
+
+    def handle(batch, epoch_id):
+        planned = batch.select("page_url", "batch_id", "seq", "post")
+        st = S.idea_store(S.idea_events(materialize(ideas_of(spark, sf, planned, replies))))
+        st.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
+
+    run_stream(released, handle, f"{base}/ckpt").awaitTermination()
+    st = spark.read.schema(S.idea_store(S.idea_events(ideas_of(spark, sf, planned_posts(spark, sf).limit(0)))).schema).parquet(out)
+    return st.select(
+        "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "idea",
+        "first_seq", F.col("first_pos").cast("bigint").alias("first_pos"), "cnt", "sentiment_sum",
+        _j("examples").alias("examples"), "n_topics", _j("topics").alias("topics"),
+        "n_reasons", _j("reasons").alias("reasons"),
+    )
