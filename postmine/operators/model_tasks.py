@@ -16,6 +16,7 @@ from . import html_blocks as H
 from . import requests as RQ
 from .enrich import enrich, split_failures
 from .idea_store import rank_payload
+from ..session import materialize
 
 
 def _ordered_distinct(df: DataFrame, order_cols, page_col="page_url", text_col="post") -> DataFrame:
@@ -31,7 +32,7 @@ def analyze_posts(posts: DataFrame, client_factory, policy=None, partitions=None
     processed (no insight, no ideas)."""
     p = posts.filter(F.col("post").isNotNull() & (F.col("post") != ""))
     req = RQ.build_requests(p, "analyze", ["page_url", "seq"], RQ.analysis_prompt("post"))
-    rep = enrich(req, client_factory, policy, partitions, sleep)
+    rep = materialize(enrich(req, client_factory, policy, partitions, sleep))  # ok + dead letters: call once
     ok, dead = split_failures(rep)
     ins = J.with_insight(req.select("page_url", "seq", "key").join(ok.select("key", "reply"), "key"), "reply", "ins")
     return ins.select("page_url", "seq", "key", "ins"), dead
@@ -55,7 +56,7 @@ def rank_ideas(store: DataFrame, client_factory, policy=None, partitions=None, s
 
     pay = rank_payload(store)
     req = RQ.build_requests(pay, "rank", ["page_url", "batch_id"], RQ.rank_prompt("payload"), RQ.RANK_SYSTEM)
-    rep = enrich(req, client_factory, policy, partitions, sleep)
+    rep = materialize(enrich(req, client_factory, policy, partitions, sleep))  # read by ranked rows and fallback
     rr = req.select("page_url", "batch_id", "key").join(rep.filter(F.col("status") == "ok").select("key", "reply"), "key", "left")
     return ranked_rows(rr), rank_fallback(store, rr)
 
@@ -68,7 +69,7 @@ def extract_from_candidates(cands: DataFrame, client_factory, policy=None, parti
     packed = B.pack_batches(cands)
     items = B.batch_requests_items(packed)
     req = RQ.build_requests(items, "extract_candidates", ["page_url", "cand_batch"], RQ.candidate_prompt("items_json"), RQ.CANDIDATE_SYSTEM)
-    rep = enrich(req, client_factory, policy, partitions, sleep).filter(F.col("status") == "ok")
+    rep = materialize(enrich(req, client_factory, policy, partitions, sleep)).filter(F.col("status") == "ok")
     r = req.select("page_url", "cand_batch", "key").join(rep.select("key", "reply"), "key")
     r = J.with_posts(r, "reply", "posts", "empty")
     x = r.select("page_url", "cand_batch", F.posexplode("posts").alias("i", "post")).select(
@@ -82,7 +83,7 @@ def extract_from_text(texts: DataFrame, client_factory, policy=None, partitions=
     t = texts.filter(non_blank("text"))
     ch = B.chunk_text(t, "text", keep=["page_url"])
     req = RQ.build_requests(ch, "extract_chunk", ["page_url", "chunk_no"], RQ.chunk_prompt("chunk"), RQ.CHUNK_SYSTEM)
-    rep = enrich(req, client_factory, policy, partitions, sleep).filter(F.col("status") == "ok")
+    rep = materialize(enrich(req, client_factory, policy, partitions, sleep)).filter(F.col("status") == "ok")
     r = req.select("page_url", "chunk_no", "key").join(rep.select("key", "reply"), "key")
     r = J.with_posts(r, "reply", "posts", "lines")
     x = r.select("page_url", "chunk_no", F.posexplode("posts").alias("i", "post")).select(
@@ -95,7 +96,7 @@ def extract_posts(pages: DataFrame, client_factory=None, sleep=None, partitions=
     """U4: candidates tier -> chunked full-text tier -> selector scan; the first tier with posts
     wins per page. Each later tier runs only on the pages still unanswered (left anti join).
     Without a client only the selector scan runs. Returns ``(page_url, tier, pos, post)``."""
-    blocks = H.page_blocks(pages)
+    blocks = materialize(H.page_blocks(pages))  # read by every tier: parse the HTML once
     scan = H.selector_scan(blocks)
     if client_factory is None:
         return scan.select("page_url", F.lit("selector_scan").alias("tier"), "pos", "post")

@@ -357,11 +357,12 @@ def q_revenue_topk(spark, sf):
 
 def q_leaderboard_rollup(spark, sf):
     """A10 + G8 [ours]: idea totals over batch -> page -> all, plus topic totals."""
-    lb = S.leaderboard(store(spark, sf)).select(
+    ev = events(spark, sf)
+    lb = S.leaderboard(S.idea_store(ev)).select(
         F.lit("idea").alias("kind"), F.col("idea").alias("key"), "page_url", F.col("batch_id").cast("string").alias("batch_id"),
         F.col("level").cast("bigint").alias("level"), "cnt", "sentiment_sum",
     )
-    tp = S.topic_rollup(events(spark, sf)).select(
+    tp = S.topic_rollup(ev).select(
         F.lit("topic").alias("kind"), F.col("topic").alias("key"), "page_url", F.lit(None).cast("string").alias("batch_id"),
         F.col("level").cast("bigint").alias("level"), F.col("mentions").alias("cnt"), "sentiment_sum",
     )
@@ -456,7 +457,7 @@ def q_page_candidates(spark, sf):
     from ..operators import html_blocks as H
 
     kept, _ = G.url_gate(_pages(spark, sf))
-    c = H.candidates(H.page_blocks(kept))
+    c = H.candidates(materialize(H.page_blocks(kept)))  # blocks read twice: parse the HTML once
     return c.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("block").cast("bigint").alias("n_chars"),
                     F.md5(F.encode("block", "UTF-8")).alias("block_md5"))
 
@@ -466,7 +467,7 @@ def q_page_selector_scan(spark, sf):
     from ..operators import html_blocks as H
 
     kept, _ = G.url_gate(_pages(spark, sf))
-    s = H.selector_scan(H.page_blocks(kept))
+    s = H.selector_scan(materialize(H.page_blocks(kept)))
     return s.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
 
 
@@ -612,7 +613,7 @@ def q_extract_cand_stub(spark, sf):
     from ..operators.model_tasks import extract_from_candidates
 
     kept, _ = G.url_gate(_pages(spark, sf))
-    p = extract_from_candidates(H.candidates(H.page_blocks(kept)), _offline_client, sleep=_no_sleep)
+    p = extract_from_candidates(H.candidates(materialize(H.page_blocks(kept))), _offline_client, sleep=_no_sleep)
     return p.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
 
 
