@@ -479,3 +479,8 @@ SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, topic, CAST(o // 10
 FROM tfirst"""
 
 Q["stream_idea_store"] = Q["idea_store"]
+
+Q["idea_reason_sets"] = CHAIN + """
+SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, reason, CAST(o // 10 AS BIGINT) AS first_seq,
+       CAST(o % 10 AS BIGINT) AS first_pos
+FROM rfirst"""

@@ -678,3 +678,13 @@ def q_stream_idea_store(spark, sf):
         _j("examples").alias("examples"), "n_topics", _j("topics").alias("topics"),
         "n_reasons", _j("reasons").alias("reasons"),
     )
+
+
+def q_idea_reason_sets(spark, sf):
+    """A6 long form: every distinct reason (summary <= 200 chars) of every idea-store key with its
+    first-seen position."""
+    r = S.idea_reasons(events(spark, sf))
+    return r.select(
+        "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "idea", "reason",
+        F.col("o.seq").alias("first_seq"), F.col("o.idea_pos").cast("bigint").alias("first_pos"),
+    )
