@@ -63,7 +63,9 @@ def plan_batches(
     arrival order. ``offset`` skips posts already processed; ``max_batches`` keeps the first batches.
     """
     head_k = offset + head_size(initial, chunk, rounds)
-    counts = posts.groupBy(page_col).agg(F.count(F.lit(1)).alias("n_posts"))
+    # count(seq) (not count(*)) keeps every branch reading the same columns of ``posts``, so when
+    # ``posts`` is an aggregation (the de-dup) its shuffle is planned once and reused by all three
+    counts = posts.groupBy(page_col).agg(F.count(seq_col).alias("n_posts"))
     head = top_k_by(posts.select(page_col, seq_col), [page_col], [F.col(seq_col)], head_k)
     head = head.join(counts, page_col)
     rn_eff = F.col("rn") - offset

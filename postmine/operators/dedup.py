@@ -17,8 +17,10 @@ from ..functions.text import non_blank, trim_ws
 
 def distinct_posts(posts: DataFrame, page_col: str = "page_url", text_col: str = "post") -> DataFrame:
     """U1 (+F4): trimmed, non-blank, first occurrence per ``(page, post)``; keeps ``seq`` of the
-    first copy and the number of copies."""
-    cleaned = posts.filter(non_blank(text_col)).select(page_col, "seq", trim_ws(text_col).alias(text_col))
+    first copy and the number of copies. Posts need a page and an arrival order (stated as a filter,
+    so every consumer of the result shares one de-dup shuffle)."""
+    ok = non_blank(text_col) & F.col(page_col).isNotNull() & F.col("seq").isNotNull()
+    cleaned = posts.filter(ok).select(page_col, "seq", trim_ws(text_col).alias(text_col))
     return cleaned.groupBy(page_col, text_col).agg(
         F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n_copies")
     )

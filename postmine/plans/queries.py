@@ -28,7 +28,7 @@ def _j(c) -> F.Column:
 # ----------------------------------------------------------------------------------------------
 def planned_posts(spark: SparkSession, sf: str) -> DataFrame:
     posts = fixture(spark, sf, FX.POSTS)
-    return B.plan_batches(U.distinct_posts(posts))
+    return B.plan_batches(U.distinct_posts(posts).drop("n_copies"))
 
 
 def insights(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +103,7 @@ def q_batch_plan(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
         F.col("text").alias("post"),
     )
-    conv = B.plan_batches(U.distinct_posts(conv)).select(
+    conv = B.plan_batches(U.distinct_posts(conv).drop("n_copies")).select(
         F.lit("conversations").alias("src"), "page_url", "seq", F.col("batch_id").cast("bigint").alias("batch_id")
     )
     return docs.unionByName(conv)
