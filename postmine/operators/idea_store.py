@@ -76,7 +76,8 @@ def idea_reasons(events: DataFrame) -> DataFrame:
 
 
 def _bounded_ordered_list(long_df: DataFrame, value_col: str, out_col: str, n_col: str, k: int) -> DataFrame:
-    counts = long_df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(n_col))
+    # count(o) reads the same columns as the top-k branch: both share the long table's shuffle
+    counts = long_df.groupBy(*KEY).agg(F.count("o").alias(n_col))
     first = top_k_by(long_df, KEY, [F.col("o")], k, "_rk")
     lists = first.groupBy(*KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("o", value_col))), lambda s: s[value_col]).alias(out_col)
