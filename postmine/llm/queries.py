@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as X7
+from . import warc as X10
 from .common import read_table
 
 QUERIES: dict = {}
@@ -36,3 +37,18 @@ FROM d
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = X7.exact_dedup(read_table(spark, sf_dir, "documents"))
     return x.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op10_warc", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (
+  SELECT page_id, octet_length(encode(t)) AS b, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS f FROM p)
+SELECT page_id, b AS payload_bytes, d AS payload_digest,
+       CASE WHEN b >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 100 AND f <> page_id THEN f END AS refers_to
+FROM q
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = X10.write_warc(read_table(spark, sf_dir, "pages"))
+    return X10.read_warc(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
