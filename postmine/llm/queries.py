@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat as X1
 from . import exact_dedup as X7
 from . import warc as X10
 from .common import read_table
@@ -52,3 +54,28 @@ FROM q
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = X10.write_warc(read_table(spark, sf_dir, "pages"))
     return X10.read_warc(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# formatted_chars: markers, role, text and one backslash per control string inside role or text
+_CONTROL_SQL = r"[<\[]\\*(\|im_start\|>|\|im_end\|>|\|im_sep\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|SYS>>|/SYS>>)"
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@register("op1_chat_format", f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + 1 + 10 + 1 + length(role) + length(text)
+           + len(regexp_extract_all(role, '{_CONTROL_SQL}')) + len(regexp_extract_all(text, '{_CONTROL_SQL}')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+""")
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    pieces = X1.format_trees(X1.linear_trees(c.unionByName(extra)), top=1)
+    return X1.read_back(pieces).select(F.col("tree_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
