@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import chat as X1
 from . import exact_dedup as X7
+from . import mixing as X3
+from . import quality_classifier as X9
+from . import quality_rules as X2
 from . import warc as X10
 from .common import read_table
 
@@ -79,3 +82,37 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
     pieces = X1.format_trees(X1.linear_trees(c.unionByName(extra)), top=1)
     return X1.read_back(pieces).select(F.col("tree_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@register("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = X2.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return x.select("doc_id", *X2.BASE, "base_failed", "kept", "rule")
+
+
+@register("op3_poisson_mix", """
+WITH RECURSIVE
+d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, text FROM documents),
+m AS (SELECT source, sum(length(t))::DOUBLE AS mass FROM d GROUP BY source),
+r AS (SELECT source, mass, CASE WHEN mass > 0 THEN
+        (1.0 / (SELECT count(*) FROM m WHERE mass > 0)) * (SELECT sum(mass) FROM m) / mass ELSE 0.0 END AS rate FROM m),
+p AS (  -- probabilities from the closed form, summed up to far beyond the mean
+  SELECT source, rate, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1.0)) END AS q
+  FROM r, range(0, 400) AS g(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
+c AS (SELECT source, rate, k, sum(q) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p WHERE rate > 0),
+u AS (SELECT *, md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(t)) AS ident FROM d),
+v AS (SELECT *, ('0x' || substr(md5('u' || ident), 1, 13))::BIGINT / 4503599627370496.0 AS x FROM u),
+n AS (SELECT v.doc_id, v.source, v.text, v.ident, count(*) FILTER (c.cdf <= v.x) AS copies
+      FROM v JOIN c ON v.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, text, copies, g.copy,
+       ('0x' || substr(md5('order|' || ident || '|' || g.copy), 1, 13))::BIGINT AS mix_key
+FROM n, LATERAL (SELECT unnest(range(0, copies)) AS copy) AS g
+""")
+def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = X3.replicate(read_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "source", "text", F.col("_mix.copies").alias("copies"), F.col("_mix.copy").alias("copy"), F.col("_mix.key").alias("mix_key"))
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X9.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
