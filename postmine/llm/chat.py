@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -98,17 +99,19 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         rooted = rooted.unionByName(d)
     parents = jumps[0].select(F.col("jump").alias("node")) if jumps else None
     leaves = rooted.join(parents, "node", "left_anti") if parents is not None else rooted
+    best_first = Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.col("node"))
+    leaves = leaves.withColumn("path_rank", F.row_number().over(best_first))
     if top is not None:
-        w = Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.col("node"))
-        leaves = leaves.withColumn("path_rank", F.row_number().over(w)).filter(F.col("path_rank") <= top)
-    else:
-        leaves = leaves.withColumn("path_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.col("node"))))
-    reach = leaves.select("tree_id", "path_rank", F.col("node").alias("leaf"), "depth", "node")
+        leaves = leaves.filter(F.col("path_rank") <= top)
+    # ancestors of the chosen leaves: the members so far jump by 2**k, from the largest k down; the
+    # new members of each level are a table of their own, so the plan grows by one branch a level
+    members = [scratch(leaves.select("tree_id", "path_rank", F.col("node").alias("leaf"), "depth", "node"), "chat-leaves")]
     for k in reversed(range(len(jumps))):
         j = jumps[k].withColumnsRenamed({"node": "_n", "jump": "_j"})
-        reach = reach.unionByName(
-            reach.join(j, reach["node"] == j["_n"]).select("tree_id", "path_rank", "leaf", (F.col("depth") - 2**k).alias("depth"), F.col("_j").alias("node")))
-    return reach
+        far = reduce(DataFrame.unionByName, members).filter(F.col("depth") >= 2**k)
+        up = far.join(j, far["node"] == j["_n"]).select("tree_id", "path_rank", "leaf", (F.col("depth") - 2**k).alias("depth"), F.col("_j").alias("node"))
+        members.append(scratch(up, "chat-members"))
+    return reduce(DataFrame.unionByName, members)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat as X1
 from . import exact_dedup as X7
 from . import mixing as X3
+from . import packing as X4
 from . import quality_classifier as X9
 from . import quality_rules as X2
 from . import warc as X10
@@ -116,3 +117,14 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X9.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X4.packed_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
