@@ -4,10 +4,10 @@ Texts are tokenised into pieces of at most ``CAPACITY`` tokens. Packing works on
 per length (at most ``CAPACITY`` integers, whatever the corpus): large lengths are put into groups of
 equal cardinality and rounded up to the largest length of their group; column generation finds the
 configurations (multisets of rounded lengths that fit) of a linear program over those few sizes; its
-rounded-down solution opens sequences. Actual pieces then take the places of their group, shortest
-pieces in the first sequences, so that the space gained by not rounding is concentrated. What the
-rounding left over, and all small pieces, go longest first into the fullest sequence that still has
-room (best fit), else into new sequences.
+rounded-down solution opens sequences. Actual pieces then take the places of their group; the last
+place of a sequence takes the longest remaining piece that fits, so the space reserved by rounding up
+is used. What is left over, and all small pieces, go longest first into the fullest sequence that
+still has room (best fit), else into new sequences.
 
 The driver handles only run lengths: (length, how many pieces, first sequence). Spark ranks the pieces
 within their length (a sorted table with partition offsets, no single-task window) and looks up the
@@ -251,11 +251,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
             first = runs.open(n)
             # slices of sequences that hold the same lengths so far: (first, how many, used)
             slices = [(first, n, 0)]
-            for g in slots:
-                out = []
+            for place, g in enumerate(slots):
+                out, last = [], place == len(slots) - 1
                 for f, k, used in slices:
-                    while k:  # shortest actual pieces of the group first
-                        s = next(s for s in grouped[g] if left[s])
+                    while k:
+                        # a member of the group; the last place takes the longest remaining piece that
+                        # fits, so what rounding up reserved in vain is used
+                        options = reversed(range(1, capacity - used + 1)) if last else reversed(grouped[g])
+                        s = next((s for s in options if left.get(s)), 0)
+                        if not s:
+                            out.append((f, k, used))
+                            break
                         take = min(k, left[s])
                         left[s] -= take
                         runs.place(s, take, f, used)
