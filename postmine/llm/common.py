@@ -135,3 +135,55 @@ def indexed(df: DataFrame, order: list[str], name: str, partitions: int | None =
         .withColumn("_idx", F.col("_o") + F.col("_mid") - F.shiftleft(F.col("_p"), 33))
         .drop("_p", "_o", "_mid")
     )
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes); remembers a bounded number of them."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        import hashlib
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
+def word_hashes() -> WordHashes:
+    """The hashes of this worker process."""
+    cache = worker_cache("words")
+    if "hashes" not in cache:
+        cache["hashes"] = WordHashes()
+    return cache["hashes"]
+
+
+def mix64(x):
+    """Finaliser that spreads every bit of a numpy uint64 array over all others."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of undirected edges ``(a, b)``: ``(node, comp)``, comp the smallest node.
+    Each round takes the smallest label of the neighbours, then follows the labels one jump."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    e = scratch(both, "edges")
+    lab = scratch(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    while True:
+        near = e.join(lab.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        hooked = scratch(lab.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "labels")
+        to = hooked.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+        nxt = scratch(hooked.join(to, hooked["comp"] == to["_n"]).select("node", "old", F.least("comp", "_c").alias("comp")), "labels")
+        done = nxt.filter("comp <> old").limit(1).count() == 0
+        drop_scratch(lab)
+        drop_scratch(hooked)
+        lab_path = nxt._scratch_path
+        lab = nxt.select("node", "comp")
+        lab._scratch_path = lab_path
+        if done:
+            return lab
