@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat as X1
 from . import exact_dedup as X7
 from . import mixing as X3
+from . import hmm as X6
 from . import near_dedup as X8
 from . import packing as X4
 from . import quality_classifier as X9
@@ -135,3 +136,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = X8.near_duplicates(read_table(spark, sf_dir, "documents"), size=2).rows
     return x.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@register("op6_hmm_score")
+def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X6.scored(read_table(spark, sf_dir, "documents"))
