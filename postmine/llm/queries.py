@@ -13,6 +13,7 @@ from . import near_dedup as X8
 from . import packing as X4
 from . import quality_classifier as X9
 from . import quality_rules as X2
+from . import substring_dedup as X5
 from . import warc as X10
 from .common import read_table
 
@@ -141,3 +142,25 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_hmm_score")
 def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X6.scored(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_substring_dedup", """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+r AS (
+  SELECT DISTINCT doc_id, i + o AS p
+  FROM s JOIN m USING (g), range(0, 50) AS t(o) WHERE m.first < s.doc_id),
+k AS (
+  SELECT x.doc_id, x.word, x.p, r.p IS NULL AS keep
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) AS x
+  LEFT JOIN r ON r.doc_id = x.doc_id AND r.p = x.p)
+SELECT d.doc_id, len(d.w) AS n_words, count(k.p) FILTER (NOT k.keep) AS n_removed,
+       sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.p) FILTER (k.keep), '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, d.w
+""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X5.without_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
