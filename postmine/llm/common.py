@@ -7,6 +7,7 @@ import types
 import uuid
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,20 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # A broadcast table has at most this many rows; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 20_000
 SALTS = 32
+BATCH_ROWS = 1_000
 
 _TABLES: dict[str, list[str]] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: hand Python tasks at most ``BATCH_ROWS`` of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,18 +81,41 @@ def cleanup(spark: SparkSession) -> int:
     return len(paths)
 
 
-def with_row_key(df: DataFrame, names: tuple[str, str] = ("_file_key", "_row_index")) -> DataFrame:
-    """Add a stable identity of each row: hash of its file and its index there. Frames that are not
-    read from Parquet files are written to a scratch table first."""
-    def keyed(d: DataFrame) -> DataFrame:
-        return d.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+KEY = ("_file_key", "_row_index")
+
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` if it is read from files, else a scratch table of it: its rows then have an identity."""
     try:
-        return keyed(df)
-    except Exception as e:  # noqa: BLE001 - only an unresolved hidden column is expected
-        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
+        df.select("_metadata.file_path")
+        return df
+    except AnalysisException as e:
+        if e.getCondition() is None or not e.getCondition().startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
             raise
-        return keyed(scratch(df, "rows"))
+        return scratch(df, "rows")
+
+
+def _key_columns() -> list[Column]:
+    return [F.xxhash64(F.col("_metadata.file_path")).alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1])]
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add a stable identity of each row: hash of its file and its index there (columns of those names
+    are replaced)."""
+    d = stored(df)
+    return d.select(*[F.col(f"`{c}`") for c in d.columns if c not in KEY], *_key_columns())
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Each row as a struct ``_row`` beside its identity, so no column name can clash."""
+    d = stored(df)
+    return d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("_row"), *_key_columns())
+
+
+def without_rows(df: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of a stored frame whose identity is not in ``drop``."""
+    x = whole_rows(df).join(drop.select(*KEY), list(KEY), "left_anti")
+    return x.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def small_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salt_by: Column | None = None,
@@ -140,7 +173,7 @@ def indexed(df: DataFrame, order: list[str], name: str, partitions: int | None =
 class WordHashes(dict):
     """64-bit hashes of words (bytes); remembers a bounded number of them."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import hashlib

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES, scratch, with_row_key
+from .common import WS_BYTES, scratch, stored, with_row_key, without_rows
 
 PRIME = 2**128 - 159
 HUGE_BYTES = 1 << 20  # longer texts are hashed in parallel chunks of this size
@@ -186,6 +186,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    rows = with_row_key(docs)
-    drop = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select("_file_key", "_row_index")
-    return rows.join(drop, ["_file_key", "_row_index"], "left_anti").select(*docs.columns)
+    docs = stored(docs)
+    return without_rows(docs, exact_dedup(docs, id_col, text_col).filter(~F.col("kept")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, scratch, with_row_key, word_hashes
+from .common import components, mix64, scratch, stored, with_row_key, without_rows, word_hashes
 
 K, SHARED = 40, 12
 PERCENT = 80
@@ -72,7 +72,7 @@ def _sketch(size: int, k: int):
                     x = shingle_hashes((v.as_py() or b"").lower().split(), size)
                     n.append(len(x))
                     cls.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                    values.append(x[:k])
+                    values.append(x[:k].copy())  # not a view that keeps the whole set alive
                     ends.append(ends[-1] + len(values[-1]))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -237,5 +237,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def representatives(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: the first of each component, with their columns."""
-    drop = near_duplicates(docs, size=size).rows.filter(~F.col("first_row")).select("_file_key", "_row_index")
-    return with_row_key(docs).join(drop, ["_file_key", "_row_index"], "left_anti").select(*docs.columns)
+    docs = stored(docs)
+    return without_rows(docs, near_duplicates(docs, size=size).rows.filter(~F.col("first_row")))

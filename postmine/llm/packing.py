@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import indexed, with_row_key, worker_cache
+from .common import indexed, scratch, with_row_key, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
 GROUPS = 64  # sizes of the linear program
 SMALL = 128  # shorter pieces are not grouped, they fill gaps
 TOLERANCE = 1e-4  # of the linear program's optimum
-CACHE_CHUNKS = 400_000  # a task process remembers the ids of at most so many chunks of text
+SLICE_CHARS = 1 << 20  # texts tokenised together
 
 # A chunk is a maximal run of non-blank characters with the blank before it, or blanks. The vocabulary's
 # own pattern never joins characters across such a border, so ids may be looked up chunk by chunk.
@@ -45,29 +46,65 @@ CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")
 
 
-class ChunkIds(dict):
-    """Little-endian 32-bit ids of a chunk; misses ask the tokenizer."""
+class ChunkIds:
+    """Little-endian 32-bit ids of texts by way of their chunks. Ids of chunks are remembered in two
+    generations of bounded size: when the young one is full it becomes the old one, so frequent chunks
+    survive. Unknown chunks are encoded together, one a line: a line feed is a token of its own before
+    any chunk, and no chunk contains one."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        v = self.encode(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = v
-        return v
+    LIMIT, LINES = 300_000, 512
 
-    def ids(self, text: str) -> bytes:
-        """All ids of a text."""
-        if ODD_BLANKS.search(text) or "<|" in text:  # special tokens may contain no blank border
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+    def __init__(self, tokenizer):
+        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+        self.line_feed = self._encode("\n")
+        assert len(self.line_feed) == 4
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        ids = array("I", self._encode("\n".join(chunks)))
+        feed, data, out, at = array("I", self.line_feed)[0], ids.tobytes(), [], 0
+        for i, x in enumerate(ids):
+            if x == feed:
+                out.append(data[at:4 * i])
+                at = 4 * i + 4
+        return [*out, data[at:]]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        found = {c: v for c in chunks if (v := self.old.get(c)) is not None}
+        new = [c for c in chunks if c not in found]
+        lines = [c for c in new if not c.isspace()]
+        for k in range(0, len(lines), self.LINES):
+            part = lines[k:k + self.LINES]
+            found.update(zip(part, self._lines(part), strict=True))
+        for c in new:
+            if c not in found:
+                found[c] = self._encode(c)
+        if len(self.young) + len(found) > self.LIMIT:
+            self.old, self.young = self.young, {}
+        self.young.update((c, v) for c, v in found.items() if len(c) <= 64)
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
+        for k, text in enumerate(texts):
+            if ODD_BLANKS.search(text) or "<|" in text:  # special tokens know no borders
+                out.append(self._encode(text))
+                continue
+            chunks = CHUNK.findall(text)
+            parts = list(map(self.young.get, chunks))
+            out.append(None)
+            open_.append((k, chunks, parts))
+            missing.update(c for c, p in zip(chunks, parts) if p is None)
+        learnt = self._learn(missing) if missing else {}
+        for k, chunks, parts in open_:
+            if None in parts:
+                parts = [p if p is not None else learnt[c] for c, p in zip(chunks, parts)]
+            out[k] = b"".join(parts)
+        return out
 
 
 def chunk_ids(tokenizer_path: str) -> ChunkIds:
@@ -93,18 +130,24 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = chunk_ids(tokenizer_path)
         for b in batches:
-            rows, size = [], 0
-            for fk, ri, doc, text in zip(*[b.column(c).to_pylist() for c in ("_file_key", "_row_index", "doc_id", "_t")]):
-                ids = ids_of.ids(text) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * start:4 * (start + n)]
-                    rows.append((fk, ri, doc, k, start, n, zlib.crc32(part), part if keep_ids else None))
-                size += len(ids)
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            slice_, chars = [], 0
+            for row in zip(*[b.column(c) for c in ("_file_key", "_row_index", "doc_id", "_t")]):
+                slice_.append([x.as_py() for x in row])
+                chars += len(slice_[-1][3])
+                if chars > SLICE_CHARS:
+                    yield table(ids_of, slice_)
+                    slice_, chars = [], 0
+            if slice_:
+                yield table(ids_of, slice_)
+
+    def table(ids_of, slice_):
+        rows = []
+        for (fk, ri, doc, _), ids in zip(slice_, ids_of.ids([x[3] for x in slice_])):
+            ids += end
+            for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                part = ids[4 * start:4 * (start + n)]
+                rows.append((fk, ri, doc, k, start, n, zlib.crc32(part), part if keep_ids else None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return run
 
@@ -279,7 +322,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
     """``parts``: any columns with ``length`` (1 to capacity) and the row's key. Adds ``sequence_id``
     and ``offset``."""
     spark = parts.sparkSession
-    x = indexed(parts, ["length", "_file_key", "_row_index", "piece"], "pack-pieces")
+    # tokenised once: the range partitioning below reads its input twice
+    x = indexed(scratch(parts, "pack-parts"), ["length", "_file_key", "_row_index", "piece"], "pack-pieces")
     counts = {int(r["length"]): int(r["n"]) for r in x.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed, _ = plan(counts, capacity, groups, small)
     # rank of a piece among all = rank among its length + pieces of shorter lengths; runs get the same origin
