@@ -86,6 +86,7 @@ KEY = ("_file_key", "_row_index")
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` if it is read from files, else a scratch table of it: its rows then have an identity."""
+    small_batches(df.sparkSession)
     try:
         df.select("_metadata.file_path")
         return df
