@@ -40,7 +40,7 @@ STAY = 0.95  # initial probability of staying in a state
 LONG = 8_192  # tokens from which transfer matrices are used
 SEED = 6
 END = b""  # the end token; no word is empty
-FLUSH = 300_000
+FLUSH = 150_000  # distinct words a counting task holds before it hands them on
 
 
 def held_out() -> Column:
