@@ -6,7 +6,8 @@ Scale notes
   every later post lands in the last batch. The rank is therefore a top-k window (Spark plans a
   partial ``WindowGroupLimit`` before the shuffle), joined back on ``(page_url, seq)``; a page holding
   a third of all posts is never sorted in one task.
-* B2 runs on at most ``max_items`` (80) candidates per page, so the per-page array is bounded.
+* B2 streams (position, length) in order with one running size; a page is dealt over tasks by ranges
+  of positions.
 * G1 is a per-row generator (no shuffle).
 """
 
@@ -23,8 +24,9 @@ CHUNK_MAX_CHARS = 12000
 CHUNK_OVERLAP = 300
 # Request packing limit and item caps.
 BATCH_CHAR_LIMIT = 10000
-MAX_CANDIDATES = 80
 MAX_ITEMS_PER_REQUEST = 50
+# [ours] positions of a page that one task folds; a batch border falls after each such range.
+SUBPAGE_POSITIONS = 100_000
 
 
 def head_size(initial: int = INITIAL_BATCH, chunk: int = CHUNK_SIZE, rounds: int = MAX_ROUNDS) -> int:
@@ -47,6 +49,13 @@ def top_k_by(df: DataFrame, keys, order, k: int, rank_col: str = "rn") -> DataFr
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def _allow_group_limit(df: DataFrame, k: int) -> None:
+    """Spark plans the partial group limit of a top-k window up to a threshold; keep it for ``k``."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(df.sparkSession.conf.get(key, "1000")) < k:
+        df.sparkSession.conf.set(key, str(k))
+
+
 def plan_batches(
     posts: DataFrame,
     initial: int = INITIAL_BATCH,
@@ -63,6 +72,7 @@ def plan_batches(
     arrival order. ``offset`` skips posts already processed; ``max_batches`` keeps the first batches.
     """
     head_k = offset + head_size(initial, chunk, rounds)
+    _allow_group_limit(posts, head_k)
     # count(seq) (not count(*)) keeps every branch reading the same columns of ``posts``, so when
     # ``posts`` is an aggregation (the de-dup) its shuffle is planned once and reused by all three
     counts = posts.groupBy(page_col).agg(F.count(seq_col).alias("n_posts"))
@@ -124,48 +134,63 @@ def chunk_text(
 
 
 # ----------------------------------------------------------------------------------------------
-# B2 greedy size packing (per page, bounded input)
+# B2 greedy size packing
 # ----------------------------------------------------------------------------------------------
+def _fold(limit: int, page_col: str, pos_col: str):
+    """Greedy fold over sorted rows; holds one running size, whatever the length of a page."""
+
+    def run(frames):
+        import pandas as pd
+
+        cur, batch, size, at = None, 0, 0, 0
+        for f in frames:
+            batches, places = [], []
+            for page, sub, n in zip(f[page_col], f["_sub"], f["_len"]):
+                if (page, sub) != cur:
+                    cur, batch, size, at = (page, sub), 0, 0, 0
+                if at and size + n > limit:
+                    batch, size, at = batch + 1, 0, 0
+                size, at = size + n, at + 1
+                batches.append(batch)
+                places.append(at)
+            yield pd.DataFrame({page_col: f[page_col], "_sub": f["_sub"], pos_col: f[pos_col], "_b": batches, "batch_pos": places})
+
+    return run
+
+
 def pack_batches(
     cands: DataFrame,
     limit: int = BATCH_CHAR_LIMIT,
-    max_items: int = MAX_CANDIDATES,
     page_col: str = "page_url",
     pos_col: str = "pos",
     text_col: str = "block",
+    subpage: int = SUBPAGE_POSITIONS,
 ) -> DataFrame:
-    """B2 + B3: order-preserving packing; a new batch starts when ``size + len > limit`` and the
-    current batch is non-empty. Input is capped at ``max_items`` per page first (the candidate cap),
-    so the per-page array is bounded. Returns ``(page, pos, block, cand_batch, batch_pos)``."""
-    capped = top_k_by(cands, [page_col], [F.col(pos_col)], max_items, "_rk")
-    per_page = capped.groupBy(page_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.length(text_col).alias("len")))).alias("items")
-    )
-    init = F.struct(
-        F.lit(0).alias("b"), F.lit(0).alias("sz"), F.lit(0).alias("cnt"),
-        F.array().cast("array<struct<p:int,b:int>>").alias("out"),
-    )
-
-    def step(acc, x):
-        new = (acc["sz"] + x["len"] > limit) & (acc["cnt"] > 0)
-        b = F.when(new, acc["b"] + 1).otherwise(acc["b"])
-        sz = F.when(new, x["len"]).otherwise(acc["sz"] + x["len"])
-        cnt = F.when(new, F.lit(1)).otherwise(acc["cnt"] + 1)
-        out = F.array_append(acc["out"], F.struct(x["p"].cast("int").alias("p"), b.cast("int").alias("b")))
-        return F.struct(b.alias("b"), sz.alias("sz"), cnt.alias("cnt"), out.alias("out"))
-
-    assigned = per_page.select(page_col, F.explode(F.aggregate("items", init, step)["out"]).alias("a")).select(
-        page_col, F.col("a.p").alias(pos_col), F.col("a.b").alias("cand_batch")
+    """B2: order-preserving packing of every candidate; a new batch starts when ``size + len > limit``
+    and the current batch is non-empty. Returns the candidates with ``cand_batch`` and ``batch_pos``.
+
+    The fold streams ``(page, pos, length)`` in order. A page is folded in sub-pages of ``subpage``
+    consecutive positions, so a huge page is dealt over many tasks; a batch border falls at the end of
+    each sub-page. Batch numbers continue over sub-pages by a running sum of their batch counts."""
+    sizes = cands.select(
+        F.coalesce(F.col(page_col), F.lit("")).alias(page_col), F.col(pos_col).cast("bigint").alias(pos_col),
+        F.floor(F.col(pos_col) / subpage).cast("bigint").alias("_sub"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("_len"),
     )
-    out = capped.drop("_rk").join(assigned, [page_col, pos_col])
-    w = Window.partitionBy(page_col, "cand_batch").orderBy(pos_col)
-    return out.withColumn("batch_pos", F.row_number().over(w))
+    x = sizes.repartition(page_col, "_sub").sortWithinPartitions(page_col, "_sub", pos_col)
+    folded = x.mapInPandas(_fold(limit, page_col, pos_col), f"{page_col} string, _sub bigint, {pos_col} bigint, _b bigint, batch_pos bigint")
+    per_sub = folded.groupBy(page_col, "_sub").agg((F.max("_b") + 1).alias("_n"))
+    before = Window.partitionBy(page_col).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    per_sub = per_sub.select(page_col, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    placed = folded.join(per_sub, [page_col, "_sub"]).select(page_col, pos_col, (F.col("_first") + F.col("_b")).alias("cand_batch"), "batch_pos")
+    left = cands.withColumn(page_col, F.coalesce(F.col(page_col), F.lit(""))).withColumn(pos_col, F.col(pos_col).cast("bigint"))
+    return left.join(placed, [page_col, pos_col])
 
 
 def batch_requests_items(packed: DataFrame, page_col: str = "page_url", max_items: int = MAX_ITEMS_PER_REQUEST) -> DataFrame:
-    """One row per (page, cand_batch) with the first ``max_items`` blocks as a JSON array."""
-    kept = packed.filter(F.col("batch_pos") <= max_items)
-    return kept.groupBy(page_col, "cand_batch").agg(
+    """One row per (page, cand_batch, request_no): its blocks as a JSON array. A request carries at most
+    ``max_items`` blocks (B3); the rest of the batch goes into further requests."""
+    x = packed.withColumn("request_no", F.floor((F.col("batch_pos") - 1) / max_items).cast("bigint"))
+    return x.groupBy(page_col, "cand_batch", "request_no").agg(
         F.to_json(
             F.transform(F.array_sort(F.collect_list(F.struct("batch_pos", "block"))), lambda s: s["block"])
         ).alias("items_json"),

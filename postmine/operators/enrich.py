@@ -61,6 +61,10 @@ POLICIES = {
     "extract_candidates": RetryPolicy(0, 0, 2),
 }
 
+# An empty analysis is an insight without content; every other task needs an answer.
+EMPTY_REPLY_OK = {"analyze"}
+SLICE = 32  # requests answered before their replies are handed on
+
 _RETRYABLE = re.compile(RETRYABLE_PATTERN, re.IGNORECASE)
 
 
@@ -95,8 +99,9 @@ def enrich(
     """``requests(key, task, system, prompt)`` -> replies (``REPLY_SCHEMA``).
 
     ``client_factory()`` runs on the executor and returns ``client(key, task, system, prompt) -> str``;
-    a client raises (e.g. :class:`ModelError`) on failure. An empty reply is a failure, as is any
-    exception. ``sleep`` defaults to ``time.sleep`` (tests pass a no-op).
+    a client raises (e.g. :class:`ModelError`) on failure. An empty reply is a failure but for the
+    tasks in ``EMPTY_REPLY_OK``, as is any exception. Replies are handed on in slices of ``SLICE``
+    requests. ``sleep`` defaults to ``time.sleep`` (tests pass a no-op).
     """
     import pandas as pd
 
@@ -112,14 +117,14 @@ def enrich(
     def run(batches):
         client = client_factory()
         wait = slp if slp is not None else time.sleep
-        for pdf in batches:
+        for pdf in (b.iloc[at:at + SLICE] for b in batches for at in range(0, len(b), SLICE)):
             out = []
             for key, task, system, prompt in zip(pdf["key"], pdf["task"], pdf["system"], pdf["prompt"]):
                 p = pol or POLICIES.get(task, RetryPolicy())
 
                 def once(key=key, task=task, system=system, prompt=prompt):
                     r = client(key, task, system, prompt)
-                    if r is None or r == "":
+                    if r is None or (r == "" and task not in EMPTY_REPLY_OK):
                         raise ModelError("Empty LLM response")
                     return r
 

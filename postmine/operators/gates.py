@@ -36,24 +36,6 @@ def candidate_ok(text, min_chars: int = CAND_MIN_CHARS, min_words: int = CAND_MI
     return (F.length(t) > min_chars) & (word_count(t) > min_words)
 
 
-def dense_ok(text, n_children, min_chars: int = DENSE_MIN_CHARS, max_children: int = DENSE_MAX_CHILDREN) -> Column:
-    """trimmed textContent longer than ``min_chars`` and fewer than ``max_children`` child elements."""
-    return (F.length(trim_ws(text)) > min_chars) & (_c(n_children) < max_children)
-
-
-def candidate_gate(blocks: DataFrame, text_col: str = "block") -> DataFrame:
-    return blocks.filter(candidate_ok(text_col))
-
-
-def dense_gate(blocks: DataFrame, text_col: str = "text_content", children_col: str = "n_children") -> DataFrame:
-    return blocks.filter(dense_ok(text_col, children_col))
-
-
-def drop_empty(posts: DataFrame, text_col: str = "post") -> DataFrame:
-    """null or empty post text is never sent to the model."""
-    return posts.filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-
-
 def is_retryable(message, status=None, code=None) -> Column:
     """F8 over dead letters."""
     m = F.coalesce(F.lower(_c(message)), F.lit(""))

@@ -1,11 +1,13 @@
-"""Page blocks (S2, G2, G3, G4, F3): HTML -> one row per element, then DataFrame gates.
+"""Page blocks (S2, G2, G3, G4, F3): HTML -> one compact row per page, then DataFrame gates.
 
 The only Python here is the per-page parse inside ``mapInPandas`` (the standard-library
-``html.parser``; no DOM library is available). It emits, per element in document order:
-selector match flags, child-element count, ``textContent`` and an approximation of visible text
-(script/style/template/noscript/head content left out, block elements on their own lines; CSS
-visibility cannot be known offline). Candidate gates, ordered de-duplication and caps are DataFrame
-operations afterwards, so Spark shuffles and the per-page work stays bounded by the page size.
+``html.parser``; no DOM library is available). A page becomes its text content, its approximate
+visible text (script/style/template/noscript/head content left out, block elements on their own lines;
+CSS visibility cannot be known offline), each stored once, and an array of elements with offsets into
+them: matching selectors, child-element count and ranges. So nesting does not multiply texts. Only
+elements that a tier can use are kept: those that match a selector, pass the child gate with enough
+characters, or may serve the fallback of a page without a match. The tree builder supplies implied
+``html``, ``head`` and ``body``, implied end tags, and hides ``template`` contents as a DOM does.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import non_blank, trim_ws
 from . import gates as G
-from .batching import top_k_by
 
 # Candidate selectors in list order (bit i of g2_mask = selector i).
 CANDIDATE_SELECTORS = [
@@ -30,10 +31,6 @@ SCAN_SELECTORS = [
     ".post", "div.Post", 'div[data-testid="post-container"]', 'div[data-test-id="post-content"]',
     "article", '[role="article"]',
 ]
-# Caps of the candidate and selector-scan tiers.
-MAX_CANDIDATE_BLOCKS = 80
-MAX_SCAN_TEXTS = 40
-
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
@@ -41,125 +38,206 @@ CLOSES_P = {
     "p", "pre", "section", "table", "ul",
 }
 HIDDEN = {"script", "style", "template", "noscript", "head", "title"}
+HEAD_ONLY = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 BLOCK = CLOSES_P | {"li", "tr", "td", "th", "dd", "dt", "br", "body", "html", "caption", "thead", "tbody", "tfoot"}
+# A start tag closes open elements of the first set, looking no further than the second.
+_TABLE = {"table", "template"}
+_ROWS = {"thead", "tbody", "tfoot"}
+IMPLIED_END = {
+    "li": ({"li"}, {"ul", "ol", "menu", *_TABLE}), "dt": ({"dt", "dd"}, {"dl", *_TABLE}), "dd": ({"dt", "dd"}, {"dl", *_TABLE}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", *_TABLE}), "th": ({"td", "th"}, {"tr", *_TABLE}), "tr": ({"td", "th", "tr"}, {*_ROWS, *_TABLE}),
+    **{t: ({"td", "th", "tr", *_ROWS}, _TABLE) for t in _ROWS},
+}
+# An end tag or an implied end of a paragraph never reaches outside these.
+BARRIERS = {"td", "th", "caption", "button", "table", "template"}
 
-BLOCK_SCHEMA = (
-    "page_url string, elem_ord int, tag string, g2_mask int, g3_mask int, in_body boolean, "
-    "n_children int, visible_text string, text_content string"
+PAGE_SCHEMA = (
+    "page_url string, text string, visible string, has_match boolean, body_start int, body_end int, "
+    "elems array<struct<ord:int,tag:string,g2:int,g3:int,in_body:boolean,n_children:int,t0:int,t1:int,v0:int,v1:int>>"
 )
 
 
+def compile_selector(selector: str):
+    """Test of a simple selector: tag, ``.class`` and ``[attribute="v"]`` / ``[attribute*="v"]``."""
+    m = re.fullmatch(r'([a-z0-9]*)(?:\.([\w-]+))?(?:\[([\w-]+)(\*?)="([^"]*)"\])?', selector)
+    if not m:
+        raise ValueError(f"unsupported selector {selector}")
+    tag, cls, attr, part, value = m.groups()
+
+    def test(t: str, attrs: dict) -> bool:
+        if tag and t != tag or cls and cls not in attrs.get("class", "").split():
+            return False
+        return not attr or attr in attrs and (value in attrs[attr] if part else value == attrs[attr])
+
+    return test
+
+
 class _Node:
-    __slots__ = ("tag", "attrs", "parts", "n_children", "in_body", "order")
+    __slots__ = ("tag", "attrs", "n_children", "in_body", "order", "hidden", "span", "parent")
 
-    def __init__(self, tag, attrs, in_body, order):
-        self.tag, self.attrs, self.parts, self.n_children = tag, attrs, [], 0
-        self.in_body, self.order = in_body, order
+    def __init__(self, tag, attrs, parent, order):
+        self.tag, self.attrs, self.n_children, self.order, self.parent = tag, attrs, 0, order, parent
+        self.in_body = parent is not None and (parent.tag == "body" or parent.in_body)
+        self.hidden = tag in HIDDEN or parent is not None and parent.hidden
+        self.span = [0, 0, 0, 0]
 
 
 class _TreeBuilder(HTMLParser):
+    """Elements in document order with ranges in the running text and visible text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#document", {}, False, -1)
-        self.stack = [self.root]
-        self.nodes = []
+        self.stack, self.nodes, self.text, self.visible = [_Node("#document", {}, None, -1)], [], [], []
+        self.n_text = self.n_visible = 0
+        self.body = None
 
-    def _close_to(self, tag):
+    # -- texts --
+    def _show(self, s):
+        self.visible.append(s)
+        self.n_visible += len(s)
+
+    def _push(self, tag, attrs):
+        parent = self.stack[-1]
+        node = _Node(tag, attrs, parent, len(self.nodes))
+        inside_template = any(n.tag == "template" for n in self.stack)
+        if not inside_template:
+            parent.n_children += 1
+            self.nodes.append(node)
+        if tag in BLOCK and not node.hidden:
+            self._show("\n")
+        node.span[0], node.span[2] = self.n_text, self.n_visible
+        self.stack.append(node)
+        if tag == "body":
+            self.body = node
+        return node
+
+    def _pop(self):
+        node = self.stack.pop()
+        node.span[1], node.span[3] = self.n_text, self.n_visible
+        if node.tag in BLOCK and not node.hidden:
+            self._show("\n")
+
+    def _pop_to(self, tags, barriers=()):
+        """Close the innermost open element of ``tags`` unless a barrier is met first."""
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+            t = self.stack[i].tag
+            if t in tags:
+                while len(self.stack) > i:
+                    self._pop()
+                return True
+            if t in barriers:
+                return False
+        return False
+
+    # -- structure --
+    def _ensure(self, name):
+        """Open the implied parents of body or head content."""
+        tags = [n.tag for n in self.stack]
+        if "html" not in tags:
+            self._push("html", {})
+        if name == "body":
+            if "head" in tags:
+                self._pop_to({"head"})
+            if self.body is None:
+                self._push("body", {})
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and any(n.tag == "p" for n in self.stack[1:]):
-            self._close_to("p")
-        if tag == "li" and any(n.tag == "li" for n in self.stack[1:]):
-            self._close_to("li")
-        parent = self.stack[-1]
-        in_body = parent.tag == "body" or parent.in_body
-        node = _Node(tag, {k: (v or "") for k, v in attrs}, in_body, len(self.nodes))
-        parent.parts.append(node)
-        parent.n_children += 1
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
+        attrs = {k: (v or "") for k, v in attrs}
+        if tag in ("html", "body", "head"):
+            self._open_root(tag, attrs)
+            return
+        if self.body is None:
+            self._ensure("head" if tag in HEAD_ONLY else "body")
+        if tag in CLOSES_P:
+            self._pop_to({"p"}, BARRIERS)
+        if tag in IMPLIED_END:
+            close, stop = IMPLIED_END[tag]
+            while self._pop_to(close, stop):
+                pass
+        self._push(tag, attrs)
+        if tag in VOID:
+            self._pop()
+
+    def _open_root(self, tag, attrs):
+        have = {"html": any(n.tag == "html" for n in self.stack), "head": self.body is not None or any(n.tag == "head" for n in self.nodes), "body": self.body is not None}
+        if have[tag]:
+            return
+        if tag != "html":
+            self._ensure("head")
+        if tag == "body":
+            self._pop_to({"head"})
+        self._push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack[-1].tag == tag:
-            self.stack.pop()
+        self.handle_starttag(tag, attrs)  # the slash of a non-void element says nothing
 
     def handle_endtag(self, tag):
-        if any(n.tag == tag for n in self.stack[1:]):
-            self._close_to(tag)
+        if tag in ("html", "body"):
+            return  # later content still belongs to the body
+        self._pop_to({tag}, BARRIERS - {tag} if tag not in {*_ROWS, "tr", "table", "template"} else {"table", "template"} - {tag})
 
     def handle_data(self, data):
-        self.stack[-1].parts.append(data)
-
-
-def _matches(n: _Node) -> tuple[int, int]:
-    a, tag = n.attrs, n.tag
-    cls = a.get("class", "")
-    tokens = cls.split()
-    g2 = [
-        tag == "article", a.get("role") == "article", "post" in a.get("data-testid", "\0"),
-        "post" in a.get("data-test-id", "\0"), tag == "div" and "post" in cls, tag == "div" and "comment" in cls,
-        tag == "div" and "reply" in cls, tag == "section", tag == "main",
-    ]
-    g3 = [
-        "post" in tokens, tag == "div" and "Post" in tokens, tag == "div" and a.get("data-testid") == "post-container",
-        tag == "div" and a.get("data-test-id") == "post-content", tag == "article", a.get("role") == "article",
-    ]
-    return sum(1 << i for i, m in enumerate(g2) if m), sum(1 << i for i, m in enumerate(g3) if m)
-
-
-_SPACES = re.compile(r"[ \t\r\f\v ]+")
-
-
-def _texts(nodes):
-    """textContent and approximate innerText of every node, children before parents."""
-    tc, vis = {}, {}
-    for n in reversed(nodes):  # document order reversed: children are finished before parents
-        t_parts, v_parts = [], []
-        for p in n.parts:
-            if isinstance(p, str):
-                t_parts.append(p)
-                if n.tag not in HIDDEN:
-                    v_parts.append(p)
-            else:
-                t_parts.append(tc[id(p)])
-                if p.tag in HIDDEN or n.tag in HIDDEN:
-                    continue
-                if p.tag in BLOCK:
-                    v_parts.append("\n" + vis[id(p)] + "\n")
-                else:
-                    v_parts.append(vis[id(p)])
-        tc[id(n)] = "".join(t_parts)
-        vis[id(n)] = "".join(v_parts)
-    return tc, vis
-
-
-def _inner_text(raw: str) -> str:
-    lines = (_SPACES.sub(" ", ln).strip() for ln in raw.split("\n"))
-    return "\n".join(ln for ln in lines if ln)
-
-
-def parse_page(page_url: str, html: str):
+        if self.body is None and len(self.stack) < 3 and not any(n.tag == "head" for n in self.stack):
+            if not data.strip():
+                return
+            self._ensure("body")
+        elif self.body is None and self.stack[-1].tag == "head":
+            if not data.strip():
+                return
+            self._ensure("body")
+        if any(n.tag == "template" for n in self.stack):
+            return
+        self.text.append(data)
+        self.n_text += len(data)
+        if not self.stack[-1].hidden:
+            self._show(data)
+
+    def finish(self):
+        self.close()
+        if self.body is None:
+            self._ensure("body")
+        while len(self.stack) > 1:
+            self._pop()
+
+
+_SPACES = re.compile(r"[ \t\r\f\v ]+")
+
+
+def _inner_text(raw):
+    """Lines of a visible range: inner spaces collapsed, trimmed, empty lines dropped."""
+    lines = F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\r\\f\\x0B\u00a0]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def parse_page(page_url: str, html: str, g2=None, g3=None):
+    g2 = g2 or [compile_selector(x) for x in CANDIDATE_SELECTORS]
+    g3 = g3 or [compile_selector(x) for x in SCAN_SELECTORS]
     b = _TreeBuilder()
     try:
         b.feed(html or "")
-        b.close()
     except Exception:  # noqa: BLE001 - a broken page yields the elements parsed so far
         pass
-    tc, vis = _texts(b.nodes)
-    for n in b.nodes:
-        g2, g3 = _matches(n)
-        yield (page_url, n.order, n.tag, g2, g3, n.in_body, n.n_children, _inner_text(vis[id(n)]), tc[id(n)])
+    b.finish()
+    text = "".join(b.text)
+    masks = [tuple(sum(1 << i for i, test in enumerate(tests) if test(n.tag, n.attrs)) for tests in (g2, g3)) for n in b.nodes]
+    has_match = any(m[1] for m in masks)
+    elems = []
+    for n, (m2, m3) in zip(b.nodes, masks):
+        t0, t1, v0, v1 = n.span
+        parent = n.parent.span if n.parent.in_body else None
+        # the same text as its parent's: the parent's row stands for both in the text tiers
+        own = n.in_body and text[t0:t1].strip() and not (parent and (t0, t1) == (parent[0], parent[1]) and n.n_children >= G.DENSE_MAX_CHILDREN)
+        dense = own and n.n_children < G.DENSE_MAX_CHILDREN and t1 - t0 > G.DENSE_MIN_CHARS
+        if m2 or m3 or dense or (own and not has_match):
+            elems.append((n.order, n.tag, m2, m3, n.in_body, n.n_children, t0, t1, v0, v1))
+    body = b.body.span
+    return page_url, text, "".join(b.visible), has_match, body[2], body[3], elems
 
 
 def page_blocks(pages: DataFrame, url_col: str = "page_url", html_col: str = "html") -> DataFrame:
-    """Element rows of every page (``BLOCK_SCHEMA``). Run the URL gate (F1) before this stage:
-    Catalyst cannot push predicates through ``mapInPandas``."""
+    """One row per page (``PAGE_SCHEMA``). Run the URL gate (F1) before this stage: Catalyst cannot push
+    predicates through ``mapInPandas``."""
     import sys
 
     import pandas as pd
@@ -167,60 +245,71 @@ def page_blocks(pages: DataFrame, url_col: str = "page_url", html_col: str = "ht
     from ..session import ship_module
 
     ship_module(sys.modules[__name__])
-    cols = ["page_url", "elem_ord", "tag", "g2_mask", "g3_mask", "in_body", "n_children", "visible_text", "text_content"]
+    cols = [c.split()[0] for c in PAGE_SCHEMA.split(", ")]
+    fields = ["ord", "tag", "g2", "g3", "in_body", "n_children", "t0", "t1", "v0", "v1"]
 
     def run(batches):
+        g2, g3 = [compile_selector(x) for x in CANDIDATE_SELECTORS], [compile_selector(x) for x in SCAN_SELECTORS]
         for pdf in batches:
-            rows = []
             for u, h in zip(pdf[url_col], pdf[html_col]):
-                rows.extend(parse_page(u, h))
-            yield pd.DataFrame(rows, columns=cols).astype({"elem_ord": "int32", "g2_mask": "int32", "g3_mask": "int32", "n_children": "int32"})
+                *page, elems = parse_page(u, h, g2, g3)
+                yield pd.DataFrame([(*page, [dict(zip(fields, e)) for e in elems])], columns=cols)
+
+    return pages.select(url_col, html_col).mapInPandas(run, PAGE_SCHEMA)
 
-    return pages.select(url_col, html_col).mapInPandas(run, BLOCK_SCHEMA)
+
+def elements(blocks: DataFrame) -> DataFrame:
+    """Element rows: ``page_url, has_match, elem_ord, g2_mask, g3_mask, in_body, n_children`` and the
+    raw ``text_content`` and ``visible_text``."""
+    cut = lambda c, a, b: F.substring(c, F.col(a) + 1, F.col(b) - F.col(a))
+    return blocks.select("page_url", "has_match", "text", "visible", F.inline("elems")).select(
+        "page_url", "has_match", F.col("ord").alias("elem_ord"), "tag", F.col("g2").alias("g2_mask"), F.col("g3").alias("g3_mask"), "in_body", "n_children",
+        cut("text", "t0", "t1").alias("text_content"), cut("visible", "v0", "v1").alias("visible_text"))
 
 
 def page_text(pages: DataFrame, blocks: DataFrame, url_col: str = "page_url", html_col: str = "html") -> DataFrame:
     """Visible body text of each page; the html when that text is blank."""
-    body = blocks.filter(F.col("tag") == "body").select("page_url", F.col("visible_text").alias("text"))
+    raw = F.substring("visible", F.col("body_start") + 1, F.col("body_end") - F.col("body_start"))
+    body = blocks.select("page_url", _inner_text(raw).alias("text"))
     p = pages.select(F.col(url_col).alias("page_url"), F.col(html_col).alias("html"))
     j = p.join(body, "page_url", "left")
     return j.select("page_url", F.when(non_blank("text"), F.col("text")).otherwise(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-def candidates(blocks: DataFrame, cap: int = MAX_CANDIDATE_BLOCKS) -> DataFrame:
-    """G2 + F2 + F3 + U1 + B3: ordered distinct candidate blocks per page, first ``cap``.
+def _numbered(first: DataFrame, text_col: str) -> DataFrame:
+    """``pos`` from 1 in page order; a page is one parsed row, so its window is bounded by it."""
+    w = Window.partitionBy("page_url").orderBy("o")
+    return first.select("page_url", F.row_number().over(w).cast("bigint").alias("pos"), text_col)
+
+
+def _selected(e: DataFrame, mask: str, n: int, *cols) -> DataFrame:
+    which = F.array_compact(F.array(*[F.when(F.col(mask).bitwiseAND(1 << i) > 0, F.lit(i)) for i in range(n)]))
+    return e.filter(F.col(mask) > 0).select("page_url", "elem_ord", F.explode(which).alias("sel"), *cols)
+
+
+def candidates(blocks: DataFrame) -> DataFrame:
+    """G2 + F2 + F3 + U1: all ordered distinct candidate blocks per page.
 
     Order: selector list order, then document order; then every body element (dense tier).
     Returns ``(page_url, pos, block)`` with ``pos`` 1-based.
     """
-    sel = blocks.filter(F.col("g2_mask") > 0).select(
-        "page_url", "elem_ord",
-        F.explode(F.array(*[F.when((F.col("g2_mask").bitwiseAND(1 << i)) > 0, F.lit(i)) for i in range(len(CANDIDATE_SELECTORS))])).alias("sel"),
-        F.when(non_blank("visible_text"), F.col("visible_text")).otherwise(F.col("text_content")).alias("raw"),
-    ).filter(F.col("sel").isNotNull())
-    sel = sel.select("page_url", "sel", "elem_ord", trim_ws("raw").alias("block")).filter(G.candidate_ok("block"))
-    dense = blocks.filter(F.col("in_body") & (F.col("n_children") < G.DENSE_MAX_CHILDREN)).select(
-        "page_url", F.lit(len(CANDIDATE_SELECTORS)).alias("sel"), "elem_ord", trim_ws("text_content").alias("block")
+    e = elements(blocks)
+    raw = F.when(non_blank("visible_text"), _inner_text(F.col("visible_text"))).otherwise(F.col("text_content"))
+    sel = _selected(e, "g2_mask", len(CANDIDATE_SELECTORS), trim_ws(raw).alias("block")).filter(G.candidate_ok("block"))
+    dense = e.filter(F.col("in_body") & (F.col("n_children") < G.DENSE_MAX_CHILDREN)).select(
+        "page_url", "elem_ord", F.lit(len(CANDIDATE_SELECTORS)).alias("sel"), trim_ws("text_content").alias("block")
     ).filter(F.length("block") > G.DENSE_MIN_CHARS)
-    allb = sel.unionByName(dense)
-    first = allb.groupBy("page_url", "block").agg(F.min(F.struct("sel", "elem_ord")).alias("o"))
-    capped = top_k_by(first, ["page_url"], [F.col("o")], cap, "pos")
-    return capped.filter(F.col("block") != "").select("page_url", F.col("pos").cast("int").alias("pos"), "block")
-
-
-def selector_scan(blocks: DataFrame, cap: int = MAX_SCAN_TEXTS) -> DataFrame:
-    """Texts of the scan selectors in list/document order; a page where no element matched
-    falls back to the first ``cap`` non-blank body-element texts. Ordered distinct, non-blank.
-    Returns ``(page_url, pos, post)``."""
-    matched = blocks.filter(F.col("g3_mask") > 0).select(
-        "page_url", "elem_ord",
-        F.explode(F.array(*[F.when((F.col("g3_mask").bitwiseAND(1 << i)) > 0, F.lit(i)) for i in range(len(SCAN_SELECTORS))])).alias("sel"),
-        trim_ws("text_content").alias("post"),
-    ).filter(F.col("sel").isNotNull())
-    pages_with_match = matched.select("page_url").distinct()
-    body = blocks.filter(F.col("in_body")).select("page_url", F.lit(len(SCAN_SELECTORS)).alias("sel"), "elem_ord", trim_ws("text_content").alias("post")).filter(F.col("post") != "")
-    body = top_k_by(body.join(pages_with_match, "page_url", "left_anti"), ["page_url"], [F.col("elem_ord")], cap, "_rk").drop("_rk")
-    allp = matched.unionByName(body).filter(F.col("post") != "")
-    first = allp.groupBy("page_url", "post").agg(F.min(F.struct("sel", "elem_ord")).alias("o"))
-    w = Window.partitionBy("page_url").orderBy("o")
-    return first.withColumn("pos", F.row_number().over(w)).select("page_url", F.col("pos").cast("int").alias("pos"), "post")
+    first = sel.unionByName(dense).filter(F.col("block") != "").groupBy("page_url", "block").agg(F.min(F.struct("sel", "elem_ord")).alias("o"))
+    return _numbered(first, "block")
+
+
+def selector_scan(blocks: DataFrame) -> DataFrame:
+    """Texts of the scan selectors in list/document order; a page where no element matched falls
+    back to all its non-blank body-element texts. Ordered distinct, non-blank. Returns
+    ``(page_url, pos, post)``."""
+    e = elements(blocks)
+    post = trim_ws("text_content").alias("post")
+    matched = _selected(e, "g3_mask", len(SCAN_SELECTORS), post)
+    body = e.filter(F.col("in_body") & ~F.col("has_match")).select("page_url", "elem_ord", F.lit(len(SCAN_SELECTORS)).alias("sel"), post)
+    first = matched.unionByName(body).filter(F.col("post") != "").groupBy("page_url", "post").agg(F.min(F.struct("sel", "elem_ord")).alias("o"))
+    return _numbered(first, "post")

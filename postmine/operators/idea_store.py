@@ -1,17 +1,14 @@
 """Idea store: per-batch aggregation of ideas.
 
-Grain is ``(page_url, batch_id, idea)``: each batch has a fresh store. Counts and sentiment sums
-are partial (map-side) aggregates. The ordered collections are bounded before they are collected:
-examples are the first 3 rows of a key (a top-k window, planned as a partial group limit before the
-shuffle); topics and reasons are de-duplicated by a partial aggregation first and only the first
-``max_set_items`` of each set are collected into the row. Their exact sizes are kept (``n_topics``,
-``n_reasons``) and the complete sets are available in long form (:func:`idea_topics`,
-:func:`idea_reasons`), so a hot idea holding a third of all rows never becomes one huge array.
+Grain is ``(page_url, batch_id, idea)``: each batch has a fresh store. Topics and reasons are
+de-duplicated by a partial aggregation before they are collected; the sets of a row are complete. The
+same sets are available in long form (:func:`idea_topics`, :func:`idea_reasons`) for keys whose sets
+should not become one array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentiment_score, trim_ws
@@ -23,19 +20,7 @@ MAX_EXAMPLES = 3
 EXAMPLE_CHARS = 300
 MAX_TOPICS_PER_POST = 5
 REASON_CHARS = 200
-MAX_IDEAS_TO_RANK = 30
-# [ours] bound on set items kept inline in a store row; the long tables hold the rest.
-MAX_SET_ITEMS = 100
-
-
-def attach_insights(posts: DataFrame, insights: DataFrame, keys=("page_url", "seq")) -> DataFrame:
-    """Posts left-join insights (posts without an insight keep null columns)."""
-    return posts.join(insights, list(keys), "left")
-
-
-def attach_ideas(posts_insights: DataFrame, ideas: DataFrame, keys=("page_url", "seq")) -> DataFrame:
-    """Inner join — posts without ideas drop out."""
-    return posts_insights.join(ideas, list(keys), "inner")
+IDEAS_PER_REQUEST = 30
 
 
 def explode_ideas(df: DataFrame, ideas_col: str = "ideas", k: int = 3) -> DataFrame:
@@ -75,60 +60,59 @@ def idea_reasons(events: DataFrame) -> DataFrame:
     return r.groupBy(*KEY, "reason").agg(F.min(F.struct("seq", "idea_pos")).alias("o"))
 
 
-def _bounded_ordered_list(long_df: DataFrame, value_col: str, out_col: str, n_col: str, k: int) -> DataFrame:
-    # count(o) reads the same columns as the top-k branch: both share the long table's shuffle
-    counts = long_df.groupBy(*KEY).agg(F.count("o").alias(n_col))
-    first = top_k_by(long_df, KEY, [F.col("o")], k, "_rk")
-    lists = first.groupBy(*KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o", value_col))), lambda s: s[value_col]).alias(out_col)
-    )
-    return counts.join(lists, KEY)
-
-
-def idea_store(events: DataFrame, max_examples: int = MAX_EXAMPLES, max_set_items: int = MAX_SET_ITEMS) -> DataFrame:
+def idea_store(events: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """One row per ``(page_url, batch_id, idea)``::
 
         first_seq, first_pos, cnt, sentiment_sum, examples, n_topics, topics, n_reasons, reasons
-    """
-    base = events.groupBy(*KEY).agg(
-        F.min(F.struct("seq", "idea_pos")).alias("_first"),
-        F.count(F.lit(1)).alias("cnt"),
-        F.sum("s_score").cast("bigint").alias("sentiment_sum"),
+
+    Every event becomes tagged rows (itself, its topics, its reason). They are pre-aggregated by value,
+    so a repeated topic or reason costs one row per task, and one grouping by key builds the row; the
+    first examples are a top-k window with a partial group limit."""
+    tag = lambda kind, value, t_pos, s: F.struct(
+        F.lit(kind).alias("kind"), value.alias("value"), t_pos.cast("int").alias("t_pos"), s.cast("bigint").alias("s"))
+    none = F.lit(None).cast("string")
+    rows = F.concat(
+        F.array(tag("event", none, F.lit(0), F.col("s_score"))),
+        F.transform("topics", lambda t, i: tag("topic", t, i, F.lit(0))),
+        F.array(tag("reason", F.col("reason"), F.lit(0), F.lit(0))),
+    )
+    x = events.select(*KEY, "seq", "idea_pos", F.inline(rows)).filter("kind = 'event' OR value IS NOT NULL")
+    x = x.groupBy(*KEY, "kind", "value").agg(F.min(F.struct("seq", "idea_pos", "t_pos")).alias("o"), F.count(F.lit(1)).alias("c"), F.sum("s").alias("s"))
+    of = lambda kind, v: F.when(F.col("kind") == kind, v)
+    ordered = lambda kind: F.transform(F.array_sort(F.collect_list(of(kind, F.struct("o", "value")))), lambda v: v["value"])
+    x = x.groupBy(*KEY).agg(
+        F.max(of("event", F.col("o.seq"))).alias("first_seq"), F.max(of("event", F.col("o.idea_pos"))).alias("first_pos"),
+        F.max(of("event", F.col("c"))).alias("cnt"), F.max(of("event", F.col("s"))).alias("sentiment_sum"),
+        ordered("topic").alias("topics"), ordered("reason").alias("reasons"),
     )
     ex = top_k_by(events.select(*KEY, "seq", "idea_pos", "example"), KEY, [F.col("seq"), F.col("idea_pos")], max_examples, "_rk")
     ex = ex.groupBy(*KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "idea_pos", "example"))), lambda s: s["example"]).alias("examples")
     )
-    topics = _bounded_ordered_list(idea_topics(events), "topic", "topics", "n_topics", max_set_items)
-    reasons = _bounded_ordered_list(idea_reasons(events), "reason", "reasons", "n_reasons", max_set_items)
-    empty = F.array().cast("array<string>")
-    return (
-        base.join(ex, KEY, "left")
-        .join(topics, KEY, "left")
-        .join(reasons, KEY, "left")
-        .select(
-            *KEY,
-            F.col("_first.seq").alias("first_seq"),
-            F.col("_first.idea_pos").alias("first_pos"),
-            "cnt",
-            "sentiment_sum",
-            F.coalesce("examples", empty).alias("examples"),
-            F.coalesce("n_topics", F.lit(0)).cast("bigint").alias("n_topics"),
-            F.coalesce("topics", empty).alias("topics"),
-            F.coalesce("n_reasons", F.lit(0)).cast("bigint").alias("n_reasons"),
-            F.coalesce("reasons", empty).alias("reasons"),
-        )
+    size = lambda c: F.size(c).cast("bigint")
+    return x.join(ex, KEY, "left").select(
+        *KEY, "first_seq", "first_pos", "cnt", "sentiment_sum", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
+        size("topics").alias("n_topics"), "topics", size("reasons").alias("n_reasons"), "reasons",
     )
 
 
-def payload_ideas(store: DataFrame, cap: int = MAX_IDEAS_TO_RANK) -> DataFrame:
-    """The first ``cap`` ideas of each batch in first-seen order (``payload_pos`` 1-based)."""
-    return top_k_by(store, ["page_url", "batch_id"], [F.col("first_seq"), F.col("first_pos")], cap, "payload_pos")
+def first_ideas(store: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` ideas of each batch in first-seen order (``payload_pos`` 1-based)."""
+    return top_k_by(store, ["page_url", "batch_id"], [F.col("first_seq"), F.col("first_pos")], k, "payload_pos")
+
+
+def payload_ideas(store: DataFrame, per_request: int = IDEAS_PER_REQUEST) -> DataFrame:
+    """Every idea of a batch with its place in first-seen order (``payload_pos``, 1-based) and the
+    number of the ranking request that carries it (``payload_no``, from 0)."""
+    w = Window.partitionBy("page_url", "batch_id").orderBy("first_seq", "first_pos")
+    x = store.withColumn("payload_pos", F.row_number().over(w))
+    return x.withColumn("payload_no", F.floor((F.col("payload_pos") - 1) / per_request).cast("bigint"))
 
 
-def rank_payload(store: DataFrame, cap: int = MAX_IDEAS_TO_RANK) -> DataFrame:
-    """One JSON document ``{"ideas": [...]}`` per batch with the first ``cap`` ideas."""
-    first = payload_ideas(store, cap)
+def rank_payload(store: DataFrame, per_request: int = IDEAS_PER_REQUEST) -> DataFrame:
+    """JSON documents ``{"ideas": [...]}`` of at most ``per_request`` ideas; a batch with more ideas
+    has several (``payload_no``)."""
+    first = payload_ideas(store, per_request)
     item = F.struct(
         F.col("payload_pos"),
         F.struct(
@@ -140,8 +124,9 @@ def rank_payload(store: DataFrame, cap: int = MAX_IDEAS_TO_RANK) -> DataFrame:
             F.col("reasons"),
         ).alias("body"),
     )
-    return first.groupBy("page_url", "batch_id").agg(
+    return first.groupBy("page_url", "batch_id", "payload_no").agg(
         F.count(F.lit(1)).alias("n_ideas"),
+        F.sum("cnt").cast("bigint").alias("total_count"),
         F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["body"]).alias("ideas"))).alias("payload"),
     )
 

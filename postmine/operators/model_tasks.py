@@ -1,6 +1,10 @@
 """Model-backed operators M1-M5 and the extractor cascade U4.
 
-Each one is: Catalyst request building -> :func:`enrich` (the only Python) -> Catalyst parsing.
+Each task has two halves that never call a model: ``*_requests`` builds the prompts (Catalyst) and
+``*_results`` parses a stored reply table. In between, :func:`call` sends the requests that have no
+stored reply yet; its result is written before anyone reads it, so no consumer pays for a call twice.
+Key columns travel with the requests; replies are attached by request key (J4). Requests without an
+``ok`` reply are dead letters (S9): :func:`dead_letters`.
 """
 
 from __future__ import annotations
@@ -11,103 +15,140 @@ from pyspark.sql import functions as F
 from ..functions import ideas as I
 from ..functions import jsonx as J
 from ..functions.text import non_blank, trim_ws
+from ..session import materialize
 from . import batching as B
 from . import html_blocks as H
 from . import requests as RQ
-from .enrich import enrich, split_failures
+from .enrich import attach_replies, enrich, missing_requests
 from .idea_store import rank_payload
-from ..session import materialize
 
 
-def _ordered_distinct(df: DataFrame, order_cols, page_col="page_url", text_col="post") -> DataFrame:
-    """U1 with an explicit arrival order: first occurrence per (page, post) by ``order_cols``."""
-    first = df.groupBy(page_col, text_col).agg(F.min(F.struct(*order_cols)).alias("o"))
-    return first
+def call(requests: DataFrame, client_factory, stored: DataFrame | None = None, policy=None, partitions=None, sleep=None) -> DataFrame:
+    """Replies of all requests: the stored ``ok`` ones and new calls for the rest."""
+    if stored is None:
+        return materialize(enrich(requests, client_factory, policy, partitions, sleep))
+    new = materialize(enrich(missing_requests(requests, stored), client_factory, policy, partitions, sleep))
+    return stored.filter(F.col("status") == "ok").select(*new.columns).unionByName(new)
+
 
+def dead_letters(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Requests without an ``ok`` reply: the error of a failed call, status ``missing`` if never
+    answered."""
+    x = attach_replies(requests.drop("system", "prompt"), replies)
+    x = x.withColumn("status", F.coalesce("status", F.lit("missing")))
+    return x.filter(F.col("status") != "ok").drop("reply")
 
-def analyze_posts(posts: DataFrame, client_factory, policy=None, partitions=None, sleep=None) -> tuple[DataFrame, DataFrame]:
-    """M1: ``posts(page_url, seq, post)`` -> (insights with parsed ``ins`` struct, dead letters).
 
-    Empty posts are never sent (F5). Failed calls are dead letters; the post still counts as
-    processed (no insight, no ideas)."""
+def _answers(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Requests with their ``ok`` reply (null: none)."""
+    x = attach_replies(requests.drop("system", "prompt"), replies)
+    return x.withColumn("reply", F.when(F.col("status") == "ok", F.col("reply")))
+
+
+# ---- M1 ---------------------------------------------------------------------------------------
+def analyze_requests(posts: DataFrame) -> DataFrame:
+    """``posts(page_url, seq, post)``; empty posts are never sent."""
     p = posts.filter(F.col("post").isNotNull() & (F.col("post") != ""))
-    req = RQ.build_requests(p, "analyze", ["page_url", "seq"], RQ.analysis_prompt("post"))
-    rep = materialize(enrich(req, client_factory, policy, partitions, sleep))  # ok + dead letters: call once
-    ok, dead = split_failures(rep)
-    ins = J.with_insight(req.select("page_url", "seq", "key").join(ok.select("key", "reply"), "key"), "reply", "ins")
-    return ins.select("page_url", "seq", "key", "ins"), dead
+    return RQ.build_requests(p, "analyze", ["page_url", "seq"], RQ.analysis_prompt("post"))
+
 
+def analyze_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Insights ``(page_url, seq, key, ins)`` of the answered requests. Replies may carry the service's
+    ``envelope`` instead of the text (P10); the text is trimmed, an empty one is an insight, too."""
+    if "envelope" in replies.columns:
+        replies = replies.withColumn("reply", J.reply_text("envelope", "responses"))
+    x = _answers(requests, replies).filter(F.col("reply").isNotNull()).withColumn("reply", trim_ws("reply"))
+    return J.with_insight(x.select("page_url", "seq", "key", "reply"), "reply", "ins").select("page_url", "seq", "key", "ins")
 
-def generate_ideas(posts_insights: DataFrame, client_factory, policy=None, partitions=None, sleep=None) -> DataFrame:
-    """M4: rows with ``ins`` (truthy insights) and ``post`` -> ``ideas`` array (<= 3).
 
-    A failed call yields the fallback idea (P18), as in the reference."""
+# ---- M4 ---------------------------------------------------------------------------------------
+def idea_requests(posts_insights: DataFrame) -> DataFrame:
+    """Rows with ``ins`` (truthy insights) and ``post``; they travel with the request."""
     x = posts_insights.withColumn("_inp", RQ.idea_input(posts_insights, "ins", "post"))
-    req = RQ.build_requests(x, "ideate", ["page_url", "seq"], RQ.idea_prompt(F.col("_inp")), RQ.IDEA_SYSTEM)
-    rep = enrich(req, client_factory, policy, partitions, sleep).filter(F.col("status") == "ok").select("key", "reply")
-    j = x.join(req.select("page_url", "seq", "key"), ["page_url", "seq"]).join(rep, "key", "left")
-    j = j.withColumn("_summary", F.col("ins.summary_text"))
-    return I.with_ideas(j, "reply", "_summary", "ideas").drop("_inp", "_summary", "reply", "key")
+    r = RQ.build_requests(x, "ideate", ["page_url", "seq"], RQ.idea_prompt(F.col("_inp")), RQ.IDEA_SYSTEM, carry=posts_insights.columns)
+    return r
+
+
+def idea_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """The carried rows with ``ideas`` (<= 3); without a reply the fallback idea."""
+    x = _answers(requests, replies).withColumn("_summary", F.col("ins.summary_text"))
+    x = I.with_ideas(x, "reply", "_summary", "ideas")
+    return x.select(*[c for c in requests.columns if c not in ("key", "task", "system", "prompt")], "ideas")
+
+
+# ---- M5 ---------------------------------------------------------------------------------------
+RANK_KEYS = ["page_url", "batch_id", "payload_no"]
+
+
+def rank_requests(store: DataFrame) -> DataFrame:
+    """One ranking request per payload (a batch with many ideas has several)."""
+    return RQ.build_requests(rank_payload(store), "rank", RANK_KEYS, RQ.rank_prompt("payload"), RQ.RANK_SYSTEM)
 
 
-def rank_ideas(store: DataFrame, client_factory, policy=None, partitions=None, sleep=None) -> tuple[DataFrame, DataFrame]:
-    """M5: one ranking request per batch with ideas -> (ranked rows, fallback headlines)."""
+def rank_results(store: DataFrame, requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranked rows, fallback headlines of the payloads whose ranking failed)."""
     from .rank import rank_fallback, ranked_rows
 
-    pay = rank_payload(store)
-    req = RQ.build_requests(pay, "rank", ["page_url", "batch_id"], RQ.rank_prompt("payload"), RQ.RANK_SYSTEM)
-    rep = materialize(enrich(req, client_factory, policy, partitions, sleep))  # read by ranked rows and fallback
-    rr = req.select("page_url", "batch_id", "key").join(rep.filter(F.col("status") == "ok").select("key", "reply"), "key", "left")
-    return ranked_rows(rr), rank_fallback(store, rr)
-
-
-def extract_from_candidates(cands: DataFrame, client_factory, policy=None, partitions=None, sleep=None) -> DataFrame:
-    """M2: candidate blocks ``(page_url, pos, block)`` -> posts ``(page_url, pos, post)``.
-
-    Size-packed batches (B2) of <= 50 items per request; a failed or empty batch is skipped
-    (no retry, as in the reference). Posts are de-duplicated per page in reply order."""
-    packed = B.pack_batches(cands)
-    items = B.batch_requests_items(packed)
-    req = RQ.build_requests(items, "extract_candidates", ["page_url", "cand_batch"], RQ.candidate_prompt("items_json"), RQ.CANDIDATE_SYSTEM)
-    rep = materialize(enrich(req, client_factory, policy, partitions, sleep)).filter(F.col("status") == "ok")
-    r = req.select("page_url", "cand_batch", "key").join(rep.select("key", "reply"), "key")
-    r = J.with_posts(r, "reply", "posts", "empty")
-    x = r.select("page_url", "cand_batch", F.posexplode("posts").alias("i", "post")).select(
-        "page_url", "cand_batch", "i", trim_ws("post").alias("post")).filter(F.col("post") != "")
-    first = _ordered_distinct(x, ["cand_batch", "i"])
-    return B.top_k_by(first, ["page_url"], [F.col("o")], 1 << 30, "pos").select("page_url", "pos", "post")
-
-
-def extract_from_text(texts: DataFrame, client_factory, policy=None, partitions=None, sleep=None) -> DataFrame:
-    """M3: page texts ``(page_url, text)`` -> posts; 12000/300 chunks; failed chunks skipped."""
-    t = texts.filter(non_blank("text"))
-    ch = B.chunk_text(t, "text", keep=["page_url"])
-    req = RQ.build_requests(ch, "extract_chunk", ["page_url", "chunk_no"], RQ.chunk_prompt("chunk"), RQ.CHUNK_SYSTEM)
-    rep = materialize(enrich(req, client_factory, policy, partitions, sleep)).filter(F.col("status") == "ok")
-    r = req.select("page_url", "chunk_no", "key").join(rep.select("key", "reply"), "key")
-    r = J.with_posts(r, "reply", "posts", "lines")
-    x = r.select("page_url", "chunk_no", F.posexplode("posts").alias("i", "post")).select(
-        "page_url", "chunk_no", "i", trim_ws("post").alias("post")).filter(F.col("post") != "")
-    first = _ordered_distinct(x, ["chunk_no", "i"])
-    return B.top_k_by(first, ["page_url"], [F.col("o")], 1 << 30, "pos").select("page_url", "pos", "post")
+    x = _answers(requests, replies).select(*RANK_KEYS, "reply")
+    return ranked_rows(x, keys=RANK_KEYS), rank_fallback(store, x, keys=RANK_KEYS)
+
+
+# ---- M2, M3 -----------------------------------------------------------------------------------
+def _posts(x: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Trimmed, non-blank posts; first occurrence per page. ``pos`` is a struct that gives their order
+    (request, place in the reply): no page is sorted to number them."""
+    x = x.select("page_url", *order_cols, F.posexplode("posts").alias("i", "post"))
+    x = x.withColumn("post", trim_ws("post")).filter(F.col("post") != "")
+    order = F.struct(*[F.col(c).cast("bigint").alias(c) for c in order_cols], F.col("i").cast("bigint").alias("i"))
+    return x.groupBy("page_url", "post").agg(F.min(order).alias("pos")).select("page_url", "pos", "post")
+
+
+def candidate_requests(cands: DataFrame) -> DataFrame:
+    """M2: size-packed batches (B2) of candidate blocks ``(page_url, pos, block)``."""
+    items = B.batch_requests_items(B.pack_batches(cands))
+    return RQ.build_requests(items, "extract_candidates", ["page_url", "cand_batch", "request_no"], RQ.candidate_prompt("items_json"), RQ.CANDIDATE_SYSTEM)
+
+
+def candidate_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Posts ``(page_url, pos, post)``; a failed or empty batch is skipped."""
+    x = _answers(requests, replies).filter(F.col("reply").isNotNull())
+    return _posts(J.with_posts(x, "reply", "posts", "empty"), ["cand_batch", "request_no"])
+
+
+def chunk_requests(texts: DataFrame) -> DataFrame:
+    """M3: page texts ``(page_url, text)`` in overlapping chunks."""
+    ch = B.chunk_text(texts.filter(non_blank("text")), "text", keep=["page_url"])
+    return RQ.build_requests(ch, "extract_chunk", ["page_url", "chunk_no"], RQ.chunk_prompt("chunk"), RQ.CHUNK_SYSTEM)
+
+
+def chunk_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Posts ``(page_url, pos, post)``; failed chunks are skipped."""
+    x = _answers(requests, replies).filter(F.col("reply").isNotNull())
+    return _posts(J.with_posts(x, "reply", "posts", "lines"), ["chunk_no"])
+
+
+# ---- U4 ---------------------------------------------------------------------------------------
+def cascade(candidates: DataFrame, texts: DataFrame, scan: DataFrame) -> DataFrame:
+    """U4 over the posts of the three tiers: the first tier with posts wins per page. Returns
+    ``(page_url, tier, post)``."""
+    tag = lambda d, t: d.select("page_url", F.lit(t).alias("tier"), "post")
+    done1 = candidates.select("page_url").distinct()
+    second = texts.join(done1, "page_url", "left_anti")
+    done2 = done1.unionByName(second.select("page_url").distinct())
+    third = scan.join(done2, "page_url", "left_anti")
+    return tag(candidates, "candidates").unionByName(tag(second, "full_text")).unionByName(tag(third, "selector_scan"))
 
 
 def extract_posts(pages: DataFrame, client_factory=None, sleep=None, partitions=None) -> DataFrame:
-    """U4: candidates tier -> chunked full-text tier -> selector scan; the first tier with posts
-    wins per page. Each later tier runs only on the pages still unanswered (left anti join).
-    Without a client only the selector scan runs. Returns ``(page_url, tier, pos, post)``."""
+    """U4 with a client: candidates tier -> chunked full-text tier -> selector scan. Each later tier
+    calls only for the pages still unanswered. Without a client only the selector scan runs."""
     blocks = materialize(H.page_blocks(pages))  # read by every tier: parse the HTML once
     scan = H.selector_scan(blocks)
     if client_factory is None:
-        return scan.select("page_url", F.lit("selector_scan").alias("tier"), "pos", "post")
-    t1 = extract_from_candidates(H.candidates(blocks), client_factory, partitions=partitions, sleep=sleep)
-    done1 = t1.select("page_url").distinct()
-    texts = H.page_text(pages, blocks).join(done1, "page_url", "left_anti")
-    t2 = extract_from_text(texts, client_factory, partitions=partitions, sleep=sleep)
-    done2 = done1.unionByName(t2.select("page_url").distinct())
-    t3 = scan.join(done2, "page_url", "left_anti")
-    return (
-        t1.select("page_url", F.lit("candidates").alias("tier"), "pos", "post")
-        .unionByName(t2.select("page_url", F.lit("full_text").alias("tier"), "pos", "post"))
-        .unionByName(t3.select("page_url", F.lit("selector_scan").alias("tier"), "pos", "post"))
-    )
+        return scan.select("page_url", F.lit("selector_scan").alias("tier"), "post")
+    r1 = candidate_requests(H.candidates(blocks))
+    t1 = materialize(candidate_results(r1, call(r1, client_factory, partitions=partitions, sleep=sleep)))
+    texts = H.page_text(pages, blocks).join(t1.select("page_url").distinct(), "page_url", "left_anti")
+    r2 = chunk_requests(texts)
+    t2 = materialize(chunk_results(r2, call(r2, client_factory, partitions=partitions, sleep=sleep)))
+    return cascade(t1, t2, scan)

@@ -2,13 +2,12 @@
 
 They fill ``sentiment``, ``topics``, ``summary`` and ``toxicity`` so a run without a model service
 is possible. They do not reproduce a model's judgement and must never be reported as equal to it.
-All four are DataFrame jobs: tokens are exploded and joined/aggregated by Spark; only the
-toxicity model fit is iterative (Spark ML).
+All four are DataFrame jobs on built-in functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, trim_ws
@@ -20,55 +19,46 @@ TOKEN_SPLIT = r"[^\p{L}]+"
 LEXICON = [
     ("good", 1), ("great", 1), ("love", 1), ("excellent", 1), ("happy", 1), ("best", 1), ("helpful", 1),
     ("bad", -1), ("terrible", -1), ("hate", -1), ("awful", -1), ("worst", -1), ("broken", -1), ("problem", -1),
-    ("bon", 1), ("bien", 1), ("excellent", 1), ("mauvais", -1), ("triste", -1),
-    ("gut", 1), ("schön", 1), ("schlecht", -1), ("nicht", -1),
-    ("bueno", 1), ("feliz", 1), ("malo", -1), ("no", -1),
-    ("the", 0),
+    ("bon", 1), ("bien", 1), ("mauvais", -1), ("triste", -1),
+    ("gut", 1), ("schön", 1), ("schlecht", -1),
+    ("bueno", 1), ("feliz", 1), ("malo", -1),
 ]
-MIN_TOPIC_CHARS = 4
 SUMMARY_CHARS = 200
 
 
-def lexicon_df(spark: SparkSession) -> DataFrame:
-    rows = sorted({(w, p) for w, p in LEXICON})
-    return spark.createDataFrame(rows, "word string, polarity int")
-
-
-def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per (id, position, token): lower-cased runs of letters."""
-    return df.select(id_col, F.posexplode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_SPLIT)).alias("tpos", "token")).filter(
-        F.col("token") != ""
-    )
+def _hits(text, polarity: int):
+    """How many whole letter runs of a lower-cased text are lexicon words of one polarity."""
+    words = "|".join(sorted({w for w, p in LEXICON if p == polarity}))
+    return F.regexp_count(text, F.lit(rf"(?<!\p{{L}})({words})(?!\p{{L}})")).cast("bigint")
 
 
 def native_sentiment(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """M6: sum of lexicon polarities -> ``positive`` / ``negative`` / ``neutral``.
-
-    The lexicon is a fixed list (bounded size), so it is broadcast."""
-    lex = F.broadcast(lexicon_df(df.sparkSession))
-    hits = tokens(df, id_col, text_col).join(lex, F.col("token") == F.col("word")).groupBy(id_col).agg(
-        F.sum("polarity").cast("bigint").alias("score"), F.count(F.lit(1)).alias("n_hits")
-    )
-    out = df.select(id_col).join(hits, id_col, "left").fillna(0, ["score", "n_hits"])
-    return out.withColumn(
+    """M6: sum of lexicon polarities -> ``positive`` / ``negative`` / ``neutral``. Counted inside the
+    row: no tokens leave it and nothing is shuffled."""
+    t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    x = df.select(id_col, _hits(t, 1).alias("_p"), _hits(t, -1).alias("_n"))
+    x = x.select(id_col, (F.col("_p") - F.col("_n")).alias("score"), (F.col("_p") + F.col("_n")).alias("n_hits"))
+    return x.withColumn(
         "sentiment", F.when(F.col("score") > 0, "positive").when(F.col("score") < 0, "negative").otherwise("neutral")
     )
 
 
 def native_topics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """M7: top-``k`` TF-IDF terms (>= 4 letters) per document; ties by term.
+    """M7: top-``k`` TF-IDF terms per document; ties by term. Every document has a row; one without
+    letters has no topics.
 
-    Document frequencies are a partial aggregation by term; the join back to (doc, term) rows is
-    planned by AQE (broadcast when the vocabulary is small, skew-split otherwise)."""
-    t = tokens(df, id_col, text_col).filter(F.length("token") >= MIN_TOPIC_CHARS)
-    tf = t.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    Term counts are pre-aggregated per task. The document frequencies (one row per term) are joined
+    back to the (document, term) rows; a term that most documents share is split by the skew join."""
+    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_SPLIT)
+    tf = df.select(id_col, F.explode(words).alias("token")).filter(F.col("token") != "").groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.select(id_col).distinct().select(F.count(F.lit(1))).scalar()  # scalar subquery
     dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
     s = tf.join(dfreq, "token").withColumn("score", F.round(F.col("tf") * F.log(n_docs / F.col("dfreq")), 9))
     top = top_k_by(s, [id_col], [F.desc("score"), F.asc("token")], k, "rank")
-    return top.groupBy(id_col).agg(
+    top = top.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("topics")
     )
+    return df.select(id_col).join(top, id_col, "left").select(id_col, F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
 
 
 def native_summary(text, n: int = SUMMARY_CHARS):
@@ -78,25 +68,23 @@ def native_summary(text, n: int = SUMMARY_CHARS):
     return F.substring(F.when(lead != "", lead).otherwise(c), 1, n)
 
 
-def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", features: int = 1 << 18):
-    """M9: hashed term counts + logistic regression, fitted on labelled texts."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
+def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """M9: naive Bayes over the distinct words of a document, in closed form from two grouped counts:
+    ``token, weight`` (log odds of the word in a toxic and in a clean document, add-one)."""
+    d = labelled.select(id_col, F.col(label_col).cast("int").alias("y"), F.explode(_distinct_words(text_col)).alias("token"))
+    n1, n0 = labelled.agg(F.count_if(F.col(label_col) == 1), F.count_if(F.col(label_col) == 0)).first()
+    w = d.groupBy("token").agg(F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"))
+    return w.select("token", (F.log((F.col("c1") + 1) / F.lit(n1 + 2)) - F.log((F.col("c0") + 1) / F.lit(n0 + 2))).alias("weight"))
 
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_SPLIT, toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features),
-        LogisticRegression(featuresCol="_tf", labelCol="_label", maxIter=50, regParam=0.01),
-    ])
-    data = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col), F.col(label_col).cast("double").alias("_label"))
-    return pipe.fit(data)
 
+def _distinct_words(text_col: str):
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_SPLIT)), "")
 
-def native_toxicity(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """M9: probability of the toxic class in [0, 1]."""
-    from pyspark.ml.functions import vector_to_array
 
-    x = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    p = model.transform(x)
-    return p.select(id_col, vector_to_array("probability")[1].alias("toxicity"))
+def native_toxicity(df: DataFrame, model: DataFrame, prior: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """M9: score in (0, 1) of the toxic class: logistic of the mean log odds of the document's known
+    words (the mean keeps long texts comparable); 0.5 without any."""
+    x = df.select(id_col, F.explode(_distinct_words(text_col)).alias("token")).join(model, "token")
+    x = x.groupBy(id_col).agg(F.avg("weight").alias("m"))
+    m = F.coalesce(F.col("m"), F.lit(0.0)) + F.lit(prior)
+    return df.select(id_col).join(x, id_col, "left").select(id_col, F.round(1 / (1 + F.exp(-m)), 6).alias("toxicity"))

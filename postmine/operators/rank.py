@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx as J
 from ..functions.text import collapse_ws, ellipsis_if_longer
 from .batching import top_k_by
-from .idea_store import MAX_IDEAS_TO_RANK, payload_ideas
+from .idea_store import payload_ideas
 
 # Report layout.
 REPORT_HEADER = "--- Product Ideas (LLM-ranked) ---"
@@ -80,14 +80,14 @@ def rank_ok(replies: DataFrame, reply_col: str = "reply", keys=("page_url", "bat
     return r.select(*keys, F.coalesce(ok, F.lit(False)).alias("rank_ok"))
 
 
-def rank_fallback(store: DataFrame, replies: DataFrame, reply_col: str = "reply", cap: int = MAX_IDEAS_TO_RANK) -> DataFrame:
-    """For batches whose ranking failed (no reply, unparsable, no ``ranked``), list the payload
+def rank_fallback(store: DataFrame, replies: DataFrame, reply_col: str = "reply", keys=("page_url", "batch_id")) -> DataFrame:
+    """For batches whose ranking failed (no reply, unparsable, no ``ranked``), list all payload
     ideas as headlines in first-seen order (``rank_source='fallback'``)."""
-    keys = ["page_url", "batch_id"]
-    good = rank_ok(replies, reply_col).filter("rank_ok").select(*keys)
-    first = payload_ideas(store, cap)
+    keys = list(keys)
+    good = rank_ok(replies, reply_col, keys).filter("rank_ok").select(*keys)
+    first = payload_ideas(store)
     return first.join(good, keys, "left_anti").select(
-        *keys, F.col("payload_pos").alias("pos"), "idea", F.lit("fallback").alias("rank_source")
+        "page_url", "batch_id", F.col("payload_pos").alias("pos"), "idea", F.lit("fallback").alias("rank_source")
     )
 
 
@@ -99,14 +99,13 @@ def all_batches(planned: DataFrame, store: DataFrame) -> DataFrame:
     return b.join(n, keys, "left").select(*keys, "n_posts", F.coalesce("n_ideas", F.lit(0)).cast("bigint").alias("n_ideas"))
 
 
-def rank_native(store: DataFrame, cap: int = MAX_IDEAS_TO_RANK) -> DataFrame:
-    """W5 [ours]: rank the ideas a ranking request would carry (first ``cap`` of each batch) by
-    signals: count desc, sentiment sum desc, number of topics desc, first seen. Bounded per batch."""
-    first = payload_ideas(store, cap)
+def rank_native(store: DataFrame) -> DataFrame:
+    """W5 [ours]: rank every idea of a batch by signals: count desc, sentiment sum desc, number of topics
+    desc, first seen. The window sorts the store's rows (one per idea), not the events."""
     w = Window.partitionBy("page_url", "batch_id").orderBy(
         F.desc("cnt"), F.desc("sentiment_sum"), F.desc("n_topics"), F.asc("first_seq"), F.asc("first_pos")
     )
-    return first.withColumn("rank", F.row_number().over(w))
+    return store.withColumn("rank", F.row_number().over(w))
 
 
 def attach_signals(ranked: DataFrame, store: DataFrame) -> DataFrame:

@@ -114,10 +114,15 @@ def rank_prompt(payload_json) -> Column:
     return F.concat(F.lit(RANK_USER_HEAD), _c(payload_json), F.lit(RANK_USER_TAIL))
 
 
-def build_requests(df: DataFrame, task: str, key_cols, prompt: Column, system: str | None = None) -> DataFrame:
-    """Rows ``(key, task, system, prompt)``; ``key`` is a stable hash of the key columns and task, so
-    a re-run can anti-join the replies already stored (idempotent calls)."""
-    key = F.sha2(F.concat_ws("\u0001", F.lit(task), *[F.col(c).cast("string") for c in key_cols]), 256)
+def request_key(task: str, key_cols) -> Column:
+    """Stable hash of task and key columns."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(task), *[F.col(c).cast("string") for c in key_cols]), 256)
+
+
+def build_requests(df: DataFrame, task: str, key_cols, prompt: Column, system: str | None = None, carry=None) -> DataFrame:
+    """Rows ``(key, task, system, prompt)`` with the key columns (or all of ``carry``); ``key`` is a
+    stable hash, so a re-run can anti-join the replies already stored (idempotent calls)."""
+    key = request_key(task, key_cols)
     return df.select(
-        *key_cols, key.alias("key"), F.lit(task).alias("task"), F.lit(system).cast("string").alias("system"), prompt.alias("prompt")
+        *(carry or key_cols), key.alias("key"), F.lit(task).alias("task"), F.lit(system).cast("string").alias("system"), prompt.alias("prompt")
     )

@@ -10,7 +10,7 @@ nothing about model quality.
 
 from __future__ import annotations
 
-SNIP = "translate(substring(d.text, 1, 60), '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
+SNIP = "translate(d.text, '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
 
 _SENT = (
     "CASE d.doc_id % 5 WHEN 0 THEN 'Positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' "
@@ -104,8 +104,8 @@ def sql(template: str, names: dict[str, str]) -> str:
         out = out.replace(f"@{k}@", v)
     return out
 
-_S1 = "translate(substring(d.text, 1, 40), '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
-_S2 = "translate(substring(d.text, 41, 40), '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
+_S1 = "translate(d.text, '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
+_S2 = "'Reply to: ' || " + _S1
 
 # post-extraction replies (chunk and candidate extractors), shape by doc_id % 6
 POSTS_REPLY = """
@@ -132,7 +132,7 @@ SELECT d.doc_id AS seq,
   CASE d.doc_id % 7 WHEN 1 THEN 'ETIMEDOUT' WHEN 4 THEN 'ECONNRESET' ELSE NULL END AS code
 FROM @documents@ d"""
 
-_E = "translate(substring(d.text, 1, 30), '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
+_E = "translate(d.text, '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
 # service reply envelopes (chat and responses forms), shape by doc_id % 7
 ENVELOPE = """
 CASE d.doc_id % 7
@@ -148,3 +148,8 @@ ENVELOPES = (
     f"SELECT d.doc_id AS seq, {ENVELOPE} AS envelope FROM "
     f"(SELECT d.doc_id, {_E} AS s FROM @documents@ d) d"
 )
+
+# Stored model replies of M1-M5: which requests failed (with an error) or were never answered, by a
+# number of the request. Inputs: any relation with ``n``.
+FAILED = "{n} % 11 = 5"
+MISSING = "{n} % 13 = 7"

@@ -131,11 +131,11 @@ tev AS (SELECT page_url, batch_id, idea, seq, idea_pos, unnest(topics) AS topic,
 tfirst AS (SELECT page_url, batch_id, idea, topic, min(seq * 1000 + idea_pos * 10 + tp) AS o FROM tev GROUP BY ALL),
 tr AS (SELECT *, row_number() OVER (PARTITION BY page_url, batch_id, idea ORDER BY o) AS rk,
               count(*) OVER (PARTITION BY page_url, batch_id, idea) AS n FROM tfirst),
-ta AS (SELECT page_url, batch_id, idea, max(n) AS n_topics, string_agg(topic, {SEP} ORDER BY o) AS topics FROM tr WHERE rk <= 100 GROUP BY ALL),
+ta AS (SELECT page_url, batch_id, idea, max(n) AS n_topics, string_agg(topic, {SEP} ORDER BY o) AS topics FROM tr GROUP BY ALL),
 rfirst AS (SELECT page_url, batch_id, idea, reason, min(seq * 10 + idea_pos) AS o FROM ev WHERE reason IS NOT NULL GROUP BY ALL),
 rr AS (SELECT *, row_number() OVER (PARTITION BY page_url, batch_id, idea ORDER BY o) AS rk,
               count(*) OVER (PARTITION BY page_url, batch_id, idea) AS n FROM rfirst),
-ra AS (SELECT page_url, batch_id, idea, max(n) AS n_reasons, string_agg(reason, {SEP} ORDER BY o) AS reasons FROM rr WHERE rk <= 100 GROUP BY ALL),
+ra AS (SELECT page_url, batch_id, idea, max(n) AS n_reasons, string_agg(reason, {SEP} ORDER BY o) AS reasons FROM rr GROUP BY ALL),
 store AS (SELECT b.page_url, b.batch_id, b.idea, b.fk // 10 AS first_seq, b.fk % 10 AS first_pos, b.cnt, b.sentiment_sum,
             coalesce(exa.examples, '') AS examples, coalesce(ta.n_topics, 0) AS n_topics, coalesce(ta.topics, '') AS topics,
             coalesce(ra.n_reasons, 0) AS n_reasons, coalesce(ra.reasons, '') AS reasons
@@ -170,7 +170,7 @@ SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, CAST(first_seq AS B
 FROM store"""
 
 Q["batch_plan"] = f"""WITH {planned_ctes(duck(FX.POSTS), 'd_')},
-{planned_ctes("SELECT 'conv' || CAST(conv_id AS VARCHAR) AS page_url, conv_id * 1000 + turn AS seq, text AS post FROM conversations WHERE role = 'user'", 'c_')}
+{planned_ctes("SELECT 'conv' || CAST(conv_id AS VARCHAR) AS page_url, turn AS seq, text AS post FROM conversations WHERE role = 'user'", 'c_')}
 SELECT 'documents' AS src, page_url, seq, CAST(batch_id AS BIGINT) AS batch_id FROM d_planned
 UNION ALL
 SELECT 'conversations' AS src, page_url, seq, CAST(batch_id AS BIGINT) AS batch_id FROM c_planned"""
@@ -178,8 +178,10 @@ SELECT 'conversations' AS src, page_url, seq, CAST(batch_id AS BIGINT) AS batch_
 _LINES = "SELECT source AS page_url, doc_id, unnest(string_split(text, chr(10))) AS post, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents"
 
 Q["post_distinct"] = f"""WITH l AS ({_LINES}),
-t AS (SELECT page_url, doc_id * 100000 + line_no AS seq, {trim('post')} AS post FROM l)
-SELECT page_url, post, min(seq) AS seq, count(*) AS n_copies FROM t WHERE post <> '' GROUP BY page_url, post"""
+t AS (SELECT page_url, doc_id, line_no, {trim('post')} AS post FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_url, post ORDER BY doc_id, line_no) AS rk,
+             count(*) OVER (PARTITION BY page_url, post) AS n_copies FROM t WHERE post <> '')
+SELECT page_url, post, doc_id, CAST(line_no AS BIGINT) AS line_no, n_copies FROM r WHERE rk = 1"""
 
 Q["new_posts"] = f"""WITH l AS ({_LINES}),
 t AS (SELECT page_url, doc_id, {trim('post')} AS post FROM l),
@@ -218,14 +220,13 @@ FROM c"""
 Q["pack_batches"] = """WITH RECURSIVE c AS (
   SELECT source AS page_url, doc_id AS pos, length(text) AS len,
          row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents),
-c80 AS (SELECT * FROM c WHERE rk <= 80),
 walk AS (
-  SELECT page_url, pos, len, rk, 0 AS b, len AS sz FROM c80 WHERE rk = 1
+  SELECT page_url, pos, len, rk, 0 AS b, len AS sz FROM c WHERE rk = 1
   UNION ALL
   SELECT n.page_url, n.pos, n.len, n.rk,
          CASE WHEN w.sz + n.len > 10000 THEN w.b + 1 ELSE w.b END,
          CASE WHEN w.sz + n.len > 10000 THEN n.len ELSE w.sz + n.len END
-  FROM walk w JOIN c80 n ON n.page_url = w.page_url AND n.rk = w.rk + 1)
+  FROM walk w JOIN c n ON n.page_url = w.page_url AND n.rk = w.rk + 1)
 SELECT page_url, pos, CAST(b AS BIGINT) AS cand_batch,
        CAST(row_number() OVER (PARTITION BY page_url, b ORDER BY pos) AS BIGINT) AS batch_pos
 FROM walk"""
@@ -314,10 +315,14 @@ SELECT idea,
   TRY_CAST(NULLIF(replace(regexp_extract(coalesce(parts[3], ''), '\\$\\s*([0-9][0-9,]*(\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS price_usd
 FROM h"""
 
-Q["rank_payload"] = CHAIN + f"""
-SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n_ideas, CAST(sum(cnt) AS BIGINT) AS total_count,
-       string_agg(idea, {SEP} ORDER BY payload_pos) AS ideas
-FROM payload WHERE payload_pos <= 30 GROUP BY ALL"""
+_LIST = "CASE WHEN {c} = '' THEN []::VARCHAR[] ELSE string_split({c}, chr(31)) END"
+Q["rank_payload"] = CHAIN + f""",
+pj AS (SELECT *, (payload_pos - 1) // 30 AS payload_no,
+         to_json({{'idea': idea, 'count': cnt, 'sentimentSum': sentiment_sum, 'topics': {_LIST.format(c='topics')},
+                  'examples': {_LIST.format(c='examples')}, 'reasons': {_LIST.format(c='reasons')}}})::VARCHAR AS body FROM payload)
+SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, CAST(payload_no AS BIGINT) AS payload_no, count(*) AS n_ideas,
+       CAST(sum(cnt) AS BIGINT) AS total_count, '{{"ideas":[' || string_agg(body, ',' ORDER BY payload_pos) || ']}}' AS payload
+FROM pj GROUP BY page_url, batch_id, payload_no"""
 
 Q["ranked_rows"] = CHAIN + "," + RANK_CTES + f"""
 SELECT r.page_url, CAST(r.batch_id AS BIGINT) AS batch_id, CAST(r.pos AS BIGINT) AS pos, json_extract_string(r.item, '$.idea') AS idea,
@@ -332,7 +337,7 @@ FROM rrows r LEFT JOIN store s ON s.page_url = r.page_url AND s.batch_id = r.bat
 Q["rank_fallback"] = CHAIN + "," + RANK_CTES + """,
 good AS (SELECT page_url, batch_id FROM rx WHERE arr IS NOT NULL AND len(arr) > 0),
 fb AS (SELECT p.page_url, p.batch_id, p.payload_pos AS pos, p.idea FROM payload p
-       WHERE p.payload_pos <= 30 AND NOT EXISTS (SELECT 1 FROM good g WHERE g.page_url = p.page_url AND g.batch_id = p.batch_id)),
+       WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.page_url = p.page_url AND g.batch_id = p.batch_id)),
 bc AS (SELECT page_url, batch_id, count(*) AS n_posts FROM planned GROUP BY ALL),
 ic AS (SELECT page_url, batch_id, count(*) AS n_ideas FROM store GROUP BY ALL),
 counts AS (SELECT bc.page_url, bc.batch_id, bc.n_posts, coalesce(ic.n_ideas, 0) AS n_ideas FROM bc LEFT JOIN ic USING (page_url, batch_id))
@@ -341,7 +346,7 @@ SELECT c.page_url, CAST(c.batch_id AS BIGINT) AS batch_id, c.n_posts, CAST(c.n_i
 FROM counts c LEFT JOIN fb ON fb.page_url = c.page_url AND fb.batch_id = c.batch_id"""
 
 Q["rank_native"] = CHAIN + """,
-f AS (SELECT * FROM payload WHERE payload_pos <= 30)
+f AS (SELECT * FROM payload)
 SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id,
   CAST(row_number() OVER (PARTITION BY page_url, batch_id ORDER BY cnt DESC, sentiment_sum DESC, n_topics DESC, first_seq, first_pos) AS BIGINT) AS rank,
   idea, cnt, sentiment_sum, CAST(n_topics AS BIGINT) AS n_topics
@@ -404,23 +409,67 @@ FROM e"""
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
 
-_KEYED = f"""WITH p AS ({duck(FX.POSTS)}),
-k AS (SELECT page_url, seq, post, sha256('analyze' || chr(1) || page_url || chr(1) || CAST(seq AS VARCHAR)) AS key
-      FROM p WHERE post IS NOT NULL AND post <> ''),
-kk AS (SELECT *, CAST(('0x' || substring(key, 1, 2)) AS INTEGER) % 16 AS kind FROM k)"""
+def _failed(n: str) -> str:
+    return FX.FAILED.format(n=n)
 
-Q["enrich_stub"] = _KEYED + """
-SELECT seq, key, CASE WHEN kind IN (1, 2) THEN 'failed' ELSE 'ok' END AS status,
-  CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 1 END AS BIGINT) AS attempts,
-  CASE kind WHEN 1 THEN 'Request timed out' WHEN 2 THEN 'LLM request failed: 400 Bad Request - invalid' END AS error
-FROM kk"""
 
-Q["analyze_stub"] = _KEYED + f"""
-SELECT seq, 'parsed' AS status, substring({trim(collapse('post'))}, 1, 80) AS summary_text, 'neutral' AS sentiment,
-       CAST(0 AS BIGINT) AS n_topics
-FROM kk WHERE kind NOT IN (1, 2)"""
+def _missing(n: str) -> str:
+    return FX.MISSING.format(n=n)
 
-_LEX = "(VALUES ('awful', -1), ('bad', -1), ('best', 1), ('bien', 1), ('bon', 1), ('broken', -1), ('bueno', 1), ('excellent', 1), ('feliz', 1), ('good', 1), ('great', 1), ('gut', 1), ('happy', 1), ('hate', -1), ('helpful', 1), ('love', 1), ('malo', -1), ('mauvais', -1), ('nicht', -1), ('no', -1), ('problem', -1), ('schlecht', -1), ('schön', 1), ('terrible', -1), ('the', 0), ('triste', -1), ('worst', -1)) AS lex(word, polarity)"
+
+Q["analyze_replies"] = f"""WITH {INSIGHT_CTES}
+SELECT seq, status, CASE WHEN status = 'raw' THEN {trim('summary_text')} ELSE summary_text END AS summary_text, sentiment,
+       CAST(len(topics) AS BIGINT) AS n_topics
+FROM ins2 WHERE NOT ({_failed('seq')}) AND NOT ({_missing('seq')})"""
+
+Q["dead_letters"] = f"""WITH p AS ({duck(FX.POSTS)})
+SELECT seq, CASE WHEN {_missing('seq')} THEN 'missing' ELSE 'failed' END AS status,
+       CASE WHEN NOT ({_missing('seq')}) THEN 'Request timed out' END AS error,
+       CASE WHEN NOT ({_missing('seq')}) THEN 'ETIMEDOUT' END AS error_code
+FROM p WHERE post IS NOT NULL AND post <> '' AND (({_failed('seq')}) OR ({_missing('seq')}))"""
+
+_SOME_IDEAS = IDEA_CTES.replace(f"FROM ({duck(FX.IDEA_REPLIES)})",
+    f"FROM (SELECT page_url, seq, CASE WHEN ({_failed('seq')}) OR ({_missing('seq')}) THEN NULL ELSE reply END AS reply FROM ({duck(FX.IDEA_REPLIES)}))")
+Q["ideate_replies"] = f"""WITH {INSIGHT_CTES},
+{_SOME_IDEAS},
+x AS (SELECT i.seq, {ideas_expr('i.summary_text')} AS ideas FROM ins2 i JOIN ip2 ON ip2.page_url = i.page_url AND ip2.seq = i.seq WHERE i.ok)
+SELECT seq, CAST(len(ideas) AS BIGINT) AS n_ideas, array_to_string(ideas, {SEP}) AS ideas FROM x"""
+
+_RANK_MANY = (RANK_CTES.replace("""b AS (SELECT page_url, batch_id, max(CASE WHEN payload_pos = 1 THEN idea END) AS i1,
+         coalesce(max(CASE WHEN payload_pos = 2 THEN idea END), max(CASE WHEN payload_pos = 1 THEN idea END)) AS i2
+      FROM payload WHERE payload_pos <= 2 GROUP BY page_url, batch_id)""", """b AS (SELECT page_url, batch_id, (payload_pos - 1) // 30 AS payload_no, max(CASE WHEN (payload_pos - 1) % 30 = 0 THEN idea END) AS i1,
+         coalesce(max(CASE WHEN (payload_pos - 1) % 30 = 1 THEN idea END), max(CASE WHEN (payload_pos - 1) % 30 = 0 THEN idea END)) AS i2
+      FROM payload GROUP BY ALL)""")
+    .replace("rep AS (SELECT b.page_url, b.batch_id,", "rep AS (SELECT b.page_url, b.batch_id, b.payload_no,")
+    .replace("SELECT page_url, batch_id, reply, {", "SELECT page_url, batch_id, payload_no, reply, {"))
+for _c in ("rw AS (SELECT page_url, batch_id,", "rp AS (SELECT page_url, batch_id,", "rx AS (SELECT page_url, batch_id,", "rrows AS (SELECT page_url, batch_id,"):
+    _RANK_MANY = _RANK_MANY.replace(_c, _c + " payload_no,")
+_RN = "(batch_id + payload_no + length(page_url))"
+_RANK_MANY = _RANK_MANY.replace("rw AS (SELECT page_url, batch_id, payload_no, reply,",
+    f"rw AS (SELECT page_url, batch_id, payload_no, CASE WHEN ({_failed(_RN)}) OR ({_missing(_RN)}) THEN NULL ELSE reply END AS reply,")
+_RANK_MANY = _RANK_MANY.replace("FROM rep),", f"FROM rep WHERE NOT ({_failed(_RN)}) AND NOT ({_missing(_RN)})),")
+Q["rank_replies"] = CHAIN + "," + _RANK_MANY + """,
+good AS (SELECT DISTINCT page_url, batch_id, payload_no FROM rx WHERE arr IS NOT NULL AND len(arr) > 0)
+SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, CAST(pos AS BIGINT) AS pos, json_extract_string(item, '$.idea') AS idea, 'model' AS rank_source FROM rrows
+UNION ALL
+SELECT p.page_url, CAST(p.batch_id AS BIGINT), CAST(p.payload_pos AS BIGINT), p.idea, 'fallback' FROM payload p
+ANTI JOIN good g ON g.page_url = p.page_url AND g.batch_id = p.batch_id AND g.payload_no = (p.payload_pos - 1) // 30"""
+
+Q["extract_cand_replies"] = Q["pack_batches"].rsplit("SELECT page_url, pos,", 1)[0] + f""",
+k AS (SELECT w.page_url, {trim('d.text')} AS post FROM walk w JOIN documents d ON d.doc_id = w.pos
+      WHERE NOT ({_failed('w.b')}) AND NOT ({_missing('w.b')}))
+SELECT DISTINCT page_url, CAST(length(post) AS BIGINT) AS n_chars, md5(post) AS post_md5 FROM k WHERE post <> ''"""
+
+Q["extract_text_replies"] = f"""WITH c AS (SELECT 'doc' || CAST(doc_id AS VARCHAR) AS page_url, chunk_no, substring(t, start + 1, 12000) AS chunk FROM ({_chunks(12000, 300)}) WHERE {trim('t')} <> ''),
+l AS (SELECT page_url, chunk_no, list_filter(list_transform(string_split(chunk, chr(10)), lambda x: {trim('x')}), lambda x: x <> '') AS lines FROM c
+      WHERE NOT ({_failed('(chunk_no + length(page_url))')}) AND NOT ({_missing('(chunk_no + length(page_url))')})),
+p AS (SELECT page_url, chunk_no, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS post FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_url, post ORDER BY chunk_no, line) AS rk FROM p)
+SELECT page_url, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(line AS BIGINT) AS line, md5(post) AS post_md5 FROM r WHERE rk = 1"""
+
+_LEX = ("(VALUES ('awful', -1), ('bad', -1), ('best', 1), ('bien', 1), ('bon', 1), ('broken', -1), ('bueno', 1), ('excellent', 1), "
+        "('feliz', 1), ('good', 1), ('great', 1), ('gut', 1), ('happy', 1), ('hate', -1), ('helpful', 1), ('love', 1), ('malo', -1), "
+        "('mauvais', -1), ('problem', -1), ('schlecht', -1), ('schön', 1), ('terrible', -1), ('triste', -1), ('worst', -1)) AS lex(word, polarity)")
 _TOK = "SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}]+')) AS token FROM documents"
 
 Q["sentiment_lexicon"] = f"""WITH t AS ({_TOK}),
@@ -430,13 +479,14 @@ SELECT d.doc_id, coalesce(h.score, 0) AS score, CAST(coalesce(h.n_hits, 0) AS BI
 FROM documents d LEFT JOIN h USING (doc_id)"""
 
 Q["topics_tfidf"] = f"""WITH t AS ({_TOK}),
-t4 AS (SELECT * FROM t WHERE token <> '' AND length(token) >= 4),
+t4 AS (SELECT * FROM t WHERE token <> ''),
 tf AS (SELECT doc_id, token, count(*) AS tf FROM t4 GROUP BY ALL),
 n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM documents),
 dfq AS (SELECT token, count(*) AS dfreq FROM tf GROUP BY token),
 s AS (SELECT tf.doc_id, tf.token, round(tf.tf * ln(n.n_docs / dfq.dfreq), 9) AS score FROM tf JOIN dfq USING (token), n),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rk FROM s)
-SELECT doc_id, string_agg(token, {SEP} ORDER BY rk) AS topics FROM r WHERE rk <= 5 GROUP BY doc_id"""
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token) AS rk FROM s),
+a AS (SELECT doc_id, string_agg(token, {SEP} ORDER BY rk) AS topics FROM r WHERE rk <= 5 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.topics, '') AS topics FROM documents d LEFT JOIN a USING (doc_id)"""
 
 _C = trim(collapse("coalesce(text, '')"))
 Q["summary_lead"] = f"""WITH c AS (SELECT doc_id, {_C} AS c FROM documents),
@@ -484,3 +534,20 @@ Q["idea_reason_sets"] = CHAIN + """
 SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, reason, CAST(o // 10 AS BIGINT) AS first_seq,
        CAST(o % 10 AS BIGINT) AS first_pos
 FROM rfirst"""
+
+Q["toxicity_lr"] = f"""WITH t AS (SELECT DISTINCT doc_id, token FROM ({_TOK}) WHERE token <> ''),
+l AS (SELECT doc_id, toxic FROM labels WHERE toxic IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents)),
+n AS (SELECT count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic = 0) AS n0 FROM l),
+w AS (SELECT token, ln((count(*) FILTER (toxic = 1) + 1) / (max(n1) + 2)) - ln((count(*) FILTER (toxic = 0) + 1) / (max(n0) + 2)) AS weight
+      FROM t JOIN l USING (doc_id), n GROUP BY token),
+m AS (SELECT doc_id, avg(weight) AS m FROM t JOIN w USING (token) GROUP BY doc_id)
+SELECT d.doc_id, round(1 / (1 + exp(-coalesce(m.m, 0))), 6) AS toxicity FROM documents d LEFT JOIN m USING (doc_id)"""
+
+# every test page has one article: the only element that a scan selector matches
+_STRIP = "regexp_replace(regexp_replace(regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')"
+_PLAIN = _STRIP
+for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_e}', '{_c}')"
+Q["page_selector_scan"] = f"""WITH a AS (SELECT DISTINCT url AS page_url, {trim(_PLAIN)} AS post FROM pages
+  WHERE NOT regexp_matches(url, 'login|signup|consent|native_app|app='))
+SELECT page_url, CAST(1 AS BIGINT) AS pos, CAST(length(post) AS BIGINT) AS n_chars, md5(post) AS post_md5 FROM a WHERE post <> ''"""

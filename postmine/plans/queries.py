@@ -100,7 +100,7 @@ def q_batch_plan(spark, sf):
     )
     conv = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("page_url"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        F.col("turn").alias("seq"),  # a page is one conversation
         F.col("text").alias("post"),
     )
     conv = B.plan_batches(U.distinct_posts(conv).drop("n_copies")).select(
@@ -113,8 +113,8 @@ def q_post_distinct(spark, sf):
     """U1 + F4: first occurrence per page of each trimmed line of the documents."""
     lines = table(spark, sf, "documents").select(
         F.col("source").alias("page_url"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "post")
-    ).select("page_url", (F.col("doc_id") * 100000 + F.col("line_no")).alias("seq"), "post")
-    return U.distinct_posts(lines)
+    ).select("page_url", F.struct("doc_id", F.col("line_no").cast("bigint").alias("line_no")).alias("seq"), "post")
+    return U.distinct_posts(lines).select("page_url", "post", "seq.doc_id", "seq.line_no", "n_copies")
 
 
 def _doc_lines(spark, sf):
@@ -153,7 +153,7 @@ def q_chunk_text(spark, sf):
 
 
 def q_pack_batches(spark, sf):
-    """B2 + B3: the first 80 documents of each source packed into <=10000-char request batches."""
+    """B2: all documents of each source packed into <=10000-char request batches."""
     cands = table(spark, sf, "documents").select(
         F.col("source").alias("page_url"), F.col("doc_id").alias("pos"), F.col("text").alias("block")
     )
@@ -297,7 +297,7 @@ def q_idea_fields(spark, sf):
 def rank_replies(spark, sf, st: DataFrame | None = None) -> DataFrame:
     """Recorded ranking replies: one per batch with ideas, built from its first two payload ideas."""
     st = st if st is not None else store(spark, sf)
-    first = S.payload_ideas(st, 2)
+    first = S.first_ideas(st, 2)
     b = first.groupBy("page_url", "batch_id").agg(
         F.max(F.when(F.col("payload_pos") == 1, F.col("idea"))).alias("i1"),
         F.coalesce(F.max(F.when(F.col("payload_pos") == 2, F.col("idea"))), F.max(F.when(F.col("payload_pos") == 1, F.col("idea")))).alias("i2"),
@@ -308,14 +308,9 @@ def rank_replies(spark, sf, st: DataFrame | None = None) -> DataFrame:
 
 
 def q_rank_payload(spark, sf):
-    """A8 + B3: first 30 ideas per batch (scalar view of the payload)."""
-    st = store(spark, sf)
-    first = S.payload_ideas(st)
-    return first.groupBy("page_url", F.col("batch_id").cast("bigint").alias("batch_id")).agg(
-        F.count(F.lit(1)).alias("n_ideas"),
-        F.sum("cnt").cast("bigint").alias("total_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("payload_pos", "idea"))), lambda s: s["idea"]), SEP).alias("ideas"),
-    )
+    """A8 + B3: the JSON payloads of every batch, 30 ideas each."""
+    p = S.rank_payload(store(spark, sf))
+    return p.select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "payload_no", "n_ideas", "total_count", "payload")
 
 
 def q_ranked_rows(spark, sf):
@@ -343,7 +338,7 @@ def q_rank_fallback(spark, sf):
 
 
 def q_rank_native(spark, sf):
-    """W5 [ours]: signal ranking of the first 30 ideas of each batch."""
+    """W5 [ours]: signal ranking of all ideas of each batch."""
     r = R.rank_native(store(spark, sf))
     return r.select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("rank").cast("bigint").alias("rank"),
                     "idea", "cnt", "sentiment_sum", "n_topics")
@@ -392,60 +387,90 @@ def q_retryable_errors(spark, sf):
 
 
 # ----------------------------------------------------------------------------------------------
-# model-backed operators on the offline stand-in client (labelled: not model output)
+# model-backed operators M1-M5 on stored replies (derived from whole texts; labelled: not model output)
 # ----------------------------------------------------------------------------------------------
-from ..operators.offline_client import no_sleep as _no_sleep  # noqa: E402
-from ..operators.offline_client import offline_client as _offline_client  # noqa: E402
-from ..operators.offline_client import scripted_client as _scripted_client  # noqa: E402
+from ..operators import model_tasks as M  # noqa: E402
+from ..operators.requests import request_key  # noqa: E402
 
 
-def _stub_analysis(spark, sf):
-    from ..operators.enrich import enrich
-    from ..operators.requests import analysis_prompt, build_requests
+def stored_replies(answers: DataFrame, task: str, key_cols: list[str], n: str) -> DataFrame:
+    """A stored reply table for ``answers`` (key columns, ``reply``): some requests failed, some were
+    never answered, chosen by the number ``n`` of the request."""
+    failed = F.expr(FX.FAILED.format(n=n))
+    x = answers.filter(~F.expr(FX.MISSING.format(n=n)))
+    return x.select(
+        request_key(task, key_cols).alias("key"), F.lit(task).alias("task"), F.when(~failed, F.col("reply")).alias("reply"),
+        F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, "Request timed out").alias("error"),
+        F.lit(None).cast("int").alias("error_status"), F.when(failed, "ETIMEDOUT").alias("error_code"), F.lit(1).alias("attempts"),
+    )
 
-    posts = fixture(spark, sf, FX.POSTS).filter(F.col("post").isNotNull() & (F.col("post") != ""))
-    req = build_requests(posts, "analyze", ["page_url", "seq"], analysis_prompt("post"))
-    return req, enrich(req, _scripted_client, sleep=_no_sleep)
 
+def _analysis(spark, sf):
+    req = M.analyze_requests(fixture(spark, sf, FX.POSTS))
+    return req, stored_replies(fixture(spark, sf, FX.ANALYSIS_REPLIES), "analyze", ["page_url", "seq"], "seq")
 
-def q_enrich_stub(spark, sf):
-    """S7 + S8 + S9 + F8: analysis calls through scripted failures (429 once, timeouts, fatal 400)."""
-    req, rep = _stub_analysis(spark, sf)
-    return req.select("seq", "key").join(rep, "key").select(
-        "seq", "key", "status", F.col("attempts").cast("bigint").alias("attempts"), "error"
-    )
 
+def q_analyze_replies(spark, sf):
+    """M1 + J4: insights of the answered analysis requests (trimmed, empty replies kept)."""
+    ins = M.analyze_results(*_analysis(spark, sf))
+    return ins.select("seq", F.col("ins.status").alias("status"), F.col("ins.summary_text").alias("summary_text"),
+                      F.col("ins.sentiment").alias("sentiment"), F.size("ins.topics").cast("bigint").alias("n_topics"))
 
-def q_analyze_stub(spark, sf):
-    """M1 on the offline client: parsed insights of the successful calls."""
-    from ..operators.model_tasks import analyze_posts
 
-    posts = fixture(spark, sf, FX.POSTS)
-    ins, _dead = analyze_posts(posts, _scripted_client, sleep=_no_sleep)
-    return ins.select(
-        "seq", F.col("ins.status").alias("status"), F.col("ins.summary_text").alias("summary_text"),
-        F.col("ins.sentiment").alias("sentiment"), F.size("ins.topics").cast("bigint").alias("n_topics"),
-    )
+def q_dead_letters(spark, sf):
+    """S9 + J4: analysis requests that failed or were never answered."""
+    return M.dead_letters(*_analysis(spark, sf)).select("seq", "status", "error", "error_code")
 
 
-def q_ideate_stub(spark, sf):
-    """M4 on the offline client (rows only): ideas from analysed documents."""
-    from ..operators.model_tasks import analyze_posts, generate_ideas
+def q_ideate_replies(spark, sf):
+    """M4: ideas of the posts with a truthy insight; the fallback idea where the call failed."""
+    ins = materialize(insights(spark, sf).filter("ins.ok"))  # one parsed insight a post, read by several expressions
+    req = M.idea_requests(ins.join(fixture(spark, sf, FX.POSTS), ["page_url", "seq"]))
+    rep = stored_replies(fixture(spark, sf, FX.IDEA_REPLIES), "ideate", ["page_url", "seq"], "seq")
+    return M.idea_results(req, rep).select("seq", F.size("ideas").cast("bigint").alias("n_ideas"), _j("ideas").alias("ideas"))
+
+
+def _rank_answers(spark, sf):
+    st = store(spark, sf, reuse=True)
+    p = S.payload_ideas(st).withColumn("_at", (F.col("payload_pos") - 1) % S.IDEAS_PER_REQUEST)
+    at = lambda k: F.max(F.when(F.col("_at") == k, F.col("idea")))
+    b = p.groupBy(*M.RANK_KEYS).agg(at(0).alias("i1"), F.coalesce(at(1), at(0)).alias("i2"))
+    b = b.select(*M.RANK_KEYS, F.expr(FX.RANK_ITEM_1.replace("b.", "")).alias("it1"), F.expr(FX.RANK_ITEM_2.replace("b.", "")).alias("it2"))
+    b = b.select(*M.RANK_KEYS, F.expr(FX.RANK_REPLY.replace("b.", "")).alias("reply"))
+    return st, stored_replies(b, "rank", M.RANK_KEYS, "(batch_id + payload_no + length(page_url))")
+
+
+def q_rank_replies(spark, sf):
+    """M5: ranked rows and fallback headlines of every payload."""
+    st, rep = _rank_answers(spark, sf)
+    ranked, fallback = M.rank_results(st, M.rank_requests(st), rep)
+    cols = ["page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("bigint").alias("pos"), "idea"]
+    return ranked.select(*cols, F.lit("model").alias("rank_source")).unionByName(fallback.select(*cols, "rank_source"))
 
-    posts = fixture(spark, sf, FX.POSTS)
-    ins, _ = analyze_posts(posts, _offline_client, sleep=_no_sleep)
-    x = ins.filter(F.col("ins.ok")).join(posts, ["page_url", "seq"])
-    ideas = generate_ideas(x, _offline_client, sleep=_no_sleep)
-    return ideas.select("seq", F.size("ideas").cast("bigint").alias("n_ideas"), _j("ideas").alias("ideas"))
 
+def q_extract_cand_replies(spark, sf):
+    """M2 + B2 + P13: every document as a candidate block of its source; the reply of a request
+    returns its blocks."""
+    req = M.candidate_requests(_doc_blocks(spark, sf))
+    keys = ["page_url", "cand_batch", "request_no"]
+    body = F.expr(f"substring(prompt, {len(M.RQ.CANDIDATE_USER_HEAD) + 1}, length(prompt) - {len(M.RQ.CANDIDATE_USER_HEAD) + len(M.RQ.CANDIDATE_USER_TAIL)})")
+    answers = req.select(*keys, F.concat(F.lit('Found: {"posts": '), body, F.lit("}")).alias("reply"))
+    x = M.candidate_results(req, stored_replies(answers, "extract_candidates", keys, "cand_batch"))
+    return x.select("page_url", F.length("post").cast("bigint").alias("n_chars"), F.md5(F.encode("post", "UTF-8")).alias("post_md5"))
 
-def q_rank_stub(spark, sf):
-    """M5 on the offline client (rows only): ranked rows per batch of the recorded idea store."""
-    from ..operators.model_tasks import rank_ideas
 
-    ranked, fallback = rank_ideas(store(spark, sf), _offline_client, sleep=_no_sleep)
-    return ranked.select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("bigint").alias("pos"),
-                         "idea", "score", "estimated_revenue_usd")
+def _doc_blocks(spark, sf):
+    return table(spark, sf, "documents").select(F.col("source").alias("page_url"), F.col("doc_id").alias("pos"), F.col("text").alias("block"))
+
+
+def q_extract_text_replies(spark, sf):
+    """M3 + G1 + P12: every document as a page text; the reply of a chunk is the chunk itself, read line
+    by line."""
+    texts = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("page_url"), "text")
+    req = M.chunk_requests(texts)
+    answers = req.select("page_url", "chunk_no", F.expr(f"substring(prompt, {len(M.RQ.CHUNK_USER_HEAD) + 1})").alias("reply"))
+    x = M.chunk_results(req, stored_replies(answers, "extract_chunk", ["page_url", "chunk_no"], "(chunk_no + length(page_url))"))
+    return x.select("page_url", F.col("pos.chunk_no").alias("chunk_no"), F.col("pos.i").alias("line"), F.md5(F.encode("post", "UTF-8")).alias("post_md5"))
 
 
 def _pages(spark, sf):
@@ -453,7 +478,7 @@ def _pages(spark, sf):
 
 
 def q_page_candidates(spark, sf):
-    """S2 + G2 + F2 + F3 + U1 + B3 (rows only): candidate blocks of every page (<= 80 each)."""
+    """S2 + G2 + F2 + F3 + U1: all candidate blocks of every page."""
     from ..operators import html_blocks as H
 
     kept, _ = G.url_gate(_pages(spark, sf))
@@ -463,31 +488,32 @@ def q_page_candidates(spark, sf):
 
 
 def q_page_selector_scan(spark, sf):
-    """G3 (rows only): selector-scan posts of every page."""
+    """Selector-scan posts of every page."""
     from ..operators import html_blocks as H
 
     kept, _ = G.url_gate(_pages(spark, sf))
     s = H.selector_scan(materialize(H.page_blocks(kept)))
-    return s.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
+    return s.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"),
+                    F.md5(F.encode("post", "UTF-8")).alias("post_md5"))
 
 
 def q_page_cascade(spark, sf):
-    """U4 + M2 + M3 + G4 (rows only): extractor cascade with the offline client."""
-    from ..operators.model_tasks import extract_posts
+    """U4 + M2 + M3 + G4 (rows only): extractor cascade on stored replies. The candidate replies of a
+    third of the pages and the text replies of a ninth are missing, so all three tiers are used."""
+    from ..operators import html_blocks as H
 
     kept, _ = G.url_gate(_pages(spark, sf))
-    p = extract_posts(kept, _offline_client, sleep=_no_sleep)
-    return p.select("page_url", "tier", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
-
-
-def q_extract_text_stub(spark, sf):
-    """M3 + G1 + P12 (rows only): full-text extraction of the documents grouped per source."""
-    from ..operators.model_tasks import extract_from_text
-
-    texts = table(spark, sf, "documents").select(F.col("source").alias("page_url"), "doc_id", "text")
-    texts = texts.select(F.concat_ws("|", "page_url", F.col("doc_id").cast("string")).alias("page_url"), "text")
-    p = extract_from_text(texts, _offline_client, sleep=_no_sleep)
-    return p.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
+    blocks = materialize(H.page_blocks(kept))
+    none1, none2 = F.pmod(F.crc32("page_url"), F.lit(3)) == 0, F.pmod(F.crc32("page_url"), F.lit(9)) == 0
+    r1 = M.candidate_requests(H.candidates(blocks))
+    body = F.expr(f"substring(prompt, {len(M.RQ.CANDIDATE_USER_HEAD) + 1}, length(prompt) - {len(M.RQ.CANDIDATE_USER_HEAD) + len(M.RQ.CANDIDATE_USER_TAIL)})")
+    keys = ["page_url", "cand_batch", "request_no"]
+    a1 = r1.filter(~none1).select(*keys, F.concat(F.lit('{"posts": '), body, F.lit("}")).alias("reply"))
+    r2 = M.chunk_requests(H.page_text(kept, blocks))
+    a2 = r2.filter(~none2).select("page_url", "chunk_no", F.expr(f"substring(prompt, {len(M.RQ.CHUNK_USER_HEAD) + 1})").alias("reply"))
+    p = M.cascade(M.candidate_results(r1, stored_replies(a1, "extract_candidates", keys, "0")),
+                  M.chunk_results(r2, stored_replies(a2, "extract_chunk", ["page_url", "chunk_no"], "0")), H.selector_scan(blocks))
+    return p.select("page_url", "tier", F.length("post").cast("bigint").alias("n_chars"), F.md5(F.encode("post", "UTF-8")).alias("post_md5"))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -518,13 +544,12 @@ def q_summary_lead(spark, sf):
 
 
 def q_toxicity_lr(spark, sf):
-    """M9 (rows only): toxicity probability of every document from a model fitted on labels."""
+    """M9: toxicity score of every document from word log odds counted on the labels."""
     from ..operators.native import fit_toxicity, native_toxicity
 
     docs = table(spark, sf, "documents")
-    labelled = docs.join(table(spark, sf, "labels"), "doc_id")
-    model = fit_toxicity(labelled)
-    return native_toxicity(docs, model)
+    labelled = docs.join(table(spark, sf, "labels").filter("toxic IS NOT NULL"), "doc_id")
+    return native_toxicity(docs, fit_toxicity(labelled))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -607,16 +632,6 @@ def q_insight_log(spark, sf):
     return log_quality(log)
 
 
-def q_extract_cand_stub(spark, sf):
-    """M2 + B2 + P13 (rows only): candidate blocks of every page through the offline client."""
-    from ..operators import html_blocks as H
-    from ..operators.model_tasks import extract_from_candidates
-
-    kept, _ = G.url_gate(_pages(spark, sf))
-    p = extract_from_candidates(H.candidates(materialize(H.page_blocks(kept))), _offline_client, sleep=_no_sleep)
-    return p.select("page_url", F.col("pos").cast("bigint").alias("pos"), F.length("post").cast("bigint").alias("n_chars"))
-
-
 def q_stream_rounds(spark, sf):
     """T1 + T2 + S3: document lines of each source arriving in three growing snapshots (round r
     holds the documents with ``doc_id % 3 <= r``); new distinct lines per page and round.

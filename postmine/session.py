@@ -45,11 +45,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a scratch folder created and set.
+    Only in local mode (tests) is a scratch folder made where the setting is absent; on a cluster a
+    folder of the driver's machine could not be read by the executors.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="postmine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -72,26 +75,26 @@ def ship_module(module) -> None:
             pass
 
 
+_TABLES: list[str] = []
+
+
 def materialize(df):
-    """Cut lineage at a reuse point in ``spark.checkpoint.dir`` (shared storage on a cluster), so
-    branches reading ``df`` do not recompute it and a lost executor does not replay its upstream (or
-    its model calls). ``postmine.materialize``: ``checkpoint`` (default; ``Dataset.checkpoint`` of
-    the persisted frame, so it is computed once), ``table`` (a Parquet table written there and read
-    back) or ``none``."""
+    """Cut lineage at a reuse point: a Parquet table written in ``spark.checkpoint.dir`` (shared storage
+    on a cluster) and read back, so branches reading ``df`` do not recompute it, columns are pruned per
+    reader, and a lost executor does not replay its upstream (or its model calls)."""
     import uuid
 
     spark = df.sparkSession
-    mode = spark.conf.get("postmine.materialize", "checkpoint")
-    if mode == "none":
-        return df
-    base = checkpoint_dir(spark).rstrip("/")
-    if mode == "checkpoint":
-        from pyspark import StorageLevel
-
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = df.checkpoint(eager=True)
-        df.unpersist()
-        return out
-    path = f"{base}/postmine-table-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/postmine-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Remove the tables of :func:`materialize`; call it once the results that read them are written."""
+    conf, n = spark._jsc.hadoopConfiguration(), len(_TABLES)
+    while _TABLES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return n

@@ -51,7 +51,9 @@ def read_insights(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
     try:
         return spark.read.schema(LOG_SCHEMA).option("multiLine", multi_line).json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG_SCHEMA)
 
 

@@ -13,8 +13,8 @@ from __future__ import annotations
 import json
 import re
 
-from . import requests as RQ
-from .enrich import ModelError
+from postmine.operators import requests as RQ
+from postmine.operators.enrich import ModelError
 
 _WS = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _COLLAPSE = re.compile(_WS + "+")

@@ -1,92 +1,99 @@
-"""Property tests: batch plan, chunker and size packing against loop simulations of the reference."""
+"""Properties of the batch plan, the chunker and size packing."""
 
-from pyspark.sql import functions as F
+import random
 
 from postmine.operators import batching as B
 from postmine.operators import dedup as U
 
+# Batch sizes of a static page by number of posts: ten first, then threes for the other two rounds, then
+# the rest; below ten, three threes and the rest.
+SIZES = {1: [1], 2: [2], 3: [3], 4: [3, 1], 6: [3, 3], 8: [3, 3, 2], 9: [3, 3, 3], 10: [10], 11: [10, 1], 13: [10, 3],
+         14: [10, 3, 1], 16: [10, 3, 3], 17: [10, 3, 3, 1], 25: [10, 3, 3, 9], 40: [10, 3, 3, 24]}
 
-def simulate_loop(n, initial=10, chunk=3, rounds=3):
-    """The scroll loop on a static page of n posts, always answering 'continue'."""
-    processed, initial_done, scrolls, batches = 0, False, 0, []
-    while scrolls < rounds:
-        if not initial_done and n - processed >= initial:
-            batches.append(list(range(processed, processed + initial)))
-            processed += initial
-            initial_done = True
-            scrolls += 1
-            continue
-        if n - processed >= chunk:
-            batches.append(list(range(processed, processed + chunk)))
-            processed += chunk
-        scrolls += 1
-    if n - processed > 0:
-        batches.append(list(range(processed, n)))
-    out = {}
-    for b, idx in enumerate(batches):
-        for i in idx:
-            out[i] = b
-    return out
-
-
-def test_batch_plan_equals_loop(spark):
-    rows = [(f"p{n}", i, f"post {i}") for n in range(0, 41) for i in range(n)]
-    df = spark.createDataFrame(rows, "page_url string, seq long, post string")
-    got = {(r.page_url, r.seq): r.batch_id for r in B.plan_batches(U.distinct_posts(df)).collect()}
-    for n in range(0, 41):
-        exp = simulate_loop(n)
-        for i in range(n):
-            assert got[(f"p{n}", i)] == exp[i], (n, i)
+
+def _sizes(planned):
+    got = {}
+    for r in planned.orderBy("page_url", "seq").collect():
+        got.setdefault(r.page_url, []).append(r.batch_id)
+    for ids in got.values():
+        assert ids == sorted(ids) and ids[0] == 0 and set(ids) == set(range(max(ids) + 1))  # in order, without a gap
+    return {k: [v.count(b) for b in range(max(v) + 1)] for k, v in got.items()}
+
+
+def test_batch_plan_sizes(spark):
+    df = spark.createDataFrame([(f"p{n}", i, f"post {i}") for n in SIZES for i in range(n)], "page_url string, seq long, post string")
+    assert _sizes(B.plan_batches(U.distinct_posts(df))) == {f"p{n}": s for n, s in SIZES.items()}
 
 
 def test_batch_plan_offset_and_max_batches(spark):
-    df = spark.createDataFrame([("p", i, f"x{i}") for i in range(30)], "page_url string, seq long, post string")
-    got = {r.seq: r.batch_id for r in B.plan_batches(df, offset=10).collect()}
-    exp = simulate_loop(20)
-    assert got == {i + 10: exp[i] for i in range(20)}
+    df = spark.createDataFrame([("p", i, f"x{i}") for i in range(35)], "page_url string, seq long, post string")
+    got = B.plan_batches(df, offset=10)
+    assert _sizes(got) == {"p": SIZES[25]} and got.agg({"seq": "min"}).first()[0] == 10
     assert B.plan_batches(df, max_batches=2).count() == 13
 
 
-def loop_chunks(text, max_len, overlap):
-    if len(text) <= max_len:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + max_len, len(text))
-        out.append(text[start:end])
-        if end == len(text):
-            break
-        start = max(0, end - overlap)
-    return out
+def test_large_offset_keeps_the_group_limit(spark):
+    df = spark.createDataFrame([("p", i, f"x{i}") for i in range(2100)], "page_url string, seq long, post string")
+    got = B.plan_batches(df, offset=2000)
+    assert _sizes(got) == {"p": [10, 3, 3, 84]}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_chunker_equals_loop(spark):
-    texts = [("".join(chr(97 + (i * 7 + j) % 26) for j in range(n)),) for i, n in enumerate([0, 1, 11, 12, 13, 20, 21, 22, 40, 99])]
-    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "id int, text string")
+def test_chunks_cover_the_text_and_overlap(spark):
+    size, overlap = 12, 3
+    texts = {n: "".join(chr(97 + (n * 7 + j) % 26) for j in range(n)) for n in (0, 1, 11, 12, 13, 20, 21, 22, 40, 99)}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {}
+    for r in B.chunk_text(df, "text", size, overlap, keep=["id"]).orderBy("id", "chunk_no").collect():
+        got.setdefault(r.id, []).append((r.start, r.chunk))
+    for n, chunks in got.items():
+        assert chunks[0][0] == 0 and chunks[-1][0] + len(chunks[-1][1]) == n
+        assert all(texts[n][a:a + len(c)] == c for a, c in chunks)
+        for (a, c), (a2, _) in zip(chunks, chunks[1:]):
+            assert len(c) == size and a + len(c) - a2 == overlap
+    assert set(got) == set(texts)
+
+
+def test_packing_is_greedy_and_complete(spark):
+    r = random.Random(3)
+    pages = {p: [r.choice([1, 300, 2500, 5000, 9999, 10000, 12000]) for _ in range(n)] for p, n in (("a", 3), ("b", 150), ("c", 1))}
+    rows = [(p, i * 3_000_000_000, "x" * n) for p, ls in pages.items() for i, n in enumerate(ls)]
+    df = spark.createDataFrame(rows, "page_url string, pos long, block string")
     got = {}
-    for r in B.chunk_text(df, "text", 12, 3, keep=["id"]).collect():
-        got.setdefault(r.id, []).append((r.chunk_no, r.chunk))
-    for i, (t,) in enumerate(texts):
-        assert [c for _, c in sorted(got[i])] == loop_chunks(t, 12, 3)
-
-
-def greedy_pack(lengths, limit):
-    out, b, size, cnt = [], 0, 0, 0
-    for ln in lengths:
-        if size + ln > limit and cnt > 0:
-            b, size, cnt = b + 1, 0, 0
-        out.append(b)
-        size += ln
-        cnt += 1
-    return out
-
-
-def test_pack_batches_equals_greedy(spark):
-    lengths = [3000, 4000, 2500, 10000, 12000, 1, 9999, 5000, 5000, 1]
-    df = spark.createDataFrame([("p", i, "x" * n) for i, n in enumerate(lengths)], "page_url string, pos int, block string")
-    got = [r.cand_batch for r in B.pack_batches(df).orderBy("pos").collect()]
-    assert got == greedy_pack(lengths, 10000)
-    assert got == [0, 0, 0, 1, 2, 3, 3, 4, 4, 5]
+    for x in B.pack_batches(df, subpage=1 << 60).orderBy("page_url", "pos").collect():
+        got.setdefault(x.page_url, []).append((x.cand_batch, x.batch_pos, len(x.block)))
+    for p, ls in pages.items():
+        batches = {}
+        for b, at, n in got[p]:
+            batches.setdefault(b, []).append(n)
+            assert at == len(batches[b])
+        assert [n for b in sorted(batches) for n in batches[b]] == ls and sorted(batches) == list(range(len(batches)))
+        for b, ns in batches.items():
+            assert sum(ns) <= 10000 or len(ns) == 1
+            if b + 1 in batches:  # the next block would not have fitted
+                assert sum(ns) + batches[b + 1][0] > 10000
+
+
+def test_packing_sub_pages_and_requests(spark):
+    df = spark.createDataFrame([("p", i, "x") for i in range(130)], "page_url string, pos long, block string")
+    packed = B.pack_batches(df, subpage=100)
+    assert sorted((r.cand_batch, r["count"]) for r in packed.groupBy("cand_batch").count().collect()) == [(0, 100), (1, 30)]
+    req = B.batch_requests_items(B.pack_batches(df))
+    assert sorted((r.request_no, r.n_items) for r in req.collect()) == [(0, 50), (1, 50), (2, 30)]
+
+
+def test_store_keeps_every_reason_and_payload_every_idea(spark):
+    from postmine.operators.idea_store import idea_events, idea_store, rank_payload
+    from postmine.operators.rank import rank_native
+
+    rows = [("p", 0, i, f"post {i}", "positive", [f"t{i % 7}"], f"reason {i}", ["one idea", f"idea {i % 45}"]) for i in range(150)]
+    posts = spark.createDataFrame(rows, "page_url string, batch_id int, seq long, post string, sentiment string, topics array<string>, reason string, ideas array<string>")
+    st = idea_store(idea_events(posts))
+    one = st.filter("idea = 'one idea'").first()
+    assert (one.cnt, one.sentiment_sum, one.n_reasons, len(one.reasons)) == (150, 150, 150, 150)
+    assert one.reasons[:2] == ["reason 0", "reason 1"] and one.topics == [f"t{i}" for i in range(7)] and one.examples == ["post 0", "post 1", "post 2"]
+    assert st.count() == 46 and rank_native(st).count() == 46
+    assert sorted((r.payload_no, r.n_ideas) for r in rank_payload(st).collect()) == [(0, 30), (1, 16)]
 
 
 def test_distinct_posts_first_occurrence(spark):

@@ -4,10 +4,15 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+import offline_client
+from offline_client import OfflineClient, failure_kind, no_sleep, scripted_client
+from pyspark import cloudpickle
+
 from postmine.operators import enrich as E
-from postmine.operators.offline_client import OfflineClient, failure_kind, no_sleep, scripted_client
 from postmine.operators.requests import analysis_prompt, build_requests
 
+cloudpickle.register_pickle_by_value(offline_client)  # the tasks do not have the test folder
+
 
 def test_retry_policy_delays():
     p = E.RetryPolicy(5, 20000, 2, jitter_ms=0)
@@ -45,23 +50,52 @@ def test_request_keys_are_stable(spark):
 
 
 def test_model_tasks_on_offline_client(spark):
+    from postmine.operators import model_tasks as M
     from postmine.operators.idea_store import idea_events, idea_store
-    from postmine.operators.model_tasks import analyze_posts, generate_ideas, rank_ideas
 
-    rows = [("p", i, f"Sentence number {i % 4} about tools. More text.") for i in range(12)]
+    rows = [("p", i, f"Sentence number {i % 40} about tools. More text.") for i in range(120)]
     posts = spark.createDataFrame(rows, "page_url string, seq long, post string")
-    ins, dead = analyze_posts(posts, OfflineClient, sleep=no_sleep)
-    assert dead.count() == 0 and ins.count() == 12
-    x = ins.join(posts, ["page_url", "seq"]).withColumn("batch_id", F.lit(0))
-    ideas = generate_ideas(x, OfflineClient, sleep=no_sleep)
-    assert ideas.filter(F.size("ideas") == 1).count() == 12
+    req = M.analyze_requests(posts)
+    rep = M.call(req, OfflineClient, sleep=no_sleep)
+    ins = M.analyze_results(req, rep)
+    assert M.dead_letters(req, rep).count() == 0 and ins.count() == 120
+    ireq = M.idea_requests(ins.drop("key").join(posts, ["page_url", "seq"]).withColumn("batch_id", F.lit(0)))
+    ideas = M.idea_results(ireq, M.call(ireq, OfflineClient, sleep=no_sleep))
+    assert ideas.filter(F.size("ideas") == 1).count() == 120
     ev = idea_events(ideas.withColumn("sentiment", F.col("ins.sentiment")).withColumn("topics", F.col("ins.topics"))
                      .withColumn("reason", F.col("ins.reason")))
     st = idea_store(ev)
-    assert st.agg(F.sum("cnt")).first()[0] == 12 and st.count() == 4
-    ranked, fallback = rank_ideas(st, OfflineClient, sleep=no_sleep)
-    assert ranked.count() == 4 and fallback.count() == 0
-    assert [r.pos for r in ranked.orderBy("pos").collect()] == [1, 2, 3, 4]
+    assert st.agg(F.sum("cnt")).first()[0] == 120 and st.count() == 40
+    rreq = M.rank_requests(st)
+    assert rreq.count() == 2  # 30 ideas a request, none lost
+    ranked, fallback = M.rank_results(st, rreq, M.call(rreq, OfflineClient, sleep=no_sleep))
+    assert ranked.count() == 40 and fallback.count() == 0
+    ranked, fallback = M.rank_results(st, rreq, rep.limit(0))
+    assert ranked.count() == 0 and fallback.count() == 40
+
+
+def test_stored_replies_are_not_called_again(spark):
+    from postmine.operators import model_tasks as M
+
+    posts = spark.createDataFrame([("p", i, f"post {i}") for i in range(6)], "page_url string, seq long, post string")
+    req = M.analyze_requests(posts)
+    stored = M.call(req.filter("seq < 4"), OfflineClient, sleep=no_sleep).withColumn("reply", F.lit("stored"))
+    rep = M.call(req, OfflineClient, stored, sleep=no_sleep)
+    assert sorted(r.reply == "stored" for r in rep.collect()) == [False] * 2 + [True] * 4
+
+
+def test_empty_analysis_is_an_insight_and_summaries_are_trimmed(spark):
+    from postmine.operators import model_tasks as M
+
+    posts = spark.createDataFrame([("p", i, f"post {i}") for i in range(4)], "page_url string, seq long, post string")
+    req = M.analyze_requests(posts)
+    rep = E.enrich(req, lambda: (lambda key, task, system, prompt: "" if "post 0" in prompt else "  plain words  "), sleep=no_sleep)
+    got = {r.seq: r.ins for r in M.analyze_results(req, rep).collect()}
+    assert got[0].status == "raw" and got[0].summary_text == "" and got[1].summary_text == "plain words"
+    other = build_requests(posts, "rank", ["seq"], F.col("post"))
+    assert {r.status for r in E.enrich(other, lambda: (lambda *a: ""), sleep=no_sleep).collect()} == {"failed"}
+    envelopes = rep.withColumn("envelope", F.lit('{"output_text": " from envelope "}'))
+    assert {r.ins.summary_text for r in M.analyze_results(req, envelopes).collect()} == {"from envelope"}
 
 
 def test_stream_release_equals_batch_plan(spark, tmp_path):
@@ -93,6 +127,9 @@ def test_insight_log_roundtrip(spark, tmp_path):
     q = log_quality(log).first()
     assert (q.n, q.n_raw, q.n_empty_summary, q.n_with_topics) == (3, 2, 1, 1)
     assert read_insights(spark, str(tmp_path / "missing")).count() == 0
+    (tmp_path / "array.json").write_text('[{"insight": {"summary": "a"}, "timestamp": "t"},\n {"insight": {"summary": "", "raw": ""}, "timestamp": "u"}]')
+    arr = read_insights(spark, str(tmp_path / "array.json"), multi_line=True).collect()
+    assert [r.insight.summary for r in arr] == ["a", ""] and arr[1].insight.raw == ""
     ts = log.first().timestamp
     assert ts.endswith("Z") and "T" in ts and len(ts) == 24
 

@@ -55,10 +55,45 @@ def test_script_in_body_counts_in_text_content(spark):
     assert any("console.log" in g for g in got)
 
 
-def test_unclosed_p_and_cap_80(spark):
+def test_unclosed_p_and_no_cap(spark):
     many = "".join(f"<p>{i:03d} " + "q" * 130 for i in range(100))  # unclosed <p> each
     got = _cands(spark, page(many))
-    assert len(got) == 80 and got[0].startswith("000 ")
+    assert len(got) == 100 and got[0].startswith("000 ")
+
+
+def _elements(html):
+    url, text, visible, _, b0, b1, elems = H.parse_page("u", html)
+    return text, visible, visible[b0:b1], [(tag, text[t0:t1]) for _, tag, _, _, _, _, t0, t1, _, _ in elems]
+
+
+def test_nested_lists_and_implied_end_tags():
+    _, _, _, e = _elements("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>")
+    assert [x for x in e if x[0] == "li"] == [("li", "abcd"), ("li", "b"), ("li", "c"), ("li", "e")]
+    _, _, _, e = _elements("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>x<dd>y<dt>z</dl><select><option>1<option>2</select>")
+    assert [t for n, t in e if n == "td"] == ["a", "b", "c"] and [t for n, t in e if n == "tr"] == ["ab", "c"]
+    assert [t for n, t in e if n in ("dt", "dd")] == ["x", "y", "z"] and [t for n, t in e if n == "option"] == ["1", "2"]
+
+
+def test_implied_body_void_slash_and_template():
+    text, _, body, e = _elements("<title>t</title>hello <div/>in div<template><p>no</p>no</template></div> world")
+    assert "no" not in text and "in div" in dict(e)["div"] and body.split() == ["hello", "in", "div", "world"]
+    assert not any(n == "template" or t == "no" for n, t in e)
+    _, _, body, e = _elements("<html><head><title>t</title></head><p>a<p>b</html>tail")
+    assert [t for n, t in e if n == "p"] == ["a", "btail"] and "tail" in body and "t" not in body.split()
+
+
+def test_deep_page_does_not_grow(spark):
+    html = "".join(f"<div>level {i} " + "w" * 60 for i in range(60)) + "</div>" * 60
+    url, text, visible, *_rest, elems = H.parse_page("u", page(html))
+    assert len(text) + len(visible) < 2.2 * len(html) and len(elems) >= 60
+
+
+def test_selector_compiler():
+    for s in H.CANDIDATE_SELECTORS + H.SCAN_SELECTORS:
+        H.compile_selector(s)
+    t = H.compile_selector('div[class*="post"]')
+    assert t("div", {"class": "a-post-b"}) and not t("p", {"class": "post"}) and not t("div", {})
+    assert H.compile_selector("div.Post")("div", {"class": "x Post"}) and not H.compile_selector(".post")("div", {"class": "posts"})
 
 
 def test_empty_body_and_selector_scan_fallback(spark):
