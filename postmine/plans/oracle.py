@@ -497,8 +497,27 @@ Q["stream_distinct"] = f"""WITH p AS ({duck(FX.POSTS)}),
 t AS (SELECT page_url, {trim('post')} AS post FROM p)
 SELECT DISTINCT page_url, post FROM t WHERE post <> ''"""
 
-Q["stream_batches"] = f"""WITH {planned_ctes(duck(FX.POSTS), 'd_')}
-SELECT 'documents' AS src, page_url, seq, CAST(batch_id AS BIGINT) AS batch_id FROM d_planned"""
+# release of pages that are read one to three times: sizes of each round's release in closed form
+def stream_ctes(prefix: str = "") -> str:
+    return planned_ctes(duck(FX.POSTS), "d_") + """,
+sp AS (SELECT page_url, seq, post, ascii(right(page_url, 1)) % 3 + 1 AS n_rounds,
+         least(seq % 3, ascii(right(page_url, 1)) % 3) AS arrives FROM d_planned),
+sn AS (SELECT page_url, max(n_rounds) AS nr, count(*) FILTER (arrives = 0) AS a0, count(*) FILTER (arrives = 1) AS a1,
+         count(*) FILTER (arrives = 2) AS a2 FROM sp GROUP BY page_url),
+s1 AS (SELECT *, CASE WHEN a0 >= 10 THEN 10 WHEN a0 >= 3 THEN 3 ELSE 0 END AS r1 FROM sn WHERE a0 > 0 OR nr > 1),
+s2 AS (SELECT *, CASE WHEN nr < 2 THEN 0 WHEN r1 < 10 AND a0 + a1 - r1 >= 10 THEN 10 WHEN a0 + a1 - r1 >= 3 THEN 3 ELSE 0 END AS r2 FROM s1),
+s3 AS (SELECT *, CASE WHEN nr < 3 THEN 0 WHEN r1 < 10 AND r2 < 10 AND a0 + a1 + a2 - r1 - r2 >= 10 THEN 10
+                      WHEN a0 + a1 + a2 - r1 - r2 >= 3 THEN 3 ELSE 0 END AS r3 FROM s2),
+so AS (SELECT sp.*, row_number() OVER (PARTITION BY page_url ORDER BY arrives, seq) AS k FROM sp),
+sr AS (SELECT so.page_url, so.seq, so.post, s3.nr, (a0 = 0)::INT + (nr > 1 AND a1 = 0)::INT + (nr > 2 AND a2 = 0)::INT AS dry_rounds,
+         CASE WHEN k <= r1 THEN 0 WHEN k <= r1 + r2 THEN (r1 > 0)::INT WHEN k <= r1 + r2 + r3 THEN (r1 > 0)::INT + (r2 > 0)::INT
+              ELSE (r1 > 0)::INT + (r2 > 0)::INT + (r3 > 0)::INT END AS batch_id,
+         CASE WHEN k <= r1 THEN 1 WHEN k <= r1 + r2 THEN 2 WHEN k <= r1 + r2 + r3 THEN 3 ELSE nr END AS round
+       FROM so JOIN s3 USING (page_url))"""
+
+
+Q["stream_batches"] = "WITH " + stream_ctes() + """
+SELECT page_url, seq, CAST(batch_id AS BIGINT) AS batch_id, CAST(round AS BIGINT) AS round, CAST(dry_rounds AS BIGINT) AS dry_rounds FROM sr"""
 
 _PT = "CASE WHEN json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') WHEN coalesce(json_extract_string(p, '$.text'), '') <> '' THEN json_extract_string(p, '$.text') ELSE '' END"
 _OT = (f"CASE WHEN json_type(o, '$.content') = 'VARCHAR' THEN json_extract_string(o, '$.content') "
@@ -528,7 +547,8 @@ SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, topic, CAST(o // 10
        CAST((o % 1000) // 10 AS BIGINT) AS first_pos, CAST(o % 10 - 1 AS BIGINT) AS t_pos
 FROM tfirst"""
 
-Q["stream_idea_store"] = Q["idea_store"]
+Q["stream_idea_store"] = Q["idea_store"].replace(f"WITH {planned_ctes(duck(FX.POSTS))}",
+    "WITH " + stream_ctes() + ", planned AS (SELECT page_url, post, seq, batch_id FROM sr)")
 
 Q["idea_reason_sets"] = CHAIN + """
 SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, reason, CAST(o // 10 AS BIGINT) AS first_seq,

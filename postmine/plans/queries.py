@@ -563,27 +563,25 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/postmine-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _write_rounds(df: DataFrame, path: str, rounds: int) -> int:
-    """Snapshot folders, one per round (the page re-read each round), written in round order.
-    Returns the number of files per round, to be used as ``maxFilesPerTrigger``."""
-    n_files = 0
-    for r in range(rounds):
-        df.withColumn("round", F.lit(r)).write.mode("overwrite").parquet(f"{path}/r{r:03d}")
-        files = df.sparkSession.read.parquet(f"{path}/r{r:03d}").inputFiles()
-        n_files = n_files or len(files)
-        if len(files) != n_files:
-            raise RuntimeError("snapshot rounds must have the same number of files")
-    return max(n_files, 1)
-
-
-def _run_to_memory(df_stream: DataFrame, name: str, ckpt: str, mode: str = "append") -> DataFrame:
-    q = df_stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", ckpt).trigger(
-        availableNow=True
-    ).start()
-    q.awaitTermination()
-    spark = df_stream.sparkSession
-    out = spark.table(name)
-    return materialize(out)
+def _page_rounds(posts: DataFrame) -> DataFrame:
+    """Posts with the round in which they first appear (``arrives``) on a page that is read ``n_rounds``
+    times (1 to 3, by its name)."""
+    n = (F.ascii(F.substring("page_url", -1, 1)) % 3 + 1).cast("int")
+    x = posts.withColumn("n_rounds", n)
+    return x.withColumn("arrives", F.least(F.col("seq") % 3, F.col("n_rounds") - 1).cast("int"))
+
+
+def _replay(spark, posts: DataFrame, name: str, schema: str, handle):
+    """Growing snapshots of every page, one stream run per round on the same checkpoint: round ``r`` holds
+    the posts that have arrived on the pages that are read at least ``r + 1`` times."""
+    from ..streaming.stream import run_stream
+
+    base = _scratch(spark, name)
+    posts = materialize(posts)
+    for r in range(3):
+        posts.filter((F.col("arrives") <= r) & (F.col("n_rounds") > r)).select("page_url", "seq", "post").write.parquet(f"{base}/in/r{r:03d}")
+        s = spark.readStream.schema(schema).parquet(f"{base}/in/*")
+        run_stream(s, handle, f"{base}/ckpt").awaitTermination()
 
 
 def q_stream_distinct(spark, sf):
@@ -592,28 +590,31 @@ def q_stream_distinct(spark, sf):
 
     base = _scratch(spark, "stream-distinct")
     posts = fixture(spark, sf, FX.POSTS).select("page_url", "seq", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
-    posts.write.mode("overwrite").parquet(f"{base}/in/r000")
+    posts.write.parquet(f"{base}/in/r000")
     s = spark.readStream.schema(posts.schema).parquet(f"{base}/in/*")
-    d = stream_distinct(s)
-    name = "pm_stream_distinct_" + base.rsplit("-", 1)[-1]
-    out = _run_to_memory(d.select("page_url", "post"), name, f"{base}/ckpt")
-    return out.select("page_url", "post")
+    d = stream_distinct(s).select("page_url", "post")
+    q = d.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(d.schema).parquet(f"{base}/out")
 
 
-def q_stream_batches(spark, sf):
-    """T3 + T4 + S3: three snapshot rounds of every source page -> batches released per round.
+def _release(spark, sf, name: str):
+    from ..streaming.stream import SEEN, Release
+
+    rel = Release(spark, _scratch(spark, name))
+    posts = _page_rounds(U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post"))
+    _replay(spark, posts, name, SEEN, rel.round)
+    rel.finish()
+    return rel
 
-    Every post is present from the first round, so the result equals the batch plan (B1)."""
-    from ..streaming.stream import stream_release
 
-    base = _scratch(spark, "stream-batches")
-    posts = U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post")
-    per_round = _write_rounds(posts, f"{base}/in", 3)
-    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", per_round).parquet(f"{base}/in/*")
-    rel = stream_release(s)
-    name = "pm_stream_batches_" + base.rsplit("-", 1)[-1]
-    out = _run_to_memory(rel, name, f"{base}/ckpt")
-    return out.select(F.lit("documents").alias("src"), "page_url", "seq", F.col("batch_id").cast("bigint").alias("batch_id"))
+def q_stream_batches(spark, sf):
+    """T2 (dry rounds) + T3 + T4 + S3: growing snapshots of pages that appear in one, two or three
+    rounds, different posts per round -> released batches; leftovers are flushed."""
+    rel = _release(spark, sf, "stream-batches")
+    dry = rel.pages().select("page_url", F.col("dry_rounds").cast("bigint").alias("dry_rounds"))
+    out = rel.released().join(dry, "page_url")
+    return out.select("page_url", "seq", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("round").cast("bigint").alias("round"), "dry_rounds")
 
 
 def q_reply_text(spark, sf):
@@ -643,17 +644,19 @@ def q_stream_rounds(spark, sf):
     base = _scratch(spark, "stream-rounds")
     lines = _doc_lines(spark, sf).select("page_url", "doc_id", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
     schema = "page_url string, post string, round int"
-    name = "pm_stream_rounds_" + base.rsplit("-", 1)[-1]
+
+    def keep(counts: DataFrame, epoch: int) -> None:  # complete mode: the whole table each time
+        counts.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
     for r in range(3):
-        lines.filter(F.col("doc_id") % 3 <= r).select("page_url", "post", F.lit(r).alias("round")).write.mode("overwrite").parquet(
-            f"{base}/in/r{r:03d}")
+        lines.filter(F.col("doc_id") % 3 <= r).select("page_url", "post", F.lit(r).alias("round")).write.parquet(f"{base}/in/r{r:03d}")
         s = spark.readStream.schema(schema).parquet(f"{base}/in/*")
         counts = stream_round_counts(stream_distinct(s))
-        q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option(
-            "checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+        q = counts.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
         q.awaitTermination()
-    out = materialize(spark.table(name))
-    return out.select("page_url", F.col("round").cast("bigint").alias("round"), F.col("new_found").cast("bigint").alias("new_found"))
+    out = spark.read.parquet(f"{base}/out")
+    last = out.agg(F.max("epoch")).first()[0]
+    return out.filter(F.col("epoch") == last).select("page_url", F.col("round").cast("bigint").alias("round"), F.col("new_found").cast("bigint").alias("new_found"))
 
 
 def q_idea_topic_sets(spark, sf):
@@ -667,26 +670,12 @@ def q_idea_topic_sets(spark, sf):
 
 
 def q_stream_idea_store(spark, sf):
-    """T5 + T3 + S3: released batches of the snapshot stream go through ``foreachBatch``: insight
-    and idea join, per-batch idea store, written per epoch (a replayed epoch overwrites its own
-    output). Every post is present from the first round, so this equals the batch idea store."""
-    from ..streaming.stream import run_stream, stream_release
-
-    base = _scratch(spark, "stream-ideas")
-    posts = U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post")
-    per_round = _write_rounds(posts, f"{base}/in", 3)
-    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", per_round).parquet(f"{base}/in/*")
-    released = stream_release(s)
-    out = f"{base}/store"
-    replies = materialize(parsed_replies(spark, sf))  # parsed once, joined by every epoch
-
-    def handle(batch, epoch_id):
-        planned = batch.select("page_url", "batch_id", "seq", "post")
-        st = S.idea_store(S.idea_events(materialize(ideas_of(spark, sf, planned, replies))))
-        st.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
-
-    run_stream(released, handle, f"{base}/ckpt").awaitTermination()
-    st = spark.read.schema(S.idea_store(S.idea_events(ideas_of(spark, sf, planned_posts(spark, sf).limit(0)))).schema).parquet(out)
+    """T5 + T3 + S3: the batches released by the snapshot stream (pages of one to three rounds) go
+    through the insight and idea joins into the per-batch idea store."""
+    replies = materialize(parsed_replies(spark, sf))
+    rel = _release(spark, sf, "stream-ideas")
+    planned = rel.released().select("page_url", "batch_id", "seq", "post")
+    st = S.idea_store(S.idea_events(materialize(ideas_of(spark, sf, planned, replies))))
     return st.select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "idea",
         "first_seq", F.col("first_pos").cast("bigint").alias("first_pos"), "cnt", "sentiment_sum",

@@ -1,46 +1,31 @@
 """Structured Streaming operators.
 
-The reference's scroll loop re-reads a growing page up to three times, adds new posts to a per-URL
-set, and releases one analysis batch per round (the first batch of 10 once enough posts exist,
-otherwise chunks of 3), flushing every leftover after the last round. Here each micro-batch of
-page snapshots is one round:
+The reference re-reads a growing page up to three times, adds new posts to a per-URL set and releases
+one analysis batch per round (the first batch of 10 once enough posts exist, otherwise chunks of 3),
+flushing every leftover after the last round. Here each micro-batch of page snapshots is one round:
 
-* T1 ``stream_distinct``: ``dropDuplicates`` per (page, post); or, with a watermark, the
-  bounded-state ``dropDuplicatesWithinWatermark``.
+* T1 ``stream_distinct``: ``dropDuplicatesWithinWatermark`` per (page, post) with a bounded state; without
+  a watermark ``dropDuplicates``, whose state grows with the distinct posts.
 * T2 ``stream_round_counts``: new distinct posts per page and round (streaming aggregation).
-* T3 + T4 ``stream_release``: ``applyInPandasWithState`` keyed by page; state = the page's seen
-  set (64-bit hashes), unreleased posts, counters. It lives for at most ``rounds`` rounds per
-  page and is removed at the flush. A page's rows of one micro-batch meet in one task (keyed
-  state), as any per-key streaming state does.
-* T5 ``run_stream``: ``foreachBatch`` hands each micro-batch of released posts to batch functions;
-  writes are keyed by ``(page_url, batch_id)`` so a replayed epoch overwrites, not duplicates.
+* T3 + T4 :class:`Release`: ``foreachBatch`` over small Parquet tables in the checkpoint folder: the posts
+  seen, the posts released, and one row per page with its rounds, dry rounds and releases. New posts
+  are found by an anti join on their text, the next batch is a top-k window, and the rest of a page is
+  released by rule; so no page meets in one task and no post can be lost: :meth:`Release.finish`
+  flushes the pages that never reached their last round. Every epoch writes its own folder, so a
+  replayed epoch overwrites its output.
+* T5 ``run_stream``: ``foreachBatch`` hands each micro-batch to batch functions.
 """
 
 from __future__ import annotations
 
-import sys
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..operators.batching import CHUNK_SIZE, INITIAL_BATCH, MAX_ROUNDS
-
-RELEASE_SCHEMA = T.StructType([
-    T.StructField("page_url", T.StringType()),
-    T.StructField("batch_id", T.IntegerType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("post", T.StringType()),
-    T.StructField("round", T.IntegerType()),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("seen", T.ArrayType(T.LongType())),
-    T.StructField("buf_seq", T.ArrayType(T.LongType())),
-    T.StructField("buf_post", T.ArrayType(T.StringType())),
-    T.StructField("initial_done", T.BooleanType()),
-    T.StructField("rounds", T.IntegerType()),
-    T.StructField("releases", T.IntegerType()),
-])
+
+from ..operators.batching import CHUNK_SIZE, INITIAL_BATCH, MAX_ROUNDS, top_k_by
+
+SEEN = "page_url string, seq bigint, post string"
+RELEASED = "page_url string, batch_id int, seq bigint, post string, round int"
+PAGES = "page_url string, rounds int, dry_rounds int, initial_done boolean, releases int, done boolean"
 
 
 def stream_distinct(posts: DataFrame, watermark: tuple[str, str] | None = None, keys=("page_url", "post")) -> DataFrame:
@@ -56,84 +41,86 @@ def stream_round_counts(distinct_posts: DataFrame, round_col: str = "round") ->
     return distinct_posts.groupBy("page_url", round_col).agg(F.count(F.lit(1)).alias("new_found"))
 
 
-def _release_fn(initial: int, chunk: int, rounds: int, timeout_ms: int | None = None):
-    import pandas as pd
-    import xxhash
-
-    def fn(key, pdfs, state):
-        page = key[0]
-        if state.exists:
-            seen, buf_seq, buf_post, initial_done, n_rounds, releases = state.get
-            seen, buf_seq, buf_post = list(seen), list(buf_seq), list(buf_post)
-        else:
-            seen, buf_seq, buf_post, initial_done, n_rounds, releases = [], [], [], False, 0, 0
-        seen_set = set(seen)
-        rows = pd.concat(list(pdfs), ignore_index=True) if pdfs is not None else None
-        n_rounds += 1
-        if rows is not None and len(rows):
-            rows = rows.sort_values("seq", kind="stable")
-            for s, p in zip(rows["seq"], rows["post"]):
-                h = xxhash.xxh64_intdigest(p.encode("utf-8")) - (1 << 63)
-                if h not in seen_set:
-                    seen_set.add(h)
-                    seen.append(h)
-                    buf_seq.append(int(s))
-                    buf_post.append(p)
-        out = []
-
-        def release(k):
-            nonlocal buf_seq, buf_post, releases
-            for s, p in zip(buf_seq[:k], buf_post[:k]):
-                out.append((page, releases, s, p, n_rounds))
-            buf_seq, buf_post = buf_seq[k:], buf_post[k:]
-            releases += 1
-
-        if not initial_done and len(buf_seq) >= initial:
-            release(initial)
-            initial_done = True
-        elif len(buf_seq) >= chunk:
-            release(chunk)
-        if n_rounds >= rounds or state.hasTimedOut:
-            if buf_seq:
-                release(len(buf_seq))
-            state.remove()
-        else:
-            state.update((seen, buf_seq, buf_post, initial_done, n_rounds, releases))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["page_url", "batch_id", "seq", "post", "round"])
-
-    return fn
-
-
-def stream_release(
-    posts: DataFrame,
-    initial: int = INITIAL_BATCH,
-    chunk: int = CHUNK_SIZE,
-    rounds: int = MAX_ROUNDS,
-    timeout_ms: int | None = None,
-) -> DataFrame:
-    """T3 + T4: release analysis batches per page as rounds (micro-batches) arrive.
-
-    ``posts(page_url, seq, post)`` are page snapshots (a post may repeat across rounds). Each
-    round releases at most one batch; after ``rounds`` rounds (or ``timeout`` without data) the
-    leftovers form the last batch. With every post present from the first round this equals
-    :func:`postmine.operators.batching.plan_batches`."""
-    from ..session import ship_module
-
-    ship_module(sys.modules[__name__])
-    fn = _release_fn(initial, chunk, rounds, timeout_ms)
-    g = posts.select("page_url", "seq", "post").groupBy("page_url")
-    return g.applyInPandasWithState(
-        fn, RELEASE_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"
-    )
-
-
-def run_stream(released: DataFrame, handle_batch, checkpoint: str, trigger_available_now: bool = True):
-    """T5: call ``handle_batch(df, epoch_id)`` for each micro-batch of released posts.
-
-    ``handle_batch`` should write idempotently keyed by ``(page_url, batch_id)`` (e.g. overwrite
-    the partitions it produces) so that a replayed epoch after a failure does not duplicate."""
-    w = released.writeStream.foreachBatch(handle_batch).option("checkpointLocation", checkpoint)
+class Release:
+    """T3 + T4: releases analysis batches per page as rounds (micro-batches) arrive.
+
+    Give :meth:`round` to ``foreachBatch`` of a stream of ``page_url, seq, post`` snapshots, call
+    :meth:`finish` when the input has ended, read :meth:`released`. With every post present from the
+    first round the result equals :func:`postmine.operators.batching.plan_batches`."""
+
+    def __init__(self, spark: SparkSession, folder: str, initial: int = INITIAL_BATCH, chunk: int = CHUNK_SIZE, rounds: int = MAX_ROUNDS):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.initial, self.chunk, self.rounds = initial, chunk, rounds
+
+    def _read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        """A table as it was before an epoch (None: all of it)."""
+        path = f"{self.folder}/{name}"
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
+            return self.spark.createDataFrame([], schema + ", epoch bigint")
+        x = self.spark.read.schema(schema + ", epoch bigint").parquet(path)
+        return x if before is None else x.filter(F.col("epoch") < before)
+
+    def _write(self, df: DataFrame, name: str, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
+
+    def released(self) -> DataFrame:
+        return self._read("released", RELEASED).drop("epoch")
+
+    def pages(self, before: int | None = None) -> DataFrame:
+        """The latest row of each page."""
+        x = self._read("pages", PAGES, before)
+        cols = [c.split()[0] for c in PAGES.split(", ")]
+        return x.groupBy("page_url").agg(F.max_by(F.struct(*cols[1:]), "epoch").alias("s")).select("page_url", "s.*")
+
+    def round(self, batch: DataFrame, epoch: int) -> None:
+        """One round of the pages in ``batch``."""
+        keys = ["page_url", "post"]
+        posts = batch.filter(F.col("post").isNotNull()).groupBy(*keys).agg(F.min("seq").alias("seq"))
+        # a page whose last round is over has been flushed; its later snapshots are not read
+        before = self.pages(epoch)
+        open_ = batch.select("page_url").distinct().join(before.filter("done"), "page_url", "left_anti")
+        new = posts.join(open_, "page_url").join(self._read("seen", SEEN, epoch), keys, "left_anti")
+        self._write(new.select("page_url", "seq", "post"), "seen", epoch)
+        new = self.spark.read.schema(SEEN).parquet(f"{self.folder}/seen/epoch={epoch}")
+        state = open_.join(before, "page_url", "left").join(new.groupBy("page_url").agg(F.count(F.lit(1)).alias("found")), "page_url", "left")
+        state = state.select(
+            "page_url", (F.coalesce("rounds", F.lit(0)) + 1).cast("int").alias("rounds"),
+            (F.coalesce("dry_rounds", F.lit(0)) + F.col("found").isNull().cast("int")).cast("int").alias("dry_rounds"),
+            F.coalesce("initial_done", F.lit(False)).alias("initial_done"), F.coalesce("releases", F.lit(0)).alias("releases"))
+        self._step(state, epoch, flush=state.select("page_url", (F.col("rounds") >= self.rounds).alias("flush")))
+
+    def finish(self, epoch: int = (1 << 31) - 1) -> None:
+        """Flush the leftovers of pages that did not reach their last round."""
+        state = self.pages(epoch).filter("NOT done").drop("done")
+        self._step(state, epoch, flush=state.select("page_url", F.lit(True).alias("flush")), release=False)
+
+    def _step(self, state: DataFrame, epoch: int, flush: DataFrame, release: bool = True) -> None:
+        seen = self._read("seen", SEEN, epoch + 1).withColumnRenamed("epoch", "_arrived")
+        pending = seen.join(state.select("page_url"), "page_url").join(self._read("released", RELEASED, epoch).select("page_url", "post"), ["page_url", "post"], "left_anti")
+        n = pending.groupBy("page_url").agg(F.count(F.lit(1)).alias("n"))
+        first = ~F.col("initial_done") & (F.col("n") >= self.initial)
+        take = F.when(first, self.initial).when(F.col("n") >= self.chunk, self.chunk).otherwise(0) if release else F.lit(0)
+        s = state.join(n, "page_url", "left").join(flush, "page_url").withColumn("n", F.coalesce("n", F.lit(0)))
+        s = s.withColumn("take", take).withColumn("initial_done", F.col("initial_done") | (F.col("take") == self.initial))
+        s = s.withColumn("more", F.col("flush") & (F.col("n") > F.col("take")))
+        pages = s.select("page_url", "rounds", "dry_rounds", "initial_done",
+                         (F.col("releases") + (F.col("take") > 0).cast("int") + F.col("more").cast("int")).cast("int").alias("releases"), F.col("flush").alias("done"))
+        # the head of each page in order of arrival; the rest needs no order
+        head = top_k_by(pending.select("page_url", "post", "_arrived", "seq"), ["page_url"], [F.col("_arrived"), F.col("seq"), F.col("post")], max(self.initial, self.chunk), "_rn")
+        x = pending.join(head.select("page_url", "post", "_rn"), ["page_url", "post"], "left").join(s.select("page_url", "rounds", "releases", "take", "flush"), "page_url")
+        now = F.coalesce(F.col("_rn") <= F.col("take"), F.lit(False))
+        out = x.filter(now | F.col("flush")).select(
+            "page_url", (F.col("releases") + F.when(now | (F.col("take") == 0), 0).otherwise(1)).cast("int").alias("batch_id"), "seq", "post", F.col("rounds").alias("round"))
+        self._write(out, "released", epoch)
+        self._write(pages, "pages", epoch)
+
+
+def run_stream(stream: DataFrame, handle_batch, checkpoint: str, trigger_available_now: bool = True):
+    """T5: call ``handle_batch(df, epoch_id)`` for each micro-batch.
+
+    ``handle_batch`` should write idempotently per epoch (e.g. overwrite a folder of its own), so that a
+    replayed epoch after a failure does not duplicate."""
+    w = stream.writeStream.foreachBatch(handle_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
     return w.start()

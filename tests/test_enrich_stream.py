@@ -98,22 +98,51 @@ def test_empty_analysis_is_an_insight_and_summaries_are_trimmed(spark):
     assert {r.ins.summary_text for r in M.analyze_results(req, envelopes).collect()} == {"from envelope"}
 
 
+def _rounds(spark, tmp_path, snapshots):
+    from postmine.streaming.stream import SEEN, Release, run_stream
+
+    rel = Release(spark, str(tmp_path / "tables"))
+    for r, rows in enumerate(snapshots):
+        spark.createDataFrame(rows, SEEN).coalesce(1).write.parquet(str(tmp_path / f"in/r{r}"))
+        run_stream(spark.readStream.schema(SEEN).parquet(str(tmp_path / "in/*")), rel.round, str(tmp_path / "ck")).awaitTermination()
+    rel.finish()
+    return rel
+
+
 def test_stream_release_equals_batch_plan(spark, tmp_path):
     from postmine.operators.batching import plan_batches
     from postmine.operators.dedup import distinct_posts
-    from postmine.streaming.stream import stream_release
 
-    rows = [(f"p{n}", i, f"t{n}-{i}") for n in (0, 2, 5, 9, 10, 11, 14, 25) for i in range(n)]
+    rows = [(f"p{n}", i, f"t{n}-{i}") for n in (2, 5, 9, 10, 11, 14, 25) for i in range(n)]
+    rel = _rounds(spark, tmp_path, [rows] * 3)
     posts = spark.createDataFrame(rows, "page_url string, seq long, post string")
-    for r in range(3):
-        posts.withColumn("round", F.lit(r)).coalesce(1).write.parquet(str(tmp_path / f"in/r{r}"))
-    s = spark.readStream.schema(posts.schema.add("round", "integer")).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = stream_release(s).writeStream.format("memory").queryName("t_release").outputMode("append") \
-        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.page_url, r.seq): r.batch_id for r in spark.table("t_release").collect()}
-    exp = {(r.page_url, r.seq): r.batch_id for r in plan_batches(distinct_posts(posts)).collect()}
-    assert got == exp
+    got = {(r.page_url, r.seq): r.batch_id for r in rel.released().collect()}
+    assert got == {(r.page_url, r.seq): r.batch_id for r in plan_batches(distinct_posts(posts)).collect()}
+    assert {r.dry_rounds for r in rel.pages().collect()} == {2}
+
+
+def test_stream_release_loses_nothing(spark, tmp_path):
+    one = [("one", i, f"a{i}") for i in range(5)]
+    grow = [("grow", i, f"g{i}") for i in range(30)]
+    rel = _rounds(spark, tmp_path, [one + grow[:2], grow[:12], grow[:12], grow])
+    got = {}
+    for r in rel.released().collect():
+        got.setdefault((r.page_url, r.batch_id), []).append(r.seq)
+    # a page of one round releases three posts, its other two are flushed at the end of the input
+    assert {k: sorted(v) for k, v in got.items() if k[0] == "one"} == {("one", 0): [0, 1, 2], ("one", 1): [3, 4]}
+    # two posts, then ten more; the third round is dry and the last: a fourth snapshot is not read
+    assert {k[1]: sorted(v) for k, v in got.items() if k[0] == "grow"} == {0: list(range(10)), 1: [10, 11]}
+    assert {r.page_url: (r.rounds, r.dry_rounds, r.done) for r in rel.pages().collect()} == {"one": (1, 0, True), "grow": (3, 1, True)}
+
+
+def test_replayed_epoch_overwrites(spark, tmp_path):
+    from postmine.streaming.stream import SEEN, Release
+
+    rel = Release(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([("p", i, f"x{i}") for i in range(12)], SEEN)
+    rel.round(df, 0)
+    rel.round(df, 0)
+    assert rel.released().count() == 10 and rel.pages().first().rounds == 1
 
 
 def test_insight_log_roundtrip(spark, tmp_path):
@@ -143,10 +172,15 @@ def test_stream_round_counts_and_foreach_batch(spark, tmp_path):
         posts.filter(F.col("round") == r).coalesce(1).write.parquet(str(tmp_path / f"in/r{r}"))
     s = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     d = stream_distinct(s)
-    q = stream_round_counts(d).writeStream.format("memory").queryName("t_rounds").outputMode("complete") \
+    counted = {}
+
+    def keep(df, epoch_id):
+        counted.update({r["round"]: r.new_found for r in df.collect()})
+
+    q = stream_round_counts(d).writeStream.foreachBatch(keep).outputMode("complete") \
         .option("checkpointLocation", str(tmp_path / "ck1")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {r["round"]: r.new_found for r in spark.table("t_rounds").collect()}
+    got = counted
     assert got == {0: 2, 1: 2, 2: 2}
 
     out = str(tmp_path / "out")
