@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsonx import parse_string_array
 from .text import _c, collapse_ws, loose_lines, trim_ws
 
 # Patterns marking an idea as generic (matched case-insensitively).
@@ -40,21 +39,6 @@ def fallback_idea(summary_text) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array(idea))
 
 
-def ideas_from_reply(reply, summary_text, k: int = 3) -> Column:
-    """Array parse -> F6; else loose lines (>30 chars) -> F6; else P18. A null reply means the
-    model call failed -> P18."""
-    r = _c(reply)
-    parsed = parse_string_array(r, k)
-    lines = loose_lines(r, 30)
-    fb = fallback_idea(summary_text)
-    return (
-        F.when(r.isNull() | (r == ""), fb)
-        .when(F.coalesce(F.size(parsed), F.lit(0)) > 0, filter_generic(parsed, k=k))
-        .when(F.size(lines) > 0, filter_generic(lines, k=k))
-        .otherwise(fb)
-    )
-
-
 def split_idea(idea) -> Column:
     """P20: ``title — pitch | why | price`` -> struct<title, pitch, why, price, price_usd>."""
     x = _c(idea)

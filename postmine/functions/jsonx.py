@@ -189,82 +189,6 @@ def reply_text(envelope, api: str = "chat") -> Column:
     return trim_ws(txt)
 
 
-# ----------------------------------------------------------------------------------------------
-# P11 tolerant object parse (insights)
-# ----------------------------------------------------------------------------------------------
-def parse_insight(reply) -> Column:
-    """P11 (+F5, F9, P19): strict JSON, else greedy ``{..}``, else ``{summary: text, raw: text}``.
-
-    Returns ``struct<status, ok, payload, summary, summary_text, reason, sentiment, topics,
-    toxicity, raw>``; ``ok`` is the truthiness of the insight (falsy insights are skipped downstream).
-    """
-    t = F.coalesce(_c(reply), F.lit(""))
-    v1 = strict_json(t)
-    v2 = strict_json(greedy_object_text(t))
-    status = F.when(v1.isNotNull(), F.lit("parsed")).when(v2.isNotNull(), F.lit("salvaged")).otherwise(F.lit("raw"))
-    raw_obj = F.to_variant_object(F.struct(t.alias("summary"), t.alias("raw")))
-    v = F.coalesce(v1, v2, raw_obj)
-    summ = field(v, "$.summary")
-    tox = field(v, "$.toxicityScore")
-    return F.struct(
-        status.alias("status"),
-        F.when(status == "raw", F.lit(True)).otherwise(truthy(v)).alias("ok"),
-        v.alias("payload"),
-        F.when(summ.isNotNull(), js_string(summ)).alias("summary"),
-        or_empty(summ).alias("summary_text"),
-        F.when(truthy(summ), F.substring(js_string(summ), 1, 200)).alias("reason"),
-        F.lower(or_empty(field(v, "$.sentiment"))).alias("sentiment"),
-        string_items(field(v, "$.topics")).alias("topics"),
-        F.try_variant_get(tox, "$", "double").alias("toxicity"),
-        F.when(status == "raw", t).alias("raw"),
-    )
-
-
-# ----------------------------------------------------------------------------------------------
-# P12 / P13 tolerant posts parse
-# ----------------------------------------------------------------------------------------------
-def parse_posts(reply, missing: str = "lines") -> Column:
-    """P12 (``missing='lines'``, chunk extractor) / P13 (``missing='empty'``, candidate extractor).
-
-    Window = greedy ``{..}`` or the whole text; strict parse; ``posts`` array -> stringified, trimmed,
-    non-blank items. P12: bad JSON or no ``posts`` array -> non-blank lines. P13: bad JSON (or JSON
-    ``null``) -> lines; valid JSON without ``posts`` -> nothing.
-    """
-    t = F.coalesce(_c(reply), F.lit(""))
-    g = greedy_object_text(t)
-    window = F.when(g != "", g).otherwise(t)
-    v = strict_json(window)
-    posts = field(v, "$.posts")
-    items = clean_items(string_items(posts))
-    lines = text_lines(t)
-    if missing == "lines":
-        return F.when(v.isNotNull() & is_array(posts), items).otherwise(lines)
-    if missing == "empty":
-        return (
-            F.when(is_json_null(v), lines)
-            .when(is_array(posts), items)
-            .otherwise(F.array().cast("array<string>"))
-        )
-    raise ValueError(missing)
-
-
-# ----------------------------------------------------------------------------------------------
-# P14 / P15 tolerant array / first-object parse
-# ----------------------------------------------------------------------------------------------
-def parse_string_array(reply, k: int = 3) -> Column:
-    """First ``[`` .. last ``]``; strict, then repaired; must be an array; stringified, trimmed,
-    non-blank, first ``k``; else null."""
-    t = F.coalesce(_c(reply), F.lit(""))
-    v = parse_or_repair(greedy_array_text(t))
-    return F.when(is_array(v), F.slice(clean_items(string_items(v)), 1, k))
-
-
-def parse_object(reply) -> Column:
-    """First ``{`` .. last ``}``; strict, then repaired; else null (variant)."""
-    t = F.coalesce(_c(reply), F.lit(""))
-    return parse_or_repair(greedy_object_text(t))
-
-
 # ----------------------------------------------------------------------------------------------
 # DataFrame-level stages
 #
@@ -278,7 +202,10 @@ def _stage(df, cols: dict):
 
 
 def with_insight(df, reply_col: str = "reply", out_col: str = "ins"):
-    """P11 as stages; adds ``out_col`` = struct like :func:`parse_insight`."""
+    """P11 (+F5, F9, P19): strict JSON, else greedy ``{..}``, else ``{summary: text, raw: text}``.
+
+    Adds ``out_col`` = ``struct<status, ok, payload, summary, summary_text, reason, sentiment, topics,
+    toxicity, raw>``; ``ok`` is the truthiness of the insight (falsy insights are skipped downstream)."""
     p = f"_{out_col}_"
     df = _stage(df, {p + "t": F.coalesce(F.col(reply_col), F.lit(""))})
     df = _stage(df, {p + "g": greedy_object_text(F.col(p + "t"))})
@@ -314,7 +241,11 @@ def with_insight(df, reply_col: str = "reply", out_col: str = "ins"):
 
 
 def with_posts(df, reply_col: str = "reply", out_col: str = "posts", missing: str = "lines"):
-    """P12 / P13 as stages (see :func:`parse_posts`)."""
+    """P12 (``missing='lines'``, chunk extractor) / P13 (``missing='empty'``, candidate extractor).
+
+    Window = greedy ``{..}`` or the whole text; strict parse; ``posts`` array -> stringified, trimmed,
+    non-blank items. P12: bad JSON or no ``posts`` array -> non-blank lines. P13: bad JSON (or JSON
+    ``null``) -> lines; valid JSON without ``posts`` -> nothing."""
     p = f"_{out_col}_"
     df = _stage(df, {p + "t": F.coalesce(F.col(reply_col), F.lit(""))})
     df = _stage(df, {p + "g": greedy_object_text(F.col(p + "t"))})

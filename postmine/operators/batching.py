@@ -94,12 +94,6 @@ def plan_batches(
     return out
 
 
-def batch_sizes(planned: DataFrame, page_col: str = "page_url") -> DataFrame:
-    return planned.groupBy(page_col, "batch_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
-    )
-
-
 # ----------------------------------------------------------------------------------------------
 # G1 overlapping chunker
 # ----------------------------------------------------------------------------------------------

@@ -127,8 +127,8 @@ def rank_payload(store: DataFrame, per_request: int = IDEAS_PER_REQUEST) -> Data
     return first.groupBy("page_url", "batch_id", "payload_no").agg(
         F.count(F.lit(1)).alias("n_ideas"),
         F.sum("cnt").cast("bigint").alias("total_count"),
-        F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["body"]).alias("ideas"))).alias("payload"),
-    )
+        F.transform(F.array_sort(F.collect_list(item)), lambda s: s["body"]).alias("ideas"),
+    ).withColumn("payload", F.to_json(F.struct("ideas")))
 
 
 def leaderboard(store: DataFrame) -> DataFrame:

@@ -82,7 +82,9 @@ RANK_KEYS = ["page_url", "batch_id", "payload_no"]
 
 def rank_requests(store: DataFrame) -> DataFrame:
     """One ranking request per payload (a batch with many ideas has several)."""
-    return RQ.build_requests(rank_payload(store), "rank", RANK_KEYS, RQ.rank_prompt("payload"), RQ.RANK_SYSTEM)
+    p = rank_payload(store)
+    body = RQ.json_object([("ideas", RQ.json_array(F.transform("ideas", RQ.ranked_idea), 2))], 0)
+    return RQ.build_requests(p, "rank", RANK_KEYS, RQ.rank_prompt(body), RQ.RANK_SYSTEM)
 
 
 def rank_results(store: DataFrame, requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,8 @@ from .idea_store import payload_ideas
 # Report layout.
 REPORT_HEADER = "--- Product Ideas (LLM-ranked) ---"
 REPORT_FOOTER = "---"
+REPORT_NONE = "No product ideas generated for this batch."
+REPORT_FALLBACK = "Fallback — listing idea headlines:"
 EXAMPLE_PREVIEW_CHARS = 240
 MAX_REPORT_EXAMPLES = 3
 
@@ -172,12 +174,26 @@ def report_lines(ranked: DataFrame) -> DataFrame:
     return x.select("page_url", "batch_id", "pos", report_block(None, F.col("pos"), staged=True).alias("block"))
 
 
-def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Text sink, one file per page partition, blocks in batch/position order within a page."""
-    (
-        report.repartition("page_url")
-        .sortWithinPartitions("page_url", "batch_id", "pos")
-        .select(F.concat_ws("\n", F.concat(F.lit("## "), F.col("page_url"), F.lit(" batch "), F.col("batch_id").cast("string")), "block").alias("value"))
-        .write.mode(mode)
-        .text(path)
+def report_document(counts: DataFrame, blocks: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The printed lines of every batch ``(page_url, batch_id, section, pos, text)``: a header and
+    the ranked blocks, or the fallback headlines, or the line for a batch without ideas. ``counts``:
+    every batch with ``n_ideas``; ``blocks``: report blocks; ``fallback``: headlines."""
+    keys = ["page_url", "batch_id"]
+    line = lambda d, section, pos, text: d.select(*keys, F.lit(section).alias("section"), pos.cast("bigint").alias("pos"), text.alias("text"))
+    zero = F.lit(0)
+    headed = blocks.select(*keys).distinct()
+    failed = fallback.select(*keys).distinct()
+    return (
+        line(headed, 0, zero, F.lit(REPORT_HEADER))
+        .unionByName(line(blocks, 1, F.col("pos"), F.col("block")))
+        .unionByName(line(failed, 2, zero, F.lit(REPORT_FALLBACK)))
+        .unionByName(line(fallback, 3, F.col("pos"), F.concat(F.lit(" - "), F.col("idea"))))
+        .unionByName(line(counts.filter("n_ideas = 0"), 4, zero, F.lit(REPORT_NONE)))
     )
+
+
+def write_report(document: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Text sink, lines of a report document in global order over the part files. Range
+    partitioning deals a page with many batches over several files."""
+    order = ["page_url", "batch_id", "section", "pos"]
+    document.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode(mode).text(path)

@@ -106,8 +106,41 @@ def idea_input(df: DataFrame, ins_col: str = "ins", post_col: str = "post") -> C
     )
 
 
+def json_text(c) -> Column:
+    """A string as JSON text, quoted and escaped."""
+    j = F.to_json(F.struct(F.coalesce(_c(c), F.lit("")).alias("s")))
+    return F.substring(j, F.lit(6), F.length(j) - 6)
+
+
+def json_array(items, indent: int) -> Column:
+    """JSON texts as an indented array (two blanks a level); empty: ``[]``."""
+    inner, outer = "\n" + " " * (indent + 2), "\n" + " " * indent
+    return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + inner), F.array_join(items, "," + inner), F.lit(outer + "]")))
+
+
+def json_object(fields, indent: int) -> Column:
+    """``(name, JSON text)`` pairs as an indented object."""
+    inner, outer = "\n" + " " * (indent + 2), "\n" + " " * indent
+    parts = [F.concat(F.lit(f'{inner}"{n}": '), v) for n, v in fields]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit(outer + "}"))
+
+
+def json_strings(c, indent: int) -> Column:
+    return json_array(F.transform(_c(c), json_text), indent)
+
+
 def idea_prompt(inp) -> Column:
-    return F.concat(F.lit(IDEA_USER_HEAD), F.to_json(_c(inp)), F.lit(IDEA_USER_TAIL))
+    """The ideation input is written with an indent of two, as the prompt's author did."""
+    i = _c(inp)
+    body = json_object([("summary", json_text(i["summary"])), ("sentiment", json_text(i["sentiment"])), ("topics", json_strings(i["topics"], 2)),
+                        ("examples", json_strings(i["examples"], 2)), ("post", json_text(i["post"]))], 0)
+    return F.concat(F.lit(IDEA_USER_HEAD), body, F.lit(IDEA_USER_TAIL))
+
+
+def ranked_idea(body) -> Column:
+    """One idea of the ranking payload, indented as an item of its array."""
+    return json_object([("idea", json_text(body["idea"])), ("count", body["count"].cast("string")), ("sentimentSum", body["sentimentSum"].cast("string")),
+                        ("topics", json_strings(body["topics"], 6)), ("examples", json_strings(body["examples"], 6)), ("reasons", json_strings(body["reasons"], 6))], 4)
 
 
 def rank_prompt(payload_json) -> Column:

@@ -8,7 +8,10 @@ DuckDB specifics handled here: ``regexp_replace`` needs the ``'g'`` option to re
 from __future__ import annotations
 
 from ..functions.text import WS
-from ..operators.requests import ANALYSIS_PROMPT_HEAD, ANALYSIS_PROMPT_TAIL
+from ..operators.requests import (
+    ANALYSIS_PROMPT_HEAD, ANALYSIS_PROMPT_TAIL, CANDIDATE_USER_HEAD, CANDIDATE_USER_TAIL, CHUNK_USER_HEAD, IDEA_USER_HEAD, IDEA_USER_TAIL,
+    RANK_USER_HEAD, RANK_USER_TAIL,
+)
 from . import fixtures as FX
 from .common import duck
 
@@ -237,10 +240,6 @@ Q["preview"] = f"""SELECT doc_id, CAST(length({trim('text')}) AS BIGINT) AS trim
 FROM documents"""
 
 _ESC = "replace(replace(t, chr(92), chr(92) || chr(92)), '\"\"\"', chr(92) || '\"\"\"')"
-Q["prompt_render"] = f"""WITH d AS (SELECT doc_id, text || ' \"\"\" ' || chr(92) || ' end' AS t FROM documents),
-p AS (SELECT doc_id, {lit(ANALYSIS_PROMPT_HEAD)} || {_ESC} || {lit(ANALYSIS_PROMPT_TAIL)} AS prompt FROM d)
-SELECT doc_id, CAST(length(prompt) AS BIGINT) AS prompt_len, md5(prompt) AS prompt_md5 FROM p"""
-
 Q["seed_urls"] = f"""WITH l AS (
   SELECT CAST(floor(page_id / 10) AS BIGINT) AS line_id, string_agg(url, ' , ' ORDER BY page_id) || ', ,not a url' AS line
   FROM pages GROUP BY 1),
@@ -571,3 +570,67 @@ for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
 Q["page_selector_scan"] = f"""WITH a AS (SELECT DISTINCT url AS page_url, {trim(_PLAIN)} AS post FROM pages
   WHERE NOT regexp_matches(url, 'login|signup|consent|native_app|app='))
 SELECT page_url, CAST(1 AS BIGINT) AS pos, CAST(length(post) AS BIGINT) AS n_chars, md5(post) AS post_md5 FROM a WHERE post <> ''"""
+
+
+# prompts of all tasks; JSON inputs are indented by two
+def _strings(lst: str, indent: int) -> str:
+    pad = "chr(10) || '" + " " * (indent + 2) + "'"
+    return (f"CASE WHEN coalesce(len({lst}), 0) = 0 THEN '[]' ELSE '[' || {pad} || array_to_string(list_transform({lst}, lambda x: to_json(x)::VARCHAR), ',' || {pad}) "
+            f"|| chr(10) || '{' ' * indent}]' END")
+
+
+def _object(fields, indent: int) -> str:
+    pad = "chr(10) || '" + " " * (indent + 2)
+    return "'{' || " + " || ',' || ".join(f"{pad}\"{n}\": ' || {v}" for n, v in fields) + f" || chr(10) || '{' ' * indent}}}'"
+
+
+_NL = "chr(10)"
+Q["prompt_render"] = CHAIN + f""",
+d AS (SELECT doc_id, text || ' \"\"\" ' || chr(92) || ' end' AS t FROM documents),
+pa AS (SELECT 'analyze' AS task, CAST(doc_id AS VARCHAR) AS key, {lit(ANALYSIS_PROMPT_HEAD)} || {_ESC} || {lit(ANALYSIS_PROMPT_TAIL)} AS prompt FROM d),
+pc AS (SELECT 'extract_chunk' AS task, 'doc' || CAST(doc_id AS VARCHAR) || '/' || CAST(chunk_no AS VARCHAR) AS key,
+         {lit(CHUNK_USER_HEAD)} || substring(t, start + 1, 12000) AS prompt FROM ({_chunks(12000, 300)}) WHERE {trim('t')} <> ''),
+w AS ({Q["pack_batches"].replace("WITH RECURSIVE c AS", "WITH RECURSIVE c0 AS").replace("FROM c WHERE", "FROM c0 WHERE").replace("JOIN c n", "JOIN c0 n")}),
+pk AS (SELECT 'extract_candidates' AS task, w.page_url || '/' || CAST(w.cand_batch AS VARCHAR) || '/' || CAST((w.batch_pos - 1) // 50 AS VARCHAR) AS key,
+         {lit(CANDIDATE_USER_HEAD)} || '[' || string_agg(to_json(x.text)::VARCHAR, ',' ORDER BY w.batch_pos) || ']' || {lit(CANDIDATE_USER_TAIL)} AS prompt
+       FROM w JOIN documents x ON x.doc_id = w.pos GROUP BY w.page_url, w.cand_batch, (w.batch_pos - 1) // 50),
+ii AS (SELECT i.seq, substring({trim(collapse('i.summary_text'))}, 1, 800) AS summary, i.sentiment, i.topics[1:5] AS topics, substring(coalesce(p.post, ''), 1, 800) AS post
+       FROM ins2 i JOIN raw_posts p ON p.page_url = i.page_url AND p.seq = i.seq WHERE i.ok),
+pi2 AS (SELECT 'ideate' AS task, CAST(seq AS VARCHAR) AS key, {lit(IDEA_USER_HEAD)} || {_object([("summary", "to_json(summary)::VARCHAR"), ("sentiment", "to_json(sentiment)::VARCHAR"), ("topics", _strings("topics", 2)), ("examples", "'[]'"), ("post", "to_json(post)::VARCHAR")], 0)} || {lit(IDEA_USER_TAIL)} AS prompt FROM ii),
+pl AS (SELECT page_url, batch_id, payload_pos, idea, cnt, sentiment_sum, {_LIST.format(c='topics')} AS topics, {_LIST.format(c='examples')} AS examples, {_LIST.format(c='reasons')} AS reasons FROM payload),
+pr AS (SELECT 'rank' AS task, page_url || '/' || CAST(batch_id AS VARCHAR) || '/' || CAST((payload_pos - 1) // 30 AS VARCHAR) AS key,
+         {lit(RANK_USER_HEAD)} || '{{' || {_NL} || '  "ideas": [' || {_NL} || '    ' || string_agg({_object([("idea", "to_json(idea)::VARCHAR"), ("count", "CAST(cnt AS VARCHAR)"), ("sentimentSum", "CAST(sentiment_sum AS VARCHAR)"), ("topics", _strings("topics", 6)), ("examples", _strings("examples", 6)), ("reasons", _strings("reasons", 6))], 4)}, ',' || {_NL} || '    ' ORDER BY payload_pos)
+         || {_NL} || '  ]' || {_NL} || '}}' || {lit(RANK_USER_TAIL)} AS prompt
+       FROM pl GROUP BY page_url, batch_id, (payload_pos - 1) // 30),
+a AS (SELECT * FROM pa UNION ALL SELECT * FROM pc UNION ALL SELECT * FROM pk UNION ALL SELECT * FROM pi2 UNION ALL SELECT * FROM pr)
+SELECT task, key, CAST(length(prompt) AS BIGINT) AS prompt_len, md5(prompt) AS prompt_md5 FROM a"""
+
+Q["report_document"] = Q["report_lines"].replace("SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, CAST(pos AS BIGINT) AS pos,\n  concat_ws", "bl AS (SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, CAST(pos AS BIGINT) AS pos,\n  concat_ws").replace("FROM rrows)\nbl AS", "FROM rrows),\nbl AS") + """),
+good AS (SELECT page_url, batch_id FROM rx WHERE arr IS NOT NULL AND len(arr) > 0),
+fb AS (SELECT p.page_url, p.batch_id, p.payload_pos, p.idea FROM payload p WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.page_url = p.page_url AND g.batch_id = p.batch_id)),
+none AS (SELECT DISTINCT page_url, batch_id FROM planned ANTI JOIN store USING (page_url, batch_id)),
+o AS (SELECT DISTINCT page_url, batch_id, 0 AS section, 0 AS pos, '--- Product Ideas (LLM-ranked) ---' AS text FROM bl
+  UNION ALL SELECT page_url, batch_id, 1, pos, block FROM bl
+  UNION ALL SELECT DISTINCT page_url, batch_id, 2, 0, 'Fallback — listing idea headlines:' FROM fb
+  UNION ALL SELECT page_url, batch_id, 3, payload_pos, ' - ' || idea FROM fb
+  UNION ALL SELECT page_url, batch_id, 4, 0, 'No product ideas generated for this batch.' FROM none)
+SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, CAST(section AS BIGINT) AS section, CAST(pos AS BIGINT) AS pos, md5(text) AS text_md5 FROM o"""
+
+Q["batch_plan_offset"] = f"""WITH {planned_ctes(duck(FX.POSTS))},
+r AS (SELECT page_url, seq, rn - 4 AS rn, n - 4 AS n FROM planned JOIN (SELECT page_url AS pu, count(*) AS n FROM planned GROUP BY page_url) ON pu = page_url WHERE rn > 4),
+b AS (SELECT page_url, seq, CASE WHEN n >= 10 THEN (CASE WHEN rn <= 10 THEN 0 ELSE 1 + least((rn - 11) // 3, 2) END) ELSE least((rn - 1) // 3, 3) END AS batch_id FROM r)
+SELECT page_url, seq, CAST(batch_id AS BIGINT) AS batch_id FROM b WHERE batch_id < 2"""
+
+Q["ordered_union"] = f"""WITH l AS ({_LINES}),
+u AS (SELECT 0 AS o, doc_id AS a, line_no AS b, {trim('post')} AS post FROM l
+  UNION ALL SELECT 1, conv_id, turn, {trim('text')} FROM conversations WHERE role = 'user'),
+r AS (SELECT *, row_number() OVER (PARTITION BY post ORDER BY o, a, b) AS rk FROM u WHERE post <> '')
+SELECT md5(post) AS post_md5, CAST(o AS BIGINT) AS source_ord, a, CAST(b AS BIGINT) AS b FROM r WHERE rk = 1"""
+
+Q["posts_insights"] = f"""WITH {planned_ctes(duck(FX.POSTS))}, {INSIGHT_CTES}
+SELECT p.seq, CAST(p.batch_id AS BIGINT) AS batch_id, i.status FROM planned p
+LEFT JOIN ins2 i ON i.page_url = p.page_url AND i.seq = p.seq AND NOT ({_failed('i.seq')}) AND NOT ({_missing('i.seq')})"""
+
+Q["stream_pages"] = f"""WITH a AS (SELECT DISTINCT url AS page_url, {trim(_PLAIN)} AS post FROM pages
+  WHERE NOT regexp_matches(url, 'login|signup|consent|native_app|app='))
+SELECT page_url, CAST(0 AS BIGINT) AS batch_id, CAST(1 AS BIGINT) AS seq, md5(post) AS post_md5 FROM a WHERE post <> ''"""

@@ -175,12 +175,24 @@ def q_preview(spark, sf):
 
 
 def q_prompt_render(spark, sf):
-    """P6 + P7: analysis prompts of every document (escaped), measured and fingerprinted."""
-    from ..operators.requests import analysis_prompt
+    """The prompts of all five tasks, measured and fingerprinted."""
+    from ..operators import model_tasks as M
+    from ..operators import requests as RQ
 
-    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(' """ '), F.lit(chr(92)), F.lit(" end")).alias("text"))
-    p = d.select("doc_id", analysis_prompt("text").alias("prompt"))
-    return p.select("doc_id", F.length("prompt").cast("bigint").alias("prompt_len"), F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+    shown = lambda d, task, key: d.select(F.lit(task).alias("task"), key.cast("string").alias("key"),
+                                          F.length("prompt").cast("bigint").alias("prompt_len"), F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+    d = table(spark, sf, "documents")
+    odd = d.select("doc_id", F.concat("text", F.lit(' """ '), F.lit(chr(92)), F.lit(" end")).alias("text"))
+    analyze = odd.select("doc_id", RQ.analysis_prompt("text").alias("prompt"))
+    chunks = M.chunk_requests(d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("page_url"), "text"))
+    cands = M.candidate_requests(_doc_blocks(spark, sf))
+    ideas = M.idea_requests(materialize(insights(spark, sf).filter("ins.ok")).join(fixture(spark, sf, FX.POSTS), ["page_url", "seq"]))
+    ranks = M.rank_requests(store(spark, sf))
+    out = shown(analyze, "analyze", F.col("doc_id"))
+    out = out.unionByName(shown(chunks, "extract_chunk", F.concat_ws("/", "page_url", F.col("chunk_no").cast("string"))))
+    out = out.unionByName(shown(cands, "extract_candidates", F.concat_ws("/", "page_url", F.col("cand_batch").cast("string"), F.col("request_no").cast("string"))))
+    out = out.unionByName(shown(ideas, "ideate", F.col("seq")))
+    return out.unionByName(shown(ranks, "rank", F.concat_ws("/", "page_url", F.col("batch_id").cast("string"), F.col("payload_no").cast("string"))))
 
 
 def q_seed_urls(spark, sf):
@@ -371,6 +383,36 @@ def q_report_lines(spark, sf):
     return rep.select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("pos").cast("bigint").alias("pos"), "block")
 
 
+def q_report_document(spark, sf):
+    """S6 + W3 + W4: every printed line of every batch: header and blocks, fallback headlines, or the
+    line for no ideas."""
+    st = store(spark, sf, reuse=True)
+    rep = rank_replies(spark, sf, st)
+    doc = R.report_document(R.all_batches(planned_posts(spark, sf), st), R.report_lines(R.ranked_rows(rep)), R.rank_fallback(st, rep))
+    return doc.select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("section").cast("bigint").alias("section"), "pos", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+def q_batch_plan_offset(spark, sf):
+    """The plan of the posts after the first four of each source, first two batches."""
+    posts = U.distinct_posts(fixture(spark, sf, FX.POSTS)).drop("n_copies")
+    return B.plan_batches(posts, offset=4, max_batches=2).select("page_url", "seq", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+def q_ordered_union(spark, sf):
+    """U2 + U1: document lines, then user turns, as one ordered list of posts per first letter; the
+    source and place of each post's first occurrence."""
+    lines = _doc_lines(spark, sf).select(T.trim_ws("post").alias("post"), F.col("doc_id").alias("a"), F.col("line_no").cast("bigint").alias("b"))
+    turns = table(spark, sf, "conversations").filter("role = 'user'").select(T.trim_ws("text").alias("post"), F.col("conv_id").alias("a"), F.col("turn").cast("bigint").alias("b"))
+    x = U.union_ordered(lines, turns).filter(F.col("post") != "").groupBy("post").agg(F.min(F.struct("source_ord", "a", "b")).alias("o"))
+    return x.select(F.md5(F.encode("post", "UTF-8")).alias("post_md5"), F.col("o.source_ord").cast("bigint").alias("source_ord"), "o.a", "o.b")
+
+
+def q_posts_insights(spark, sf):
+    """J1 + J4: every planned post with its stored insight; failed or unanswered ones have none."""
+    ins = M.analyze_results(*_analysis(spark, sf)).select("page_url", "seq", F.col("ins.status").alias("status"))
+    return planned_posts(spark, sf).join(ins, ["page_url", "seq"], "left").select("seq", F.col("batch_id").cast("bigint").alias("batch_id"), "status")
+
+
 def q_parse_quality(spark, sf):
     """Parse-status shares of the recorded analysis replies per page."""
     from ..operators.quality import parse_quality
@@ -474,7 +516,30 @@ def q_extract_text_replies(spark, sf):
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.col("url").alias("page_url"), "html")
+    from ..sources.tables import read_pages
+
+    return read_pages(spark, f"{sf.rstrip('/')}/pages.parquet")
+
+
+def q_stream_pages(spark, sf):
+    """S3 -> F1 -> G3 -> U1 -> T3: page snapshots arriving as files, parsed per micro-batch, their posts
+    released; pages of one round are flushed at the end."""
+    from ..operators import html_blocks as H
+    from ..sources.tables import stream_pages
+    from ..streaming.stream import Release, run_stream
+
+    base = _scratch(spark, "stream-pages")
+    table(spark, sf, "pages").select("page_id", "url", "html").write.parquet(f"{base}/in")
+    rel = Release(spark, f"{base}/tables")
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        kept, _ = G.url_gate(batch)
+        posts = H.selector_scan(H.page_blocks(kept))
+        rel.round(posts.select("page_url", F.col("pos").alias("seq"), "post"), epoch)
+
+    run_stream(stream_pages(spark, f"{base}/in"), handle, f"{base}/ckpt").awaitTermination()
+    rel.finish()
+    return rel.released().select("page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "seq", F.md5(F.encode("post", "UTF-8")).alias("post_md5"))
 
 
 def q_page_candidates(spark, sf):

@@ -27,17 +27,3 @@ def stream_pages(spark: SparkSession, path: str, schema: str = "page_id bigint,
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(path).withColumnRenamed("url", "page_url")
-
-
-def posts_from_documents(docs: DataFrame) -> DataFrame:
-    """Documents as posts: ``page_url = source``, arrival order ``seq = doc_id``."""
-    return docs.select(F.col("source").alias("page_url"), F.col("doc_id").alias("seq"), F.col("text").alias("post"))
-
-
-def posts_from_conversations(conv: DataFrame) -> DataFrame:
-    """User turns as posts: one page per conversation, ``seq = conv_id * 1000 + turn``."""
-    return conv.filter(F.col("role") == "user").select(
-        F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("page_url"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-        F.col("text").alias("post"),
-    )

@@ -193,7 +193,7 @@ def test_stream_round_counts_and_foreach_batch(spark, tmp_path):
 
 
 def test_write_report(spark, tmp_path):
-    from postmine.operators.rank import ranked_rows, report_lines, write_report
+    from postmine.operators.rank import ranked_rows, report_document, report_lines, write_report
 
     reply = ('{"ranked":[{"idea":"A","priority":1,"score":4.2,"estimated_revenue_usd":12345,'
              '"recommended_price_range":"$","go_to_market_channels":["x","y"],"rationale":"r","examples":["e  1"]},'
@@ -203,6 +203,9 @@ def test_write_report(spark, tmp_path):
     assert lines[0].block == ("\n1. A\nPriority: 1\nScore: 4.20\nEstimated revenue (USD): $12345\nRecommended price range: $\n"
                               "Go-to-market channels: x, y\nRationale: r\nExamples:\n  1. e 1\n---")
     assert lines[1].block == "\n2. B\nScore: 0.00\n---"
-    write_report(report_lines(ranked_rows(rep)), str(tmp_path / "report"))
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
-    assert "1. A" in text and "2. B" in text
+    counts = spark.createDataFrame([("u", 0, 2), ("u", 1, 1), ("v", 0, 0)], "page_url string, batch_id int, n_ideas long")
+    fallback = spark.createDataFrame([("u", 1, 1, "C")], "page_url string, batch_id int, pos int, idea string")
+    write_report(report_document(counts, report_lines(ranked_rows(rep)), fallback), str(tmp_path / "report"))
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert text.startswith("--- Product Ideas (LLM-ranked) ---\n\n1. A\n") and "2. B" in text
+    assert text.index("2. B") < text.index("Fallback — listing idea headlines:\n - C\n") < text.index("No product ideas generated")
