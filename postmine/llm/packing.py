@@ -52,7 +52,7 @@ class ChunkIds:
     survive. Unknown chunks are encoded together, one a line: a line feed is a token of its own before
     any chunk, and no chunk contains one."""
 
-    LIMIT, LINES = 300_000, 512
+    LIMIT, LINES = 600_000, 512
 
     def __init__(self, tokenizer):
         self.tokenizer, self.young, self.old = tokenizer, {}, {}
