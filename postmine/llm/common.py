@@ -221,3 +221,48 @@ def components(edges: DataFrame) -> DataFrame:
         lab._scratch_path = lab_path
         if done:
             return lab
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
+_SLICE = 1 << 20
+
+
+def _powers(n: int):
+    """Powers of the base and of its inverse, kept by the worker process."""
+    import numpy as np
+
+    cache = worker_cache("powers")
+    have = len(cache["up"]) if "up" in cache else 0
+    if have < n:
+        n = max(n, 2 * have, 1 << 16)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            cache[name] = np.multiply.accumulate(x)
+    return cache["up"], cache["down"]
+
+
+def hash_words(data: bytes):
+    """Start offsets and 64-bit hashes of the words of a text, computed for the whole buffer at once: a
+    word's polynomial is a difference of running sums, brought to a common origin by the inverse base."""
+    import numpy as np
+
+    starts, hashes, at = [], [], 0
+    white = np.zeros(256, bool)
+    white[list(WS_BYTES)] = True
+    while at < len(data):
+        end = min(len(data), at + _SLICE)
+        while end < len(data) and data[end] not in WS_BYTES:  # a slice never cuts a word
+            end += 1
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], white[b], [True]])))
+        s, e = edge[::2], edge[1::2]
+        if len(s):
+            up, down = _powers(len(b))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((b.astype(np.uint64) + np.uint64(1)) * up[:len(b)])])
+            starts.append(s + at)
+            hashes.append(mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        at = end
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, mix64, scratch, stored, with_row_key, without_rows, word_hashes
+from .common import components, drop_scratch, hash_words, mix64, scratch, stored, with_row_key, without_rows
 
 K, SHARED = 96, 49
 NEAR = 10  # shared values of the union sketch under which a similarity of 0.45 is excluded (1e-12)
@@ -49,14 +49,14 @@ STAR_ROUNDS = 2
 _MULT, _LONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 
 
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct signed 64-bit hashes of the word shingles."""
-    if not words:
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct signed 64-bit hashes of the word shingles of a lower-cased text."""
+    h = hash_words(text)[1]
+    if not len(h):
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
+    n = len(h) - size + 1
     if n < 1:
-        x, n, size = np.full(1, _LONE + np.uint64(len(words))), 1, len(words)
+        x, n, size = np.full(1, _LONE + np.uint64(len(h))), 1, len(h)
     else:
         x = np.zeros(n, np.uint64)
     for i in range(size):
@@ -77,7 +77,7 @@ def _sketch(size: int, k: int):
             n, cls, values, ends = [], [], [], [0]
             with np.errstate(over="ignore"):
                 for v in b.column("_bin"):
-                    x = shingle_hashes((v.as_py() or b"").lower().split(), size)
+                    x = shingle_hashes((v.as_py() or b"").lower(), size)
                     n.append(len(x))
                     cls.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                     values.append(x[:k].copy())  # not a view that keeps the whole set alive
@@ -174,7 +174,7 @@ def _compare(size: int):
             out = []
             with np.errstate(over="ignore"):
                 for a, block, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "block", "b", "_bin")]):
-                    mine = shingle_hashes(text.lower().split(), size)
+                    mine = shingle_hashes(text.lower(), size)
                     if b is None:
                         held, pivot = (a, block), mine
                         continue

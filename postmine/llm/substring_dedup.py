@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, mix64, scratch, with_row_key, word_hashes
+from .common import drop_scratch, hash_words, mix64, scratch, with_row_key
 
 WINDOW, GRAM = 50, 26  # a window holds WINDOW - GRAM + 1 grams, fewer than GRAM, so runs overlap
 FILTER_BITS = (1 << 16, 1 << 28)
 BLOCK_REQUESTS = 1024
+SLICE_BYTES = 1 << 19  # texts hashed together
 LAST_ID = (1 << 63) - 1
 ROW = ["_file_key", "_row_index"]
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -54,37 +55,51 @@ def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
         have *= 2
 
 
-def runs(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``(minimizer hash, run key, first window, windows)`` of each run, and all window hashes."""
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    g, w = gram_hashes(h, gram).view(np.int64), gram_hashes(h, window)
+def runs(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of all texts of a slice, hashed in one buffer: text number, minimizer hash, run key, first
+    window in its text, windows; then the hashes of all windows of the buffer and where each run starts
+    there. Windows that would cross from one text into the next belong to no run."""
+    starts, h = hash_words(b"\n".join(texts))
+    begin = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))  # first word of each text
     per = window - gram + 1
+    if len(h) < window:
+        return (*[np.zeros(0, np.int64)] * 5, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    g, w = gram_hashes(h, gram).view(np.int64), gram_hashes(h, window)
     at = np.lib.stride_tricks.sliding_window_view(g, per).argmin(axis=1) + np.arange(len(w))
-    first = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
-    n = np.diff(np.concatenate([first, [len(w)]]))
-    key = mix64(mix64(w[first] * _MULT + w[first + n - 1]) + n.astype(np.uint64))
-    return g[at[first]], key.view(np.int64), first, n, w.view(np.int64)
+    counts = np.maximum(np.diff(begin) - window + 1, 0)
+    valid = np.repeat(begin[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(valid):
+        return (*[np.zeros(0, np.int64)] * 5, w.view(np.int64), np.zeros(0, np.int64))
+    text = np.repeat(np.arange(len(texts)), counts)
+    new = np.concatenate([[True], (at[valid[1:]] != at[valid[:-1]]) | (text[1:] != text[:-1])])
+    first = np.flatnonzero(new)
+    n = np.diff(np.concatenate([first, [len(valid)]]))
+    a = valid[first]
+    key = mix64(mix64(w[a] * _MULT + w[a + n - 1]) + n.astype(np.uint64))
+    return text[first], g[at[a]], key.view(np.int64), a - begin[text[first]], n, w.view(np.int64), a
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch in slices of about ``SLICE_BYTES``, with the place of the first."""
+    at, texts, size = 0, [], 0
+    for v in batch.column("_bin"):
+        texts.append(v.as_py() or b"")
+        size += len(texts[-1])
+        if size > SLICE_BYTES:
+            yield at, texts
+            at, texts, size = at + len(texts), [], 0
+    if texts:
+        yield at, texts
 
 
 def _grams(window: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, hs, keys, size = [], [], [], 0
-            for doc, v in zip(b.column("doc").to_pylist(), b.column("_bin")):
-                words = (v.as_py() or b"").split()
-                if len(words) < window:
-                    continue
+            doc = np.asarray(b.column("doc"), np.int64)
+            for at, texts in _slices(b):
                 with np.errstate(over="ignore"):
-                    h, key, *_ = runs(words, window, gram)
-                docs.append(np.full(len(h), doc))
-                hs.append(h)
-                keys.append(key)
-                size += len(h)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, docs, keys)], names=["h", "doc", "key"])
-                    docs, hs, keys, size = [], [], [], 0
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, docs, keys)], names=["h", "doc", "key"])
+                    text, h, key, *_ = runs(texts, window, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[at + text]), pa.array(key)], names=["h", "doc", "key"])
 
     return run
 
@@ -108,40 +123,29 @@ def _edges(shared, window: int, gram: int):
     """Per document: words, digest of all of them, and its edges (runs, or single windows)."""
     names = [*ROW, "doc_id", "doc", "n_words", "sha", "edges"]
 
-    def batch(meta, parts, ends):
-        cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
-        fields = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
-        edges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["h", "key", "a", "n"]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*meta), types)], edges], names=names)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, mixed = shared.value
         for b in batches:
-            meta, parts, ends, held = [], [], [0], 0
-            for fk, ri, doc_id, doc, v in zip(*[b.column(c).to_pylist() for c in (*ROW, "doc_id", "doc")], b.column("_bin")):
-                words = (v.as_py() or b"").split()
-                meta.append((fk, ri, doc_id, doc, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
-                n_edges = 0
-                if len(words) >= window:
-                    with np.errstate(over="ignore"):
-                        h, key, a, n, w = runs(words, window, gram)
-                    keep = _has(repeated, h)
-                    single = keep & _has(mixed, h)
-                    whole = keep & ~single
-                    # the windows of a run that is dealt out one by one
-                    m = n[single]
-                    at = np.repeat(a[single], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    parts.append((np.concatenate([h[whole], np.repeat(h[single], m)]), np.concatenate([key[whole], w[at]]),
-                                  np.concatenate([a[whole], at]), np.concatenate([n[whole], np.ones(len(at), np.int64)])))
-                    n_edges = len(parts[-1][0])
-                ends.append(ends[-1] + n_edges)
-                held += n_edges
-                if held > 200_000:
-                    yield batch(meta, parts, ends)
-                    meta, parts, ends, held = [], [], [0], 0
-            if meta:
-                yield batch(meta, parts, ends)
+            for at, texts in _slices(b):
+                with np.errstate(over="ignore"):
+                    text, h, key, a, n, w, place = runs(texts, window, gram)
+                keep = _has(repeated, h)
+                single = keep & _has(mixed, h)
+                whole = keep & ~single
+                # the windows of a run that is dealt out one by one
+                m = n[single]
+                off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                cols = [np.concatenate([x[whole], y]) for x, y in (
+                    (text, np.repeat(text[single], m)), (h, np.repeat(h[single], m)), (key, w[np.repeat(place[single], m) + off]),
+                    (a, np.repeat(a[single], m) + off), (n, np.ones(len(off), np.int64)))]
+                order = np.argsort(cols[0], kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(cols[0], minlength=len(texts)))])
+                edges = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(
+                    [pa.array(c[order].astype(np.int64)) for c in cols[1:]], names=["h", "key", "a", "n"]))
+                words = [t.split() for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).slice(at, len(texts)) for c in (*ROW, "doc_id", "doc")], pa.array([len(x) for x in words], pa.int64()),
+                     pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in words]), edges], names=names)
 
     return run
 
