@@ -108,14 +108,14 @@ def idea_input(df: DataFrame, ins_col: str = "ins", post_col: str = "post") -> C
 
 def json_text(c) -> Column:
     """A string as JSON text, quoted and escaped."""
-    j = F.to_json(F.struct(F.coalesce(_c(c), F.lit("")).alias("s")))
-    return F.substring(j, F.lit(6), F.length(j) - 6)
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(_c(c), F.lit("")).alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
 
 
 def json_array(items, indent: int) -> Column:
     """JSON texts as an indented array (two blanks a level); empty: ``[]``."""
     inner, outer = "\n" + " " * (indent + 2), "\n" + " " * indent
-    return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + inner), F.array_join(items, "," + inner), F.lit(outer + "]")))
+    text = lambda a: F.when(F.size(a) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + inner), F.array_join(a, "," + inner), F.lit(outer + "]")))
+    return F.transform(F.array(items), text)[0]  # the items are evaluated once
 
 
 def json_object(fields, indent: int) -> Column:

@@ -125,9 +125,9 @@ POSTS_REPLIES = (
 # recorded call failures, kind by doc_id % 7
 ERRORS = """
 SELECT d.doc_id AS seq,
-  CASE d.doc_id % 7 WHEN 0 THEN 'Rate limit reached for requests' WHEN 1 THEN 'Request timed out'
-    WHEN 2 THEN 'LLM request failed: 400 Bad Request - invalid' WHEN 3 THEN NULL WHEN 4 THEN 'socket hang up'
-    WHEN 5 THEN 'TypeError: fetch failed' ELSE 'Empty LLM response' END AS message,
+  CASE d.doc_id % 7 WHEN 0 THEN 'Rate limit reached for requests: ' || d.text WHEN 1 THEN 'Request timed out'
+    WHEN 2 THEN 'LLM request failed: 400 Bad Request - ' || d.text WHEN 3 THEN NULL WHEN 4 THEN 'socket hang up at ' || d.text
+    WHEN 5 THEN d.text || ' TypeError: fetch failed' ELSE 'Empty LLM response to ' || d.text END AS message,
   CASE d.doc_id % 7 WHEN 0 THEN 429 WHEN 2 THEN 400 WHEN 3 THEN 429 ELSE NULL END AS status,
   CASE d.doc_id % 7 WHEN 1 THEN 'ETIMEDOUT' WHEN 4 THEN 'ECONNRESET' ELSE NULL END AS code
 FROM @documents@ d"""
