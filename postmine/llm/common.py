@@ -171,28 +171,6 @@ def indexed(df: DataFrame, order: list[str], name: str, partitions: int | None =
     )
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes); remembers a bounded number of them."""
-
-    LIMIT = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        import hashlib
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def word_hashes() -> WordHashes:
-    """The hashes of this worker process."""
-    cache = worker_cache("words")
-    if "hashes" not in cache:
-        cache["hashes"] = WordHashes()
-    return cache["hashes"]
-
-
 def mix64(x):
     """Finaliser that spreads every bit of a numpy uint64 array over all others."""
     import numpy as np

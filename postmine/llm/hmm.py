@@ -23,13 +23,14 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, word_hashes
+from .common import hash_words, scratch
 
 STATES = 8
 FREQUENT, BUCKETS = 32_768, 4_096
@@ -39,6 +40,7 @@ PRIOR = 20.0  # pseudo counts per state, spread like the symbols' overall shares
 STAY = 0.95  # initial probability of staying in a state
 LONG = 8_192  # tokens from which transfer matrices are used
 SEED = 6
+SLICE_BYTES = 1 << 20  # texts encoded together
 END = b""  # the end token; no word is empty
 FLUSH = 150_000  # distinct words a counting task holds before it hands them on
 
@@ -47,8 +49,10 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
 
 
-def bucket_of(word: bytes, buckets: int) -> int:
-    return word_hashes()[word] % buckets
+def buckets_of(words: list[bytes], buckets: int) -> np.ndarray:
+    """Hash bucket of each word."""
+    with np.errstate(over="ignore"):
+        return (hash_words(b"\n".join(words))[1] % np.uint64(buckets)).astype(np.int64)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -72,7 +76,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_bucket(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([bucket_of(w, buckets) for w in b.column("word").to_pylist()], pa.int32()), b.column("c")], names=["bucket", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets_of(b.column("word").to_pylist(), buckets), pa.int32()), b.column("c")], names=["bucket", "c"])
 
     return run
 
@@ -115,30 +119,49 @@ def vocabulary(train: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKET
 
 
 def _encode(known, buckets: int):
-    """Symbol codes of a text (16-bit) and its words without a code, with their number."""
-    names = ["doc_id", "held_out", "codes", "rare"]
-    types = [pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("bucket", pa.int32()), ("tf", pa.int64())]))]
+    """Symbol codes of a text (16-bit) and its words without a code, with their number. Texts are handled
+    in slices: one buffer is split and hashed, the arrays are then divided by text."""
+    entry = pa.struct([("word", pa.binary()), ("bucket", pa.int32()), ("tf", pa.int64())])
+
+    def slice_(b: pa.RecordBatch, at: int, texts: list[bytes], codes: dict) -> pa.RecordBatch:
+        data = b"\n".join(texts).lower()
+        words = data.split()
+        with np.errstate(over="ignore"):
+            starts, h = hash_words(data)
+        begin = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        text = np.repeat(np.arange(len(texts)), np.diff(begin))
+        got = np.fromiter(map(codes.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(got < 0)
+        bucket = (h[rare] % np.uint64(buckets)).astype(np.int64)
+        got[rare] = len(codes) + bucket
+        out = np.insert(got, begin[1:], codes[END]).astype(np.uint16)
+        ends = begin[1:] + np.arange(1, len(texts) + 1)
+        # equal rare words of a text are neighbours in this order
+        order = np.lexsort((h[rare], text[rare]))
+        t, x = text[rare][order], h[rare][order]
+        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])])) if len(t) else np.zeros(0, np.int64)
+        tf = np.diff(np.concatenate([new, [len(t)]]))
+        first = rare[order][new]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(t[new], minlength=len(texts)))]).astype(np.int32)), pa.StructArray.from_arrays(
+            [pa.array([words[i] for i in first.tolist()], pa.binary()), pa.array(bucket[order][new].astype(np.int32)), pa.array(tf)], fields=list(entry)))
+        raw = out.tobytes()
+        cuts = [0, *(2 * ends).tolist()]
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id").slice(at, len(texts)), b.column("held_out").slice(at, len(texts)), pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary()), lists],
+            names=["doc_id", "held_out", "codes", "rare"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = known.value
-        first = len(codes)
         for b in batches:
-            rows, size = [], 0
-            for doc, held, v in zip(*[b.column(c) for c in ("doc_id", "held_out", "_bin")]):
-                words = (v.as_py() or b"").lower().split()
-                got = list(map(codes.get, words))
-                rare: Counter = Counter(w for w, c in zip(words, got) if c is None)
-                at = {w: first + bucket_of(w, buckets) for w in rare}
-                if rare:
-                    got = [at[w] if c is None else c for w, c in zip(words, got)]
-                got.append(codes[END])
-                rows.append((doc.as_py(), held.as_py(), np.array(got, np.uint16).tobytes(), [{"word": w, "bucket": at[w] - first, "tf": n} for w, n in rare.items()]))
-                size += 2 * len(got) + 100 * len(rare)
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            at, texts, size = 0, [], 0
+            for v in b.column("_bin"):
+                texts.append(v.as_py() or b"")
+                size += len(texts[-1])
+                if size > SLICE_BYTES:
+                    yield slice_(b, at, texts, codes)
+                    at, texts, size = at + len(texts), [], 0
+            if texts:
+                yield slice_(b, at, texts, codes)
 
     return run
 

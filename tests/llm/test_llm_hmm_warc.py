@@ -89,7 +89,7 @@ def test_probabilities_of_words_sum_to_one(spark):
     m = H.HMM.initial(share, 3)
     assert np.allclose(m.emit.sum(axis=0), 1)
     words = {bytes(r["word"]): r["c"] for r in voc.words.collect()}
-    inside = {b: sum(c + 0.5 for w, c in words.items() if w not in voc.frequent and H.bucket_of(w, 4) == b) + 0.5 for b in range(4)}
+    inside = {b: sum(c + 0.5 for w, c in words.items() if w not in voc.frequent and H.buckets_of([w], 4)[0] == b) + 0.5 for b in range(4)}
     assert all(math.isclose(inside[b], voc.counts[len(voc.frequent) + b] + 0.5 * (voc.kinds[b] + 1)) for b in range(4))
 
 
