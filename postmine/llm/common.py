@@ -33,7 +33,7 @@ _TABLES: dict[str, list[str]] = {}
 def small_batches(spark: SparkSession) -> None:
     """Rows hold whole texts: hand Python tasks at most ``BATCH_ROWS`` of them at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
