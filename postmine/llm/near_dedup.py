@@ -9,17 +9,14 @@ shared. For sets of up to 235 shingles this holds always; for larger ones a pair
 fewer than 49 of 96 values with a probability of about 1e-10. Frequent values stay out of the index, as they
 are never among the rarest. No list, no number of candidates and no number of partners is capped.
 
-Only components are asked for, and groups of near copies may hold a third of all rows, so pairs of a
-list are not expanded. Each list is compared with one pivot, its smallest set P; the sketches decide
-which members are near enough to be compared on the full sets. If x and y are linked and x is not
-linked with P, then |x & P| < 4/9 (|x| + |P|) <= 4/9 (|x| + |y|) <= |x & y|, so x and y share a
-shingle outside P: such links are found in lists of those residual shingles, which random edits make
-short. Members that are far from P (a full-set similarity under 0.65, or a sketch that excludes 0.45)
-form the list of the next round; two linked sets are never split by that, as the distances to P of
-linked sets differ by at most 0.2. After the rounds what is left of a list, and the residual lists, are
-compared exhaustively across components: all members outside the largest component of a list against
-all others. Candidates must pass the size bound and the estimate from the union sketch; links are
-confirmed on the full sets, streamed block by block with the pivot first.
+Only components are asked for, so pairs inside a known component need no look. Star rounds compare
+each list with one pivot, then labels are merged; what is still in several components is compared
+exhaustively: in each list, all classes outside its largest component against all others. Rows of a
+list carry a bit signature (one bit of the smallest hash in each of 256 ranges), so the join itself
+drops pairs that are far apart: linked sets differ in a tenth of the bits at most on average, pairs that
+differ in more than ``MAX_BITS`` are excluded with a probability of error of 1e-12. Candidates must then
+pass the estimate from the union sketch; links are confirmed on the full sets, streamed block by block
+with the pivot first.
 
 Defined cases: null or empty text has an empty set and is linked with nothing; a text with fewer words
 than a shingle has one shingle; null ids never represent a group that has another id; extra columns are
@@ -40,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import components, drop_scratch, hash_words, mix64, scratch, stored, with_row_key, without_rows
 
 K, SHARED = 96, 49
-NEAR = 10  # shared values of the union sketch under which a similarity of 0.45 is excluded (1e-12)
-FAR_PERCENT = 65  # members less similar to the pivot than this go to the next round, too
+RANGES, MAX_BITS = 256, 60
+SIGN = ["s0", "s1", "s2", "s3"]
 PERCENT = 80
 SHINGLE = 2
 BLOCK_PAIRS = 256  # members compared with one copy of their pivot
@@ -71,10 +68,20 @@ def word_set(text: bytes, size: int) -> set:
     return set(zip(*[w[i:] for i in range(size)])) if len(w) >= size else {tuple(w)}
 
 
+def signature(x: np.ndarray) -> np.ndarray:
+    """One bit of the smallest value in each of 256 equal ranges, as four 64-bit words."""
+    bits = np.zeros(RANGES, np.uint8)
+    if len(x):
+        at = (x >> np.int64(56)) + 128
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bits[at[first]] = (x[first] & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def _sketch(size: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls, values, ends = [], [], [], [0]
+            n, cls, values, ends, signs = [], [], [], [0], []
             with np.errstate(over="ignore"):
                 for v in b.column("_bin"):
                     x = shingle_hashes((v.as_py() or b"").lower(), size)
@@ -82,11 +89,12 @@ def _sketch(size: int, k: int):
                     cls.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                     values.append(x[:k].copy())  # not a view that keeps the whole set alive
                     ends.append(ends[-1] + len(values[-1]))
+                    signs.append(signature(x))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in ("_file_key", "_row_index", "doc_id")], pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["_file_key", "_row_index", "doc_id", "n_shingles", "cls", "sketch"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *[pa.array([g[i] for g in signs], pa.int64()) for i in range(4)]],
+                names=["_file_key", "_row_index", "doc_id", "n_shingles", "cls", "sketch", *SIGN])
 
     return run
 
@@ -100,14 +108,14 @@ class NearDuplicates:
 
 def _classes(rows: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("_file_key").alias("f"), F.col("_row_index").alias("r"),
-                     F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
+                     F.col("n_shingles").alias("n"), F.col("sketch").alias("s"), *SIGN)
     x = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(first).alias("m"))
-    x = x.select("cls", F.col("m.n").alias("n"), F.col("m.s").alias("sketch"), F.col("m.i").alias("doc_id"), F.col("m.f").alias("_file_key"), F.col("m.r").alias("_row_index"))
+    x = x.select("cls", F.col("m.n").alias("n"), F.col("m.s").alias("sketch"), F.col("m.i").alias("doc_id"), F.col("m.f").alias("_file_key"), F.col("m.r").alias("_row_index"), *[f"m.{c}" for c in SIGN])
     return scratch(x.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
 
 def inverted_lists(classes: DataFrame, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
-    """``v, node, n``: the indexed values of each class; lists of one class are left out."""
+    """``v, node, n`` and signature: the indexed values of each class; lists of one class are left out."""
     e = classes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     counts = e.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     per = e.join(counts, "v").groupBy("node").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("c", "v"))).alias("l"))
@@ -116,7 +124,7 @@ def inverted_lists(classes: DataFrame, percent: int = PERCENT, shared: int = SHA
     index = per.select("node", F.explode(F.slice("l", 1, take)).alias("x")).select(F.col("x.v").alias("v"), "node")
     index = scratch(index, "near-index")
     full = index.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
-    return scratch(index.join(full, "v").join(classes.select("node", "n"), "node").select("v", "node", "n"), "near-lists")
+    return scratch(index.join(full, "v").join(classes.select("node", "n", *SIGN), "node").select("v", "node", "n", *SIGN), "near-lists")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -126,33 +134,43 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(l, lists["node"] == l["_n"], "left").select(*lists.columns, F.coalesce("_c", "node").alias("comp"))
 
 
-def _near_size(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _near(a: str, b: str, percent: int):
+    """Size bound and bit signatures of two list rows (columns ``n``, ``s0`` to ``s3`` with prefixes)."""
+    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
+    bits = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    return (small * 100 >= large * percent) & (bits <= MAX_BITS)
+
 
+def _as(prefix: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in ("node", "comp", "n", "s0", "s1", "s2", "s3")]
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """``v, a, b``: every member of a list that spans several components with the list's smallest set."""
-    pivot = F.min(F.struct("n", "node")).alias("p")
+
+def star_pairs(lists: DataFrame, round_no: int, percent: int) -> DataFrame:
+    """One pivot per list that spans several components; the first round takes the smallest node, so
+    lists of one group agree on it, later rounds a random one."""
+    order = F.lit(0).cast("bigint") if round_no == 0 else F.xxhash64(F.lit(round_no), "v", "node")
+    pivot = F.min(F.struct(order.alias("o"), "node", "comp", "n", "s0", "s1", "s2", "s3")).alias("p")
     p = lists.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).filter("lo <> hi")
-    p = p.select("v", F.col("p.node").alias("a"))
-    return lists.join(p, "v").filter(F.col("node") != F.col("a")).select("v", "a", F.col("node").alias("b"), "n")
+    p = p.select("v", "p.*").select("v", *_as("p_"))
+    x = lists.join(p, "v").filter((F.col("comp") != F.col("p_comp")) & _near("", "p_", percent))
+    return x.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def remaining_pairs(lists: DataFrame, percent: int, key: list[str]) -> DataFrame:
-    """Every pair of a list that spans two components: members outside the list's largest component
+def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Every near pair of a list that spans two components: members outside the list's largest component
     against all others."""
-    sizes = lists.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy(*key).agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    main = main.select(*key, F.col("m.comp").alias("main"))
-    x = scratch(lists.join(main, key), "near-open")
-    a = x.filter("comp <> main").select(*key, F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = a.join(x, key).filter((F.col("comp") != F.col("ca")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("node"))) & _near_size("n", "na", percent))
-    return y.select("a", F.col("node").alias("b")).distinct()
-
-
-def by_sketch(pairs: DataFrame, sketches: DataFrame, shared: int, percent: int, k: int = K) -> DataFrame:
-    """Keep pairs that share at least ``shared`` values of their union sketch; where both sets are whole,
-    those of at least ``percent``. ``sketches``: ``node, n, sketch``."""
+    sizes = lists.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    x = scratch(lists.join(main.select("v", F.col("m.comp").alias("main")), "v"), "near-open")
+    a = x.filter("comp <> main").select("v", *_as("p_"))
+    other = (F.col("comp") != F.col("p_comp")) & ((F.col("comp") == F.col("main")) | (F.col("p_node") < F.col("node")))
+    y = a.join(x, "v").filter(other & _near("", "p_", percent))
+    return y.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, k: int = K, shared: int = SHARED) -> DataFrame:
+    """Keep pairs whose union sketch allows the similarity; exact where both sets are whole.
+    ``sketches``: ``node, n, sketch``."""
     s = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     x = pairs.join(s("a"), "a").join(s("b"), "b")
     both = F.array_intersect("sa", "sb")
@@ -164,92 +182,57 @@ def by_sketch(pairs: DataFrame, sketches: DataFrame, shared: int, percent: int,
     return x.filter(ok).select("a", "b")
 
 
-def _compare(size: int):
+def _confirm(size: int, percent: int):
     """Rows sorted by (a, block), the pivot (b null) first; one pivot's set is held at a time."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pivot = None, np.zeros(0, np.int64)
+        held, pivot = None, set()
         for batch in batches:
-            out = []
-            with np.errstate(over="ignore"):
-                for a, block, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "block", "b", "_bin")]):
-                    mine = shingle_hashes(text.lower(), size)
-                    if b is None:
-                        held, pivot = (a, block), mine
-                        continue
-                    if held != (a, block):
-                        raise ValueError("a member without its pivot")
-                    rest = np.setdiff1d(mine, pivot, assume_unique=True)
-                    out.append((a, b, len(pivot), len(mine), len(mine) - len(rest), rest))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["a", "b", "na", "nb", "common", "rest"])
+            out_a, out_b = [], []
+            for a, block, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "block", "b", "_bin")]):
+                mine = word_set(text, size)
+                if b is None:
+                    held, pivot = (a, block), mine
+                    continue
+                if held != (a, block):
+                    raise ValueError("a member without its pivot")
+                common = len(mine & pivot)
+                if common and common * 100 >= (len(mine) + len(pivot) - common) * percent:
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Full-set sizes of pairs and of what they share, and the shingles of b outside a (``rest``).
-    ``texts``: ``node, _bin``. A pivot with many members is dealt over blocks, so no task gets an
-    unbounded group."""
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Pairs whose full sets are similar enough. ``texts``: ``node, _bin``. A pivot with many members
+    is dealt over blocks, so no task gets an unbounded group."""
     p = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a")
     p = p.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK_PAIRS)).cast("int").alias("block"))
     p = scratch(p, "near-pairs")
     members = p.join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "_bin")
     pivots = p.select("a", "block").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("bigint").alias("b"), "_bin")
     x = pivots.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return x.mapInArrow(_compare(size), "a bigint, b bigint, na bigint, nb bigint, common bigint, rest array<bigint>")
-
-
-def _similar(percent: int):
-    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
-
-
-class _Linker:
-    """Links and component labels so far."""
-
-    def __init__(self, texts: DataFrame, sketches: DataFrame, size: int, percent: int):
-        self.texts, self.sketches, self.size, self.percent = texts, sketches, size, percent
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def add(self, links: DataFrame) -> None:
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = components(self.links)
-
-    def finish(self, lists: DataFrame, key: list[str]) -> None:
-        """Compare across components whatever is left in the lists."""
-        pairs = scratch(by_sketch(remaining_pairs(_labelled(lists, self.labels), self.percent, key), self.sketches, SHARED, self.percent), "near-candidates")
-        if pairs.limit(1).count():
-            found = scratch(compared(pairs, self.texts, self.size).filter(_similar(self.percent)).select("a", "b"), "near-links")
-            self.add(found)
-
-
-def link(lists: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, percent: int, rounds: int) -> _Linker:
-    """All links that decide the components of ``lists`` (``v, node, n``)."""
-    state = _Linker(texts, sketches, size, percent)
-    stars = []
-    for _ in range(rounds):
-        pairs = scratch(star_pairs(_labelled(lists, state.labels)), "near-stars")
-        tests = scratch(by_sketch(pairs.select("a", "b").distinct(), sketches, NEAR, 30), "near-tests")
-        if tests.limit(1).count() == 0:
-            break
-        done = scratch(compared(tests, texts, size), "near-compared")
-        stars.append(done)
-        state.add(done.filter(_similar(percent)).select("a", "b"))
-        close = done.filter(_similar(FAR_PERCENT)).select("a", "b")
-        lists = scratch(pairs.join(close, ["a", "b"], "left_anti").select("v", F.col("b").alias("node"), "n"), "near-far")
-    for done in stars:  # links between members of one star: they share a shingle outside its pivot
-        c = state.labels
-        own = c.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-        of = c.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        x = done.join(own, "a", "left").join(of, "b", "left").withColumn("_cb", F.coalesce("cb", "b"))
-        open_ = x.groupBy("a").agg(F.count_if(F.col("_cb") != F.coalesce("ca", "a")).alias("k")).filter("k > 0").select("a")
-        rest = done.join(open_, "a").select(F.col("a").alias("v"), F.explode("rest").alias("e"), F.col("b").alias("node"), F.col("nb").alias("n"))
-        many = rest.groupBy("v", "e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", "e")
-        state.finish(scratch(rest.join(many, ["v", "e"]), "near-residual"), ["v", "e"])
-    state.finish(lists, ["v"])
-    return state
+    return x.mapInArrow(_confirm(size, percent), "a bigint, b bigint")
+
+
+def link(lists: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, percent: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links that decide the components of ``lists``, and the component of each linked node."""
+    labels, links, tested = None, None, None
+    for r in range(rounds + 1):
+        at = _labelled(lists, labels)
+        pairs = star_pairs(at, r, percent) if r < rounds else remaining_pairs(at, percent)
+        if tested is not None:
+            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = scratch(by_sketch(pairs, sketches, percent), "near-candidates")
+        if pairs.limit(1).count() == 0:
+            continue
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = scratch(confirmed(pairs, texts, size, percent), "near-links")
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+    return labels, links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT,
@@ -258,18 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity of at least ``percent`` / 100."""
     keyed = with_row_key(docs).select("_file_key", "_row_index", F.col(id_col).cast("bigint").alias("doc_id"),
                                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_bin"))
-    rows = scratch(keyed.mapInArrow(_sketch(size, K), "_file_key bigint, _row_index bigint, doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>"), "near-rows")
+    rows = scratch(keyed.mapInArrow(_sketch(size, K), "_file_key bigint, _row_index bigint, doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "near-rows")
     fat_rows, fat = rows, _classes(rows)
-    rows = scratch(rows.drop("sketch"), "near-rows")
+    rows = scratch(rows.drop("sketch", *SIGN), "near-rows")
     drop_scratch(fat_rows)
     lists = inverted_lists(fat, percent)
     # the texts and sketches that any comparison may need
     nodes = scratch(fat.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "_file_key", "_row_index"), "near-nodes")
-    classes = scratch(fat.drop("sketch"), "near-classes")
+    classes = scratch(fat.drop("sketch", *SIGN), "near-classes")
     drop_scratch(fat)
     texts = scratch(keyed.join(nodes.select("node", "_file_key", "_row_index"), ["_file_key", "_row_index"]).select("node", "_bin"), "near-texts")
-    state = link(lists, texts, nodes.select("node", "n", "sketch"), size, percent, star_rounds)
-    labels, links = state.labels, state.links
+    labels, links = link(lists, texts, nodes.select("node", "n", "sketch"), size, percent, star_rounds)
     if labels is None:
         labels = classes.limit(0).select("node", F.col("node").alias("comp"))
         links = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
