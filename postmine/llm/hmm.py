@@ -35,6 +35,7 @@ from .common import hash_words, scratch
 STATES = 8
 FREQUENT, BUCKETS = 32_768, 4_096
 SEGMENT = 256
+BINS_PER_OCTAVE = 64  # of the histogram of word counts
 WARM_ROUNDS, WARM_SHARE, FULL_ROUNDS = 8, 8, 2
 PRIOR = 20.0  # pseudo counts per state, spread like the symbols' overall shares
 STAY = 0.95  # initial probability of staying in a state
@@ -98,8 +99,17 @@ class Vocabulary:
 def vocabulary(train: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS) -> Vocabulary:
     words = scratch(train.select("_bin").mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "hmm-words")
     total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # the end token always has a code of its own
-    top = words.orderBy(F.octet_length("word") > 0, F.col("c").desc(), "word").limit(frequent).collect()
+    # the words above a count that at most ``frequent`` words reach: from a histogram of fixed size, so
+    # no task sends its own candidates to the driver; the end token always has a code of its own
+    bin_ = F.floor(F.log2(F.col("c").cast("double")) * BINS_PER_OCTAVE).cast("int")
+    held, least = 1, None
+    for r in sorted(words.groupBy(bin_.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        held += r["count"]
+        if held > frequent:
+            break
+        least = r["b"]
+    chosen = F.octet_length("word") == 0 if least is None else (F.octet_length("word") == 0) | (bin_ >= least)
+    top = sorted(words.filter(chosen).collect(), key=lambda r: (len(r["word"]) > 0, -r["c"], bytes(r["word"])))
     codes = {bytes(r["word"]): i for i, r in enumerate(top)}
     codes.setdefault(END, len(codes))
     counts = np.zeros(len(codes) + buckets)
