@@ -8,7 +8,8 @@ a shuffle join of (document, rare word) with the counts delivers.
 
 Training: tasks run forward-backward on segments of ``SEGMENT`` tokens (whole documents, all segments)
 and return expected counts per symbol; Spark adds them by symbol; the driver normalises the fixed-size
-table. A few warm-up rounds use one document in ``WARM_SHARE``, chosen by hash, then full rounds follow.
+table. Every round reads all training rows: ``WARM_ROUNDS + FULL_ROUNDS`` at least, then as many as it
+takes until a round gains less than ``TOLERANCE`` in log10 likelihood per token.
 Scoring: the scaled forward recursion over the whole text; long texts multiply scaled transfer matrices
 of their segments, which is the same recursion in another order.
 
@@ -36,7 +37,8 @@ STATES = 8
 FREQUENT, BUCKETS = 32_768, 4_096
 SEGMENT = 256
 BINS_PER_OCTAVE = 64  # of the histogram of word counts
-WARM_ROUNDS, WARM_SHARE, FULL_ROUNDS = 8, 8, 2
+WARM_ROUNDS, FULL_ROUNDS = 8, 2  # rounds that always run
+TOLERANCE = 1e-3  # least gain of a further round, log10 likelihood per token
 PRIOR = 20.0  # pseudo counts per state, spread like the symbols' overall shares
 STAY = 0.95  # initial probability of staying in a state
 LONG = 8_192  # tokens from which transfer matrices are used
@@ -199,26 +201,28 @@ class HMM:
         """Forward-backward over segments ``flat[at:at + length]``, longest first."""
         k, top = len(self.start), int(length[0])
         active = np.searchsorted(-length, -np.arange(1, top + 1), "right")  # segments that have step t
-        alpha, scale = np.zeros((top, len(at), k)), np.ones((top, len(at)))
+        # one row per state: the steps work along the segments
+        emit, begin = np.ascontiguousarray(self.emit.T), np.where(first, self.start[:, None], self.resume[:, None])
+        alpha, seen, scale = np.zeros((top, k, len(at))), np.zeros((top, k, len(at))), np.ones((top, len(at)))
         for t in range(top):
             n = active[t]
-            a = np.where(first[:, None], self.start, self.resume) if t == 0 else alpha[t - 1, :n] @ self.move
-            a = a * self.emit[flat[at[:n] + t]]
-            scale[t, :n] = c = a.sum(axis=1)
-            alpha[t, :n] = a / c[:, None]
-        beta = np.ones((len(at), k))
+            seen[t, :, :n] = e = emit[:, flat[at[:n] + t]]
+            a = (begin if t == 0 else self.move.T @ alpha[t - 1, :, :n]) * e
+            scale[t, :n] = c = a.sum(axis=0)
+            alpha[t, :, :n] = a / c
+        beta = np.ones((k, len(at)))
         for t in range(top - 1, -1, -1):
             n = active[t]
-            gamma = alpha[t, :n] * beta[:n]
+            gamma = alpha[t, :, :n] * beta[:, :n]
             into.symbols.append(flat[at[:n] + t])
             into.gammas.append(gamma)
             if t == 0:
-                into.start += gamma[first].sum(axis=0)
-                into.resume += gamma[~first].sum(axis=0)
+                into.start += gamma[:, first].sum(axis=1)
+                into.resume += gamma[:, ~first].sum(axis=1)
             else:
-                v = self.emit[flat[at[:n] + t]] * beta[:n] / scale[t, :n, None]
-                into.move += self.move * (alpha[t - 1, :n].T @ v)
-                beta[:n] = v @ self.move.T
+                v = seen[t, :, :n] * beta[:, :n] / scale[t, :n]
+                into.move += self.move * (alpha[t - 1, :, :n] @ v.T)
+                beta[:, :n] = self.move @ v
         into.log10 += float(np.log10(scale).sum())
         into.tokens += int(length.sum())
         into.settle()
@@ -280,9 +284,9 @@ class Expected:
         self.gammas: list[np.ndarray] = []
 
     def settle(self) -> None:
-        s, g = np.concatenate(self.symbols), np.concatenate(self.gammas)
-        for k in range(g.shape[1]):
-            self.emit[:, k] += np.bincount(s, weights=g[:, k], minlength=len(self.emit))
+        s, g = np.concatenate(self.symbols), np.concatenate(self.gammas, axis=1)
+        for k in range(len(g)):
+            self.emit[:, k] += np.bincount(s, weights=g[k], minlength=len(self.emit))
         self.symbols, self.gammas = [], []
 
 
@@ -364,14 +368,17 @@ def train_round(model: HMM, codes: DataFrame, share: np.ndarray) -> tuple[HMM, f
     return new, float(sums[0] / max(1.0, sums[1] if k > 1 else 1.0))
 
 
-def train(codes: DataFrame, vocab: Vocabulary, states: int = STATES, warm: int = WARM_ROUNDS, full: int = FULL_ROUNDS) -> HMM:
-    """``codes``: the training rows with ``row`` (an integer to choose warm-up rows by hash)."""
+def train(codes: DataFrame, vocab: Vocabulary, states: int = STATES, warm: int = WARM_ROUNDS, full: int = FULL_ROUNDS, tolerance: float = TOLERANCE) -> HMM:
+    """``codes``: the training rows; each round reads all of them. ``warm + full`` rounds always run,
+    more follow until a round gains less than ``tolerance``."""
     share = (vocab.counts + 0.5) / (vocab.counts + 0.5).sum()
-    model = HMM.initial(share, states)
-    some = codes.filter(F.pmod(F.xxhash64("row"), F.lit(WARM_SHARE)) == 0)
-    for r in range(warm + full):
-        model, _ = train_round(model, some if r < warm else codes, share)
-    return model
+    model, last, r = HMM.initial(share, states), -math.inf, 0
+    while True:
+        new, fit = train_round(model, codes, share)  # ``fit`` is the likelihood of ``model``
+        r += 1
+        if r >= warm + full and fit - last < tolerance:
+            return new
+        model, last = new, fit
 
 
 def _score(shared):

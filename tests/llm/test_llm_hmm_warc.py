@@ -93,6 +93,29 @@ def test_probabilities_of_words_sum_to_one(spark):
     assert all(math.isclose(inside[b], voc.counts[len(voc.frequent) + b] + 0.5 * (voc.kinds[b] + 1)) for b in range(4))
 
 
+def test_every_round_reads_all_rows_until_the_likelihood_stands(spark, monkeypatch):
+    """The same model from any split of the rows, after rounds over all of them."""
+    rows, seen = hmm_corpus(60), []
+    inner = H.train_round
+
+    def counted(model, codes, share):
+        new, fit = inner(model, codes, share)
+        seen.append((codes.count(), fit))
+        return new, fit
+
+    monkeypatch.setattr(H, "train_round", counted)
+    got = []
+    for parts in (1, 7):
+        d = spark.createDataFrame(rows, DOCS).select("doc_id", "text").repartition(parts, "doc_id")
+        got.append({r.doc_id: r.score for r in H.scored(d, states=3, frequent=24, buckets=8, warm=1, full=1).collect()})
+        train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, *_ in rows)
+        fits = [f for _, f in seen]
+        assert {n for n, _ in seen} == {train} and len(seen) > 2
+        assert fits[-1] - fits[-2] < H.TOLERANCE and all(b - a >= H.TOLERANCE for a, b in zip(fits[2:], fits[3:-1]))
+        seen.clear()
+    assert got[0].keys() == got[1].keys() and np.allclose([got[0][i] for i in got[0]], [got[1][i] for i in got[0]])
+
+
 def test_hmm_without_training_rows(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = H.scored(spark.createDataFrame([(held, "a b", "c", "c")], DOCS).drop("held_out"), frequent=4, buckets=4, warm=1, full=1).collect()
