@@ -193,6 +193,9 @@ class _TreeBuilder(HTMLParser):
         if not self.stack[-1].hidden:
             self._show(data)
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # any "<![" ends at the next ">", as in browsers
+
     def finish(self):
         self.close()
         if self.body is None:
@@ -202,6 +205,7 @@ class _TreeBuilder(HTMLParser):
 
 
 _SPACES = re.compile(r"[ \t\r\f\v ]+")
+_LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")
 
 
 def _inner_text(raw):
@@ -214,10 +218,8 @@ def parse_page(page_url: str, html: str, g2=None, g3=None):
     g2 = g2 or [compile_selector(x) for x in CANDIDATE_SELECTORS]
     g3 = g3 or [compile_selector(x) for x in SCAN_SELECTORS]
     b = _TreeBuilder()
-    try:
-        b.feed(html or "")
-    except Exception:  # noqa: BLE001 - a broken page yields the elements parsed so far
-        pass
+    # int() refuses thousands of digits; a number of eight is past the last code point as well
+    b.feed(_LONG_REFERENCE.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'}", html or ""))
     b.finish()
     text = "".join(b.text)
     masks = [tuple(sum(1 << i for i, test in enumerate(tests) if test(n.tag, n.attrs)) for tests in (g2, g3)) for n in b.nodes]

@@ -106,3 +106,12 @@ def test_empty_body_and_selector_scan_fallback(spark):
     scan = {(r.page_url, r.pos): r.post for r in H.selector_scan(b).collect()}
     assert scan[("s", 1)] == "one" and ("s", 2) not in scan
     assert [scan[("f", i)] for i in (1, 2, 3)] == ["alphabeta", "alpha", "beta"]
+
+
+def test_malformed_markup_keeps_the_rest_of_the_page():
+    sections = ("<![foo[x]]>", "<![>", "<![ x]>", "<![if !IE]>", "<![endif]>", "<![CDATA[x]]>", "<![if x>", "<!>", "<!x [y>")
+    for bad in sections:
+        text = H.parse_page("u", page(f"<article>before</article>{bad}<article>tail</article>{bad}<p>end</p>"))[1]
+        assert [text.count(x) for x in ("before", "tail", "end")] == [1, 1, 1], bad
+    for ref, want in (("&#" + "0" * 5000 + "65;", "A"), ("&#" + "9" * 5000 + ";", "\ufffd")):
+        assert H.parse_page("u", page(f'<p title="{ref}">{ref}</p><p>tail</p>'))[1].endswith(f"{want}tail")
