@@ -6,8 +6,9 @@ Scale notes
   every later post lands in the last batch. The rank is therefore a top-k window (Spark plans a
   partial ``WindowGroupLimit`` before the shuffle), joined back on ``(page_url, seq)``; a page holding
   a third of all posts is never sorted in one task.
-* B2 streams (position, length) in order with one running size; a page is dealt over tasks by ranges
-  of positions.
+* B2 deals (page, position, length) over tasks in sorted ranges. A range is summarised for every size that
+  a batch open at its start may have; a page's summaries are walked in order, and each range is folded from
+  its true entry. The borders are those of one fold over the whole page.
 * G1 is a per-row generator (no shuffle).
 """
 
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Batch plan of the scroll loop (initial batch, chunk size, rounds) and chunker sizes.
 INITIAL_BATCH = 10
 CHUNK_SIZE = 3
@@ -25,8 +28,8 @@ CHUNK_OVERLAP = 300
 # Request packing limit and item caps.
 BATCH_CHAR_LIMIT = 10000
 MAX_ITEMS_PER_REQUEST = 50
-# [ours] positions of a page that one task folds; a batch border falls after each such range.
-SUBPAGE_POSITIONS = 100_000
+# [ours] at most 2 ** RANGE_BITS blocks are folded as one range; results do not depend on it.
+RANGE_BITS = 17
 
 
 def head_size(initial: int = INITIAL_BATCH, chunk: int = CHUNK_SIZE, rounds: int = MAX_ROUNDS) -> int:
@@ -130,8 +133,69 @@ def chunk_text(
 # ----------------------------------------------------------------------------------------------
 # B2 greedy size packing
 # ----------------------------------------------------------------------------------------------
+def _summary(limit: int):
+    """Rows of each range, by the block that ends the batch open at its start: a batch of more than ``low``
+    (and not more than the row before says) ends there, ``n`` batches start in the range, and ``size``, ``at``
+    describe the one open at its end. The last row, ``n = 0``, is for a batch that takes the whole range."""
+    cols = ["_page", "_part", "_sub", "_k", "low", "n", "size", "at"]
+
+    def of(key, lens):
+        import numpy as np
+        import pandas as pd
+
+        lens = np.concatenate(lens)
+        total, sums = len(lens), np.concatenate([[0], np.cumsum(lens)])
+        # the start of the batch after the one that starts here; a first block always fits
+        after = np.maximum(np.searchsorted(sums, sums[:-1] + limit, "right") - 1, np.arange(1, total + 1)).tolist()
+        n, last = [1] * total, list(range(total))
+        for i in range(total - 1, -1, -1):
+            if after[i] < total:
+                n[i], last[i] = n[after[i]] + 1, last[after[i]]
+        first = np.flatnonzero((sums[:-1] <= limit) & ((lens > 0) | (np.arange(total) == 0)))
+        end = np.array(last)[first]
+        return pd.DataFrame(dict(zip(cols, (
+            *key, np.arange(len(first) + 1), [*(limit - sums[first + 1]), -(1 << 62)], [*np.array(n)[first], 0],
+            [*(sums[total] - sums[end]), sums[total]], [*(total - end), total]))))
+
+    def run(frames):
+        key, lens = None, []
+        for f in frames:
+            for k, g in f.groupby(["_page", "_part", "_sub"], sort=False):
+                if k != key and lens:
+                    yield of(key, lens)
+                    lens = []
+                key = k
+                lens.append(g["_len"].to_numpy())
+        if lens:
+            yield of(key, lens)
+
+    return run
+
+
+def _entries(frames):
+    """The state at the start of each range: number of the last batch so far, its size (-1: it takes no more
+    blocks) and its blocks. Rows of :func:`_summary` in order; holds one state."""
+    import pandas as pd
+
+    at_range, batch, size, at, done = (None, None, None), -1, -1, 0, True
+    for f in frames:
+        out = []
+        for page, part, sub, low, n, more, blocks in zip(f["_page"], f["_part"], f["_sub"], f["low"], f["n"], f["size"], f["at"]):
+            if (page, part, sub) != at_range:
+                if page != at_range[0]:
+                    batch = -1
+                if (page, part) != at_range[:2]:
+                    size, at = -1, 0
+                at_range, done = (page, part, sub), False
+                out.append((page, part, sub, batch, size, at))
+            if not done and (size < 0 or size > low):
+                batch, done = batch + n, True
+                size, at = (more, blocks) if n else (size + more, at + blocks)
+        yield pd.DataFrame(out, columns=["_page", "_part", "_sub", "_batch", "_size", "_at"])
+
+
 def _fold(limit: int, page_col: str, pos_col: str):
-    """Greedy fold over sorted rows; holds one running size, whatever the length of a page."""
+    """Greedy fold over sorted rows, each range from its entry; holds one running size."""
 
     def run(frames):
         import pandas as pd
@@ -139,15 +203,15 @@ def _fold(limit: int, page_col: str, pos_col: str):
         cur, batch, size, at = None, 0, 0, 0
         for f in frames:
             batches, places = [], []
-            for page, sub, n in zip(f[page_col], f["_sub"], f["_len"]):
-                if (page, sub) != cur:
-                    cur, batch, size, at = (page, sub), 0, 0, 0
-                if at and size + n > limit:
+            for page, part, sub, n, b, s, a in zip(f["_page"], f["_part"], f["_sub"], f["_len"], f["_batch"], f["_size"], f["_at"]):
+                if (page, part, sub) != cur:
+                    cur, batch, size, at = (page, part, sub), b, s, a
+                if size < 0 or size + n > limit:
                     batch, size, at = batch + 1, 0, 0
                 size, at = size + n, at + 1
                 batches.append(batch)
                 places.append(at)
-            yield pd.DataFrame({page_col: f[page_col], "_sub": f["_sub"], pos_col: f[pos_col], "_b": batches, "batch_pos": places})
+            yield pd.DataFrame({page_col: f["_page"], pos_col: f["_pos"], "cand_batch": batches, "batch_pos": places})
 
     return run
 
@@ -158,24 +222,29 @@ def pack_batches(
     page_col: str = "page_url",
     pos_col: str = "pos",
     text_col: str = "block",
-    subpage: int = SUBPAGE_POSITIONS,
+    subpage: int | None = None,
 ) -> DataFrame:
     """B2: order-preserving packing of every candidate; a new batch starts when ``size + len > limit``
     and the current batch is non-empty. Returns the candidates with ``cand_batch`` and ``batch_pos``.
 
-    The fold streams ``(page, pos, length)`` in order. A page is folded in sub-pages of ``subpage``
-    consecutive positions, so a huge page is dealt over many tasks; a batch border falls at the end of
-    each sub-page. Batch numbers continue over sub-pages by a running sum of their batch counts."""
+    A huge page is dealt over many tasks in ranges of at most ``2 ** RANGE_BITS`` blocks; the batch that is
+    open at the end of a range goes on in the next. Only where ``subpage`` is given does a batch also end
+    after each ``subpage`` consecutive positions; batch numbers continue."""
+    part = F.floor(F.col(pos_col) / subpage).cast("bigint") if subpage else F.lit(0).cast("bigint")
     sizes = cands.select(
-        F.coalesce(F.col(page_col), F.lit("")).alias(page_col), F.col(pos_col).cast("bigint").alias(pos_col),
-        F.floor(F.col(pos_col) / subpage).cast("bigint").alias("_sub"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("_len"),
+        F.coalesce(F.col(page_col), F.lit("")).alias("_page"), F.col(pos_col).cast("bigint").alias("_pos"),
+        part.alias("_part"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("_len"),
     )
-    x = sizes.repartition(page_col, "_sub").sortWithinPartitions(page_col, "_sub", pos_col)
-    folded = x.mapInPandas(_fold(limit, page_col, pos_col), f"{page_col} string, _sub bigint, {pos_col} bigint, _b bigint, batch_pos bigint")
-    per_sub = folded.groupBy(page_col, "_sub").agg((F.max("_b") + 1).alias("_n"))
-    before = Window.partitionBy(page_col).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    per_sub = per_sub.select(page_col, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    placed = folded.join(per_sub, [page_col, "_sub"]).select(page_col, pos_col, (F.col("_first") + F.col("_b")).alias("cand_batch"), "batch_pos")
+    key = ["_page", "_part", "_sub"]
+    # ranges follow (page, position); the id counts the sorted rows of a task, so no range spans two tasks
+    x = sizes.repartitionByRange("_page", "_pos").sortWithinPartitions("_page", "_pos")
+    x = materialize(x.withColumn("_sub", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)))
+    per = x.repartition(*key).sortWithinPartitions(*key, "_pos").mapInPandas(
+        _summary(limit), "_page string, _part bigint, _sub bigint, _k bigint, low bigint, n bigint, size bigint, at bigint")
+    entries = per.repartition("_page").sortWithinPartitions(*key, "_k").mapInPandas(
+        _entries, "_page string, _part bigint, _sub bigint, _batch bigint, _size bigint, _at bigint")
+    rows = x.join(entries, key).repartition(*key).sortWithinPartitions(*key, "_pos")
+    placed = rows.mapInPandas(_fold(limit, page_col, pos_col), f"{page_col} string, {pos_col} bigint, cand_batch bigint, batch_pos bigint")
     left = cands.withColumn(page_col, F.coalesce(F.col(page_col), F.lit(""))).withColumn(pos_col, F.col(pos_col).cast("bigint"))
     return left.join(placed, [page_col, pos_col])
 

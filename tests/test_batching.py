@@ -82,6 +82,27 @@ def test_packing_sub_pages_and_requests(spark):
     assert sorted((r.request_no, r.n_items) for r in req.collect()) == [(0, 50), (1, 50), (2, 30)]
 
 
+def test_packing_borders_do_not_depend_on_ids_or_ranges(spark, monkeypatch):
+    """The fold of the whole page, beyond position 100,000, with sparse positions and over many ranges."""
+    r = random.Random(5)
+    sizes = [0, 0, 1, 40, 900, 2500, 5000, 9999, 10000, 10001, 12000]
+    pages = {"dense": [(99_900 + i, r.choice(sizes[:5])) for i in range(300)], "sparse": [(i * 70_001, r.choice(sizes)) for i in range(200)],
+             "tiny": [(i, 1) for i in range(120)], "empty": [(100_000 + i, 0) for i in range(30)], "big": [(3, 12000), (100_001, 0), (200_002, 0), (300_003, 5)]}
+    want = []
+    for page, blocks in pages.items():
+        batch = size = at = 0
+        for pos, n in blocks:
+            if at and size + n > 10000:
+                batch, size, at = batch + 1, 0, 0
+            size, at = size + n, at + 1
+            want.append((page, pos, batch, at))
+    df = spark.createDataFrame([(p, pos, "x" * n) for p, ls in pages.items() for pos, n in ls], "page_url string, pos long, block string")
+    for bits in (B.RANGE_BITS, 4, 0):
+        monkeypatch.setattr(B, "RANGE_BITS", bits)
+        got = B.pack_batches(df).select("page_url", "pos", "cand_batch", "batch_pos").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_store_keeps_every_reason_and_payload_every_idea(spark):
     from postmine.operators.idea_store import idea_events, idea_store, rank_payload
     from postmine.operators.rank import rank_native
