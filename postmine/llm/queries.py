@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from . import chat as X1
 from . import exact_dedup as X7
+from . import hard_negatives as X13
 from . import mixing as X3
 from . import hmm as X6
 from . import near_dedup as X8
 from . import packing as X4
 from . import quality_classifier as X9
 from . import quality_rules as X2
+from . import secret_scan as X11
 from . import substring_dedup as X5
+from . import vector_codes as X12
 from . import warc as X10
 from .common import read_table
 
@@ -164,3 +167,20 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, d.w
 """)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X5.without_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@register("op11_secret_scan", X11.oracle_sql())
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X11.report(X11.scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@register("op12_vector_codes", X12.oracle_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X12.code_report(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_hard_negatives", X13.oracle_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50 is an anchor; a seventh of the labels is moved first."""
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return X13.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=moved)
