@@ -46,15 +46,15 @@ def small_primes(bound: int, top: int = 2 * math.isqrt(EXACT // DIMS)) -> list[i
     """Odd primes, largest first, whose product exceeds ``2 * bound``. With residues of at most half a prime,
     ``DIMS`` products add up to less than ``EXACT``."""
     found, product, n = [], 1, top - 1 | 1
-    while product <= 2 * bound:
+    while not found or product <= 2 * bound:
         n -= 2
         if n < 3:
             raise ValueError("scores too large for small primes")
         if all(n % q for q in range(3, math.isqrt(n) + 1, 2)):
             found.append(n)
             product *= n
-    if product >= 1 << 62:
-        raise ValueError("scores beyond 61 bits")
+    if product >= 1 << 63:
+        raise ValueError("scores beyond 64-bit integers")
     return found
 
 
@@ -190,7 +190,7 @@ def hard_negatives(df: DataFrame, is_anchor: Column, id_col: str = "vec_id", vec
     spark = df.sparkSession
     sc = spark.sparkContext
     small_batches(spark)
-    x = int_vectors(df, id_col, vec_col, label_col, "negative-ints", F.col(label_col) if label is None else label)
+    x = int_vectors(df, id_col, vec_col, F.col(label_col) if label is None else label, "negative-ints", labelled=True)
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
     if x.dim == 0:
         return spark.createDataFrame([], schema)

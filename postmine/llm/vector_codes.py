@@ -165,7 +165,7 @@ def compressed(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     if not 0 < entries <= 64:
         raise ValueError("an entry is a bit of a 64-bit mask: 1 to 64 entries")
     small_batches(df.sparkSession)
-    x = int_vectors(df, id_col, vec_col, label_col, "vector-ints")
+    x = int_vectors(df, id_col, vec_col, F.col(label_col), "vector-ints")
     schema = "id bigint, label bigint, code string, error bigint"
     uncoded = lambda rows: rows.select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("bigint").alias("error"))
     if x.dim == 0 or x.dim % parts:

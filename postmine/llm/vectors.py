@@ -33,10 +33,12 @@ def _scaled(x: Column) -> Column:
     return F.when(F.abs(y) > MAX_COMPONENT, over).otherwise(F.floor(y).cast("int"))
 
 
-def int_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str, name: str, label: Column | None = None) -> IntVectors:
-    """Rows whose vector is there with finite components only, each component floored after scaling, written
+def int_vectors(df: DataFrame, id_col: str, vec_col: str, label: Column, name: str, labelled: bool = False) -> IntVectors:
+    """Rows whose vector (and label, if ``labelled``) is there, with finite components only, each component floored after scaling, written
     once; components beyond ``MAX_COMPONENT`` are an error. The table's dimension is that of its smallest id (repeated ids: of the shortest vector)."""
-    d = df.select(F.col(id_col).cast("bigint").alias("id"), (F.col(label_col) if label is None else label).cast("bigint").alias("label"), F.col(vec_col).alias("v"))
+    d = df.select(F.col(id_col).cast("bigint").alias("id"), label.cast("bigint").alias("label"), F.col(vec_col).alias("v"))
+    if labelled:
+        d = d.filter("label IS NOT NULL")
     rows = scratch(d.filter(finite(F.col("v"))).select("id", "label", F.transform("v", _scaled).alias("v")), name)
     most = F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0))
     s = rows.agg(F.min(F.struct(F.col("id").isNull(), "id", F.size("v").alias("d"))).alias("m"), F.max(most).alias("a"), F.count(F.lit(1)).alias("n")).first()
