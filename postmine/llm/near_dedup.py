@@ -2,21 +2,24 @@
 
 A document's set is its distinct word shingles; documents with equal sets are one class. The sketch of
 a class is the ``K`` smallest values of one 64-bit hash over its set (the whole set if it is smaller).
-Inverted lists map retained values to classes. Two classes with a similarity of 0.8 share at least
-``SHARED`` of their retained values (whole sets: at least 0.8 of them), so it is enough to index, per
-class, its ``size - SHARED + 1`` rarest retained values: by the pigeonhole principle one of them is
-shared. For sets of up to 235 shingles this holds always; for larger ones a pair at exactly 0.8 shares
-fewer than 49 of 96 values with a probability of about 1e-10. Frequent values stay out of the index, as they
+Inverted lists map retained values to classes. Two classes with the similarity asked for share at least
+``shared_values`` of their retained values (whole sets: that share of them), so it is enough to index, per
+class, its ``size - shared + 1`` rarest retained values: by the pigeonhole principle one of them is
+shared. At 80 % this holds always for sets of up to 235 shingles; larger ones at exactly 0.8 share fewer than
+49 of 96 values with a probability of 5e-11. Frequent values stay out of the index, as they
 are never among the rarest. No list, no number of candidates and no number of partners is capped.
 
 Only components are asked for, so pairs inside a known component need no look. Star rounds compare
-each list with one pivot, then labels are merged; what is still in several components is compared
-exhaustively: in each list, all classes outside its largest component against all others. Rows of a
-list carry a bit signature (one bit of the smallest hash in each of 256 ranges), so the join itself
-drops pairs that are far apart: linked sets differ in a tenth of the bits at most on average, pairs that
-differ in more than ``MAX_BITS`` are excluded with a probability of error of 1e-12. Candidates must then
-pass the estimate from the union sketch; links are confirmed on the full sets, streamed block by block
-with the pivot first.
+each list with one pivot, then labels are merged. What is still in several components is compared
+exhaustively, but not list by list: the open lists with the same largest component are one family, in which
+a class stands once, and the classes outside that component are held against all of the family. Families are
+dealt over cells of bounded size; a task compares the rows of a cell by their bit signatures (one bit of the
+smallest hash in each of 256 ranges) and hands on the pairs that differ in at most ``most_bits`` (at 80 %
+a linked pair differs in more with a probability of 1e-10). In a cell where too many pairs pass, as
+in a large group of near copies, the sets themselves are compared in the task, and one link to each component is
+handed on. So the pairs of a group are never rows of a table; the number of comparisons still grows with the
+square of the group's part that the star rounds left alone. Candidates must then pass the estimate from the
+union sketch; links are confirmed on the full sets, streamed block by block with the pivot first.
 
 Defined cases: null or empty text has an empty set and is linked with nothing; a text with fewer words
 than a shingle has one shingle; null ids never represent a group that has another id; extra columns are
@@ -26,6 +29,7 @@ ignored; an empty table gives no row.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,9 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import components, drop_scratch, hash_words, mix64, scratch, stored, with_row_key, without_rows
 
-K, SHARED = 96, 49
-RANGES, MAX_BITS = 256, 60
+K = 96
+RANGES = 256
+TAIL = 2e-10  # chance that a pair at exactly the similarity asked for fails one of the two bounds
+CELL = 2_048  # classes of a family on each side of a cell
+DENSE = 4  # pairs a row of a cell may give before the sets are compared in the task
+LONG_SET = 4_096  # shingles; larger sets are always compared as candidates
 SIGN = ["s0", "s1", "s2", "s3"]
+CELL_KEY = ["main", "i", "j"]
 PERCENT = 80
 SHINGLE = 2
 BLOCK_PAIRS = 256  # members compared with one copy of their pivot
@@ -46,6 +55,30 @@ STAR_ROUNDS = 2
 _MULT, _LONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 
 
+def _log_binomial(n: int, k: int, p: float) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+
+
+def shared_values(percent: int, k: int = K) -> int:
+    """Retained values that two large sets of a similarity share at least, but for a chance of ``TAIL``."""
+    tail = 0.0
+    for i in range(k if percent < 100 else 0):
+        tail += math.exp(_log_binomial(k, i, percent / 100))
+        if tail > TAIL:
+            return max(1, i)
+    return k
+
+
+def most_bits(percent: int) -> int:
+    """Bits in which the signatures of two sets of a similarity differ at most, likewise."""
+    tail = 0.0
+    for i in range(RANGES if percent < 100 else 0, 0, -1):
+        tail += math.exp(_log_binomial(RANGES, i, (1 - percent / 100) / 2))
+        if tail > TAIL:
+            return i
+    return 0
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct signed 64-bit hashes of the word shingles of a lower-cased text."""
     h = hash_words(text)[1]
@@ -114,12 +147,12 @@ def _classes(rows: DataFrame) -> DataFrame:
     return scratch(x.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
 
-def inverted_lists(classes: DataFrame, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
+def inverted_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``v, node, n`` and signature: the indexed values of each class; lists of one class are left out."""
     e = classes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     counts = e.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     per = e.join(counts, "v").groupBy("node").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("c", "v"))).alias("l"))
-    need = F.least(F.lit(shared), F.ceil(F.col("k") * percent / 100)).cast("int")
+    need = F.least(F.lit(shared_values(percent)), F.ceil(F.col("k") * percent / 100)).cast("int")
     take = F.greatest(F.lit(0), F.size("l") - need + 1)  # values found nowhere else come first in the order of rarity
     index = per.select("node", F.explode(F.slice("l", 1, take)).alias("x")).select(F.col("x.v").alias("v"), "node")
     index = scratch(index, "near-index")
@@ -138,7 +171,7 @@ def _near(a: str, b: str, percent: int):
     """Size bound and bit signatures of two list rows (columns ``n``, ``s0`` to ``s3`` with prefixes)."""
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
     bits = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
-    return (small * 100 >= large * percent) & (bits <= MAX_BITS)
+    return (small * 100 >= large * percent) & (bits <= most_bits(percent))
 
 
 def _as(prefix: str) -> list:
@@ -156,19 +189,134 @@ def star_pairs(lists: DataFrame, round_no: int, percent: int) -> DataFrame:
     return x.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every near pair of a list that spans two components: members outside the list's largest component
-    against all others."""
+def families(lists: DataFrame) -> DataFrame:
+    """``main, node, comp, n`` and signature: the classes of all lists that span several components, by the
+    largest component of the list; each class once per family."""
     sizes = lists.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    x = scratch(lists.join(main.select("v", F.col("m.comp").alias("main")), "v"), "near-open")
-    a = x.filter("comp <> main").select("v", *_as("p_"))
-    other = (F.col("comp") != F.col("p_comp")) & ((F.col("comp") == F.col("main")) | (F.col("p_node") < F.col("node")))
-    y = a.join(x, "v").filter(other & _near("", "p_", percent))
-    return y.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct()
+    x = lists.join(main.select("v", F.col("m.comp").alias("main")), "v")
+    return scratch(x.select("main", "node", "comp", "n", *SIGN).distinct(), "near-families")
+
+
+def cells(family: DataFrame) -> DataFrame:
+    """Rows of every cell ``(main, i, j)``: side 0 has the classes outside the main component, side 1 all; each
+    pair of such classes meets in one cell."""
+    per = family.groupBy("main").agg(F.count(F.lit(1)).alias("c1"), F.count_if(F.col("comp") != F.col("main")).alias("c0"))
+    x = family.join(per, "main")
+    blocks = lambda c: F.ceil(F.col(c) / CELL)
+    block = lambda side, c: F.pmod(F.xxhash64(F.lit(side), "node"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c).cast("int") - 1))
+    cols = ["node", "comp", "n", *SIGN]
+    rows = x.filter("comp <> main").select("main", block(0, "c0").alias("i"), every("c1").alias("j"), F.lit(0).alias("side"), *cols)
+    return rows.unionByName(x.select("main", every("c0").alias("i"), block(1, "c1").alias("j"), F.lit(1).alias("side"), *cols))
+
+
+def _by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each cell of a sorted stream; one cell is held at a time."""
+    held, parts = None, []
+    for b in batches:
+        keys = np.stack([np.asarray(b.column(c), np.int64) for c in CELL_KEY], axis=1)
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
+            if lo == hi:
+                continue
+            key = tuple(keys[lo].tolist())
+            if key != held and parts:
+                yield held, pa.Table.from_batches(parts)
+                parts = []
+            held = key
+            parts.append(b.slice(lo, hi - lo))
+    if parts:
+        yield held, pa.Table.from_batches(parts)
+
+
+def _sides(cell: pa.Table) -> list[dict[str, np.ndarray]]:
+    cols = {c: cell.column(c).to_numpy() for c in ("side", "node", "comp", "n", *SIGN) if c in cell.column_names}
+    return [{c: v[cols["side"] == side] for c, v in cols.items()} for side in (0, 1)]
+
+
+def _meet(a: dict, b: dict, rows: slice, main: int, percent: int) -> np.ndarray:
+    """Pairs of a cell that are in different components, counted once, and whose sizes allow a link."""
+    small, large = np.minimum(a["n"][rows, None], b["n"]), np.maximum(a["n"][rows, None], b["n"])
+    once = (b["comp"] == main) | (a["node"][rows, None] < b["node"])
+    return (a["comp"][rows, None] != b["comp"]) & once & (small * 100 >= large * percent)
+
+
+def _light(percent: int):
+    """Pairs of each cell with near signatures; for a cell with too many of them a row without a pair."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = most_bits(percent)
+        for key, cell in _by_cell(batches):
+            a, b = _sides(cell)
+            found, dense, room = [], False, DENSE * cell.num_rows
+            for lo in range(0, len(a["node"]), 128):
+                rows = slice(lo, lo + 128)
+                bits = np.zeros((len(a["node"][rows]), len(b["node"])), np.int32)
+                for c in SIGN:
+                    bits += np.bitwise_count(a[c].view(np.uint64)[rows, None] ^ b[c].view(np.uint64))
+                x, y = np.nonzero(_meet(a, b, rows, key[0], percent) & (bits <= limit))
+                long = np.maximum(a["n"][rows][x], b["n"][y]) > LONG_SET
+                if dense or len(x) - long.sum() > room:
+                    dense, x, y = True, x[long], y[long]
+                room -= len(x)
+                found.append((a["node"][rows][x], b["node"][y], ~long if not dense else np.zeros(len(x), bool)))
+            x, y, short = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+            if dense:  # pairs of smaller sets found before that was known are found again
+                x, y = x[~short.astype(bool)], y[~short.astype(bool)]
+            n = len(x) + dense
+            pair = lambda v: pa.array([*v.tolist(), *[None] * dense], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)) for k in key[:1]] + [pa.array(np.full(n, k, np.int32)) for k in key[1:]] + [pair(x), pair(y)],
+                                             names=[*CELL_KEY, "a", "b"])
+
+    return run
+
+
+def _dense(size: int, percent: int):
+    """Links of each cell by their sets: one from each class of side 0 to each component."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cell in _by_cell(batches):
+            with np.errstate(over="ignore"):
+                sets = [shingle_hashes((v.as_py() or b"").lower(), size) for v in cell.column("_bin")]
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+            ends = np.cumsum([len(s) for s in sets])
+            side = cell.column("side").to_numpy()
+            each = np.split(ids, ends[:-1])
+            a, b = _sides(cell)
+            mine, other = [each[i] for i in np.flatnonzero(side == 0)], [each[i] for i in np.flatnonzero(side == 1)]
+            if not mine or not other:
+                continue
+            flat, starts = np.concatenate(other), np.cumsum([0] + [len(s) for s in other[:-1]])
+            mark, left, right = np.zeros(len(ids) + 1, bool), [], []
+            for k, own in enumerate(mine):
+                meet = _meet(a, b, slice(k, k + 1), key[0], percent)[0]
+                if meet.any():
+                    mark[own] = True
+                    common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+                    mark[own] = False
+                    hit = np.flatnonzero(meet & (common * 100 >= (a["n"][k] + b["n"] - common) * percent))
+                    hit = hit[np.unique(b["comp"][hit], return_index=True)[1]]
+                    left.append(np.full(len(hit), a["node"][k]))
+                    right.append(b["node"][hit])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return run
+
+
+def remaining_pairs(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates among all pairs of classes that share a list and are in different components."""
+    every = cells(families(lists))
+    dealt = lambda x: x.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "side")
+    found = scratch(dealt(every).mapInArrow(_light(percent), "main bigint, i int, j int, a bigint, b bigint"), "near-light")
+    pairs = found.filter("a IS NOT NULL").select("a", "b")
+    dense = found.filter("a IS NULL").select(*CELL_KEY)
+    if dense.limit(1).count():
+        rows = every.filter(F.col("n") <= LONG_SET).join(dense, CELL_KEY, "left_semi").drop(*SIGN).join(texts, "node")
+        pairs = pairs.unionByName(dealt(rows).mapInArrow(_dense(size, percent), "a bigint, b bigint"))
+    return pairs.distinct()
 
 
-def by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, k: int = K, shared: int = SHARED) -> DataFrame:
+def by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
     """Keep pairs whose union sketch allows the similarity; exact where both sets are whole.
     ``sketches``: ``node, n, sketch``."""
     s = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
@@ -178,7 +326,7 @@ def by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT, k:
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     common = F.size(both)
     ok = F.when(whole, common * 100 >= (F.col("na") + F.col("nb") - common) * percent).otherwise(
-        (F.size(F.array_intersect(union, both)) >= shared) | (F.size(union) < k))
+        (F.size(F.array_intersect(union, both)) >= shared_values(percent, k)) | (F.size(union) < k))
     return x.filter(ok).select("a", "b")
 
 
@@ -221,7 +369,7 @@ def link(lists: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, per
     labels, links, tested = None, None, None
     for r in range(rounds + 1):
         at = _labelled(lists, labels)
-        pairs = star_pairs(at, r, percent) if r < rounds else remaining_pairs(at, percent)
+        pairs = star_pairs(at, r, percent) if r < rounds else remaining_pairs(at, texts, size, percent)
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")

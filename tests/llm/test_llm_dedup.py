@@ -1,6 +1,7 @@
 """Operators 5, 7 and 8 against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -110,6 +111,49 @@ def test_near_hot_block_split(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {k: v[0] for k, v in near_brute(list(enumerate(texts)), 2).items()}
 
 
+@pytest.mark.parametrize("cell,dense,long,percent,rounds", [(2048, 4, 4096, 80, 0), (16, 0, 4096, 80, 2), (16, 0, 120, 80, 0), (7, 1, 4096, 60, 0)])
+def test_near_hot_group_in_cells(spark, monkeypatch, cell, dense, long, percent, rounds):
+    """A group of chained copies most of which are linked with few others: whole cells, split cells, sets
+    compared in the task, long sets as candidates, another similarity."""
+    monkeypatch.setattr(N, "CELL", cell)
+    monkeypatch.setattr(N, "DENSE", dense)
+    monkeypatch.setattr(N, "LONG_SET", long)
+    r = random.Random(cell + dense + long)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choices(vocab, k=120))]
+    for _ in range(110):
+        w = r.choice(texts).split()
+        for _ in range(r.randint(3, 14) if percent == 80 else r.randint(12, 35)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        texts.append(" ".join(w))
+    want = near_brute(list(enumerate(texts)), 2, percent)
+    got = N.near_duplicates(frame(spark, texts), size=2, percent=percent, star_rounds=rounds).rows.collect()
+    assert {x.doc_id: x.component_id for x in got} == {k: v[0] for k, v in want.items()}
+    assert 5 < len({v[0] for v in want.values()}) < 105
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_limits_follow_the_similarity(percent):
+    """Binomial tails beyond the limits."""
+    j, k = percent / 100, N.K
+    tail = sum(math.comb(k, i) * j**i * (1 - j) ** (k - i) for i in range(N.shared_values(percent)))
+    p = (1 - j) / 2
+    bits = sum(math.comb(N.RANGES, i) * p**i * (1 - p) ** (N.RANGES - i) for i in range(N.most_bits(percent) + 1, N.RANGES + 1))
+    assert tail <= N.TAIL and bits <= N.TAIL * 1.001
+
+
+def test_near_very_long_texts(spark):
+    r = random.Random(3)
+    w = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    v = list(w)
+    for i in range(0, len(v), 70):
+        v[i] = "changed"
+    texts = [" ".join(w), " ".join(v), " ".join(w[:30_000]), "short text", None]
+    got = N.near_duplicates(frame(spark, texts), size=5).rows.collect()
+    assert {x.doc_id: x.component_id for x in got} == {k: c[0] for k, c in near_brute(list(enumerate(texts)), 5).items()}
+    assert got and {x.component_id for x in got if x.doc_id in (0, 1)} == {0}
+
+
 def test_near_repeated_rows_and_empty(spark):
     d = frame(spark, ["a b c d e f", "a b c d e f", "A b c d e f", "", ""], [4, 4, None, 7, 8])
     kept = N.representatives(d)
