@@ -8,7 +8,7 @@ a shuffle join of (document, rare word) with the counts delivers.
 
 Training: tasks run forward-backward on segments of ``SEGMENT`` tokens (whole documents, all segments)
 and return expected counts per symbol; Spark adds them by symbol; the driver normalises the fixed-size
-table. Every round reads all training rows: ``WARM_ROUNDS + FULL_ROUNDS`` at least, then as many as it
+table. Every round reads all training rows: ``MIN_ROUNDS`` at least, then as many as it
 takes until a round gains less than ``TOLERANCE`` in log10 likelihood per token.
 Scoring: the scaled forward recursion over the whole text; long texts multiply scaled transfer matrices
 of their segments, which is the same recursion in another order.
@@ -36,8 +36,10 @@ from .common import hash_words, scratch
 STATES = 8
 FREQUENT, BUCKETS = 32_768, 4_096
 SEGMENT = 256
+BLOCK = 2_048  # segments trained together
+HASH_SLOTS = 1 << 20
 BINS_PER_OCTAVE = 64  # of the histogram of word counts
-WARM_ROUNDS, FULL_ROUNDS = 8, 2  # rounds that always run
+MIN_ROUNDS = 10  # rounds that always run
 TOLERANCE = 1e-3  # least gain of a further round, log10 likelihood per token
 PRIOR = 20.0  # pseudo counts per state, spread like the symbols' overall shares
 STAY = 0.95  # initial probability of staying in a state
@@ -104,13 +106,15 @@ def vocabulary(train: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKET
     # the words above a count that at most ``frequent`` words reach: from a histogram of fixed size, so
     # no task sends its own candidates to the driver; the end token always has a code of its own
     bin_ = F.floor(F.log2(F.col("c").cast("double")) * BINS_PER_OCTAVE).cast("int")
-    held, least = 1, None
+    held, chosen = 1, F.octet_length("word") == 0
     for r in sorted(words.groupBy(bin_.alias("b")).count().collect(), key=lambda r: -r["b"]):
-        held += r["count"]
-        if held > frequent:
+        share = (frequent - held) / r["count"]
+        if share < 1:  # of the first bin that does not fit, the words whose hash is in a share of its range
+            slots = int(share * HASH_SLOTS * (1 - 4 / math.sqrt(max(16, frequent - held))))
+            chosen = chosen | ((bin_ == r["b"]) & (F.pmod(F.xxhash64("word"), F.lit(HASH_SLOTS)) < slots))
             break
-        least = r["b"]
-    chosen = F.octet_length("word") == 0 if least is None else (F.octet_length("word") == 0) | (bin_ >= least)
+        held += r["count"]
+        chosen = chosen | (bin_ == r["b"])
     top = sorted(words.filter(chosen).collect(), key=lambda r: (len(r["word"]) > 0, -r["c"], bytes(r["word"])))
     codes = {bytes(r["word"]): i for i, r in enumerate(top)}
     codes.setdefault(END, len(codes))
@@ -197,35 +201,44 @@ class HMM:
         flat = np.full(states, 1 / states)
         return cls(flat, flat.copy(), move, emit / emit.sum(axis=0))
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """What tasks are sent: plain arrays, so workers need no copy of this package."""
+        return self.start, self.resume, self.move, self.emit
+
     def expected(self, flat: np.ndarray, at: np.ndarray, length: np.ndarray, first: np.ndarray, into: Expected) -> None:
-        """Forward-backward over segments ``flat[at:at + length]``, longest first."""
-        k, top = len(self.start), int(length[0])
+        """Forward-backward over segments ``flat[at:at + length]``, longest first. Single precision, one row
+        per state: the steps lie one after the other and work along the segments; sums are double."""
+        top = int(length[0])
         active = np.searchsorted(-length, -np.arange(1, top + 1), "right")  # segments that have step t
-        # one row per state: the steps work along the segments
-        emit, begin = np.ascontiguousarray(self.emit.T), np.where(first, self.start[:, None], self.resume[:, None])
-        alpha, seen, scale = np.zeros((top, k, len(at))), np.zeros((top, k, len(at))), np.ones((top, len(at)))
+        cut = np.concatenate([[0], np.cumsum(active)])
+        step = np.repeat(np.arange(top), active)
+        symbols = flat[at[np.arange(cut[-1]) - cut[step]] + step]
+        move, back = self.move.T.astype(np.float32), self.move.astype(np.float32)
+        seen = np.take(self.emit.T.astype(np.float32), symbols, axis=1)
+        alpha, scale = np.empty_like(seen), np.empty(cut[-1], np.float32)
+        a = np.where(first, self.start[:, None], self.resume[:, None]).astype(np.float32)
         for t in range(top):
-            n = active[t]
-            seen[t, :, :n] = e = emit[:, flat[at[:n] + t]]
-            a = (begin if t == 0 else self.move.T @ alpha[t - 1, :, :n]) * e
-            scale[t, :n] = c = a.sum(axis=0)
-            alpha[t, :, :n] = a / c
-        beta = np.ones((k, len(at)))
-        for t in range(top - 1, -1, -1):
-            n = active[t]
-            gamma = alpha[t, :, :n] * beta[:, :n]
-            into.symbols.append(flat[at[:n] + t])
-            into.gammas.append(gamma)
-            if t == 0:
-                into.start += gamma[:, first].sum(axis=1)
-                into.resume += gamma[:, ~first].sum(axis=1)
-            else:
-                v = seen[t, :, :n] * beta[:, :n] / scale[t, :n]
-                into.move += self.move * (alpha[t - 1, :, :n] @ v.T)
-                beta[:, :n] = self.move @ v
-        into.log10 += float(np.log10(scale).sum())
+            lo, hi = cut[t], cut[t + 1]
+            a = (a if t == 0 else move @ a[:, :hi - lo]) * seen[:, lo:hi]
+            scale[lo:hi] = c = a.sum(axis=0)
+            a /= c
+            alpha[:, lo:hi] = a
+        beta, moved = np.ones((len(self.start), len(at)), np.float32), np.zeros_like(self.move)
+        for t in range(top - 1, 0, -1):
+            lo, hi = cut[t], cut[t + 1]
+            alpha[:, lo:hi] *= beta[:, :hi - lo]  # from here on the state probabilities
+            v = seen[:, lo:hi] * beta[:, :hi - lo]
+            v /= scale[lo:hi]
+            moved += alpha[:, cut[t - 1]:cut[t - 1] + hi - lo] @ v.T
+            beta[:, :hi - lo] = back @ v
+        alpha[:, :cut[1]] *= beta
+        into.move += self.move * moved
+        into.start += alpha[:, :cut[1]][:, first].sum(axis=1, dtype=np.float64)
+        into.resume += alpha[:, :cut[1]][:, ~first].sum(axis=1, dtype=np.float64)
+        for k, gamma in enumerate(alpha):
+            into.emit[:, k] += np.bincount(symbols, weights=gamma, minlength=len(into.emit))
+        into.log10 += float(np.log10(scale).sum(dtype=np.float64))
         into.tokens += int(length.sum())
-        into.settle()
 
     def log10(self, flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """log10 likelihood of each sequence by the scaled forward recursion."""
@@ -234,17 +247,17 @@ class HMM:
             out[i] = self._log10_long(flat[at[i]:at[i] + length[i]])
         order = np.argsort(-length, kind="stable")
         order = order[length[order] <= LONG]
+        emit, move = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
         for lo in range(0, len(order), 2048):
             rows = order[lo:lo + 2048]
             a0, n0 = at[rows], length[rows]
             active = np.searchsorted(-n0, -np.arange(1, int(n0[0]) + 1), "right")
-            total = np.zeros(len(rows))
-            a = np.tile(self.start, (len(rows), 1))
+            total, a = np.zeros(len(rows)), np.repeat(self.start[:, None], len(rows), axis=1)
             for t, n in enumerate(active):
-                a = (a[:n] @ self.move if t else a[:n]) * self.emit[flat[a0[:n] + t]]
-                c = a.sum(axis=1)
+                a = (move @ a[:, :n] if t else a) * np.take(emit, flat[a0[:n] + t], axis=1)
+                c = a.sum(axis=0)
                 total[:n] += np.log10(c)
-                a = a / c[:, None]
+                a /= c
             out[rows] = total
         return out
 
@@ -280,14 +293,6 @@ class Expected:
     def __init__(self, states: int, symbols: int):
         self.start, self.resume, self.move = np.zeros(states), np.zeros(states), np.zeros((states, states))
         self.emit, self.log10, self.tokens = np.zeros((symbols, states)), 0.0, 0
-        self.symbols: list[np.ndarray] = []
-        self.gammas: list[np.ndarray] = []
-
-    def settle(self) -> None:
-        s, g = np.concatenate(self.symbols), np.concatenate(self.gammas, axis=1)
-        for k in range(len(g)):
-            self.emit[:, k] += np.bincount(s, weights=g[k], minlength=len(self.emit))
-        self.symbols, self.gammas = [], []
 
 
 # rows of the added table that are not symbols
@@ -296,7 +301,7 @@ _START, _RESUME, _SUMS, _MOVE = -1, -2, -3, -10
 
 def _expect(shared, symbols: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: HMM = shared.value
+        model = HMM(*shared.value)
         k = len(model.start)
         into = Expected(k, symbols)
         for b in batches:
@@ -311,8 +316,8 @@ def _expect(shared, symbols: int):
             at = np.repeat(begin, per) + no * SEGMENT
             length = np.minimum(SEGMENT, np.repeat(begin + n, per) - at)
             order = np.argsort(-length, kind="stable")
-            for lo in range(0, len(order), 1024):
-                o = order[lo:lo + 1024]
+            for lo in range(0, len(order), BLOCK):
+                o = order[lo:lo + BLOCK]
                 model.expected(flat, at[o], length[o], no[o] == 0, into)
         used = np.nonzero(into.emit.any(axis=1))[0]
         ids = np.concatenate([used, [_START, _RESUME, _SUMS], _MOVE - np.arange(k)])
@@ -350,7 +355,7 @@ def train_round(model: HMM, codes: DataFrame, share: np.ndarray) -> tuple[HMM, f
     """One round of Baum-Welch; also the log10 likelihood per token under the old model."""
     sc = codes.sparkSession.sparkContext
     k = len(model.start)
-    shared = sc.broadcast(model)
+    shared = sc.broadcast(model.arrays())
     parts = codes.select("codes").mapInArrow(_expect(shared, len(share)), "id int, v array<double>")
     table = parts.repartition("id").mapInArrow(_add(k), "id int, v array<double>").toArrow()  # symbols + states + 3 rows
     ids = np.asarray(table.column("id"), np.int64)
@@ -368,15 +373,15 @@ def train_round(model: HMM, codes: DataFrame, share: np.ndarray) -> tuple[HMM, f
     return new, float(sums[0] / max(1.0, sums[1] if k > 1 else 1.0))
 
 
-def train(codes: DataFrame, vocab: Vocabulary, states: int = STATES, warm: int = WARM_ROUNDS, full: int = FULL_ROUNDS, tolerance: float = TOLERANCE) -> HMM:
-    """``codes``: the training rows; each round reads all of them. ``warm + full`` rounds always run,
-    more follow until a round gains less than ``tolerance``."""
+def train(codes: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = MIN_ROUNDS, tolerance: float = TOLERANCE) -> HMM:
+    """``codes``: the training rows; each round reads all of them. ``rounds`` always run, more follow until a
+    round gains less than ``tolerance``."""
     share = (vocab.counts + 0.5) / (vocab.counts + 0.5).sum()
     model, last, r = HMM.initial(share, states), -math.inf, 0
     while True:
         new, fit = train_round(model, codes, share)  # ``fit`` is the likelihood of ``model``
         r += 1
-        if r >= warm + full and fit - last < tolerance:
+        if r >= rounds and fit - last < tolerance:
             return new
         model, last = new, fit
 
@@ -385,7 +390,8 @@ def _score(shared):
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base, known = shared.value
+        arrays, base, known = shared.value
+        model = HMM(*arrays)
         for b in batches:
             parts = [np.frombuffer(v.as_py(), np.uint16) for v in b.column("codes")]
             if not parts:
@@ -401,20 +407,22 @@ def _score(shared):
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, frequent: int = FREQUENT,
-           buckets: int = BUCKETS, warm: int = WARM_ROUNDS, full: int = FULL_ROUNDS) -> DataFrame:
+           buckets: int = BUCKETS, rounds: int = MIN_ROUNDS) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_bin")).withColumn("held_out", held_out())
+    if frequent + buckets >= 1 << 16:
+        raise ValueError("symbols are 16-bit numbers: frequent + buckets must stay below 65,536")
     vocab = vocabulary(d.filter(~F.col("held_out")), frequent, buckets)
     known = sc.broadcast(vocab.frequent)
     rows = d.mapInArrow(_encode(known, buckets), "doc_id bigint, held_out boolean, codes binary, rare array<struct<word:binary,bucket:int,tf:bigint>>")
     rows = scratch(rows.withColumn("row", F.monotonically_increasing_id()), "hmm-codes")
-    model = train(rows.filter(~F.col("held_out")), vocab, states, warm, full)
+    model = train(rows.filter(~F.col("held_out")), vocab, states, rounds)
     # symbols: a word's own base term and whether it is known; a bucket's words follow by the join
     words = len(vocab.frequent)
     base = np.concatenate([np.log10(vocab.base(vocab.counts[:words])), np.zeros(buckets)])
     is_known = np.concatenate([(vocab.counts[:words] > 0).astype(np.float64), np.zeros(buckets)])
-    shared = sc.broadcast((model, base, is_known))
+    shared = sc.broadcast((model.arrays(), base, is_known))
     scores = rows.select("row", "doc_id", "held_out", "codes").mapInArrow(
         _score(shared), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double")
     inside = docs.sparkSession.createDataFrame(

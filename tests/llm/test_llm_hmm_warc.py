@@ -55,7 +55,7 @@ def test_expected_counts_match_enumeration():
             emit[codes[t], path[t]] += p
             if t:
                 move[path[t - 1], path[t]] += p
-    assert np.allclose(into.emit, emit / total) and np.allclose(into.move, move / total) and math.isclose(into.log10, math.log10(total))
+    assert np.allclose(into.emit, emit / total) and np.allclose(into.move, move / total) and math.isclose(into.log10, math.log10(total), rel_tol=1e-6)
 
 
 def hmm_corpus(n=120):
@@ -66,7 +66,7 @@ def hmm_corpus(n=120):
 
 def test_scores_and_base(spark):
     rows = hmm_corpus() + [(500, None, "c", "c"), (501, "", "c", "c"), (None, "a1 a2", "c", "c"), (3, "a1 unseen unseen", "c", "c")]
-    got = H.scored(spark.createDataFrame(rows, DOCS).drop("held_out"), states=4, frequent=24, buckets=8, warm=3, full=6).collect()
+    got = H.scored(spark.createDataFrame(rows, DOCS).drop("held_out"), states=4, frequent=24, buckets=8, rounds=9).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     toks = [(i, (t or "").lower().split() + [""]) for i, t, *_ in rows]
     c = Counter(w for i, t in toks if not held(i) for w in t)
@@ -107,7 +107,7 @@ def test_every_round_reads_all_rows_until_the_likelihood_stands(spark, monkeypat
     got = []
     for parts in (1, 7):
         d = spark.createDataFrame(rows, DOCS).select("doc_id", "text").repartition(parts, "doc_id")
-        got.append({r.doc_id: r.score for r in H.scored(d, states=3, frequent=24, buckets=8, warm=1, full=1).collect()})
+        got.append({r.doc_id: r.score for r in H.scored(d, states=3, frequent=24, buckets=8, rounds=2).collect()})
         train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, *_ in rows)
         fits = [f for _, f in seen]
         assert {n for n, _ in seen} == {train} and len(seen) > 2
@@ -118,9 +118,9 @@ def test_every_round_reads_all_rows_until_the_likelihood_stands(spark, monkeypat
 
 def test_hmm_without_training_rows(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
-    got = H.scored(spark.createDataFrame([(held, "a b", "c", "c")], DOCS).drop("held_out"), frequent=4, buckets=4, warm=1, full=1).collect()
+    got = H.scored(spark.createDataFrame([(held, "a b", "c", "c")], DOCS).drop("held_out"), frequent=4, buckets=4, rounds=2).collect()
     assert got[0].n_known == 0 and got[0].train_tokens == 0 and math.isfinite(got[0].score)
-    assert H.scored(spark.createDataFrame([], DOCS).drop("held_out"), frequent=4, buckets=4, warm=1, full=1).count() == 0
+    assert H.scored(spark.createDataFrame([], DOCS).drop("held_out"), frequent=4, buckets=4, rounds=2).count() == 0
 
 
 # ---- WARC -------------------------------------------------------------------------------------
