@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -155,14 +156,45 @@ def parse_piece(piece: str) -> tuple[str, str]:
     return unescape_role(role), unescape(text)
 
 
+class Reader:
+    """Reads one formatted conversation from its text, in whatever pieces that arrives: turns end at the end
+    marker (inside texts it is escaped), the loss mask is given by places in the whole text. Holds the
+    unfinished turn and two hash states."""
+
+    def __init__(self):
+        self.open, self.at = "", 0  # what has no end marker yet, and its place
+        self.spans: deque[tuple[int, int]] = deque()
+        self.turns = self.loss_chars = 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, text: str, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.spans.extend(spans)
+        start = max(0, len(self.open) - len(END))
+        self.open += text
+        while (i := self.open.find(END + "\n", start)) >= 0:
+            turn, self.open = self.open[:i + len(END) + 1], self.open[i + len(END) + 1:]
+            role, body = parse_piece(turn)
+            self.turns += 1
+            self.all.update(f"{role}\n{body}\n".encode())
+            while self.spans and self.spans[0][1] <= self.at + len(turn):
+                a, e = self.spans.popleft()
+                lost = unescape(turn[a - self.at:e - self.at])
+                self.loss_chars += len(lost)
+                self.loss.update(lost.encode())
+            self.at += len(turn)
+            start = 0
+
+    def result(self) -> tuple:
+        if self.open or self.spans:
+            raise ValueError("a conversation that does not end with a turn")
+        return self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.at
+
+
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams the pieces of sorted conversations; holds one piece and two hash states at a time."""
+    """Reads sorted conversations as streams of text."""
     names = ["tree_id", "path_rank", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    cur, st, rows = None, None, []
-
-    def row():
-        return (*cur, st[0], st[1].hexdigest(), st[2], st[3].hexdigest(), st[4])
+    cur, reader, place, rows = None, None, 0, []
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -171,26 +203,21 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree, rank, piece, a, e in zip(*[b.column(c).to_pylist() for c in ("tree_id", "path_rank", "piece", "loss_start", "loss_end")]):
             if (tree, rank) != cur:
                 if cur is not None:
-                    rows.append(row())
-                cur, st = (tree, rank), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            role, text = parse_piece(piece)
-            st[0] += 1
-            st[1].update(f"{role}\n{text}\n".encode())
-            lost = unescape(piece[a:e])
-            st[2] += len(lost)
-            st[3].update(lost.encode())
-            st[4] += len(piece)
+                    rows.append((*cur, *reader.result()))
+                cur, reader, place = (tree, rank), Reader(), 0
+            reader.feed(piece, [(place + a, place + e)] if e > a else ())
+            place += len(piece)
         if len(rows) > 5000:
             yield batch(rows)
             rows = []
     if cur is not None:
-        rows.append(row())
+        rows.append((*cur, *reader.result()))
     if rows:
         yield batch(rows)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Per conversation, read from its formatted pieces in order: number of turns, SHA-256 of
+    """Per conversation, read from its formatted text and loss mask: number of turns, SHA-256 of
     ``role\\ntext\\n`` of all turns, length and SHA-256 of the unescaped text under the loss mask,
     length of the formatted text."""
     x = pieces.select("tree_id", F.col("path_rank").cast("bigint").alias("path_rank"), "depth", "piece", "loss_start", "loss_end")
@@ -202,7 +229,7 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
     """Turn-by-turn conversations as trees: each turn answers the one before it. Order by ``turn``,
     then role and text."""
     c = conversations.select(F.col("conv_id").cast("bigint").alias("tree_id"), "turn", "role", "text")
-    x = indexed(c, ["tree_id", "turn", "role", "text"], "chat-turns")
+    x = indexed(c, ["tree_id", "turn"], "chat-turns", then=("role", "text"))
     x = x.withColumnRenamed("_idx", "node")
     before = x.select((F.col("node") + 1).alias("_n"), F.col("tree_id").alias("_t"), F.col("node").alias("parent"))
     x = x.join(before, (x["node"] == before["_n"]) & x["tree_id"].eqNullSafe(before["_t"]), "left")

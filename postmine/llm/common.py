@@ -24,6 +24,7 @@ WS_BYTES = WS_CHARS.encode()
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # A broadcast table has at most this many rows; larger ones are joined by a salted shuffle.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 BATCH_ROWS = 1_000
 
@@ -88,7 +89,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` if it is read from files, else a scratch table of it: its rows then have an identity."""
     small_batches(df.sparkSession)
     try:
-        df.select("_metadata.file_path")
+        df.select(df.metadataColumn("_metadata")["file_path"])  # also where a column has that name
         return df
     except AnalysisException as e:
         if e.getCondition() is None or not e.getCondition().startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
@@ -96,21 +97,22 @@ def stored(df: DataFrame) -> DataFrame:
         return scratch(df, "rows")
 
 
-def _key_columns() -> list[Column]:
-    return [F.xxhash64(F.col("_metadata.file_path")).alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1])]
+def _key_columns(d: DataFrame) -> list[Column]:
+    m = d.metadataColumn("_metadata")
+    return [F.xxhash64(m["file_path"]).alias(KEY[0]), m["row_index"].alias(KEY[1])]
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add a stable identity of each row: hash of its file and its index there (columns of those names
     are replaced)."""
     d = stored(df)
-    return d.select(*[F.col(f"`{c}`") for c in d.columns if c not in KEY], *_key_columns())
+    return d.select(*[F.col(f"`{c}`") for c in d.columns if c not in KEY], *_key_columns(d))
 
 
 def whole_rows(df: DataFrame) -> DataFrame:
     """Each row as a struct ``_row`` beside its identity, so no column name can clash."""
     d = stored(df)
-    return d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("_row"), *_key_columns())
+    return d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("_row"), *_key_columns(d))
 
 
 def without_rows(df: DataFrame, drop: DataFrame) -> DataFrame:
@@ -119,13 +121,20 @@ def without_rows(df: DataFrame, drop: DataFrame) -> DataFrame:
     return x.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
+def _small(df: DataFrame, max_rows: int, row_bytes: Column | None) -> bool:
+    if df.limit(max_rows + 1).count() > max_rows:
+        return False
+    return row_bytes is None or (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def small_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salt_by: Column | None = None,
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a table that has one row per key: broadcast if it has at most ``max_rows`` rows, else a
-    shuffle join in which each key of ``df`` is dealt over ``SALTS`` tasks (hot keys). Null keys match."""
+               max_rows: int = BROADCAST_ROWS, row_bytes: Column | None = None) -> DataFrame:
+    """Join a table that has one row per key: broadcast if it has at most ``max_rows`` rows (and, where rows
+    differ in size, ``BROADCAST_BYTES`` by ``row_bytes``), else a shuffle join in which each key of ``df`` is
+    dealt over ``SALTS`` tasks (hot keys). Null keys match."""
     cond = lambda r: [df[k].eqNullSafe(r[f"_k_{k}"]) for k in keys]
     right = small.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if _small(small, max_rows, row_bytes):
         right = F.broadcast(right)
         on = cond(right)
     else:
@@ -146,14 +155,22 @@ def worker_cache(name: str) -> dict:
     return m.__dict__.setdefault(name, {})
 
 
-def indexed(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Add ``_idx``: the 0-based position of each row in the global order of ``order``, without a
-    single-task window. Range-partitioned, sorted, written once (so positions never change on a
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def indexed(df: DataFrame, order: list[str], name: str, partitions: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``_idx``: the 0-based position of each row in the global order of ``order`` (ties by ``then``, whose
+    values the sampling of the ranges does not read), without a single-task window. Range-partitioned, sorted, written once (so positions never change on a
     re-run); one count per partition gives the offsets (bounded by the number of partitions)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c).asc_nulls_first() for c in order]
-    t = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id())
+    ties = [F.col(c).asc_nulls_first() for c in then]
+    t = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols, *ties).withColumn("_mid", F.monotonically_increasing_id())
     t = scratch(t, name)
     sizes = t.groupBy(F.shiftright("_mid", 33).alias("p")).count().collect()
     start, offsets = 0, {}

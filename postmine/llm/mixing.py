@@ -10,15 +10,15 @@ bits), so no count is cut off. Mass is counted in code points of whole texts, pr
 
 Defined cases: null text is empty; a null source is a source of its own; a source without mass or
 with weight 0 (or absent from given weights) has rate 0; a null ``doc_id`` hashes as an empty id;
-identical repeated rows get the same count; extra columns travel along; an empty table stays empty.
+identical repeated rows get the same count; extra columns travel along under their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_join
+from .common import free_name, scratch, small_join
 
 SEED = "mix-1"
 HEX = 13  # hex digits of the hash used: 52 bits, exact in a double
@@ -46,24 +46,29 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "
 
 def distribution(rate: DataFrame) -> DataFrame:
     """Add ``first`` and ``cdf``: P(count <= first + i). Terms are summed outwards from the mean in
-    logarithms of ratios, so a large rate neither underflows nor needs a factorial."""
+    logarithms of ratios, so a large rate neither underflows nor needs a factorial. One row per term, summed
+    along the terms of a source (their number grows with the root of its rate)."""
     lam = F.col("rate")
     spread = 12 * F.sqrt(lam) + 40
     x = rate.withColumn("first", F.greatest(F.lit(0).cast("bigint"), F.floor(lam - spread)))
-    x = x.withColumn("last", F.ceil(lam + spread).cast("bigint"))
-    logs = F.transform(F.sequence("first", "last"), lambda k: F.when(k > F.col("first"), F.log(lam) - F.log(k.cast("double"))).otherwise(F.lit(0.0)))
-    run = F.aggregate(logs, F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + v)))
-    x = x.withColumn("_r", F.when(lam > 0, run).otherwise(F.array(F.lit(0.0))))
-    x = x.withColumn("_e", F.transform("_r", lambda v: F.exp(v - F.array_max("_r"))))
-    x = x.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
-    cdf = F.aggregate("_e", F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + v / F.col("_t"))))
-    return x.select("source", "mass", "rate", "first", cdf.alias("cdf"))
+    x = x.withColumn("last", F.when(lam > 0, F.ceil(lam + spread).cast("bigint")).otherwise(F.col("first")))
+    key = ["source", "mass", "rate", "first"]  # a source has one row
+    x = x.select(*key, F.explode(F.sequence("first", "last")).alias("k"))
+    along = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    log = F.when((lam > 0) & (F.col("k") > F.col("first")), F.log(lam) - F.log(F.col("k").cast("double"))).otherwise(F.lit(0.0))
+    x = x.withColumn("_r", F.sum(log).over(along))
+    x = x.withColumn("_e", F.exp(F.col("_r") - F.max("_r").over(whole)))
+    x = x.withColumn("_c", F.sum(F.col("_e")).over(along) / F.sum("_e").over(whole))
+    x = x.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "_c"))).alias("t"))
+    return x.select(*key, F.col("t._c").alias("cdf"))
 
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source",
               text_col: str = "text", epochs: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Every column of ``docs`` plus struct ``_mix``: ``rate``, ``copies``, ``copy`` (from 0) and
-    ``key`` (global order). Rows arrive shuffled: dealt to partitions and sorted by ``key``."""
+    """Every column of ``docs`` plus struct ``_mix`` (last; more underscores where a column has that name):
+    ``rate``, ``copies``, ``copy`` (from 0) and ``key`` (global order). Rows arrive shuffled: dealt to
+    partitions and sorted by ``key``."""
     spark = docs.sparkSession
     table = scratch(distribution(rates(docs, weights, source_col, text_col, epochs)), "mix-rates")
     names = [f"c{i}" for i in range(len(docs.columns))]  # free of clashes while internal columns exist
@@ -73,7 +78,7 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "
     ident = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(of[id_col]).cast("string"), F.lit("")), F.md5(text))
     d = d.withColumn("_src", F.col(of[source_col])).withColumn("_ident", F.md5(ident))
     table = table.select(F.col("source").alias("_src"), F.col("rate").alias("_rate"), F.col("first").alias("_first"), F.col("cdf").alias("_cdf"))
-    x = small_join(d, table, ["_src"], salt_by=F.col("_ident"))
+    x = small_join(d, table, ["_src"], salt_by=F.col("_ident"), row_bytes=8 * F.size("_cdf") + 64)
     u = _hash52(F.concat(F.lit("u"), F.col("_ident"))) / F.lit(float(16**HEX))
     # the number of table entries at or below u, by count of the sorted table's prefix
     count = F.when(F.col("_rate") > 0, F.col("_first") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(F.lit(0))
@@ -83,4 +88,4 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "
     x = x.select(*names, F.struct(F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), key.alias("key")).alias("_mix"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = x.repartition(n, F.col("_mix.key")).sortWithinPartitions(F.col("_mix.key"))
-    return x.select(*[F.col(names[i]).alias(c) for i, c in enumerate(docs.columns)], "_mix")
+    return x.select(*[F.col(names[i]).alias(c) for i, c in enumerate(docs.columns)], F.col("_mix").alias(free_name("_mix", docs)))

@@ -105,7 +105,7 @@ r AS (SELECT source, mass, CASE WHEN mass > 0 THEN
         (1.0 / (SELECT count(*) FROM m WHERE mass > 0)) * (SELECT sum(mass) FROM m) / mass ELSE 0.0 END AS rate FROM m),
 p AS (  -- probabilities from the closed form, summed up to far beyond the mean
   SELECT source, rate, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1.0)) END AS q
-  FROM r, range(0, 400) AS g(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
+  FROM r, range(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 41)::BIGINT FROM r)) AS g(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
 c AS (SELECT source, rate, k, sum(q) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p WHERE rate > 0),
 u AS (SELECT *, md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(t)) AS ident FROM d),
 v AS (SELECT *, ('0x' || substr(md5('u' || ident), 1, 13))::BIGINT / 4503599627370496.0 AS x FROM u),
