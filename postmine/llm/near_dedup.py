@@ -44,6 +44,7 @@ K = 96
 RANGES = 256
 TAIL = 2e-10  # chance that a pair at exactly the similarity asked for fails one of the two bounds
 CELL = 2_048  # classes of a family on each side of a cell
+PAIRS = 1 << 19  # compared at a time
 DENSE = 4  # pairs a row of a cell may give before the sets are compared in the task
 LONG_SET = 4_096  # shingles; larger sets are always compared as candidates
 SIGN = ["s0", "s1", "s2", "s3"]
@@ -199,74 +200,129 @@ def families(lists: DataFrame) -> DataFrame:
 
 
 def cells(family: DataFrame) -> DataFrame:
-    """Rows of every cell ``(main, i, j)``: side 0 has the classes outside the main component, side 1 all; each
-    pair of such classes meets in one cell."""
+    """Rows of every cell ``(main, i, j)``: side 0 has the classes outside the main component, side 1 the others,
+    side 2 stands for both (a family of one cell); each pair of such classes meets in one cell."""
     per = family.groupBy("main").agg(F.count(F.lit(1)).alias("c1"), F.count_if(F.col("comp") != F.col("main")).alias("c0"))
     x = family.join(per, "main")
+    cols = ["node", "comp", "n", *SIGN]
+    zero, left = F.lit(0), F.col("comp") != F.col("main")
+    one = x.filter(F.col("c1") <= CELL).select("main", zero.alias("i"), zero.alias("j"), F.when(left, 2).otherwise(1).alias("side"), *cols)
+    x = x.filter(F.col("c1") > CELL)
     blocks = lambda c: F.ceil(F.col(c) / CELL)
     block = lambda side, c: F.pmod(F.xxhash64(F.lit(side), "node"), blocks(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c).cast("int") - 1))
-    cols = ["node", "comp", "n", *SIGN]
-    rows = x.filter("comp <> main").select("main", block(0, "c0").alias("i"), every("c1").alias("j"), F.lit(0).alias("side"), *cols)
-    return rows.unionByName(x.select("main", every("c0").alias("i"), block(1, "c1").alias("j"), F.lit(1).alias("side"), *cols))
+    every = lambda c: F.explode(F.sequence(zero, blocks(c).cast("int") - 1))
+    rows = x.filter(left).select("main", block(0, "c0").alias("i"), every("c1").alias("j"), zero.alias("side"), *cols)
+    return one.unionByName(rows).unionByName(x.select("main", every("c0").alias("i"), block(1, "c1").alias("j"), F.lit(1).alias("side"), *cols))
+
+
+def _both_sides(t: pa.Table) -> pa.Table:
+    """A row of side 2 as one of each side, sorted."""
+    side = t.column("side").to_numpy()
+    if not (side == 2).any():
+        return t
+    at = np.concatenate([np.arange(len(side)), np.flatnonzero(side == 2)])
+    new = np.concatenate([np.where(side == 2, 0, side), np.ones((side == 2).sum(), side.dtype)])
+    order = np.lexsort((new, *[t.column(c).to_numpy()[at] for c in reversed(CELL_KEY)]))
+    t = t.take(pa.array(at[order]))
+    return t.set_column(t.schema.get_field_index("side"), "side", pa.array(new[order].astype(np.int32)))
+
+
+def _whole_cells(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole cells of a sorted stream, ``least`` rows or more at a time, and where each cell begins."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = _cut(t)
+            if len(cut):  # the last cell may go on
+                whole = _both_sides(t.slice(0, cut[-1]))
+                yield whole, np.concatenate([[0], _cut(whole)])
+                held = t.slice(cut[-1]).to_batches()
+                n -= cut[-1]
+    if n:
+        whole = _both_sides(pa.Table.from_batches(held).combine_chunks())
+        yield whole, np.concatenate([[0], _cut(whole)])
+
+
+def _cut(t: pa.Table) -> np.ndarray:
+    """Where a new cell begins, but for the first."""
+    new = np.zeros(max(0, t.num_rows - 1), bool)
+    for c in CELL_KEY:
+        k = t.column(c).to_numpy()
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(new) + 1
 
 
 def _by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
-    """The rows of each cell of a sorted stream; one cell is held at a time."""
-    held, parts = None, []
-    for b in batches:
-        keys = np.stack([np.asarray(b.column(c), np.int64) for c in CELL_KEY], axis=1)
-        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
-            if lo == hi:
-                continue
-            key = tuple(keys[lo].tolist())
-            if key != held and parts:
-                yield held, pa.Table.from_batches(parts)
-                parts = []
-            held = key
-            parts.append(b.slice(lo, hi - lo))
-    if parts:
-        yield held, pa.Table.from_batches(parts)
+    """The rows of each cell of a sorted stream."""
+    for t, begin in _whole_cells(batches, 1):
+        keys = [t.column(c).to_numpy() for c in CELL_KEY]
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows]):
+            yield tuple(int(k[lo]) for k in keys), t.slice(lo, hi - lo)
 
 
 def _sides(cell: pa.Table) -> list[dict[str, np.ndarray]]:
-    cols = {c: cell.column(c).to_numpy() for c in ("side", "node", "comp", "n", *SIGN) if c in cell.column_names}
+    cols = {c: cell.column(c).to_numpy() for c in ("side", "node", "comp", "n")}
     return [{c: v[cols["side"] == side] for c, v in cols.items()} for side in (0, 1)]
 
 
-def _meet(a: dict, b: dict, rows: slice, main: int, percent: int) -> np.ndarray:
-    """Pairs of a cell that are in different components, counted once, and whose sizes allow a link."""
-    small, large = np.minimum(a["n"][rows, None], b["n"]), np.maximum(a["n"][rows, None], b["n"])
-    once = (b["comp"] == main) | (a["node"][rows, None] < b["node"])
-    return (a["comp"][rows, None] != b["comp"]) & once & (small * 100 >= large * percent)
+def _meet(a: dict, b: dict, k: int, main: int, percent: int) -> np.ndarray:
+    """Rows of side 1 that row ``k`` of side 0 has to be compared with: of another component, each pair once,
+    of a size that allows a link."""
+    small, large = np.minimum(a["n"][k], b["n"]), np.maximum(a["n"][k], b["n"])
+    return (a["comp"][k] != b["comp"]) & ((b["comp"] == main) | (a["node"][k] < b["node"])) & (small * 100 >= large * percent)
+
+
+def _units(begin: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+    """Cells as units ``(cell, first row of side 0, rows of side 0)`` of a bounded number of pairs, in groups."""
+    per = np.maximum(1, PAIRS // np.maximum(right, 1))
+    count = -(-left // per)
+    cell = np.repeat(np.arange(len(begin)), count)
+    no = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+    at = no * per[cell]
+    rows = np.minimum(per[cell], left[cell] - at)
+    group = np.cumsum(rows * right[cell]) // PAIRS
+    units = np.stack([cell, begin[cell] + at, rows], axis=1)
+    yield from np.split(units, np.flatnonzero(np.diff(group)) + 1)
 
 
 def _light(percent: int):
-    """Pairs of each cell with near signatures; for a cell with too many of them a row without a pair."""
+    """Pairs of each cell with near signatures; for a cell with too many of them a row without a pair. Small
+    cells are compared together."""
+    limit = most_bits(percent)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = most_bits(percent)
-        for key, cell in _by_cell(batches):
-            a, b = _sides(cell)
-            found, dense, room = [], False, DENSE * cell.num_rows
-            for lo in range(0, len(a["node"]), 128):
-                rows = slice(lo, lo + 128)
-                bits = np.zeros((len(a["node"][rows]), len(b["node"])), np.int32)
+        for t, begin in _whole_cells(batches, CELL):
+            col = {c: t.column(c).to_numpy() for c in (*CELL_KEY, "side", "node", "comp", "n", *SIGN)}
+            size = np.diff(np.append(begin, t.num_rows))
+            left = np.add.reduceat((col["side"] == 0).astype(np.int64), begin)
+            right = size - left
+            for units in _units(begin, left, right):
+                cell, first, rows = units.T
+                pairs = rows * right[cell]
+                unit = np.repeat(np.arange(len(units)), pairs)
+                no = np.arange(len(unit)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                wide = right[cell][unit]
+                a, b = first[unit] + no // wide, (begin + left)[cell][unit] + no % wide
+                main, ca, cb = col["main"][a], col["comp"][a], col["comp"][b]
+                na, nb = col["n"][a], col["n"][b]
+                small, large = np.minimum(na, nb), np.maximum(na, nb)
+                ok = np.flatnonzero((ca != cb) & ((cb == main) | (col["node"][a] < col["node"][b])) & (small * 100 >= large * percent))
+                a, b, unit, large = a[ok], b[ok], unit[ok], large[ok]
+                bits = np.zeros(len(ok), np.int32)
                 for c in SIGN:
-                    bits += np.bitwise_count(a[c].view(np.uint64)[rows, None] ^ b[c].view(np.uint64))
-                x, y = np.nonzero(_meet(a, b, rows, key[0], percent) & (bits <= limit))
-                long = np.maximum(a["n"][rows][x], b["n"][y]) > LONG_SET
-                if dense or len(x) - long.sum() > room:
-                    dense, x, y = True, x[long], y[long]
-                room -= len(x)
-                found.append((a["node"][rows][x], b["node"][y], ~long if not dense else np.zeros(len(x), bool)))
-            x, y, short = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-            if dense:  # pairs of smaller sets found before that was known are found again
-                x, y = x[~short.astype(bool)], y[~short.astype(bool)]
-            n = len(x) + dense
-            pair = lambda v: pa.array([*v.tolist(), *[None] * dense], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)) for k in key[:1]] + [pa.array(np.full(n, k, np.int32)) for k in key[1:]] + [pair(x), pair(y)],
-                                             names=[*CELL_KEY, "a", "b"])
+                    bits += np.bitwise_count((col[c][a] ^ col[c][b]).view(np.uint64))
+                near = np.flatnonzero(bits <= limit)
+                a, b, unit, long = a[near], b[near], unit[near], large[near] > LONG_SET
+                dense = np.bincount(unit[~long], minlength=len(units)) > DENSE * (rows + right[cell])
+                out = ~dense[unit] | long
+                marks = first[dense]
+                at = np.concatenate([a[out], marks])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(col[c][at]) for c in CELL_KEY] + [pa.array(col["node"][at], mask=np.arange(len(at)) >= out.sum()), pa.array(np.append(col["node"][b[out]], np.zeros(len(marks), np.int64)))],
+                    names=[*CELL_KEY, "a", "b"])
 
     return run
 
@@ -288,7 +344,7 @@ def _dense(size: int, percent: int):
             flat, starts = np.concatenate(other), np.cumsum([0] + [len(s) for s in other[:-1]])
             mark, left, right = np.zeros(len(ids) + 1, bool), [], []
             for k, own in enumerate(mine):
-                meet = _meet(a, b, slice(k, k + 1), key[0], percent)[0]
+                meet = _meet(a, b, k, key[0], percent)
                 if meet.any():
                     mark[own] = True
                     common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
@@ -306,10 +362,12 @@ def _dense(size: int, percent: int):
 def remaining_pairs(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Candidates among all pairs of classes that share a list and are in different components."""
     every = cells(families(lists))
-    dealt = lambda x: x.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "side")
+    # a fixed number of tasks: the rows are small, the work on them is not
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda x: x.repartition(tasks, *CELL_KEY).sortWithinPartitions(*CELL_KEY, "side")
     found = scratch(dealt(every).mapInArrow(_light(percent), "main bigint, i int, j int, a bigint, b bigint"), "near-light")
     pairs = found.filter("a IS NOT NULL").select("a", "b")
-    dense = found.filter("a IS NULL").select(*CELL_KEY)
+    dense = found.filter("a IS NULL").select(*CELL_KEY).distinct()
     if dense.limit(1).count():
         rows = every.filter(F.col("n") <= LONG_SET).join(dense, CELL_KEY, "left_semi").drop(*SIGN).join(texts, "node")
         pairs = pairs.unionByName(dealt(rows).mapInArrow(_dense(size, percent), "a bigint, b bigint"))
