@@ -13,6 +13,7 @@ characters, or may serve the fallback of a page without a match. The tree builde
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, Window
@@ -52,10 +53,12 @@ IMPLIED_END = {
 # An end tag or an implied end of a paragraph never reaches outside these.
 BARRIERS = {"td", "th", "caption", "button", "table", "template"}
 
-PAGE_SCHEMA = (
-    "page_url string, text string, visible string, has_match boolean, body_start int, body_end int, "
-    "elems array<struct<ord:int,tag:string,g2:int,g3:int,in_body:boolean,n_children:int,t0:int,t1:int,v0:int,v1:int>>"
+# One row per usable element; ``elem_ord`` -1 is the page itself with the visible text of its body.
+BLOCK_SCHEMA = (
+    "page_url string, has_match boolean, elem_ord int, tag string, g2_mask int, g3_mask int, in_body boolean, "
+    "n_children int, text_content string, visible_text string"
 )
+OUT_ROWS, OUT_CHARS = 2_000, 4 << 20  # element rows handed on together
 
 
 def compile_selector(selector: str):
@@ -74,12 +77,13 @@ def compile_selector(selector: str):
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "n_children", "in_body", "order", "hidden", "span", "parent")
+    __slots__ = ("tag", "attrs", "n_children", "in_body", "order", "hidden", "inert", "span", "parent")
 
     def __init__(self, tag, attrs, parent, order):
         self.tag, self.attrs, self.n_children, self.order, self.parent = tag, attrs, 0, order, parent
         self.in_body = parent is not None and (parent.tag == "body" or parent.in_body)
         self.hidden = tag in HIDDEN or parent is not None and parent.hidden
+        self.inert = tag == "template" or parent is not None and parent.inert  # its contents are no part of the page
         self.span = [0, 0, 0, 0]
 
 
@@ -90,7 +94,8 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack, self.nodes, self.text, self.visible = [_Node("#document", {}, None, -1)], [], [], []
         self.n_text = self.n_visible = 0
-        self.body = None
+        self.open: dict[str, int] = {}  # open elements by tag
+        self.body = self.head = None
 
     # -- texts --
     def _show(self, s):
@@ -100,26 +105,31 @@ class _TreeBuilder(HTMLParser):
     def _push(self, tag, attrs):
         parent = self.stack[-1]
         node = _Node(tag, attrs, parent, len(self.nodes))
-        inside_template = any(n.tag == "template" for n in self.stack)
-        if not inside_template:
+        if not parent.inert:
             parent.n_children += 1
             self.nodes.append(node)
         if tag in BLOCK and not node.hidden:
             self._show("\n")
         node.span[0], node.span[2] = self.n_text, self.n_visible
         self.stack.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
         if tag == "body":
             self.body = node
+        elif tag == "head":
+            self.head = node
         return node
 
     def _pop(self):
         node = self.stack.pop()
+        self.open[node.tag] -= 1
         node.span[1], node.span[3] = self.n_text, self.n_visible
         if node.tag in BLOCK and not node.hidden:
             self._show("\n")
 
     def _pop_to(self, tags, barriers=()):
         """Close the innermost open element of ``tags`` unless a barrier is met first."""
+        if not any(self.open.get(t) for t in tags):
+            return False
         for i in range(len(self.stack) - 1, 0, -1):
             t = self.stack[i].tag
             if t in tags:
@@ -133,12 +143,10 @@ class _TreeBuilder(HTMLParser):
     # -- structure --
     def _ensure(self, name):
         """Open the implied parents of body or head content."""
-        tags = [n.tag for n in self.stack]
-        if "html" not in tags:
+        if not self.open.get("html"):
             self._push("html", {})
         if name == "body":
-            if "head" in tags:
-                self._pop_to({"head"})
+            self._pop_to({"head"})
             if self.body is None:
                 self._push("body", {})
 
@@ -160,7 +168,7 @@ class _TreeBuilder(HTMLParser):
             self._pop()
 
     def _open_root(self, tag, attrs):
-        have = {"html": any(n.tag == "html" for n in self.stack), "head": self.body is not None or any(n.tag == "head" for n in self.nodes), "body": self.body is not None}
+        have = {"html": bool(self.open.get("html")), "head": self.body is not None or self.head is not None, "body": self.body is not None}
         if have[tag]:
             return
         if tag != "html":
@@ -178,7 +186,7 @@ class _TreeBuilder(HTMLParser):
         self._pop_to({tag}, BARRIERS - {tag} if tag not in {*_ROWS, "tr", "table", "template"} else {"table", "template"} - {tag})
 
     def handle_data(self, data):
-        if self.body is None and len(self.stack) < 3 and not any(n.tag == "head" for n in self.stack):
+        if self.body is None and len(self.stack) < 3 and not self.open.get("head"):
             if not data.strip():
                 return
             self._ensure("body")
@@ -186,7 +194,7 @@ class _TreeBuilder(HTMLParser):
             if not data.strip():
                 return
             self._ensure("body")
-        if any(n.tag == "template" for n in self.stack):
+        if self.stack[-1].inert:
             return
         self.text.append(data)
         self.n_text += len(data)
@@ -204,7 +212,7 @@ class _TreeBuilder(HTMLParser):
             self._pop()
 
 
-_SPACES = re.compile(r"[ \t\r\f\v ]+")
+_SOLID = re.compile(r"\S+")
 _LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")
 
 
@@ -214,7 +222,9 @@ def _inner_text(raw):
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def parse_page(page_url: str, html: str, g2=None, g3=None):
+def parse_page(html: str, g2=None, g3=None):
+    """``text, visible, body, has_match, elements``: the two buffers, the body's interval in ``visible``, and per
+    usable element ``(order, tag, g2 mask, g3 mask, in_body, children, t0, t1, v0, v1, needs text)``."""
     g2 = g2 or [compile_selector(x) for x in CANDIDATE_SELECTORS]
     g3 = g3 or [compile_selector(x) for x in SCAN_SELECTORS]
     b = _TreeBuilder()
@@ -222,57 +232,79 @@ def parse_page(page_url: str, html: str, g2=None, g3=None):
     b.feed(_LONG_REFERENCE.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'}", html or ""))
     b.finish()
     text = "".join(b.text)
+    # from any place to the next character that is no white space: blank intervals without cutting them
+    spans = [m.span() for m in _SOLID.finditer(text)]
+    solid, runs = [s[0] for s in spans], [s[1] for s in spans]
     masks = [tuple(sum(1 << i for i, test in enumerate(tests) if test(n.tag, n.attrs)) for tests in (g2, g3)) for n in b.nodes]
     has_match = any(m[1] for m in masks)
     elems = []
     for n, (m2, m3) in zip(b.nodes, masks):
         t0, t1, v0, v1 = n.span
         parent = n.parent.span if n.parent.in_body else None
+        at = bisect_right(runs, t0)
+        blank = at == len(solid) or max(solid[at], t0) >= t1
         # the same text as its parent's: the parent's row stands for both in the text tiers
-        own = n.in_body and text[t0:t1].strip() and not (parent and (t0, t1) == (parent[0], parent[1]) and n.n_children >= G.DENSE_MAX_CHILDREN)
+        own = n.in_body and not blank and not (parent and (t0, t1) == (parent[0], parent[1]) and n.n_children >= G.DENSE_MAX_CHILDREN)
         dense = own and n.n_children < G.DENSE_MAX_CHILDREN and t1 - t0 > G.DENSE_MIN_CHARS
-        if m2 or m3 or dense or (own and not has_match):
-            elems.append((n.order, n.tag, m2, m3, n.in_body, n.n_children, t0, t1, v0, v1))
-    body = b.body.span
-    return page_url, text, "".join(b.visible), has_match, body[2], body[3], elems
+        scan = m3 or own and not has_match
+        if m2 or scan or dense:
+            elems.append((n.order, n.tag, m2, m3, n.in_body, n.n_children, t0, t1, v0, v1, bool(scan or dense)))
+    return text, "".join(b.visible), (b.body.span[2], b.body.span[3]), has_match, elems
+
+
+def element_rows(page_url: str, html: str, g2=None, g3=None):
+    """Rows of :data:`BLOCK_SCHEMA` of one page. Candidates need the visible text, and the text content only
+    where that is blank; the other tiers need the text content."""
+    text, visible, body, has_match, elems = parse_page(html, g2, g3)
+    yield page_url, has_match, -1, None, 0, 0, False, 0, None, visible[slice(*body)]
+    for order, tag, m2, m3, in_body, n, t0, t1, v0, v1, needs in elems:
+        shown = visible[v0:v1] if m2 else None
+        needs = needs or not shown.replace("\ufeff", "").strip()
+        yield page_url, has_match, order, tag, m2, m3, in_body, n, text[t0:t1] if needs else None, shown
 
 
 def page_blocks(pages: DataFrame, url_col: str = "page_url", html_col: str = "html") -> DataFrame:
-    """One row per page (``PAGE_SCHEMA``). Run the URL gate (F1) before this stage: Catalyst cannot push
-    predicates through ``mapInPandas``."""
+    """Element rows of every page (``BLOCK_SCHEMA``). Run the URL gate (F1) before this stage: Catalyst cannot
+    push predicates through ``mapInArrow``."""
     import sys
 
-    import pandas as pd
+    import pyarrow as pa
 
     from ..session import ship_module
 
     ship_module(sys.modules[__name__])
-    cols = [c.split()[0] for c in PAGE_SCHEMA.split(", ")]
-    fields = ["ord", "tag", "g2", "g3", "in_body", "n_children", "t0", "t1", "v0", "v1"]
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in BLOCK_SCHEMA.split(", ")])
 
     def run(batches):
         g2, g3 = [compile_selector(x) for x in CANDIDATE_SELECTORS], [compile_selector(x) for x in SCAN_SELECTORS]
-        for pdf in batches:
-            for u, h in zip(pdf[url_col], pdf[html_col]):
-                *page, elems = parse_page(u, h, g2, g3)
-                yield pd.DataFrame([(*page, [dict(zip(fields, e)) for e in elems])], columns=cols)
 
-    return pages.select(url_col, html_col).mapInPandas(run, PAGE_SCHEMA)
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        rows, size = [], 0
+        for b in batches:
+            for u, h in zip(b.column(0), b.column(1)):
+                for row in element_rows(u.as_py(), h.as_py(), g2, g3):
+                    rows.append(row)
+                    size += len(row[-1] or "") + len(row[-2] or "")
+                    if len(rows) >= OUT_ROWS or size >= OUT_CHARS:
+                        yield out(rows)
+                        rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    return pages.select(url_col, html_col).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def elements(blocks: DataFrame) -> DataFrame:
-    """Element rows: ``page_url, has_match, elem_ord, g2_mask, g3_mask, in_body, n_children`` and the
-    raw ``text_content`` and ``visible_text``."""
-    cut = lambda c, a, b: F.substring(c, F.col(a) + 1, F.col(b) - F.col(a))
-    return blocks.select("page_url", "has_match", "text", "visible", F.inline("elems")).select(
-        "page_url", "has_match", F.col("ord").alias("elem_ord"), "tag", F.col("g2").alias("g2_mask"), F.col("g3").alias("g3_mask"), "in_body", "n_children",
-        cut("text", "t0", "t1").alias("text_content"), cut("visible", "v0", "v1").alias("visible_text"))
+    """The element rows without those of the pages."""
+    return blocks.filter(F.col("elem_ord") >= 0)
 
 
 def page_text(pages: DataFrame, blocks: DataFrame, url_col: str = "page_url", html_col: str = "html") -> DataFrame:
     """Visible body text of each page; the html when that text is blank."""
-    raw = F.substring("visible", F.col("body_start") + 1, F.col("body_end") - F.col("body_start"))
-    body = blocks.select("page_url", _inner_text(raw).alias("text"))
+    body = blocks.filter(F.col("elem_ord") < 0).select("page_url", _inner_text(F.col("visible_text")).alias("text"))
     p = pages.select(F.col(url_col).alias("page_url"), F.col(html_col).alias("html"))
     j = p.join(body, "page_url", "left")
     return j.select("page_url", F.when(non_blank("text"), F.col("text")).otherwise(F.coalesce("html", F.lit(""))).alias("text"))

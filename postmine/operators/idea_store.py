@@ -8,11 +8,12 @@ should not become one array.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sentiment_score, trim_ws
 from .batching import top_k_by
+from .segmented import segment_rank
 
 KEY = ["page_url", "batch_id", "idea"]
 # Caps of the idea store and the ranking request.
@@ -104,8 +105,7 @@ def first_ideas(store: DataFrame, k: int) -> DataFrame:
 def payload_ideas(store: DataFrame, per_request: int = IDEAS_PER_REQUEST) -> DataFrame:
     """Every idea of a batch with its place in first-seen order (``payload_pos``, 1-based) and the
     number of the ranking request that carries it (``payload_no``, from 0)."""
-    w = Window.partitionBy("page_url", "batch_id").orderBy("first_seq", "first_pos")
-    x = store.withColumn("payload_pos", F.row_number().over(w))
+    x = segment_rank(store, ["page_url", "batch_id"], [F.col("first_seq"), F.col("first_pos"), F.col("idea")], "payload_pos")
     return x.withColumn("payload_no", F.floor((F.col("payload_pos") - 1) / per_request).cast("bigint"))
 
 

@@ -20,7 +20,7 @@ from . import batching as B
 from . import html_blocks as H
 from . import requests as RQ
 from .enrich import attach_replies, enrich, missing_requests
-from .idea_store import rank_payload
+from .idea_store import payload_ideas
 
 
 def call(requests: DataFrame, client_factory, stored: DataFrame | None = None, policy=None, partitions=None, sleep=None) -> DataFrame:
@@ -64,9 +64,10 @@ def analyze_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
 # ---- M4 ---------------------------------------------------------------------------------------
 def idea_requests(posts_insights: DataFrame) -> DataFrame:
     """Rows with ``ins`` (truthy insights) and ``post``; they travel with the request."""
-    x = posts_insights.withColumn("_inp", RQ.idea_input(posts_insights, "ins", "post"))
-    r = RQ.build_requests(x, "ideate", ["page_url", "seq"], RQ.idea_prompt(F.col("_inp")), RQ.IDEA_SYSTEM, carry=posts_insights.columns)
-    return r
+    # the input is written before its fields are read: as one expression its code would outgrow a method
+    x = materialize(posts_insights.withColumn("_inp", RQ.idea_input(posts_insights, "ins", "post")))
+    x = RQ.with_idea_prompt(x, "_inp", "_prompt")
+    return RQ.build_requests(x, "ideate", ["page_url", "seq"], F.col("_prompt"), RQ.IDEA_SYSTEM, carry=posts_insights.columns)
 
 
 def idea_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
@@ -82,9 +83,10 @@ RANK_KEYS = ["page_url", "batch_id", "payload_no"]
 
 def rank_requests(store: DataFrame) -> DataFrame:
     """One ranking request per payload (a batch with many ideas has several)."""
-    p = rank_payload(store)
-    body = RQ.json_object([("ideas", RQ.json_array(F.transform("ideas", RQ.ranked_idea), 2))], 0)
-    return RQ.build_requests(p, "rank", RANK_KEYS, RQ.rank_prompt(body), RQ.RANK_SYSTEM)
+    x = RQ.with_ranked_idea(payload_ideas(store), "item").groupBy(*RANK_KEYS).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("payload_pos", "item"))), lambda s: s["item"]).alias("items"))
+    body = RQ.json_object([("ideas", RQ.json_array(F.col("items"), 2))], 0)
+    return RQ.build_requests(x, "rank", RANK_KEYS, RQ.rank_prompt(body), RQ.RANK_SYSTEM)
 
 
 def rank_results(store: DataFrame, requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,27 +132,18 @@ def chunk_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 # ---- U4 ---------------------------------------------------------------------------------------
-def cascade(candidates: DataFrame, texts: DataFrame, scan: DataFrame) -> DataFrame:
-    """U4 over the posts of the three tiers: the first tier with posts wins per page. Returns
-    ``(page_url, tier, post)``."""
-    tag = lambda d, t: d.select("page_url", F.lit(t).alias("tier"), "post")
-    done1 = candidates.select("page_url").distinct()
-    second = texts.join(done1, "page_url", "left_anti")
-    done2 = done1.unionByName(second.select("page_url").distinct())
-    third = scan.join(done2, "page_url", "left_anti")
-    return tag(candidates, "candidates").unionByName(tag(second, "full_text")).unionByName(tag(third, "selector_scan"))
-
-
-def extract_posts(pages: DataFrame, client_factory=None, sleep=None, partitions=None) -> DataFrame:
-    """U4 with a client: candidates tier -> chunked full-text tier -> selector scan. Each later tier
-    calls only for the pages still unanswered. Without a client only the selector scan runs."""
+def extract_posts(pages: DataFrame, answer=None) -> DataFrame:
+    """U4: candidates tier -> chunked full-text tier -> selector scan, each only for the pages that the one
+    before left without posts. ``answer(requests)`` gives the replies of a tier's requests (:func:`call` with
+    a client, or stored ones); without it only the selector scan runs."""
     blocks = materialize(H.page_blocks(pages))  # read by every tier: parse the HTML once
-    scan = H.selector_scan(blocks)
-    if client_factory is None:
-        return scan.select("page_url", F.lit("selector_scan").alias("tier"), "post")
-    r1 = candidate_requests(H.candidates(blocks))
-    t1 = materialize(candidate_results(r1, call(r1, client_factory, partitions=partitions, sleep=sleep)))
-    texts = H.page_text(pages, blocks).join(t1.select("page_url").distinct(), "page_url", "left_anti")
-    r2 = chunk_requests(texts)
-    t2 = materialize(chunk_results(r2, call(r2, client_factory, partitions=partitions, sleep=sleep)))
-    return cascade(t1, t2, scan)
+    if answer is None:
+        return H.selector_scan(blocks).select("page_url", F.lit("selector_scan").alias("tier"), "post")
+    without = lambda d, done: d.join(done.select("page_url").distinct(), "page_url", "left_anti")
+    r1 = materialize(candidate_requests(H.candidates(blocks)))
+    t1 = materialize(candidate_results(r1, answer(r1)))
+    left = without(blocks, t1)
+    r2 = materialize(chunk_requests(H.page_text(without(pages, t1), left)))
+    t2 = materialize(chunk_results(r2, answer(r2)))
+    tag = lambda d, t: d.select("page_url", F.lit(t).alias("tier"), "post")
+    return tag(t1, "candidates").unionByName(tag(t2, "full_text")).unionByName(tag(H.selector_scan(without(left, t2)), "selector_scan"))

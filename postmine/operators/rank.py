@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
 from ..functions.text import collapse_ws, ellipsis_if_longer
 from .batching import top_k_by
 from .idea_store import payload_ideas
+from .segmented import segment_rank
 
 # Report layout.
 REPORT_HEADER = "--- Product Ideas (LLM-ranked) ---"
@@ -103,11 +104,9 @@ def all_batches(planned: DataFrame, store: DataFrame) -> DataFrame:
 
 def rank_native(store: DataFrame) -> DataFrame:
     """W5 [ours]: rank every idea of a batch by signals: count desc, sentiment sum desc, number of topics
-    desc, first seen. The window sorts the store's rows (one per idea), not the events."""
-    w = Window.partitionBy("page_url", "batch_id").orderBy(
-        F.desc("cnt"), F.desc("sentiment_sum"), F.desc("n_topics"), F.asc("first_seq"), F.asc("first_pos")
-    )
-    return store.withColumn("rank", F.row_number().over(w))
+    desc, first seen. A batch of any size is ranked by many tasks (:func:`segment_rank`)."""
+    order = [F.desc("cnt"), F.desc("sentiment_sum"), F.desc("n_topics"), F.asc("first_seq"), F.asc("first_pos"), F.asc("idea")]
+    return segment_rank(store, ["page_url", "batch_id"], order, "rank")
 
 
 def attach_signals(ranked: DataFrame, store: DataFrame) -> DataFrame:

@@ -129,18 +129,20 @@ def json_strings(c, indent: int) -> Column:
     return json_array(F.transform(_c(c), json_text), indent)
 
 
-def idea_prompt(inp) -> Column:
-    """The ideation input is written with an indent of two, as the prompt's author did."""
-    i = _c(inp)
-    body = json_object([("summary", json_text(i["summary"])), ("sentiment", json_text(i["sentiment"])), ("topics", json_strings(i["topics"], 2)),
-                        ("examples", json_strings(i["examples"], 2)), ("post", json_text(i["post"]))], 0)
-    return F.concat(F.lit(IDEA_USER_HEAD), body, F.lit(IDEA_USER_TAIL))
-
-
-def ranked_idea(body) -> Column:
-    """One idea of the ranking payload, indented as an item of its array."""
-    return json_object([("idea", json_text(body["idea"])), ("count", body["count"].cast("string")), ("sentimentSum", body["sentimentSum"].cast("string")),
-                        ("topics", json_strings(body["topics"], 6)), ("examples", json_strings(body["examples"], 6)), ("reasons", json_strings(body["reasons"], 6))], 4)
+def with_idea_prompt(df: DataFrame, inp: str, prompt: str) -> DataFrame:
+    """Add the ideation prompt of a struct column ``inp`` (:func:`idea_input`); the input is written with an
+    indent of two, as the prompt's author did."""
+    i = F.col(inp)
+    texts = {"summary": json_text(i["summary"]), "sentiment": json_text(i["sentiment"]), "topics": json_strings(i["topics"], 2),
+             "examples": json_strings(i["examples"], 2), "post": json_text(i["post"])}
+    return df.withColumn(prompt, F.concat(F.lit(IDEA_USER_HEAD), json_object(list(texts.items()), 0), F.lit(IDEA_USER_TAIL)))
+
+
+def with_ranked_idea(df: DataFrame, name: str) -> DataFrame:
+    """Add the JSON text of each store row's idea, indented as an item of the ranking payload's array."""
+    texts = {"idea": json_text("idea"), "count": F.col("cnt").cast("string"), "sentimentSum": F.col("sentiment_sum").cast("string"),
+             "topics": json_strings("topics", 6), "examples": json_strings("examples", 6), "reasons": json_strings("reasons", 6)}
+    return df.withColumn(name, json_object(list(texts.items()), 4))
 
 
 def rank_prompt(payload_json) -> Column:

@@ -36,7 +36,7 @@ CASE d.doc_id % 8
   WHEN 3 THEN replace(d.obj, '}', ', }')
   WHEN 4 THEN replace(d.obj, '"summary"', '“summary”')
   WHEN 5 THEN 'Summary: ' || d.snip || chr(10) || 'Sentiment: neutral'
-  WHEN 6 THEN substring(d.obj, 1, 50)
+  WHEN 6 THEN substring(d.obj, 1, length(d.obj) - 5)
   ELSE CASE WHEN d.doc_id % 16 = 7 THEN '' ELSE 'null' END
 END"""
 
@@ -51,12 +51,14 @@ def _idea(j: str) -> str:
 I1 = _idea("d.doc_id % 5")
 I2 = _idea("(d.doc_id + 2) % 5")
 I3 = _idea("d.doc_id % 3 + 5")
+# the whole text without what a JSON string would have to escape
+I4 = "'Idea from a post: ' || translate(d.text, '\"' || chr(92) || chr(10) || chr(13) || chr(9), '')"
 IDEA_SHAPE = "CAST(floor(d.doc_id / 8) AS BIGINT) % 8"
 
 IDEA_REPLY = f"""
 CASE {IDEA_SHAPE}
   WHEN 0 THEN '["' || d.i1 || '", "' || d.i2 || '"]'
-  WHEN 1 THEN 'Ideas:' || chr(10) || '["' || d.i1 || '", "' || d.i3 || '"]' || chr(10) || 'Thanks'
+  WHEN 1 THEN 'Ideas:' || chr(10) || '["' || d.i1 || '", "' || d.i4 || '"]' || chr(10) || 'Thanks'
   WHEN 2 THEN '["' || d.i1 || '", "' || d.i2 || '",]'
   WHEN 3 THEN '[“' || d.i2 || '”, “' || d.i3 || '”]'
   WHEN 4 THEN d.i1 || chr(10) || d.i2 || chr(10) || 'short line'
@@ -72,7 +74,7 @@ ANALYSIS_REPLIES = (
 )
 IDEA_REPLIES = (
     f"SELECT d.source AS page_url, d.doc_id AS seq, {IDEA_REPLY} AS reply FROM "
-    f"(SELECT d.source, d.doc_id, d.lang, {I1} AS i1, {I2} AS i2, {I3} AS i3 FROM @documents@ d) d"
+    f"(SELECT d.source, d.doc_id, d.lang, {I1} AS i1, {I2} AS i2, {I3} AS i3, {I4} AS i4 FROM @documents@ d) d"
 )
 
 # Ranking replies per (page, batch): built from the first idea strings of the batch, by shape.

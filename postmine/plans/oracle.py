@@ -16,6 +16,7 @@ from . import fixtures as FX
 from .common import duck
 
 SEP = "chr(31)"
+# Words of generic ideas and the text of the fallback idea.
 GENERIC = "guide|checklist|subscription delivering|curated|introductory"
 FALLBACK = ("'Concise solution guide: \"' || substring({s}, 1, 120) || '\" — targeted info product to validate demand.'")
 
@@ -549,6 +550,26 @@ FROM tfirst"""
 Q["stream_idea_store"] = Q["idea_store"].replace(f"WITH {planned_ctes(duck(FX.POSTS))}",
     "WITH " + stream_ctes() + ", planned AS (SELECT page_url, post, seq, batch_id FROM sr)")
 
+Q["stream_idea_totals"] = CHAIN.replace(f"WITH {planned_ctes(duck(FX.POSTS))}",
+    "WITH " + stream_ctes() + ", planned AS (SELECT page_url, post, seq, batch_id FROM sr)") + f""",
+ft AS (SELECT *, row_number() OVER (PARTITION BY page_url, idea ORDER BY batch_id, first_seq, first_pos) AS k FROM store),
+fe AS (SELECT *, row_number() OVER (PARTITION BY page_url, idea ORDER BY batch_id, seq, idea_pos) AS k FROM ev)
+SELECT page_url, idea, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(sentiment_sum) AS BIGINT) AS sentiment_sum, count(*) AS n_batches,
+       CAST(max(batch_id) FILTER (k = 1) AS BIGINT) AS first_batch, CAST(max(first_seq) FILTER (k = 1) AS BIGINT) AS first_seq, any_value(x.examples) AS examples
+FROM ft JOIN (SELECT page_url, idea, string_agg(example, {SEP} ORDER BY k) AS examples FROM fe WHERE k <= 3 GROUP BY ALL) AS x USING (page_url, idea)
+GROUP BY page_url, idea"""
+
+Q["stream_distinct_window"] = """SELECT DISTINCT user_id, event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour FROM events"""
+
+# posts read: a round's run holds all that have arrived on the pages read again; the last entry is the flush at the end
+Q["stream_metrics"] = "WITH " + stream_ctes() + """,
+z AS (SELECT unnest(range(0, 4)) AS r),
+m AS (SELECT r, CAST(coalesce(sum(CASE WHEN r < 3 THEN (SELECT count(*) FROM sp WHERE arrives <= r AND n_rounds > r) ELSE 0 END), 0) AS BIGINT) AS posts_read FROM z GROUP BY r),
+f AS (SELECT r, count(sp.seq) AS new_found FROM z LEFT JOIN sp ON sp.arrives = r GROUP BY r),
+x AS (SELECT so.seq, CASE WHEN k <= r1 THEN 0 WHEN k <= r1 + r2 THEN 1 WHEN k <= r1 + r2 + r3 OR s3.nr = 3 THEN 2 ELSE 3 END AS r FROM so JOIN s3 USING (page_url)),
+g AS (SELECT z.r, count(x.seq) AS released FROM z LEFT JOIN x ON x.r = z.r GROUP BY z.r)
+SELECT CAST(m.r AS BIGINT) AS round, posts_read, new_found, released FROM m JOIN f USING (r) JOIN g USING (r)"""
+
 Q["idea_reason_sets"] = CHAIN + """
 SELECT page_url, CAST(batch_id AS BIGINT) AS batch_id, idea, reason, CAST(o // 10 AS BIGINT) AS first_seq,
        CAST(o % 10 AS BIGINT) AS first_pos

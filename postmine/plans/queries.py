@@ -15,7 +15,7 @@ from ..operators import gates as G
 from ..operators import idea_store as S
 from ..operators import rank as R
 from . import fixtures as FX
-from ..session import materialize
+from ..session import materialize, scratch_folder
 from .common import SEP, fixture, table
 
 
@@ -528,7 +528,7 @@ def q_stream_pages(spark, sf):
     from ..sources.tables import stream_pages
     from ..streaming.stream import Release, run_stream
 
-    base = _scratch(spark, "stream-pages")
+    base = scratch_folder(spark, "stream-pages")
     table(spark, sf, "pages").select("page_id", "url", "html").write.parquet(f"{base}/in")
     rel = Release(spark, f"{base}/tables")
 
@@ -563,21 +563,21 @@ def q_page_selector_scan(spark, sf):
 
 
 def q_page_cascade(spark, sf):
-    """U4 + M2 + M3 + G4 (rows only): extractor cascade on stored replies. The candidate replies of a
+    """U4 + M2 + M3 + G4: extractor cascade on stored replies, each tier for the pages still open. The candidate replies of a
     third of the pages and the text replies of a ninth are missing, so all three tiers are used."""
-    from ..operators import html_blocks as H
-
     kept, _ = G.url_gate(_pages(spark, sf))
-    blocks = materialize(H.page_blocks(kept))
-    none1, none2 = F.pmod(F.crc32("page_url"), F.lit(3)) == 0, F.pmod(F.crc32("page_url"), F.lit(9)) == 0
-    r1 = M.candidate_requests(H.candidates(blocks))
-    body = F.expr(f"substring(prompt, {len(M.RQ.CANDIDATE_USER_HEAD) + 1}, length(prompt) - {len(M.RQ.CANDIDATE_USER_HEAD) + len(M.RQ.CANDIDATE_USER_TAIL)})")
-    keys = ["page_url", "cand_batch", "request_no"]
-    a1 = r1.filter(~none1).select(*keys, F.concat(F.lit('{"posts": '), body, F.lit("}")).alias("reply"))
-    r2 = M.chunk_requests(H.page_text(kept, blocks))
-    a2 = r2.filter(~none2).select("page_url", "chunk_no", F.expr(f"substring(prompt, {len(M.RQ.CHUNK_USER_HEAD) + 1})").alias("reply"))
-    p = M.cascade(M.candidate_results(r1, stored_replies(a1, "extract_candidates", keys, "0")),
-                  M.chunk_results(r2, stored_replies(a2, "extract_chunk", ["page_url", "chunk_no"], "0")), H.selector_scan(blocks))
+
+    def answer(r: DataFrame) -> DataFrame:
+        first = "cand_batch" in r.columns
+        silent = F.pmod(F.crc32("page_url"), F.lit(3 if first else 9)) == 0
+        if first:
+            body = F.expr(f"substring(prompt, {len(M.RQ.CANDIDATE_USER_HEAD) + 1}, length(prompt) - {len(M.RQ.CANDIDATE_USER_HEAD) + len(M.RQ.CANDIDATE_USER_TAIL)})")
+            keys, reply, task = ["page_url", "cand_batch", "request_no"], F.concat(F.lit('{"posts": '), body, F.lit("}")), "extract_candidates"
+        else:
+            keys, reply, task = ["page_url", "chunk_no"], F.expr(f"substring(prompt, {len(M.RQ.CHUNK_USER_HEAD) + 1})"), "extract_chunk"
+        return stored_replies(r.filter(~silent).select(*keys, reply.alias("reply")), task, keys, "0")
+
+    p = M.extract_posts(kept, answer)
     return p.select("page_url", "tier", F.length("post").cast("bigint").alias("n_chars"), F.md5(F.encode("post", "UTF-8")).alias("post_md5"))
 
 
@@ -620,14 +620,6 @@ def q_toxicity_lr(spark, sf):
 # ----------------------------------------------------------------------------------------------
 # streaming (T1-T5, S3): page snapshots replayed as file rounds in the checkpoint folder
 # ----------------------------------------------------------------------------------------------
-def _scratch(spark, name: str) -> str:
-    import uuid
-
-    from ..session import checkpoint_dir
-
-    return f"{checkpoint_dir(spark).rstrip('/')}/postmine-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _page_rounds(posts: DataFrame) -> DataFrame:
     """Posts with the round in which they first appear (``arrives``) on a page that is read ``n_rounds``
     times (1 to 3, by its name)."""
@@ -641,7 +633,7 @@ def _replay(spark, posts: DataFrame, name: str, schema: str, handle):
     the posts that have arrived on the pages that are read at least ``r + 1`` times."""
     from ..streaming.stream import run_stream
 
-    base = _scratch(spark, name)
+    base = scratch_folder(spark, name)
     posts = materialize(posts)
     for r in range(3):
         posts.filter((F.col("arrives") <= r) & (F.col("n_rounds") > r)).select("page_url", "seq", "post").write.parquet(f"{base}/in/r{r:03d}")
@@ -653,7 +645,7 @@ def q_stream_distinct(spark, sf):
     """T1 + S3: documents as a post stream; first occurrence per (source page, trimmed post)."""
     from ..streaming.stream import stream_distinct
 
-    base = _scratch(spark, "stream-distinct")
+    base = scratch_folder(spark, "stream-distinct")
     posts = fixture(spark, sf, FX.POSTS).select("page_url", "seq", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
     posts.write.parquet(f"{base}/in/r000")
     s = spark.readStream.schema(posts.schema).parquet(f"{base}/in/*")
@@ -663,10 +655,10 @@ def q_stream_distinct(spark, sf):
     return spark.read.schema(d.schema).parquet(f"{base}/out")
 
 
-def _release(spark, sf, name: str):
+def _release(spark, sf, name: str, on_release=None):
     from ..streaming.stream import SEEN, Release
 
-    rel = Release(spark, _scratch(spark, name))
+    rel = Release(spark, scratch_folder(spark, name), on_release=on_release)
     posts = _page_rounds(U.distinct_posts(fixture(spark, sf, FX.POSTS)).select("page_url", "seq", "post"))
     _replay(spark, posts, name, SEEN, rel.round)
     rel.finish()
@@ -692,8 +684,8 @@ def q_insight_log(spark, sf):
     """S4 + S5 + A9: truthy insights appended to a JSON-lines log, read back, summarised per page."""
     from ..sources.insight_log import append_insights, log_quality, read_insights
 
-    path = _scratch(spark, "insight-log")
-    append_insights(materialize(insights(spark, sf)), path)
+    path = scratch_folder(spark, "insight-log")
+    append_insights(materialize(insights(spark, sf)), path, key="analysis")
     log = read_insights(spark, path)
     return log_quality(log)
 
@@ -706,7 +698,7 @@ def q_stream_rounds(spark, sf):
     arriving over time would (de-dup state and counts carry over)."""
     from ..streaming.stream import stream_distinct, stream_round_counts
 
-    base = _scratch(spark, "stream-rounds")
+    base = scratch_folder(spark, "stream-rounds")
     lines = _doc_lines(spark, sf).select("page_url", "doc_id", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
     schema = "page_url string, post string, round int"
 
@@ -734,13 +726,20 @@ def q_idea_topic_sets(spark, sf):
     )
 
 
-def q_stream_idea_store(spark, sf):
-    """T5 + T3 + S3: the batches released by the snapshot stream (pages of one to three rounds) go
-    through the insight and idea joins into the per-batch idea store."""
+def _streamed_store(spark, sf, name: str):
+    """T5 + T3 + S3: the batches released by each round of the snapshot stream (pages of one to three rounds) go
+    through the insight and idea joins into the idea store while the stream runs."""
+    from ..streaming.store import IncrementalStore
+
     replies = materialize(parsed_replies(spark, sf))
-    rel = _release(spark, sf, "stream-ideas")
-    planned = rel.released().select("page_url", "batch_id", "seq", "post")
-    st = S.idea_store(S.idea_events(materialize(ideas_of(spark, sf, planned, replies))))
+    store = IncrementalStore(spark, scratch_folder(spark, name), lambda posts: ideas_of(spark, sf, posts.drop("round"), replies))
+    _release(spark, sf, name, store)
+    return store
+
+
+def q_stream_idea_store(spark, sf):
+    """T5: store rows of all released batches."""
+    st = _streamed_store(spark, sf, "stream-ideas").store()
     return st.select(
         "page_url", F.col("batch_id").cast("bigint").alias("batch_id"), "idea",
         "first_seq", F.col("first_pos").cast("bigint").alias("first_pos"), "cnt", "sentiment_sum",
@@ -749,6 +748,41 @@ def q_stream_idea_store(spark, sf):
     )
 
 
+def q_stream_idea_totals(spark, sf):
+    """T5 + A10: totals per page and idea, folded release by release."""
+    t = _streamed_store(spark, sf, "stream-totals").totals()
+    return t.select("page_url", "idea", "cnt", "sentiment_sum", "n_batches", F.col("first.batch_id").cast("bigint").alias("first_batch"),
+                    F.col("first.seq").alias("first_seq"), _j(F.transform("examples", lambda x: x["example"])).alias("examples"))
+
+
+def q_stream_distinct_window(spark, sf):
+    """T1 with a watermark: distinct (user, event type, hour) of events that arrive in time order over three runs;
+    the state of an hour is given up two hours later."""
+    from ..streaming.stream import stream_distinct
+
+    base = scratch_folder(spark, "stream-window")
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    schema = "user_id bigint, event_type string, ts timestamp, hour timestamp"
+    for r in range(3):
+        at = [lo + (hi - lo) * k / 3 for k in (r, r + 1)] if lo else [None, None]
+        part = (F.col("ts") >= F.lit(at[0])) & ((F.col("ts") < F.lit(at[1])) | F.lit(r == 2))
+        e.filter(part).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]).write.parquet(f"{base}/in/r{r:03d}")
+        d = stream_distinct(spark.readStream.schema(schema).parquet(f"{base}/in/*"), ("ts", "2 hours"), ("user_id", "event_type", "hour"))
+        q = d.select("user_id", "event_type", "hour").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = spark.read.schema("user_id bigint, event_type string, hour timestamp").parquet(f"{base}/out")
+    return out.select("user_id", "event_type", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"))
+
+
+def q_stream_metrics(spark, sf):
+    """A7 + T2 from observed metrics: posts read, new and released in each round, counted by the jobs that write
+    them."""
+    rel = _release(spark, sf, "stream-metrics")
+    rows = [(i, *[int(m.get(k, 0)) for k in ("posts_read", "new_found", "released")]) for i, (_, m) in enumerate(sorted(rel.metrics.items()))]
+    return spark.createDataFrame(rows, "round bigint, posts_read bigint, new_found bigint, released bigint")
+
+
 def q_idea_reason_sets(spark, sf):
     """A6 long form: every distinct reason (summary <= 200 chars) of every idea-store key with its
     first-seen position."""

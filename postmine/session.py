@@ -60,6 +60,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows that hold whole texts: Arrow hands Python tasks at most ``BATCH_ROWS`` of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def ship_module(module) -> None:
     """Pickle a module's functions by value into Python tasks, so executors need no install of
     this package (the function travels with the task, like a closure)."""
@@ -88,13 +98,35 @@ def materialize(df):
     path = f"{checkpoint_dir(spark).rstrip('/')}/postmine-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop_table(df) -> None:
+    """Remove a table of :func:`materialize` that nobody reads any more."""
+    _delete(df.sparkSession, df._table_path)
+    _TABLES.remove(df._table_path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder, removed by :func:`release_tables`."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/postmine-{name}-{uuid.uuid4().hex[:12]}"
+    _TABLES.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release_tables(spark: SparkSession) -> int:
-    """Remove the tables of :func:`materialize`; call it once the results that read them are written."""
-    conf, n = spark._jsc.hadoopConfiguration(), len(_TABLES)
+    """Remove the tables of :func:`materialize` and the folders of :func:`scratch_folder`; call it once the
+    results that read them are written."""
+    n = len(_TABLES)
     while _TABLES:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, _TABLES.pop())
     return n

@@ -7,25 +7,32 @@ flushing every leftover after the last round. Here each micro-batch of page snap
 * T1 ``stream_distinct``: ``dropDuplicatesWithinWatermark`` per (page, post) with a bounded state; without
   a watermark ``dropDuplicates``, whose state grows with the distinct posts.
 * T2 ``stream_round_counts``: new distinct posts per page and round (streaming aggregation).
-* T3 + T4 :class:`Release`: ``foreachBatch`` over small Parquet tables in the checkpoint folder: the posts
-  seen, the posts released, and one row per page with its rounds, dry rounds and releases. New posts
-  are found by an anti join on their text, the next batch is a top-k window, and the rest of a page is
-  released by rule; so no page meets in one task and no post can be lost: :meth:`Release.finish`
-  flushes the pages that never reached their last round. Every epoch writes its own folder, so a
-  replayed epoch overwrites its output.
-* T5 ``run_stream``: ``foreachBatch`` hands each micro-batch to batch functions.
+* T3 + T4 :class:`Release`: ``foreachBatch`` over bucketed Parquet state in the checkpoint folder: the posts of
+  pages that are still open, and one row per page with its rounds, dry rounds and releases. A round reads and
+  rewrites the buckets of its pages only, and closed pages keep one row, so its cost does not grow with the
+  rounds before it. New posts are found by an anti join on their text, the next batch is a top-k window, and
+  the rest of a page is released by rule; so no page meets in one task and no post can be lost:
+  :meth:`Release.finish` flushes the pages that never reached their last round. An epoch counts once its
+  manifest is written; a replayed one starts from the manifest before it and overwrites.
+* T5 ``run_stream``: ``foreachBatch`` hands each micro-batch to batch functions; ``Release(on_release=...)`` hands
+  on the posts released by each round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.batching import CHUNK_SIZE, INITIAL_BATCH, MAX_ROUNDS, top_k_by
+from ..session import drop_table, materialize
+from .state import BucketTable, Manifest, bucket_of, read_epochs
 
 SEEN = "page_url string, seq bigint, post string"
 RELEASED = "page_url string, batch_id int, seq bigint, post string, round int"
 PAGES = "page_url string, rounds int, dry_rounds int, initial_done boolean, releases int, done boolean"
+OPEN = "page_url string, seq bigint, post string, arrived bigint, released boolean"
+BUCKETS = 64
+LAST_EPOCH = (1 << 31) - 1
 
 
 def stream_distinct(posts: DataFrame, watermark: tuple[str, str] | None = None, keys=("page_url", "post")) -> DataFrame:
@@ -46,74 +53,96 @@ class Release:
 
     Give :meth:`round` to ``foreachBatch`` of a stream of ``page_url, seq, post`` snapshots, call
     :meth:`finish` when the input has ended, read :meth:`released`. With every post present from the
-    first round the result equals :func:`postmine.operators.batching.plan_batches`."""
+    first round the result equals :func:`postmine.operators.batching.plan_batches`.
 
-    def __init__(self, spark: SparkSession, folder: str, initial: int = INITIAL_BATCH, chunk: int = CHUNK_SIZE, rounds: int = MAX_ROUNDS):
+    ``on_release(posts, epoch)`` is called with the posts of a round's batches before the round counts; it has to
+    overwrite what it wrote for that epoch. :attr:`metrics` has the counts of each round (pages, posts read, new
+    posts, posts released), observed by the jobs that write its tables."""
+
+    def __init__(self, spark: SparkSession, folder: str, initial: int = INITIAL_BATCH, chunk: int = CHUNK_SIZE, rounds: int = MAX_ROUNDS,
+                 buckets: int = BUCKETS, on_release=None):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.initial, self.chunk, self.rounds = initial, chunk, rounds
-
-    def _read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """A table as it was before an epoch (None: all of it)."""
-        path = f"{self.folder}/{name}"
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
-            return self.spark.createDataFrame([], schema + ", epoch bigint")
-        x = self.spark.read.schema(schema + ", epoch bigint").parquet(path)
-        return x if before is None else x.filter(F.col("epoch") < before)
-
-    def _write(self, df: DataFrame, name: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
+        self.buckets, self.on_release = buckets, on_release
+        self.manifest = Manifest(spark, f"{self.folder}/manifest")
+        self.tables = {"open": BucketTable(spark, f"{self.folder}/open", OPEN), "pages": BucketTable(spark, f"{self.folder}/pages", PAGES)}
+        self.metrics: dict[int, dict[str, int]] = {}
 
     def released(self) -> DataFrame:
-        return self._read("released", RELEASED).drop("epoch")
+        return read_epochs(self.spark, f"{self.folder}/released", self.manifest.epochs(), RELEASED)
 
-    def pages(self, before: int | None = None) -> DataFrame:
-        """The latest row of each page."""
-        x = self._read("pages", PAGES, before)
-        cols = [c.split()[0] for c in PAGES.split(", ")]
-        return x.groupBy("page_url").agg(F.max_by(F.struct(*cols[1:]), "epoch").alias("s")).select("page_url", "s.*")
+    def pages(self) -> DataFrame:
+        """The state of each page."""
+        return self.tables["pages"].read(self.manifest.before(None).get("pages", {}))
 
     def round(self, batch: DataFrame, epoch: int) -> None:
-        """One round of the pages in ``batch``."""
-        keys = ["page_url", "post"]
-        posts = batch.filter(F.col("post").isNotNull()).groupBy(*keys).agg(F.min("seq").alias("seq"))
+        """One round of the pages in ``batch``, which is read once."""
+        seen = Observation(f"read-{epoch}")
+        batch = batch.select("page_url", "seq", "post", bucket_of("page_url", self.buckets).alias("bucket"))
+        scratch = [batch := materialize(batch.observe(seen, F.count("post").alias("posts_read")))]
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets``
+        base = self.manifest.before(epoch)
+        pages = self.tables["pages"].read(base.get("pages", {}), touched)
+        known = self.tables["open"].read(base.get("open", {}), touched)
         # a page whose last round is over has been flushed; its later snapshots are not read
-        before = self.pages(epoch)
-        open_ = batch.select("page_url").distinct().join(before.filter("done"), "page_url", "left_anti")
-        new = posts.join(open_, "page_url").join(self._read("seen", SEEN, epoch), keys, "left_anti")
-        self._write(new.select("page_url", "seq", "post"), "seen", epoch)
-        new = self.spark.read.schema(SEEN).parquet(f"{self.folder}/seen/epoch={epoch}")
-        state = open_.join(before, "page_url", "left").join(new.groupBy("page_url").agg(F.count(F.lit(1)).alias("found")), "page_url", "left")
+        open_ = batch.select("page_url").distinct().join(pages.filter("done"), "page_url", "left_anti")
+        posts = batch.filter(F.col("post").isNotNull()).groupBy("page_url", "post").agg(F.min("seq").alias("seq"))
+        new = posts.join(open_, "page_url").join(known, ["page_url", "post"], "left_anti")
+        found = Observation(f"new-{epoch}")
+        new = materialize(new.select("page_url", "seq", "post", F.lit(epoch).cast("bigint").alias("arrived"), F.lit(False).alias("released")).observe(
+            found, F.count(F.lit(1)).alias("new_found")))
+        scratch.append(new)
+        state = open_.join(pages, "page_url", "left").join(new.groupBy("page_url").agg(F.count(F.lit(1)).alias("found")), "page_url", "left")
         state = state.select(
             "page_url", (F.coalesce("rounds", F.lit(0)) + 1).cast("int").alias("rounds"),
             (F.coalesce("dry_rounds", F.lit(0)) + F.col("found").isNull().cast("int")).cast("int").alias("dry_rounds"),
             F.coalesce("initial_done", F.lit(False)).alias("initial_done"), F.coalesce("releases", F.lit(0)).alias("releases"))
-        self._step(state, epoch, flush=state.select("page_url", (F.col("rounds") >= self.rounds).alias("flush")))
+        scratch.append(state := materialize(state))
+        self._step(base, state, known.unionByName(new), pages, touched, epoch, flush=F.col("rounds") >= self.rounds)
+        self.metrics[epoch] |= {**seen.get, **found.get}
+        for t in scratch:
+            drop_table(t)
 
-    def finish(self, epoch: int = (1 << 31) - 1) -> None:
+    def finish(self, epoch: int = LAST_EPOCH) -> None:
         """Flush the leftovers of pages that did not reach their last round."""
-        state = self.pages(epoch).filter("NOT done").drop("done")
-        self._step(state, epoch, flush=state.select("page_url", F.lit(True).alias("flush")), release=False)
+        base = self.manifest.before(epoch)
+        pages = self.tables["pages"].read(base.get("pages", {}))
+        state = pages.filter("NOT done").drop("done")
+        self._step(base, state, self.tables["open"].read(base.get("open", {})), pages, sorted(base.get("pages", {})), epoch, flush=F.lit(True), release=False)
 
-    def _step(self, state: DataFrame, epoch: int, flush: DataFrame, release: bool = True) -> None:
-        seen = self._read("seen", SEEN, epoch + 1).withColumnRenamed("epoch", "_arrived")
-        pending = seen.join(state.select("page_url"), "page_url").join(self._read("released", RELEASED, epoch).select("page_url", "post"), ["page_url", "post"], "left_anti")
+    def _step(self, base: dict, state: DataFrame, posts: DataFrame, pages: DataFrame, touched: list[int], epoch: int, flush, release: bool = True) -> None:
+        pending = posts.filter("NOT released").join(state.select("page_url"), "page_url")
         n = pending.groupBy("page_url").agg(F.count(F.lit(1)).alias("n"))
         first = ~F.col("initial_done") & (F.col("n") >= self.initial)
         take = F.when(first, self.initial).when(F.col("n") >= self.chunk, self.chunk).otherwise(0) if release else F.lit(0)
-        s = state.join(n, "page_url", "left").join(flush, "page_url").withColumn("n", F.coalesce("n", F.lit(0)))
+        s = state.join(n, "page_url", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("flush", flush)
         s = s.withColumn("take", take).withColumn("initial_done", F.col("initial_done") | (F.col("take") == self.initial))
-        s = s.withColumn("more", F.col("flush") & (F.col("n") > F.col("take")))
-        pages = s.select("page_url", "rounds", "dry_rounds", "initial_done",
+        s = materialize(s.withColumn("more", F.col("flush") & (F.col("n") > F.col("take"))))
+        after = s.select("page_url", "rounds", "dry_rounds", "initial_done",
                          (F.col("releases") + (F.col("take") > 0).cast("int") + F.col("more").cast("int")).cast("int").alias("releases"), F.col("flush").alias("done"))
         # the head of each page in order of arrival; the rest needs no order
-        head = top_k_by(pending.select("page_url", "post", "_arrived", "seq"), ["page_url"], [F.col("_arrived"), F.col("seq"), F.col("post")], max(self.initial, self.chunk), "_rn")
+        head = top_k_by(pending.select("page_url", "post", "arrived", "seq"), ["page_url"], [F.col("arrived"), F.col("seq"), F.col("post")], max(self.initial, self.chunk), "_rn")
         x = pending.join(head.select("page_url", "post", "_rn"), ["page_url", "post"], "left").join(s.select("page_url", "rounds", "releases", "take", "flush"), "page_url")
         now = F.coalesce(F.col("_rn") <= F.col("take"), F.lit(False))
         out = x.filter(now | F.col("flush")).select(
             "page_url", (F.col("releases") + F.when(now | (F.col("take") == 0), 0).otherwise(1)).cast("int").alias("batch_id"), "seq", "post", F.col("rounds").alias("round"))
-        self._write(out, "released", epoch)
-        self._write(pages, "pages", epoch)
+        path = f"{self.folder}/released/epoch={epoch}"
+        given = Observation(f"released-{epoch}")
+        out.observe(given, F.count(F.lit(1)).alias("released")).write.mode("overwrite").parquet(path)
+        out = self.spark.read.schema(RELEASED).parquet(path)
+        if self.on_release is not None:
+            self.on_release(out, epoch)
+        # pages that are still open keep their posts; of the others one row is left
+        gone = out.select("page_url", "post", F.lit(True).alias("_gone"))
+        kept = posts.join(after.filter("done").select("page_url"), "page_url", "left_anti").join(gone, ["page_url", "post"], "left")
+        kept = kept.select("page_url", "seq", "post", "arrived", (F.col("released") | F.coalesce("_gone", F.lit(False))).alias("released"))
+        rows = pages.join(after.select("page_url"), "page_url", "left_anti").unionByName(after)
+        version = {name: self.tables[name].write(df, epoch, self.buckets, touched, base.get(name, {})) for name, df in (("open", kept), ("pages", rows))}
+        self.manifest.commit(epoch, version)
+        for name, table in self.tables.items():
+            table.drop_older(epoch, base.get(name, {}), version[name])
+        self.metrics[epoch] = dict(given.get)
+        drop_table(s)
 
 
 def run_stream(stream: DataFrame, handle_batch, checkpoint: str, trigger_available_now: bool = True):

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from postmine.operators import batching as B
 from postmine.operators import dedup as U
 
@@ -97,12 +101,53 @@ def test_packing_borders_do_not_depend_on_ids_or_ranges(spark, monkeypatch):
             size, at = size + n, at + 1
             want.append((page, pos, batch, at))
     df = spark.createDataFrame([(p, pos, "x" * n) for p, ls in pages.items() for pos, n in ls], "page_url string, pos long, block string")
-    for bits in (B.RANGE_BITS, 4, 0):
+    for bits, fan in ((B.RANGE_BITS, B.FAN), (4, 3), (0, 7)):  # one range a page, a tree of them, a range a block
         monkeypatch.setattr(B, "RANGE_BITS", bits)
-        got = B.pack_batches(df).select("page_url", "pos", "cand_batch", "batch_pos").collect()
+        got = B.pack_batches(df, fan=fan).select("page_url", "pos", "cand_batch", "batch_pos").collect()
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_packing_keeps_every_row(spark):
+    """Rows without a position, with equal ones, without a page or a text, and clashing columns."""
+    rows = [("p", 1, "a" * 4000, "x"), ("p", 1, "b" * 7000, "y"), ("p", None, "c" * 100, "z"), ("p", 2, None, "w"), (None, 5, "d", "v"), ("p", 1, "a" * 4000, "x")]
+    df = spark.createDataFrame(rows, "page_url string, pos long, block string, _page string").withColumn("_size", F.lit(1)).withColumn("c0", F.lit(2))
+    x = B.pack_batches(df)
+    got = x.collect()
+    assert x.columns == [*df.columns, "cand_batch", "batch_pos"] and len(got) == len(rows)
+    assert sorted((r.page_url, r.pos or 0, r.block or "", r._page, r._size, r.c0) for r in got) == sorted((p or "", i or 0, b or "", e, 1, 2) for p, i, b, e in rows)
+    batches = {}
+    for r in got:
+        batches.setdefault((r.page_url, r.cand_batch), []).append((r.batch_pos, len(r.block or "")))
+    for b in batches.values():
+        assert sorted(i for i, _ in b) == list(range(1, len(b) + 1)) and sum(n for _, n in b) <= 10000
+    assert B.pack_batches(df.limit(0)).count() == 0
+
+
+def test_range_functions_compose(monkeypatch):
+    """The function of two ranges is that of their blocks; any entry leads to the state of a plain fold."""
+    r = random.Random(8)
+    for case in range(60):
+        limit = r.choice([5, 20, 100])
+        lens = np.array([r.choice([0, 0, 1, 2, 3, limit // 2, limit, limit + 3]) for _ in range(r.randint(2, 40))])
+        steps = lambda x: next(B._summary(limit)([pd.DataFrame({"_page": "p", "_part": 0, "_sub": 0, "_len": x})]))[["low", "n", "size", "at"]].to_numpy(np.int64).T
+        cuts = sorted({0, len(lens), *r.sample(range(1, len(lens)), min(3, len(lens) - 1))})
+        f = None
+        for a, b in zip(cuts, cuts[1:]):
+            f = steps(lens[a:b]) if f is None else B.compose(tuple(f), tuple(steps(lens[a:b])))
+        for size, at in [(-1, 0), *((s, 3) for s in range(limit + 2))]:
+            low, n, more, blocks = f
+            k = int(np.searchsorted(-low, -size, "right")) if size >= 0 else 0
+            got = (n[k], more[k], blocks[k]) if n[k] else (0, size + more[k], at + blocks[k])
+            batch, s, c = 0, size, at
+            for x in lens:
+                if s < 0 or s + x > limit:
+                    batch, s, c = batch + 1, 0, 0
+                s, c = s + x, c + 1
+            assert tuple(got) == (batch, s, c), (case, size)
+            no, places, state = B.place(lens, limit, 0, size, at)
+            assert state == (batch, s, c) and no[-1] == batch and places[-1] == c
+
+
 def test_store_keeps_every_reason_and_payload_every_idea(spark):
     from postmine.operators.idea_store import idea_events, idea_store, rank_payload
     from postmine.operators.rank import rank_native

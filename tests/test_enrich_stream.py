@@ -43,6 +43,52 @@ def test_enrich_attempts_and_dead_letters(spark):
     assert ok.count() + dead.count() == 200 and dead.count() > 0
 
 
+def test_a_slow_key_blocks_nobody():
+    """Calls overlap, retries wait beside them, results come as they are done, memory is bounded."""
+    import threading
+    import time
+
+    open_now, most, lock = [0], [0], threading.Lock()
+    tries, drawn, done = {}, [0], [0]
+
+    def requests():
+        for i in range(60):
+            drawn[0] += 1
+            assert drawn[0] - done[0] <= 4 + E.WAITING * 4 + 1  # open and waiting ones only
+            yield i
+
+    def call(i):
+        with lock:
+            open_now[0] += 1
+            most[0] = max(most[0], open_now[0])
+            tries[i] = tries.get(i, 0) + 1
+        time.sleep(0.5 if i == 0 else 0.005)
+        with lock:
+            open_now[0] -= 1
+        if i % 10 == 3 and tries[i] < 3:
+            raise E.ModelError("busy", status=429)
+        if i % 10 == 4:
+            raise E.ModelError("bad", status=400)
+        return f"r{i}"
+
+    start, got = time.monotonic(), []
+    for x in E.run_calls(requests(), call, lambda r: E.RetryPolicy(2, 200, 1, 0), in_flight=4):
+        done[0] += 1
+        got.append(x)
+    wall = time.monotonic() - start
+    assert sorted(x[0] for x in got) == list(range(60)) and most[0] == 4 and got[0][0] != 0
+    assert wall < 1.2  # one slow call and twelve retries of 0.2 s beside each other, not 0.5 + 12 * 0.2 + 60 * 0.005
+    for i, reply, err, attempts in got:
+        assert (reply, attempts) == ((None, 1) if i % 10 == 4 else (f"r{i}", 3 if i % 10 == 3 else 1)) and (err is None) == (reply is not None)
+
+
+def test_a_rate_budget_holds():
+    now, starts = [0.0], []
+    wait = lambda s: now.__setitem__(0, now[0] + s)
+    list(E.run_calls(range(20), lambda i: starts.append(now[0]), lambda r: E.RetryPolicy(0), in_flight=1, rate=10, sleep=wait, clock=lambda: now[0]))
+    assert all(b - a > 0.0999 for a, b in zip(starts, starts[1:])) and len(starts) == 20
+
+
 def test_request_keys_are_stable(spark):
     df = spark.createDataFrame([("p", 7, "x")], "page_url string, seq long, post string")
     k = build_requests(df, "analyze", ["page_url", "seq"], F.col("post")).first().key
@@ -157,12 +203,60 @@ def test_insight_log_roundtrip(spark, tmp_path):
     assert (q.n, q.n_raw, q.n_empty_summary, q.n_with_topics) == (3, 2, 1, 1)
     assert read_insights(spark, str(tmp_path / "missing")).count() == 0
     (tmp_path / "array.json").write_text('[{"insight": {"summary": "a"}, "timestamp": "t"},\n {"insight": {"summary": "", "raw": ""}, "timestamp": "u"}]')
-    arr = read_insights(spark, str(tmp_path / "array.json"), multi_line=True).collect()
+    arr = read_insights(spark, str(tmp_path / "array.json")).collect()
     assert [r.insight.summary for r in arr] == ["a", ""] and arr[1].insight.raw == ""
     ts = log.first().timestamp
     assert ts.endswith("Z") and "T" in ts and len(ts) == 24
 
 
+def test_repeated_and_killed_appends_leave_one_copy(spark, tmp_path):
+    from postmine.functions.jsonx import with_insight
+    from postmine.sources.insight_log import append_insights, read_insights
+
+    log = tmp_path / "log"
+    df = lambda n: with_insight(spark.createDataFrame([("u", i, f'{{"summary":"s{i}"}}') for i in range(n)], "page_url string, seq long, reply string"), "reply", "ins")
+    append_insights(df(3), str(log), key="job-1")
+    append_insights(df(3), str(log), key="job-1")
+    append_insights(df(2), str(log), key=7)
+    assert read_insights(spark, str(log)).count() == 5
+    (log / "append=8").mkdir()
+    (log / "append=8" / "part-0.json").write_text('{"seq": 1}\n')  # killed before its commit
+    assert read_insights(spark, str(log)).count() == 5
+    append_insights(df(1), str(log), key=8)
+    append_insights(df(1), str(log))
+    append_insights(df(1), str(log))
+    assert read_insights(spark, str(log)).count() == 8
+
+
+def test_an_array_file_is_read_by_several_tasks(spark, tmp_path):
+    import json
+    import random
+
+    from postmine.sources.array_log import pieces, records
+    from postmine.sources.insight_log import read_insights
+
+    r = random.Random(2)
+    texts = ['plain', 'br{ack}ets [in] {text', 'quote \\" and } ]', 'back\\\\', "}}}", '"', "", "é漢 {", '\\"}', "line\nbreak"]
+    rows = [{"page_url": r.choice(texts), "seq": i, "timestamp": "t", "insight": {"summary": r.choice(texts), "topics": r.sample(texts, 2), "raw": None}} for i in range(300)]
+    shapes = {"one line": json.dumps(rows), "indented": json.dumps(rows, indent=2, ensure_ascii=False), "lines": "\n".join(map(json.dumps, rows)),
+              "spaced": " \n[\n" + " ,\n ".join(map(json.dumps, rows)) + "\n]\n"}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        for name, text in shapes.items():
+            p = tmp_path / f"{name.replace(' ', '-')}.json"
+            p.write_text(text)
+            assert pieces(spark, str(p)).select("block").distinct().count() > 5
+            got = sorted((x.record, json.loads(x.json)) for x in records(spark, str(p)).collect())
+            assert got == list(enumerate(rows)), name
+            log = sorted(read_insights(spark, str(p)).collect(), key=lambda x: x.seq)
+            assert [(x.page_url, x.insight.summary, x.insight.topics) for x in log] == [(x["page_url"], x["insight"]["summary"], x["insight"]["topics"]) for x in rows], name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "empty.json").write_text("[]")
+    assert records(spark, str(tmp_path / "empty.json")).count() == 0 and read_insights(spark, str(tmp_path / "empty.json")).count() == 0
+
+
 def test_stream_round_counts_and_foreach_batch(spark, tmp_path):
     from postmine.streaming.stream import run_stream, stream_distinct, stream_round_counts
 

@@ -1,4 +1,13 @@
-"""HTML fixtures for every selector and gate (the test pages only contain <article>)."""
+"""HTML fixtures for every selector and gate (the test pages only contain <article>), and the tiers over the
+given pages against a reading of their regular shape by regular expressions."""
+
+import hashlib
+import html
+import re
+import time
+import zlib
+
+from conftest import SF0001
 
 from postmine.operators import html_blocks as H
 
@@ -62,8 +71,8 @@ def test_unclosed_p_and_no_cap(spark):
 
 
 def _elements(html):
-    url, text, visible, _, b0, b1, elems = H.parse_page("u", html)
-    return text, visible, visible[b0:b1], [(tag, text[t0:t1]) for _, tag, _, _, _, _, t0, t1, _, _ in elems]
+    text, visible, body, _, elems = H.parse_page(html)
+    return text, visible, visible[slice(*body)], [(e[1], text[e[6]:e[7]]) for e in elems]
 
 
 def test_nested_lists_and_implied_end_tags():
@@ -84,7 +93,7 @@ def test_implied_body_void_slash_and_template():
 
 def test_deep_page_does_not_grow(spark):
     html = "".join(f"<div>level {i} " + "w" * 60 for i in range(60)) + "</div>" * 60
-    url, text, visible, *_rest, elems = H.parse_page("u", page(html))
+    text, visible, _, _, elems = H.parse_page(page(html))
     assert len(text) + len(visible) < 2.2 * len(html) and len(elems) >= 60
 
 
@@ -111,7 +120,98 @@ def test_empty_body_and_selector_scan_fallback(spark):
 def test_malformed_markup_keeps_the_rest_of_the_page():
     sections = ("<![foo[x]]>", "<![>", "<![ x]>", "<![if !IE]>", "<![endif]>", "<![CDATA[x]]>", "<![if x>", "<!>", "<!x [y>")
     for bad in sections:
-        text = H.parse_page("u", page(f"<article>before</article>{bad}<article>tail</article>{bad}<p>end</p>"))[1]
+        text = H.parse_page(page(f"<article>before</article>{bad}<article>tail</article>{bad}<p>end</p>"))[0]
         assert [text.count(x) for x in ("before", "tail", "end")] == [1, 1, 1], bad
     for ref, want in (("&#" + "0" * 5000 + "65;", "A"), ("&#" + "9" * 5000 + ";", "\ufffd")):
-        assert H.parse_page("u", page(f'<p title="{ref}">{ref}</p><p>tail</p>'))[1].endswith(f"{want}tail")
+        assert H.parse_page(page(f'<p title="{ref}">{ref}</p><p>tail</p>'))[0].endswith(f"{want}tail")
+
+
+def test_work_grows_with_the_page():
+    """Twice the elements cost about twice as much, flat or nested."""
+    def best(body):
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            rows = sum(1 for _ in H.element_rows("u", body))
+            times.append(time.perf_counter() - start)
+        return min(times), rows
+
+    flat = lambda n: page("".join(f"<article>article {i} has some words in it <b>bold</b></article>" for i in range(n)))
+    deep = lambda n: page("<span>" * n + "<i>x</i>" * n + "</span>" * n + "<article>" + LONG + "</article>")
+    for make in (flat, deep):
+        (t1, n1), (t2, n2) = best(make(8_000)), best(make(16_000))
+        assert t2 < 2.6 * t1 + 0.05 and n2 >= n1
+
+
+# ---- the given pages ----------------------------------------------------------------------------
+def shape(text):
+    """Text content of the body's elements of a given page, in document order, as (tag, children, text): a list
+    of links, one advertisement, an article of a headline and paragraphs, a footer."""
+    lines = lambda x: html.unescape(re.sub(r"<[^>]*>", "", x))
+    nav = re.search(r"<nav>(.*?)</nav>", text, re.S)[1]
+    items = re.findall(r"<li>(.*?)</li>", nav, re.S)
+    out = [("nav", 1, lines(nav)), ("ul", len(items), lines(nav))]
+    for x in items:
+        out += [("li", 1, lines(x)), ("a", 0, lines(x))]
+    out.append(("div", 0, lines(re.search(r'<div class="ad">(.*?)</div>', text, re.S)[1])))
+    article = re.search(r"<article>(.*?)</article>", text, re.S)[1]
+    head, rest = re.fullmatch(r"<h1>(.*?)</h1>(.*)", article, re.S).groups()
+    paragraphs = re.split(r"<p>", rest)
+    assert not paragraphs[0].strip()
+    out.append(("article", len(paragraphs), lines(article)))
+    out.append(("h1", 0, lines(head)))
+    for x in paragraphs[1:]:
+        out.append(("p", x.count("<b>"), lines(x)))
+        if "<b>" in x:  # never closed: it reaches to the end of its paragraph
+            out.append(("b", x.count("<br>"), lines(x.split("<b>", 1)[1])))
+    out.append(("footer", 0, lines(re.search(r"<footer>(.*?)</footer>", text, re.S)[1])))
+    return article, out
+
+
+def wanted_candidates(text):
+    """Ordered distinct blocks: the article's visible lines, then every short-branched element with enough text."""
+    article, elements = shape(text)
+    marked = re.sub(r"</?(?:p|h1|br|article)>", "\n", article)
+    lines = [re.sub(r"[ \t\r\f\v\u00a0]+", " ", x).strip(" ") for x in html.unescape(re.sub(r"<[^>\n]*>", "", marked)).split("\n")]
+    block = "\n".join(x for x in lines if x).strip()
+    first = [block] if len(block) > 40 and len(block.split()) > 5 else []
+    dense = [t.strip() for _, n, t in elements if n < 6 and len(t.strip()) > 120]
+    return list(dict.fromkeys(x for x in first + dense if x))
+
+
+def given(spark):
+    rows = spark.read.parquet(f"{SF0001}/pages.parquet").select("url", "html").collect()
+    return {r.url: r.html for r in rows if r.html and not re.search("login|signup|consent|native_app|app=", r.url)}
+
+
+def test_candidates_of_the_given_pages(spark):
+    from postmine.plans.registry import QUERIES
+
+    pages, got = given(spark), {}
+    for r in QUERIES["page_candidates"](spark, SF0001).collect():
+        got.setdefault(r.page_url, []).append((r.pos, r.n_chars, r.block_md5))
+    want = {u: [(i + 1, len(b), hashlib.md5(b.encode()).hexdigest()) for i, b in enumerate(wanted_candidates(t))] for u, t in pages.items()}
+    assert {u: sorted(v) for u, v in got.items()} == {u: v for u, v in want.items() if v}
+
+
+def test_cascade_of_the_given_pages(spark):
+    """A third of the pages has no candidate replies, a ninth no text replies; failed and missing ones as stored."""
+    from postmine.plans.registry import QUERIES
+
+    pages, got = given(spark), {}
+    for r in QUERIES["page_cascade"](spark, SF0001).collect():
+        got.setdefault(r.page_url, {}).setdefault(r.tier, []).append(r.post_md5)
+    assert all(len(tiers) == 1 for tiers in got.values())  # the first tier with posts wins
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for u, t in pages.items():
+        crc = zlib.crc32(u.encode())
+        cands = wanted_candidates(t)
+        tier = "candidates" if cands and crc % 3 else "full_text" if crc % 9 else "selector_scan"
+        assert list(got[u]) == [tier], u
+        if tier == "candidates":
+            assert sorted(got[u][tier]) == sorted({md5(x) for x in cands})
+        elif tier == "selector_scan":
+            assert got[u][tier] == [md5(shape(t)[1][[x[0] for x in shape(t)[1]].index("article")][2].strip())]
+        else:  # the lines of the visible text
+            lines = {x for b in cands[:1] for x in b.split("\n")}
+            assert {md5(x) for x in lines if x} <= set(got[u][tier])
