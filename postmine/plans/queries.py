@@ -124,11 +124,16 @@ def _doc_lines(spark, sf):
 
 
 def q_new_posts(spark, sf):
-    """U3 + J5: lines of the second half of each source's documents not seen in the first half."""
+    """U3 + J5: lines of the second half of each source's documents not seen in the first half, over a table of
+    seen posts with filters."""
+    from ..streaming.seen import SeenPosts
+
     lines = _doc_lines(spark, sf).select("page_url", "doc_id", T.trim_ws("post").alias("post")).filter(F.col("post") != "")
     first = lines.filter(F.col("doc_id") % 2 == 0)
     second = lines.filter(F.col("doc_id") % 2 == 1)
-    return U.new_posts(second, first).groupBy("page_url").agg(
+    seen = SeenPosts(spark, scratch_folder(spark, "seen-posts"))
+    seen.new(first.distinct(), 0)
+    return seen.new(second, 1).groupBy("page_url").agg(
         F.count(F.lit(1)).alias("n_new_rows"), F.countDistinct("post").alias("n_new_distinct")
     )
 

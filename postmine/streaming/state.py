@@ -66,7 +66,7 @@ class Manifest(_Folder):
         text = self.spark.read.text(f"{self.path}/epoch={earlier[-1]}").first()["value"]
         return {name: {int(b): e for b, e in v.items()} for name, v in json.loads(text).items()}
 
-    def commit(self, epoch: int, versions: dict[str, Versions]) -> None:
+    def commit(self, epoch: int, versions: dict) -> None:
         text = self.spark.createDataFrame([(json.dumps(versions),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(f"{self.path}/epoch={epoch}")
 
@@ -86,8 +86,13 @@ class BucketTable(_Folder):
     def write(self, df: DataFrame, epoch: int, buckets: int, touched: list[int], base: Versions, key: str = "page_url") -> Versions:
         """Write the whole content of the touched buckets as a new version; the versions after it. A large
         bucket is dealt over several files."""
+        # few files a bucket: rows of a bucket meet, a large one is split again
+        return self.write_buckets(df.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", F.col("bucket")), epoch, touched, base)
+
+    def write_buckets(self, df: DataFrame, epoch: int, touched: list[int], base: Versions) -> Versions:
+        """The same for rows that have a ``bucket``."""
         path = f"{self.path}/epoch={epoch}"
-        df.withColumn("bucket", bucket_of(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        df.write.mode("overwrite").partitionBy("bucket").parquet(path)
         there = set(self.names(path, "bucket="))
         return {**{b: e for b, e in base.items() if b not in set(touched)}, **{b: epoch for b in there}}
 

@@ -97,7 +97,6 @@ class Release:
             "page_url", (F.coalesce("rounds", F.lit(0)) + 1).cast("int").alias("rounds"),
             (F.coalesce("dry_rounds", F.lit(0)) + F.col("found").isNull().cast("int")).cast("int").alias("dry_rounds"),
             F.coalesce("initial_done", F.lit(False)).alias("initial_done"), F.coalesce("releases", F.lit(0)).alias("releases"))
-        scratch.append(state := materialize(state))
         self._step(base, state, known.unionByName(new), pages, touched, epoch, flush=F.col("rounds") >= self.rounds)
         self.metrics[epoch] |= {**seen.get, **found.get}
         for t in scratch:

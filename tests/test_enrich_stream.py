@@ -181,6 +181,101 @@ def test_stream_release_loses_nothing(spark, tmp_path):
     assert {r.page_url: (r.rounds, r.dry_rounds, r.done) for r in rel.pages().collect()} == {"one": (1, 0, True), "grow": (3, 1, True)}
 
 
+def test_seen_posts_with_and_without_room_in_the_filters(spark, tmp_path):
+    """Exact with a filter that is full, over rewritten buckets and a replayed epoch; pages without news are not read."""
+    import random
+
+    from postmine.streaming.seen import SeenPosts
+
+    r = random.Random(6)
+    for bits, epochs in ((64, 2), (1 << 14, 16)):
+        store, seen = SeenPosts(spark, str(tmp_path / f"s{bits}"), buckets=4, bits=bits, epochs=epochs), set()
+        wrong = 0
+        for epoch in range(4 if bits == 64 else 2):
+            rows = [(f"p{r.randrange(6)}", f"post {r.randrange(150)}", i) for i in range(120)]
+            df = spark.createDataFrame(rows, "page_url string, post string, seq long")
+            want = sorted(x for x in rows if x[:2] not in seen)
+            for _ in range(2 if epoch == 2 else 1):  # epoch 2 runs twice
+                assert sorted(map(tuple, store.new(df, epoch).collect())) == want
+            seen |= {x[:2] for x in rows}
+            wrong += store.metrics[epoch]["false_positives"]
+        assert (wrong > 20) == (bits == 64)
+        fresh = spark.createDataFrame([("p1", f"never {i}", 0) for i in range(20)], "page_url string, post string, seq long")
+        assert store.new(fresh, 9).count() == 20 and (bits == 64 or store.metrics[9]["buckets_read"] <= 1)
+
+
+def test_a_failed_epoch_is_invisible_and_its_replay_counts_once(spark, tmp_path):
+    from postmine.streaming.stream import SEEN, Release
+
+    def break_down(posts, epoch):
+        if epoch == 1 and not state["up"]:
+            raise RuntimeError("down")
+        posts.write.mode("overwrite").parquet(str(tmp_path / f"handed/epoch={epoch}"))
+
+    state = {"up": False}
+    rel = Release(spark, str(tmp_path / "t"), buckets=4, on_release=break_down)
+    page = lambda n: spark.createDataFrame([(p, i, f"{p}{i}") for p in "ab" for i in range(n)], SEEN)
+    rel.round(page(12), 0)
+    try:
+        rel.round(page(20), 1)
+        raise AssertionError("it should have failed")
+    except RuntimeError:
+        pass
+    assert rel.released().count() == 20 and {r.rounds for r in rel.pages().collect()} == {1}
+    state["up"] = True
+    rel.round(page(20), 1)
+    rel.round(page(21), 2)
+    rel.finish()
+    got = sorted((r.page_url, r.seq) for r in rel.released().collect())
+    assert got == sorted((p, i) for p in "ab" for i in range(21))
+    assert spark.read.parquet(str(tmp_path / "handed")).count() == 42
+    assert rel.metrics[1] == {"posts_read": 40, "new_found": 16, "released": 6}
+    # state of closed pages is one row each, older versions are gone
+    assert rel.tables["open"].read(rel.manifest.before(None).get("open", {})).count() == 0
+    assert len(rel.tables["pages"].names(rel.tables["pages"].path, "epoch=")) <= 2
+
+
+def test_incremental_store_equals_the_batch_store(spark, tmp_path):
+    from postmine.operators.idea_store import idea_events, idea_store
+    from postmine.streaming.store import IncrementalStore
+    from postmine.streaming.stream import SEEN, Release
+
+    def ideas(posts):
+        return posts.select("page_url", "batch_id", "seq", "post", F.lit("positive").alias("sentiment"), F.array(F.concat(F.lit("t"), (F.col("seq") % 3).cast("string"))).alias("topics"),
+                            F.lit("r").alias("reason"), F.array(F.concat(F.lit("idea "), (F.col("seq") % 4).cast("string"))).alias("ideas"))
+
+    st = IncrementalStore(spark, str(tmp_path / "store"), ideas, buckets=4)
+    rel = Release(spark, str(tmp_path / "t"), buckets=4, on_release=st)
+    for epoch, n in enumerate((12, 15, 30)):
+        rel.round(spark.createDataFrame([(p, i, f"{p} post {i}") for p in "ab" for i in range(n)], SEEN), epoch)
+        batch = idea_store(idea_events(ideas(rel.released())))
+        key = lambda r: (r.page_url, r.batch_id, r.idea)
+        assert sorted((tuple(r) for r in st.store().collect()), key=str) == sorted((tuple(r) for r in batch.collect()), key=str)
+        totals = {(r.page_url, r.idea): (r.cnt, r.sentiment_sum, r.n_batches, [x.example for x in r.examples]) for r in st.totals().collect()}
+        want = {}
+        for r in sorted(batch.collect(), key=key):
+            c, s, b, e = want.get((r.page_url, r.idea), (0, 0, 0, []))
+            want[r.page_url, r.idea] = (c + r.cnt, s + r.sentiment_sum, b + 1, (e + r.examples)[:3])
+        assert totals == want
+
+
+def test_segmented_ranks(spark):
+    """Groups larger and smaller than a partition, null keys, ties by the order given."""
+    import random
+
+    from postmine.operators.segmented import segment_rank
+
+    r = random.Random(1)
+    rows = [("hot" if i % 3 else f"k{i % 50}" if i % 7 else None, r.randrange(40), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, x int, i int").repartition(4)
+    got = {x.i: x.r for x in segment_rank(df, ["k"], [F.desc("x"), F.asc("i")], "r", partitions=7).collect()}
+    groups = {}
+    for k, x, i in rows:
+        groups.setdefault(k, []).append((-x, i))
+    assert got == {i: n + 1 for g in groups.values() for n, (_, i) in enumerate(sorted(g))}
+    assert segment_rank(df.limit(0), ["k"], [F.asc("i")], "r").count() == 0
+
+
 def test_replayed_epoch_overwrites(spark, tmp_path):
     from postmine.streaming.stream import SEEN, Release
 
