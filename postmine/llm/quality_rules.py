@@ -229,8 +229,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. The statistics are computed again beside
-    each row, which is cheaper than shuffling the texts to join a verdict."""
-    rules = learned(scratch(statistics(docs), "rules-stats"), labels)
-    x = _verdict(statistics(docs, with_row=True), rules)
+    """The rows of ``docs`` that pass, with their columns. Each row is written once beside its statistics; learning
+    reads only these, so neither the texts are read twice nor a verdict is joined to them."""
+    stats = scratch(statistics(docs, with_row=True), "rules-rows")
+    x = _verdict(stats, learned(stats.drop("_row"), labels))
     return x.filter("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
