@@ -191,7 +191,7 @@ def q_prompt_render(spark, sf):
     analyze = odd.select("doc_id", RQ.analysis_prompt("text").alias("prompt"))
     chunks = M.chunk_requests(d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("page_url"), "text"))
     cands = M.candidate_requests(_doc_blocks(spark, sf))
-    ideas = M.idea_requests(materialize(insights(spark, sf).filter("ins.ok")).join(fixture(spark, sf, FX.POSTS), ["page_url", "seq"]))
+    ideas = M.idea_requests(materialize(insights(spark, sf)).filter("ins.ok").join(fixture(spark, sf, FX.POSTS), ["page_url", "seq"]))
     ranks = M.rank_requests(store(spark, sf))
     out = shown(analyze, "analyze", F.col("doc_id"))
     out = out.unionByName(shown(chunks, "extract_chunk", F.concat_ws("/", "page_url", F.col("chunk_no").cast("string"))))
