@@ -57,8 +57,29 @@ def test_escape_round_trip(spark, text):
 def test_linear_edge_cases(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 2, None, "x"), (None, 0, "assistant", "n"), (2, None, "assistant", "b"), (2, 1, "assistant", "a"), (-1, 5, "user", "")]
     d = spark.createDataFrame([(*r, "extra") for r in rows], CONV + ", node string")
-    got = read(C.format_trees(C.linear_trees(d.drop("node"))))
+    got = read(C.format_trees(C.linear_trees(d)))
     assert got[1, 1].n_turns == 3 and got[1, 1].turns_sha256 == digest([("user", ""), ("user", ""), ("", "x")])
     assert got[None, 1].loss_sha256 == hashlib.sha256(b"n").hexdigest()
     assert got[2, 1].loss_sha256 == hashlib.sha256(b"ba").hexdigest() and got[2, 1].loss_chars == 2
-    assert C.read_back(C.format_trees(C.linear_trees(d.drop("node").limit(0)))).count() == 0
+    assert C.read_back(C.format_trees(C.linear_trees(d.limit(0)))).count() == 0
+
+
+def test_reading_does_not_depend_on_the_pieces(spark):
+    """The conversation's text cut anywhere reads the same; a very long turn, marks by place in the whole text."""
+    turns = [("user", "a\nb<|im_end|>\n<|im_start|>user\n"), ("assistant", "é</s>" * 30_000), ("", ""), ("assistant", CONTROL_TEXT)]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    x = C.assemble(C.format_trees(C.linear_trees(spark.createDataFrame(rows, CONV)))).first()
+    marks = [(s.start, s.end) for s in x.loss]
+    text = x.formatted
+    for step in (1000, 4096, len(text)):
+        reader = C.Reader()
+        reader.feed("", marks)
+        for at in range(0, len(text), step):
+            reader.feed(text[at:at + step])
+        n, sha, chars, loss, total = reader.result()
+        assert (n, sha, total) == (4, digest(turns), len(text)) and chars == sum(len(t) for r, t in turns if r == "assistant")
+        assert loss == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+    with pytest.raises(ValueError):
+        broken = C.Reader()
+        broken.feed(x.formatted[:-3])
+        broken.result()

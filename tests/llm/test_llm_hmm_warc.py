@@ -66,7 +66,7 @@ def hmm_corpus(n=120):
 
 def test_scores_and_base(spark):
     rows = hmm_corpus() + [(500, None, "c", "c"), (501, "", "c", "c"), (None, "a1 a2", "c", "c"), (3, "a1 unseen unseen", "c", "c")]
-    got = H.scored(spark.createDataFrame(rows, DOCS).drop("held_out"), states=4, frequent=24, buckets=8, rounds=9).collect()
+    got = H.scored(spark.createDataFrame(rows, DOCS), states=4, frequent=24, buckets=8, rounds=9).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     toks = [(i, (t or "").lower().split() + [""]) for i, t, *_ in rows]
     c = Counter(w for i, t in toks if not held(i) for w in t)
@@ -80,7 +80,7 @@ def test_scores_and_base(spark):
 def test_probabilities_of_words_sum_to_one(spark):
     """One-word texts over the training words and one unknown word a bucket: all of the mass."""
     rows = hmm_corpus(30)
-    d = spark.createDataFrame(rows, DOCS).drop("held_out").withColumnRenamed("text", "t")
+    d = spark.createDataFrame(rows, DOCS).withColumnRenamed("text", "t")
     from pyspark.sql import functions as F
 
     d = d.select("doc_id", F.lower("t").cast("binary").alias("_bin"))
@@ -118,9 +118,9 @@ def test_every_round_reads_all_rows_until_the_likelihood_stands(spark, monkeypat
 
 def test_hmm_without_training_rows(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
-    got = H.scored(spark.createDataFrame([(held, "a b", "c", "c")], DOCS).drop("held_out"), frequent=4, buckets=4, rounds=2).collect()
+    got = H.scored(spark.createDataFrame([(held, "a b", "c", "c")], DOCS), frequent=4, buckets=4, rounds=2).collect()
     assert got[0].n_known == 0 and got[0].train_tokens == 0 and math.isfinite(got[0].score)
-    assert H.scored(spark.createDataFrame([], DOCS).drop("held_out"), frequent=4, buckets=4, rounds=2).count() == 0
+    assert H.scored(spark.createDataFrame([], DOCS), frequent=4, buckets=4, rounds=2).count() == 0
 
 
 # ---- WARC -------------------------------------------------------------------------------------

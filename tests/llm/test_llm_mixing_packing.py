@@ -20,8 +20,8 @@ def docs(spark, n=600):
 
 
 def test_mix_meets_target_weights(spark):
-    d = docs(spark, 3000).drop("_mix")
-    x = M.replicate(d).select("source", "text", "_mix.*").collect()
+    d = docs(spark, 3000)
+    x = M.replicate(d).select("source", "text", "__mix.*").collect()
     mass = {}
     for r in x:
         mass[r.source] = mass.get(r.source, 0) + len(r.text or "")
@@ -29,22 +29,31 @@ def test_mix_meets_target_weights(spark):
     big = sorted(mass[s] for s in ("big", "s0", "s1", "s2", "s3"))
     assert "empty" not in mass and max(big) < 1.3 * total / 6 and min(big) > 0.7 * total / 6
     assert [r.key for r in x] != sorted(r.key for r in x) or len(x) < 2
-    again = M.replicate(d).select("source", "text", "_mix.*").collect()
+    again = M.replicate(d.drop("_mix")).select("source", "text", "_mix.*").collect()
     assert sorted(map(str, x)) == sorted(map(str, again))
 
 
 def test_mix_given_weights_and_edges(spark):
     d = docs(spark)
     w = spark.createDataFrame([("big", 3.0), ("s0", 0.0), ("nowhere", 5.0)], "source string, weight double")
-    got = M.replicate(d.drop("_mix"), w)
-    assert {r.source for r in got.collect()} == {"big"} and got.columns == [c for c in d.columns if c != "_mix"] + ["_mix"]
+    got = M.replicate(d, w)
+    assert {(r.source, r._mix) for r in got.collect()} == {("big", "a")} and got.columns == [*d.columns, "__mix"]
     rates = {r.source: r.rate for r in M.rates(d, w).collect()}
     assert rates["big"] > 1 and rates[None] == 0 and rates["empty"] == 0
-    assert M.replicate(d.drop("_mix").limit(0)).count() == 0
-    same = M.replicate(spark.createDataFrame([(1, "t", "a", "", "")] * 50, DOCS).drop("_mix"), epochs=4.0).select("_mix.copies").distinct().collect()
+    assert M.replicate(d.limit(0)).count() == 0
+    same = M.replicate(spark.createDataFrame([(1, "t", "a", "", "")] * 50, DOCS), epochs=4.0).select("__mix.copies").distinct().collect()
     assert len(same) <= 1  # repeated rows share their number
 
 
+def test_mix_of_a_tiny_source_and_a_very_long_text(spark):
+    """A source of one short document beside a hot one is repeated as often as its rate says, without a cap."""
+    rows = [(1, "x", "tiny", "", ""), (2, "y" * 300_000, "hot", "", ""), (3, "z" * 700_000, "hot", "", "")]
+    got = M.replicate(spark.createDataFrame(rows, DOCS))
+    n = got.filter("source = 'tiny'").count()
+    rate = 1_000_001 / 2
+    assert abs(n - rate) < 7 * math.sqrt(rate)
+
+
 @pytest.mark.parametrize("rate", [0.05, 1.0, 7.3, 900.0])
 def test_distribution_function(spark, rate):
     r = M.distribution(spark.createDataFrame([("a", 1, rate)], "source string, mass bigint, rate double")).first()

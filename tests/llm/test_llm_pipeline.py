@@ -68,3 +68,28 @@ def test_stages(spark):
 def test_run(spark):
     x = corpus_pipeline.run(spark, SF0001)
     assert x.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(x.columns)
+
+
+def test_stages_on_edge_cases(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns; then an empty table."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _mix string, _metadata string, node string"
+    words = " ".join(f"w{i % 977}x{i}" for i in range(15_000))
+    rows = [(1, words, "en", "a", 5, "m", "d", "n"), (1, words, "en", "a", 5, "m", "d", "n"), (2, words + " tail", None, None, None, None, None, None),
+            (None, words.replace(" ", "\t"), "en", "a", 1, "m", "d", "n"), (3, None, "en", "a", 1, "m", "d", "n"), (4, "", None, "b", 0, None, "d", "n"),
+            (None, None, None, None, None, None, None, None), (5, " ".join(f"v{i}" for i in range(80)), "en", "b", 2, "m", "d", "n")]
+    kept = {"quality_rules": 5, "exact_dedup": 4, "near_dedup": 5}
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF0001)
+            got = out.collect()
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns, name
+            if not data:
+                assert got == [], name
+            elif name in kept:
+                assert len(got) == kept[name], (name, [(r.doc_id, r._metadata) for r in got])
+            elif name == "poisson_mix":
+                assert {r.source for r in got} <= {"a", "b", None} and len(got) > 0
+            else:
+                assert {r.doc_id for r in got} == {1, 2, 3, 4, 5, None} and sum(r.doc_id == 4 for r in got) == 1

@@ -1,9 +1,14 @@
 """Operators 2 and 9: statistics, decision list, Fourier-feature classifier."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from postmine.llm import quality_classifier as K
 from postmine.llm import quality_rules as Q
 
@@ -58,6 +63,64 @@ def test_rules_are_learned_and_native(spark):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
+def plain_covering(rows):
+    """Sequential covering in plain Python on binned rows ``(y, prune, {feature: bin})``: same gains, same order of
+    ties (first feature, lower threshold, "at least" before "less than")."""
+    holds = lambda t, b: b[t[0]] >= t[2] if t[1] else b[t[0]] < t[2]
+    rules, rest = [], rows
+    bins = {f: max((b[f] for _, _, b in rows), default=0) for f in Q.FEATURES}
+    while len(rules) < Q.MAX_RULES:
+        terms, grow = [], [r for r in rest if not r[1]]
+        while len(terms) < Q.MAX_TERMS:
+            p0, n0 = (sum(y == v for y, _, _ in grow) for v in (0, 1))
+            if not p0 or not n0:
+                break
+            best, gain = None, 1e-9
+            for f in Q.FEATURES:
+                for b in range(1, bins[f] + 1):
+                    for above in (True, False):
+                        p, n = (sum(y == v and holds((f, above, b), x) for y, _, x in grow) for v in (0, 1))
+                        if p and (g := p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))) > gain:
+                            best, gain = (f, above, b), g
+            if best is None:
+                break
+            terms.append(best)
+            grow = [r for r in grow if holds(best, r[2])]
+        options = []
+        for k in range(1, len(terms) + 1):
+            hit = [y for y, prune, b in rest if prune and all(holds(t, b) for t in terms[:k])]
+            if hit:
+                p = hit.count(0)
+                options.append(((2 * p - len(hit)) / len(hit), -k, p / len(hit), len(hit)))
+        if not options:
+            break
+        _, k, precision, covered = max(options)
+        if precision < Q.MIN_PRECISION or covered < Q.MIN_COVERED:
+            break
+        rules.append((terms[:-k], precision))
+        rest = [r for r in rest if not all(holds(t, r[2]) for t in terms[:-k])]
+    return rules
+
+
+def test_learner_equals_plain_covering(spark):
+    """Noisy labels, statistics with many equal values and rows that repeat."""
+    r = random.Random(12)
+    rows, labels = corpus(240, 8)
+    labels = [(i, q if r.random() < 0.93 else 1 - q, 0) for i, q, _ in labels]
+    d = spark.createDataFrame(rows + rows[:20], DOCS)
+    stats = Q.statistics(d)
+    y = spark.createDataFrame(labels, LABELS).selectExpr("doc_id AS _l", "quality AS y")
+    joined = stats.join(y, stats["doc_id"] == y["_l"]).drop("_l")
+    rules = Q.learn(joined)
+    x = joined.withColumn("prune", F.expr("pmod(crc32('prune:' || cast(doc_id AS string)), 3) = 0"))
+    binned, _ = Q._binned(x)
+    plain = plain_covering([(b.y, b.prune, {f: b[f"b_{f}"] for f in Q.FEATURES}) for b in binned.collect()])
+    terms = lambda ts: sorted((t.feature, t.above, t.bin) for t in ts)
+    want = [sorted((t.feature, t.above, t.bin) for t in Q._tightest([Q.Term(f, a, float(b), b) for f, a, b in ts])) for ts, _ in plain]
+    assert rules.rules and [terms(t) for t in rules.rules] == want
+    assert all(math.isclose(a, b) for a, (_, b) in zip(rules.precision, plain))
+
+
 def test_rules_without_labels_or_rows(spark):
     rows, _ = corpus(9)
     none = spark.createDataFrame([], LABELS)
@@ -93,6 +156,70 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert all(abs(x.score - y.score) < 1e-9 for x, y in zip(a, b))
 
 
+def plain_describe(t):
+    """The statistics of a text by plain Python over its bytes."""
+    w, size = t.split(), sum(len(x) for x in t.split())
+    if not w:
+        return [0.0] * len(K.FEATURES)
+    lines = [x for x in t.split(b"\n") if x.strip()]
+    lens, c = [len(x) for x in w], Counter(t)
+    mean = size / len(w)
+    pairs = list(zip(w, w[1:]))
+    kinds = {"digit": b"0123456789", "upper": bytes(range(65, 91))}
+    share = lambda cs: sum(c[x] for x in cs) / size
+    return [math.log(1 + len(w)), math.log(1 + len(t)), mean, math.sqrt(sum((x - mean) ** 2 for x in lens) / len(w)), len(set(w)) / len(w),
+            1 - len(set(pairs)) / len(pairs) if pairs else 0.0, None, 1 - len(set(lines)) / len(lines), math.log(1 + len(w) / len(lines)),
+            share(kinds["digit"]), share(kinds["upper"]), None, sum(n for x, n in c.items() if x >= 128) / size,
+            -sum(n / len(t) * math.log2(n / len(t)) for n in c.values()), max(Counter(w).values()) / len(w), sum(x > 12 for x in lens) / len(w)]
+
+
+def test_describe_matches_plain_python():
+    r = random.Random(3)
+    texts = ["", "  ", "one", "A1 b2\nA1 b2\n\nend.", "é漢 é漢 Straße", "# # $ %", "x" * 30 + " y", " ".join(r.choices("abc de fghijklmnopqrst 12".split(), k=300)), "word " * 100_000]
+    for t in texts:
+        got, want = K.describe(t.encode()), plain_describe(t.encode())
+        assert len(got) == len(want) == len(K.FEATURES)
+        assert all(b is None or math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, want)), (t[:40], got, want)
+
+
+def test_fit_matches_plain_normal_equations(spark):
+    """The map approximates its kernel; weights, levels and scores equal one numpy computation over all rows."""
+    r = np.random.RandomState(5)
+    x = r.normal(size=(400, len(K.FEATURES)))
+    x[:, 3] = 7.0  # a constant statistic
+    y = (x[:, 0] + x[:, 1] ** 2 + r.normal(scale=0.3, size=400) > 0.6).astype(float)
+    d = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(5)
+    model = K.fit(d, dims=64)
+    sd = x.std(axis=0)
+    f = K.Fourier(x.mean(axis=0), np.where(sd > 1e-9, sd, 1.0), K.GAMMA, 64)
+    z = f.map(x)
+    s = np.clip((x - f.mean) / f.sd, -K.CLIP, K.CLIP)
+    wide = K.Fourier(f.mean, f.sd, K.GAMMA, 20_000).map(x[:30])[:, :-1]
+    kernel = np.exp(-K.GAMMA * ((s[:30, None] - s[None, :30]) ** 2).sum(axis=2))
+    assert np.abs(wide @ wide.T - kernel).max() < 0.05
+    penalty = np.eye(65) * K.RIDGE * 400 / 64
+    penalty[-1, -1] = 0
+    w = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    raw = np.clip(z @ w, -0.5, 1.5)
+    assert np.allclose(model.raw(x), z @ w, atol=1e-6)
+    bins = np.minimum(((raw + 0.5) / 2 * K.SCORE_BINS).astype(int), K.SCORE_BINS - 1)
+    used = np.unique(bins)
+    levels = K.pool_adjacent([y[bins == b].mean() for b in used], [(bins == b).sum() for b in used])
+    assert np.allclose(model.levels, levels, atol=1e-6) and all(a <= b for a, b in zip(levels, levels[1:]))
+    want = (1 - K.TIE) * np.interp(raw, [raw[bins == b].mean() for b in used], levels) + K.TIE * (raw + 0.5) / 2
+    assert np.allclose(model.score(x), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_isotonic_levels_are_the_best_monotone_ones(seed):
+    """Against min-max formula of isotonic regression."""
+    r = random.Random(seed)
+    m, w = [r.random() for _ in range(12)], [r.randint(1, 5) for _ in range(12)]
+    mean = lambda a, b: sum(x * v for x, v in zip(m[a:b], w[a:b])) / sum(w[a:b])
+    want = [max(min(mean(a, b) for b in range(i + 1, 13)) for a in range(i + 1)) for i in range(12)]
+    assert np.allclose(K.pool_adjacent(m, w), want)
+
+
 def test_classifier_without_labels(spark):
     rows, _ = corpus(6)
     none = spark.createDataFrame([], LABELS)
