@@ -106,7 +106,7 @@ def vocabulary(train: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKET
     # the words above a count that at most ``frequent`` words reach: from a histogram of fixed size, so
     # no task sends its own candidates to the driver; the end token always has a code of its own
     bin_ = F.floor(F.log2(F.col("c").cast("double")) * BINS_PER_OCTAVE).cast("int")
-    held, chosen = 1, F.octet_length("word") == 0
+    held, chosen, least = 1, F.octet_length("word") == 0, None
     for r in sorted(words.groupBy(bin_.alias("b")).count().collect(), key=lambda r: -r["b"]):
         share = (frequent - held) / r["count"]
         if share < 1:  # of the first bin that does not fit, the words whose hash is in a share of its range
@@ -114,7 +114,9 @@ def vocabulary(train: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKET
             chosen = chosen | ((bin_ == r["b"]) & (F.pmod(F.xxhash64("word"), F.lit(HASH_SLOTS)) < slots))
             break
         held += r["count"]
-        chosen = chosen | (bin_ == r["b"])
+        least = r["b"]
+    if least is not None:
+        chosen = chosen | (bin_ >= least)
     top = sorted(words.filter(chosen).collect(), key=lambda r: (len(r["word"]) > 0, -r["c"], bytes(r["word"])))
     codes = {bytes(r["word"]): i for i, r in enumerate(top)}
     codes.setdefault(END, len(codes))
