@@ -15,7 +15,7 @@ from ..operators import gates as G
 from ..operators import idea_store as S
 from ..operators import rank as R
 from . import fixtures as FX
-from ..session import materialize, scratch_folder
+from ..session import CODEC, drop_table, materialize, scratch_folder
 from .common import SEP, fixture, table
 
 
@@ -540,7 +540,9 @@ def q_stream_pages(spark, sf):
     def handle(batch: DataFrame, epoch: int) -> None:
         kept, _ = G.url_gate(batch)
         posts = H.selector_scan(H.page_blocks(kept))
-        rel.round(posts.select("page_url", F.col("pos").alias("seq"), "post"), epoch)
+        posts = materialize(posts.select("page_url", F.col("pos").alias("seq"), "post"))  # a round reads them twice
+        rel.round(posts, epoch)
+        drop_table(posts)
 
     run_stream(stream_pages(spark, f"{base}/in"), handle, f"{base}/ckpt").awaitTermination()
     rel.finish()
@@ -641,7 +643,7 @@ def _replay(spark, posts: DataFrame, name: str, schema: str, handle):
     base = scratch_folder(spark, name)
     posts = materialize(posts)
     for r in range(3):
-        posts.filter((F.col("arrives") <= r) & (F.col("n_rounds") > r)).select("page_url", "seq", "post").write.parquet(f"{base}/in/r{r:03d}")
+        posts.filter((F.col("arrives") <= r) & (F.col("n_rounds") > r)).select("page_url", "seq", "post").write.option("compression", CODEC).parquet(f"{base}/in/r{r:03d}")
         s = spark.readStream.schema(schema).parquet(f"{base}/in/*")
         run_stream(s, handle, f"{base}/ckpt").awaitTermination()
 

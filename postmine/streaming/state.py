@@ -12,7 +12,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import CODEC
+
 Versions = dict[int, int]  # bucket -> epoch
+Appends = dict[int, list[int]]  # bucket -> epochs
 
 
 def bucket_of(key, buckets: int) -> Column:
@@ -96,9 +99,9 @@ class BucketTable(_Folder):
         there = set(self.names(path, "bucket="))
         return {**{b: e for b, e in base.items() if b not in set(touched)}, **{b: epoch for b in there}}
 
-    def drop_older(self, epoch: int, *used: Versions) -> None:
+    def drop_older(self, epoch: int, *used: Versions | Appends) -> None:
         """Remove versions that none of ``used`` refers to."""
-        keep = {(e, b) for v in used for b, e in v.items()}
+        keep = {(e, b) for v in used for b, at in v.items() for e in (at if isinstance(at, list) else [at])}
         for e in self.names(self.path, "epoch="):
             if e < epoch:
                 left = [b for b in self.names(f"{self.path}/epoch={e}", "bucket=") if (e, b) not in keep]
@@ -106,3 +109,20 @@ class BucketTable(_Folder):
                     self.remove(f"{self.path}/epoch={e}/bucket={b}")
                 if not self.names(f"{self.path}/epoch={e}", "bucket="):
                     self.remove(f"{self.path}/epoch={e}")
+
+
+class AppendTable(BucketTable):
+    """Rows that are written once: a bucket has a folder for each epoch that added some, until it is rewritten or
+    given up. An epoch that counts has its folders in the manifest, as for the other tables."""
+
+    def read(self, versions: Appends, buckets: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/epoch={e}/bucket={b}" for b in sorted(versions if buckets is None else set(buckets) & set(versions)) for e in versions[b]]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def append(self, df: DataFrame, epoch: int, base: Appends, anew: list[int]) -> Appends:
+        """Add rows that have a ``bucket``; those of the buckets ``anew`` are all that these have. A task writes at
+        most one file a bucket, so the rows need not be dealt again."""
+        path = f"{self.path}/epoch={epoch}"
+        df.write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(path)
+        kept = {b: e for b, e in base.items() if b not in set(anew)}
+        return {**kept, **{b: [*kept.get(b, []), epoch] for b in self.names(path, "bucket=")}}

@@ -286,6 +286,31 @@ def test_replayed_epoch_overwrites(spark, tmp_path):
     assert rel.released().count() == 10 and rel.pages().first().rounds == 1
 
 
+def test_release_keeps_a_text_once_beside_its_keys(spark, tmp_path, monkeypatch):
+    """The state that rounds rewrite holds no texts; a text is kept once until its page is closed, over rewritten
+    buckets; posts at the same place come by their text."""
+    from postmine.streaming import stream
+    from postmine.streaming.stream import SEEN, Release
+
+    monkeypatch.setattr(stream, "EPOCHS", 2)
+    rel = Release(spark, str(tmp_path / "t"), buckets=1)
+    a = [("a", 0, f"t{i:02d}") for i in (7, 3, 11, 0, 5, 9, 1, 10, 2, 8, 4, 6)]
+    rounds = [[*a, a[0]], [("b", i, f"b{i}") for i in range(2)], [("c", 0, "c0"), ("c", 1, None)], [*a, ("a", 1, "new")], [("b", 0, "b0"), ("b", 5, "b5")]]
+    for epoch, rows in enumerate(rounds):
+        rel.round(spark.createDataFrame(rows, SEEN), epoch)
+        if epoch == 0:
+            assert sorted(r.post for r in rel.released().collect()) == [f"t{i:02d}" for i in range(10)]
+            held = rel.tables["open"].read(rel.manifest.before(None)["open"])
+            assert held.count() == 12 and "post" not in held.columns
+        texts = rel.tables["texts"].read(rel.manifest.before(None)["texts"])
+        assert texts.count() == texts.select("page_url", "post").distinct().count()
+    rel.finish()
+    got = sorted((r.page_url, r.seq, r.post) for r in rel.released().collect())
+    assert got == sorted({x for rows in rounds for x in rows if x[2] is not None})
+    assert {(r.page_url, r.batch_id) for r in rel.released().collect() if r.post in ("t10", "t11", "new")} == {("a", 1)}
+    assert rel.manifest.before(None)["texts"] == {} and len(rel.tables["texts"].names(rel.tables["texts"].path, "epoch=")) <= 2
+
+
 def test_insight_log_roundtrip(spark, tmp_path):
     from postmine.functions.jsonx import with_insight
     from postmine.sources.insight_log import append_insights, log_quality, read_insights
