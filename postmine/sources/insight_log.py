@@ -74,7 +74,8 @@ def read_insights(spark: SparkSession, path: str) -> DataFrame:
     folders = _committed(spark, path)
     if folders is None:
         if has_arrays(spark, path):
-            return records(spark, path).select(F.from_json("json", LOG_SCHEMA).alias("r")).select("r.*")
+            # a log is read in its order; the ranges of the sort are dealt over tasks
+            return records(spark, path).orderBy("file", "record").select(F.from_json("json", LOG_SCHEMA).alias("r")).select("r.*")
         folders = [path]
     if not folders:
         return spark.createDataFrame([], LOG_SCHEMA)
