@@ -57,12 +57,25 @@ def split_idea(idea) -> Column:
 
 
 def with_ideas(df, reply_col: str = "idea_reply", summary_col: str = "summary_text", out_col: str = "ideas", k: int = 3):
-    """P17 as stages (each intermediate array computed once)."""
+    """The ideas of the reply; without any the fallback idea."""
+    p = f"_{out_col}_"
+    df = with_reply_ideas(df, reply_col, p + "found", k).withColumn(p + "fb", fallback_idea(F.col(summary_col)))
+    return df.withColumn(out_col, found_or(p + "found", p + "fb")).drop(p + "found", p + "fb")
+
+
+def found_or(found: str, fallback: str) -> Column:
+    """The ideas found in a reply (:func:`with_reply_ideas`), or those of the fallback."""
+    return F.when(F.size(F.col(found)) > 0, F.col(found)).otherwise(F.col(fallback))
+
+
+def with_reply_ideas(df, reply_col: str = "idea_reply", out_col: str = "found", k: int = 3):
+    """The part of P17 that needs the reply alone, as stages (each intermediate array computed once); empty if it
+    has no ideas. A reply can be read before it meets its post."""
     from .jsonx import with_string_array
 
     p = f"_{out_col}_"
     df = with_string_array(df, reply_col, p + "parsed", k)
-    df = df.withColumns({p + "lines": loose_lines(F.col(reply_col), 30), p + "fb": fallback_idea(F.col(summary_col))})
+    df = df.withColumns({p + "lines": loose_lines(F.col(reply_col), 30)})
     rx = generic_regex()
     df = df.withColumns({
         p + "kp": F.array_distinct(F.filter(F.col(p + "parsed"), lambda x: ~F.lower(x).rlike(rx))),
@@ -71,11 +84,12 @@ def with_ideas(df, reply_col: str = "idea_reply", summary_col: str = "summary_te
     r = F.col(reply_col)
     fg_parsed = F.when(F.size(F.col(p + "kp")) > 0, F.slice(F.col(p + "kp"), 1, k)).otherwise(F.slice(F.col(p + "parsed"), 1, k))
     fg_lines = F.when(F.size(F.col(p + "kl")) > 0, F.slice(F.col(p + "kl"), 1, k)).otherwise(F.slice(F.col(p + "lines"), 1, k))
+    none = F.array().cast("array<string>")
     out = (
-        F.when(r.isNull() | (r == ""), F.col(p + "fb"))
+        F.when(r.isNull() | (r == ""), none)
         .when(F.coalesce(F.size(F.col(p + "parsed")), F.lit(0)) > 0, fg_parsed)
         .when(F.size(F.col(p + "lines")) > 0, fg_lines)
-        .otherwise(F.col(p + "fb"))
+        .otherwise(none)
     )
     temps = [c for c in df.columns if c.startswith(p)]
     return df.withColumn(out_col, out).drop(*temps)

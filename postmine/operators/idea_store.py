@@ -30,6 +30,11 @@ def explode_ideas(df: DataFrame, ideas_col: str = "ideas", k: int = 3) -> DataFr
     return df.select(*others, F.posexplode(F.slice(F.col(ideas_col), 1, k)).alias("idea_pos", "idea"))
 
 
+def with_example(posts: DataFrame) -> DataFrame:
+    """Posts with the start of their text that is shown (``example``) in place of the text."""
+    return posts.withColumn("example", F.substring(trim_ws("post"), 1, EXAMPLE_CHARS)).drop("post")
+
+
 def idea_events(
     df: DataFrame,
     ideas_col: str = "ideas",
@@ -38,11 +43,12 @@ def idea_events(
     reason_col: str = "reason",
 ) -> DataFrame:
     """Rows ``(page_url, batch_id, seq, idea_pos, idea, example, s_score, topics, reason)`` from
-    posts joined with their insight fields and idea arrays."""
-    x = explode_ideas(df.select("page_url", "batch_id", "seq", "post", sentiment_col, topics_col, reason_col, ideas_col), ideas_col)
+    posts joined with their insight fields and idea arrays. Of a post only its ``example`` is needed: posts that have
+    one (:func:`with_example`) need no text."""
+    df = df if "example" in df.columns else with_example(df)
+    x = explode_ideas(df.select("page_url", "batch_id", "seq", "example", sentiment_col, topics_col, reason_col, ideas_col), ideas_col)
     return x.select(
-        "page_url", "batch_id", "seq", "idea_pos", "idea",
-        F.substring(trim_ws("post"), 1, EXAMPLE_CHARS).alias("example"),
+        "page_url", "batch_id", "seq", "idea_pos", "idea", "example",
         sentiment_score(sentiment_col).alias("s_score"),
         F.slice(F.coalesce(F.col(topics_col), F.array().cast("array<string>")), 1, MAX_TOPICS_PER_POST).alias("topics"),
         F.col(reason_col).alias("reason"),

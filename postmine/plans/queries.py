@@ -28,7 +28,8 @@ def _j(c) -> F.Column:
 # ----------------------------------------------------------------------------------------------
 def planned_posts(spark: SparkSession, sf: str) -> DataFrame:
     posts = fixture(spark, sf, FX.POSTS)
-    return B.plan_batches(U.distinct_posts(posts).drop("n_copies"))
+    # the texts tell posts apart; of them only the example goes on
+    return B.plan_batches(S.with_example(U.distinct_posts(posts).drop("n_copies")))
 
 
 def insights(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,30 +43,24 @@ def post_ideas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded analysis replies parsed (``ins``) next to the recorded idea replies, per post."""
-    ins = insights(spark, sf)
-    ir = fixture(spark, sf, FX.IDEA_REPLIES).select("page_url", "seq", F.col("reply").alias("idea_reply"))
-    return ins.join(ir, ["page_url", "seq"])
+    """Insight fields and ideas per post, from the recorded analysis and idea replies. Either reply is read
+    before they meet: whole replies and parsed objects are not dealt over tasks."""
+    ins = insights(spark, sf).select(
+        "page_url", "seq", F.col("ins.ok").alias("insight_ok"), F.col("ins.sentiment").alias("sentiment"), F.col("ins.topics").alias("topics"),
+        F.col("ins.reason").alias("reason"), I.fallback_idea(F.col("ins.summary_text")).alias("fallback"))
+    ir = I.with_reply_ideas(fixture(spark, sf, FX.IDEA_REPLIES), "reply", "found").select("page_url", "seq", "found")
+    x = ins.join(ir, ["page_url", "seq"])
+    # falsy insights give no ideas; the post still counts as processed
+    ideas = F.when(F.col("insight_ok"), I.found_or("found", "fallback")).otherwise(F.array().cast("array<string>"))
+    return x.withColumn("ideas", ideas).drop("found", "fallback")
 
 
 def ideas_of(spark: SparkSession, sf: str, planned: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """Posts ``(page_url, batch_id, seq, post)`` joined with their recorded insight and ideas."""
+    """Posts ``(page_url, batch_id, seq, example)`` joined with their recorded insight and ideas."""
     replies = replies if replies is not None else parsed_replies(spark, sf)
     # inner join: a post without insight or idea reply has no ideas; falsy insights give none either
     x = planned.join(replies, ["page_url", "seq"])
-    x = x.select(
-        "page_url", "batch_id", "seq", "post", "idea_reply",
-        F.col("ins.ok").alias("insight_ok"),
-        F.col("ins.sentiment").alias("sentiment"),
-        F.col("ins.topics").alias("topics"),
-        F.col("ins.reason").alias("reason"),
-        F.col("ins.summary_text").alias("summary_text"),
-    )
-    x = I.with_ideas(x, "idea_reply", "summary_text", "ideas")
-    # falsy insights give no ideas; the post still counts as processed
-    return x.withColumn("ideas", F.when(F.col("insight_ok"), F.col("ideas")).otherwise(F.array().cast("array<string>"))).drop(
-        "idea_reply"
-    )
+    return x.select("page_url", "batch_id", "seq", "example", "insight_ok", "sentiment", "topics", "reason", "ideas")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -739,7 +734,7 @@ def _streamed_store(spark, sf, name: str):
     from ..streaming.store import IncrementalStore
 
     replies = materialize(parsed_replies(spark, sf))
-    store = IncrementalStore(spark, scratch_folder(spark, name), lambda posts: ideas_of(spark, sf, posts.drop("round"), replies))
+    store = IncrementalStore(spark, scratch_folder(spark, name), lambda posts: ideas_of(spark, sf, S.with_example(posts.drop("round")), replies))
     _release(spark, sf, name, store)
     return store
 

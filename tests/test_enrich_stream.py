@@ -311,6 +311,27 @@ def test_release_keeps_a_text_once_beside_its_keys(spark, tmp_path, monkeypatch)
     assert rel.manifest.before(None)["texts"] == {} and len(rel.tables["texts"].names(rel.tables["texts"].path, "epoch=")) <= 2
 
 
+def test_posts_and_replies_are_cut_to_what_ideas_need(spark):
+    """Replies are read before they meet, so no whole text is dealt over tasks; the events are the same."""
+    from postmine.functions import ideas as I
+    from postmine.operators.idea_store import idea_events, with_example
+    from postmine.plans.queries import parsed_replies, planned_posts
+
+    assert set(parsed_replies(spark, "/root/testdata/sf0.001").columns) == {"page_url", "seq", "insight_ok", "sentiment", "topics", "reason", "ideas"}
+    assert "post" not in planned_posts(spark, "/root/testdata/sf0.001").columns
+    texts = [" " + "x" * 299 + " tail ", "short ", "  ", None]
+    df = spark.createDataFrame([("p", 0, i, t, "positive", ["t"], "r", ["an idea"]) for i, t in enumerate(texts)],
+                               "page_url string, batch_id int, seq long, post string, sentiment string, topics array<string>, reason string, ideas array<string>")
+    rows = sorted(map(str, idea_events(with_example(df)).collect()))
+    assert rows == sorted(map(str, idea_events(df).collect())) and len(rows) == 4
+    assert sorted(r.example or "" for r in idea_events(df).collect()) == ["", "", "short", "x" * 299 + " "]
+    long = "a line of more than thirty characters "
+    replies = [None, "", "n/a", '["one", "a guide"]', '["a guide"]', long + "1\n" + long + "2", "[]"]
+    r = I.with_ideas(spark.createDataFrame([(i, x, "sum") for i, x in enumerate(replies)], "i int, r string, s string"), "r", "s")
+    fb = ['Concise solution guide: "sum" — targeted info product to validate demand.']
+    assert [x.ideas for x in r.orderBy("i").collect()] == [fb, fb, fb, ["one"], ["a guide"], [(long + "1").strip(), (long + "2").strip()], fb]
+
+
 def test_insight_log_roundtrip(spark, tmp_path):
     from postmine.functions.jsonx import with_insight
     from postmine.sources.insight_log import append_insights, log_quality, read_insights
