@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, trim_ws
+from ..session import materialize
 from .batching import top_k_by
 
 TOKEN_SPLIT = r"[^\p{L}]+"
@@ -24,6 +25,7 @@ LEXICON = [
     ("bueno", 1), ("feliz", 1), ("malo", -1),
 ]
 SUMMARY_CHARS = 200
+COMMON_TERMS = 200_000  # [ours] of which the document frequencies are broadcast; results do not depend on it
 
 
 def _hits(text, polarity: int):
@@ -47,20 +49,37 @@ def native_topics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """M7: top-``k`` TF-IDF terms per document; ties by term. Every document has a row; one without
     letters has no topics.
 
-    Term counts are pre-aggregated per task. The document frequencies (one row per term) are joined
-    back to the (document, term) rows; a term that most documents share is split by the skew join."""
-    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_SPLIT)
-    tf = df.select(id_col, F.explode(words).alias("token")).filter(F.col("token") != "").groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    Whole texts meet by document, so its terms are counted without another exchange. The document frequencies
+    of the commonest terms (at most ``COMMON_TERMS``, which make up most of the (document, term) rows) are broadcast; only the
+    rows of the rarer terms meet theirs by term. Each task hands on the best ``k`` rows of a document."""
+    by_doc = df.select(id_col, F.col(text_col).alias("_text")).repartition(id_col)
+    tf = by_doc.select(id_col, F.explode(F.split(F.lower(F.coalesce(F.col("_text"), F.lit(""))), TOKEN_SPLIT)).alias("token"))
+    tf = tf.filter(F.col("token") != "").groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.select(id_col).distinct().select(F.count(F.lit(1))).scalar()  # scalar subquery
-    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
-    s = tf.join(dfreq, "token").withColumn("score", F.round(F.col("tf") * F.log(n_docs / F.col("dfreq")), 9))
-    top = top_k_by(s, [id_col], [F.desc("score"), F.asc("token")], k, "rank")
+    dfreq = materialize(tf.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq")))
+    common = F.col("dfreq") >= _common_from(dfreq)
+    x = tf.join(F.broadcast(dfreq.filter(common)), "token", "left")
+    score = F.round(F.col("tf") * F.log(n_docs / F.col("dfreq")), 9).alias("score")
+    rare = x.filter("dfreq IS NULL").drop("dfreq").join(dfreq.filter(~common), "token")
+    best = lambda d: top_k_by(d.select(id_col, "token", score), [id_col], [F.desc("score"), F.asc("token")], k, "rank").drop("rank")
+    top = top_k_by(best(x.filter("dfreq IS NOT NULL")).unionByName(best(rare)), [id_col], [F.desc("score"), F.asc("token")], k, "rank")
     top = top.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("topics")
     )
     return df.select(id_col).join(top, id_col, "left").select(id_col, F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
 
 
+def _common_from(dfreq: DataFrame) -> int:
+    """The least document frequency, a power of two, that at most ``COMMON_TERMS`` terms have."""
+    sizes = dfreq.groupBy(F.floor(F.log2("dfreq")).cast("int").alias("p")).count().collect()  # one row a power of two
+    at, terms = 63, 0
+    for p, n in sorted(((r["p"], r["count"]) for r in sizes), reverse=True):
+        if (terms := terms + n) > COMMON_TERMS:
+            break
+        at = p
+    return 1 << at if at < 63 else (1 << 63) - 1
+
+
 def native_summary(text, n: int = SUMMARY_CHARS):
     """M8: the leading sentence of the collapsed text (or the text), at most ``n`` chars."""
     c = trim_ws(collapse_ws(F.coalesce(text if not isinstance(text, str) else F.col(text), F.lit(""))))

@@ -332,6 +332,36 @@ def test_posts_and_replies_are_cut_to_what_ideas_need(spark):
     assert [x.ideas for x in r.orderBy("i").collect()] == [fb, fb, fb, ["one"], ["a guide"], [(long + "1").strip(), (long + "2").strip()], fb]
 
 
+def test_topics_are_the_same_whatever_terms_are_common(spark, monkeypatch):
+    """Against a plain computation: no, some or all terms broadcast; repeated, null and empty documents."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from postmine.operators import native
+
+    r = random.Random(4)
+    letters = "abcdefghij"
+    rows = [(r.randrange(30) if i % 9 else None, " ".join("".join(r.choice(letters[: 1 + i % 10]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(12)))) for i in range(60)]
+    rows += [(100, None), (101, "1 2 ..."), (102, "Only one")]
+    tf = {}
+    for d, t in rows:
+        tf.setdefault(d, Counter()).update(w for w in re.split(r"[^a-z]+", (t or "").lower()) if w)
+    dfreq = Counter(w for c in tf.values() for w in c)
+    want = {d: [w for _, w in sorted((-round(n * math.log(len(tf) / dfreq[w]), 9), w) for w, n in c.items())[:5]] for d, c in tf.items() if d is not None}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (0, 8, 10_000):
+        monkeypatch.setattr(native, "COMMON_TERMS", common)
+        top = native.native_topics(df)
+        got = top.collect()
+        assert len(got) == len(rows) and {x.doc_id: x.topics for x in got if x.doc_id is not None} == want
+        assert all(x.topics == [] for x in got if x.doc_id is None)
+    # the rows of terms are not dealt by document and term: the texts meet by document
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
+
+
 def test_insight_log_roundtrip(spark, tmp_path):
     from postmine.functions.jsonx import with_insight
     from postmine.sources.insight_log import append_insights, log_quality, read_insights
