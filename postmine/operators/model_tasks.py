@@ -63,18 +63,35 @@ def analyze_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 # ---- M4 ---------------------------------------------------------------------------------------
 def idea_requests(posts_insights: DataFrame) -> DataFrame:
-    """Rows with ``ins`` (truthy insights) and ``post``; they travel with the request."""
+    """Rows with ``ins`` (truthy insights) and ``post``, or with their ``inputs`` (:func:`idea_inputs`); they travel with
+    the request."""
     # the input is written before its fields are read: as one expression its code would outgrow a method
-    x = materialize(posts_insights.withColumn("_inp", RQ.idea_input(posts_insights, "ins", "post")))
+    inp = F.col("inputs") if "inputs" in posts_insights.columns else RQ.idea_input(posts_insights, "ins", "post")
+    x = materialize(posts_insights.withColumn("_inp", inp))
     x = RQ.with_idea_prompt(x, "_inp", "_prompt")
-    return RQ.build_requests(x, "ideate", ["page_url", "seq"], F.col("_prompt"), RQ.IDEA_SYSTEM, carry=posts_insights.columns)
+    return RQ.build_requests(x, "ideate", ["page_url", "seq"], F.col("_prompt"), RQ.IDEA_SYSTEM, carry=[c for c in posts_insights.columns if c != "inputs"])
+
+
+def idea_inputs(insights: DataFrame, posts: DataFrame) -> DataFrame:
+    """Truthy insights and their posts joined for :func:`idea_requests`: ``page_url, seq, inputs`` and the fallback idea
+    (``fallback``). Either side is cut to what the prompt takes of it, and written, before they meet: whole
+    texts, replies and parsed objects are not dealt over tasks."""
+    cut = materialize(insights.select("page_url", "seq", F.col("ins.ok").alias("ok"), *RQ.insight_input("ins"), I.fallback_idea(F.col("ins.summary_text")).alias("fallback")))
+    starts = posts.select("page_url", "seq", RQ.post_input("post").alias("post"))
+    x = cut.filter("ok").join(starts, ["page_url", "seq"])
+    return x.select("page_url", "seq", F.struct("summary", "sentiment", "topics", "examples", "post").alias("inputs"), "fallback")
 
 
 def idea_results(requests: DataFrame, replies: DataFrame) -> DataFrame:
-    """The carried rows with ``ideas`` (<= 3); without a reply the fallback idea."""
-    x = _answers(requests, replies).withColumn("_summary", F.col("ins.summary_text"))
-    x = I.with_ideas(x, "reply", "_summary", "ideas")
-    return x.select(*[c for c in requests.columns if c not in ("key", "task", "system", "prompt")], "ideas")
+    """The carried rows with ``ideas`` (<= 3); without a reply the fallback idea (P18). Replies are read before they
+    meet their requests."""
+    names = [c for c in requests.columns if c not in ("key", "task", "system", "prompt", "fallback")]
+    if "fallback" not in requests.columns:
+        requests = requests.withColumn("fallback", I.fallback_idea(F.col("ins.summary_text")))
+    read = replies.select("key", F.when(F.col("status") == "ok", F.col("reply")).alias("reply"))
+    read = I.with_reply_ideas(read, "reply", "_found").select("key", "_found")
+    x = requests.select(*names, "key", "fallback").join(read, "key", "left")
+    return x.select(*names, I.found_or("_found", "fallback").alias("ideas"))
 
 
 # ---- M5 ---------------------------------------------------------------------------------------

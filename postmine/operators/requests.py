@@ -95,15 +95,24 @@ def candidate_prompt(items_json) -> Column:
 
 def idea_input(df: DataFrame, ins_col: str = "ins", post_col: str = "post") -> Column:
     """Ideation input struct from a parsed insight and the post text."""
+    return F.struct(*insight_input(ins_col), post_input(post_col).alias("post"))
+
+
+def insight_input(ins_col: str = "ins") -> list[Column]:
+    """What the ideation input takes of an insight."""
     ins = F.col(ins_col)
     payload = ins["payload"]
-    return F.struct(
+    return [
         F.substring(trim_ws(collapse_ws(ins["summary_text"])), 1, IDEA_SUMMARY_CHARS).alias("summary"),
         ins["sentiment"].alias("sentiment"),
         F.slice(ins["topics"], 1, IDEA_MAX_TOPICS).alias("topics"),
         F.slice(J.string_items(J.field(payload, "$.examples")), 1, IDEA_MAX_EXAMPLES).alias("examples"),
-        F.substring(F.coalesce(F.col(post_col), F.lit("")), 1, IDEA_POST_CHARS).alias("post"),
-    )
+    ]
+
+
+def post_input(post_col: str = "post") -> Column:
+    """What the ideation input takes of a post."""
+    return F.substring(F.coalesce(F.col(post_col), F.lit("")), 1, IDEA_POST_CHARS)
 
 
 def json_text(c) -> Column:

@@ -186,7 +186,7 @@ def q_prompt_render(spark, sf):
     analyze = odd.select("doc_id", RQ.analysis_prompt("text").alias("prompt"))
     chunks = M.chunk_requests(d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("page_url"), "text"))
     cands = M.candidate_requests(_doc_blocks(spark, sf))
-    ideas = M.idea_requests(materialize(insights(spark, sf)).filter("ins.ok").join(fixture(spark, sf, FX.POSTS), ["page_url", "seq"]))
+    ideas = M.idea_requests(M.idea_inputs(insights(spark, sf), fixture(spark, sf, FX.POSTS)))
     ranks = M.rank_requests(store(spark, sf))
     out = shown(analyze, "analyze", F.col("doc_id"))
     out = out.unionByName(shown(chunks, "extract_chunk", F.concat_ws("/", "page_url", F.col("chunk_no").cast("string"))))
@@ -466,8 +466,7 @@ def q_dead_letters(spark, sf):
 
 def q_ideate_replies(spark, sf):
     """M4: ideas of the posts with a truthy insight; the fallback idea where the call failed."""
-    ins = materialize(insights(spark, sf).filter("ins.ok"))  # one parsed insight a post, read by several expressions
-    req = M.idea_requests(ins.join(fixture(spark, sf, FX.POSTS), ["page_url", "seq"]))
+    req = M.idea_requests(M.idea_inputs(insights(spark, sf), fixture(spark, sf, FX.POSTS)))
     rep = stored_replies(fixture(spark, sf, FX.IDEA_REPLIES), "ideate", ["page_url", "seq"], "seq")
     return M.idea_results(req, rep).select("seq", F.size("ideas").cast("bigint").alias("n_ideas"), _j("ideas").alias("ideas"))
 

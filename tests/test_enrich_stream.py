@@ -362,6 +362,26 @@ def test_topics_are_the_same_whatever_terms_are_common(spark, monkeypatch):
     assert "RepartitionByExpression [doc_id" in plan
 
 
+def test_idea_requests_of_cut_inputs_are_the_same(spark):
+    """Posts and insights cut before they meet give the prompts and ideas of whole ones, and carry no texts."""
+    from postmine.functions.jsonx import with_insight
+    from postmine.operators import model_tasks as M
+
+    long = "word \t " * 400
+    replies = ['{"summary": "%s", "sentiment": "Positive", "topics": ["a", 1, "c", "d", "e", "f"], "examples": ["x", "y", "z"]}' % ("s " * 900), '{"summary": ""}', "null", "plain " + long, ""]
+    ins = with_insight(spark.createDataFrame([("p", i, r) for i, r in enumerate(replies)], "page_url string, seq long, reply string"), "reply", "ins").drop("reply")
+    posts = spark.createDataFrame([("p", i, t) for i, t in enumerate([long, "short", "x", None, ' "quoted" '])], "page_url string, seq long, post string")
+    whole = M.idea_requests(ins.filter("ins.ok").join(posts, ["page_url", "seq"]))
+    cut = M.idea_requests(M.idea_inputs(ins, posts))
+    assert cut.columns == ["page_url", "seq", "fallback", "key", "task", "system", "prompt"]
+    rows = lambda d: sorted(map(tuple, d.select("seq", "key", "task", "system", "prompt").collect()))
+    assert rows(cut) == rows(whole) and len(rows(cut)) == 4
+    keys = [r.key for r in whole.orderBy("seq").collect()]
+    rep = spark.createDataFrame(list(zip(keys, ['["one", "two"]', "n/a", '["three"]'], ["ok", "ok", "failed"])), "key string, reply string, status string")
+    got = [{r.seq: r.ideas for r in M.idea_results(d, rep).collect()} for d in (cut, whole)]
+    assert got[0] == got[1] and got[0][0] == ["one", "two"] and got[0][1] == [] and got[0][3][0].startswith("Concise solution guide")
+
+
 def test_insight_log_roundtrip(spark, tmp_path):
     from postmine.functions.jsonx import with_insight
     from postmine.sources.insight_log import append_insights, log_quality, read_insights
