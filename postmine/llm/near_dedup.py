@@ -1,13 +1,17 @@
-"""Near-duplicate detection with bottom-k sketches of one hash function (operator 8).
+"""Near-duplicate detection with sketches of one hash function (operator 8).
 
-A document's set is its distinct word shingles; documents with equal sets are one class. The sketch of
-a class is the ``K`` smallest values of one 64-bit hash over its set (the whole set if it is smaller).
-Inverted lists map retained values to classes. Two classes with the similarity asked for share at least
-``shared_values`` of their retained values (whole sets: that share of them), so it is enough to index, per
-class, its ``size - shared + 1`` rarest retained values: by the pigeonhole principle one of them is
-shared. At 80 % this holds always for sets of up to 235 shingles; larger ones at exactly 0.8 share fewer than
-49 of 96 values with a probability of 5e-11. Frequent values stay out of the index, as they
-are never among the rarest. No list, no number of candidates and no number of partners is capped.
+A document's set is its distinct word shingles, as values of one 64-bit hash; documents with equal sets are
+one class. Inverted lists map keys to classes, so that two classes with the similarity asked for share a list:
+
+* Both of at most ``K`` shingles: at least that share of the values of either is common, so by the pigeonhole
+  principle one of the ``size - shared + 1`` rarest values of each is. Those are the keys, without any chance of a miss.
+* Else: the hash values are cut into equal ranges (32 at 80 %). The key of a range is its ``DEEP`` smallest
+  values in the set (all, if there are fewer). The share of pairs at exactly 0.8 that have no key in common is at most
+  1.1e-10, as one range agrees with a chance of 0.8 ** 3. A key stands for several shingles, so texts that
+  merely use the same words seldom meet, and the lists grow with the input where those of single shingles grew faster.
+
+Classes near the border have keys of both kinds. No list, no number of candidates and no number of partners is
+capped.
 
 Only components are asked for, so pairs inside a known component need no look. Star rounds compare
 each list with one pivot, then labels are merged. What is still in several components is compared
@@ -40,7 +44,8 @@ from pyspark.sql import functions as F
 
 from .common import components, drop_scratch, hash_words, mix64, scratch, stored, with_row_key, without_rows
 
-K = 96
+K = 96  # values of a sketch; sets of at most so many are looked up by their rarest values
+DEEP = 3  # smallest values of a range that make its key
 RANGES = 256
 TAIL = 2e-10  # chance that a pair at exactly the similarity asked for fails one of the two bounds
 CELL = 2_048  # classes of a family on each side of a cell
@@ -80,6 +85,12 @@ def most_bits(percent: int) -> int:
     return 0
 
 
+def key_ranges(percent: int) -> int:
+    """Ranges of hash values, one of which has the same key in two sets of a similarity but for a chance of ``TAIL``."""
+    same = (percent / 100) ** DEEP
+    return math.ceil(math.log(TAIL) / math.log1p(-same)) if same < 1 else 1
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct signed 64-bit hashes of the word shingles of a lower-cased text."""
     h = hash_words(text)[1]
@@ -112,23 +123,57 @@ def signature(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _sketch(size: int, k: int):
+def range_keys(x: np.ndarray, ranges: int) -> np.ndarray:
+    """One key for each of equal ranges of hash values that the (sorted) set meets: its ``DEEP`` smallest values there."""
+    u = x.view(np.uint64) ^ np.uint64(1 << 63)  # in the order of ``x``
+    at = ((u >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    end, key = np.append(first[1:], len(x)), at[first]
+    for i in range(DEEP):
+        key = np.where(first + i < end, mix64(key * _MULT + u[np.minimum(first + i, len(x) - 1)]), key)
+    return key.view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(a) for a in arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
+def _summary(size: int, percent: int):
+    """Each row's set as its class, size, signature and what it is looked up by: the values of a small set,
+    the keys of one that may be linked with a larger set."""
+    ranges = key_ranges(percent)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls, values, ends, signs = [], [], [], [0], []
+            n, cls, whole, keys, signs = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for v in b.column("_bin"):
                     x = shingle_hashes((v.as_py() or b"").lower(), size)
                     n.append(len(x))
                     cls.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                    values.append(x[:k].copy())  # not a view that keeps the whole set alive
-                    ends.append(ends[-1] + len(values[-1]))
+                    whole.append(x if len(x) <= K else x[:0].copy())  # not a view that keeps the whole set alive
+                    keys.append(range_keys(x, ranges) if len(x) * 100 >= (K + 1) * percent else np.zeros(0, np.int64))
                     signs.append(signature(x))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in ("_file_key", "_row_index", "doc_id")], pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *[pa.array([g[i] for g in signs], pa.int64()) for i in range(4)]],
-                names=["_file_key", "_row_index", "doc_id", "n_shingles", "cls", "sketch", *SIGN])
+                 _lists(whole), _lists(keys), *[pa.array([g[i] for g in signs], pa.int64()) for i in range(4)]],
+                names=["_file_key", "_row_index", "doc_id", "n_shingles", "cls", "whole", "keys", *SIGN])
+
+    return run
+
+
+def _sketch(size: int):
+    """The ``K`` smallest values of each text's set (all, if it is smaller)."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, values = [], []
+            with np.errstate(over="ignore"):
+                for v in b.column("_bin"):
+                    x = shingle_hashes((v.as_py() or b"").lower(), size)
+                    n.append(len(x))
+                    values.append(x[:K].copy())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), _lists(values)], names=["node", "n", "sketch"])
 
     return run
 
@@ -142,21 +187,21 @@ class NearDuplicates:
 
 def _classes(rows: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("_file_key").alias("f"), F.col("_row_index").alias("r"),
-                     F.col("n_shingles").alias("n"), F.col("sketch").alias("s"), *SIGN)
+                     F.col("n_shingles").alias("n"), "whole", "keys", *SIGN)
     x = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(first).alias("m"))
-    x = x.select("cls", F.col("m.n").alias("n"), F.col("m.s").alias("sketch"), F.col("m.i").alias("doc_id"), F.col("m.f").alias("_file_key"), F.col("m.r").alias("_row_index"), *[f"m.{c}" for c in SIGN])
+    x = x.select("cls", F.col("m.n").alias("n"), "m.whole", "m.keys", F.col("m.i").alias("doc_id"), F.col("m.f").alias("_file_key"), F.col("m.r").alias("_row_index"), *[f"m.{c}" for c in SIGN])
     return scratch(x.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
 
 def inverted_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``v, node, n`` and signature: the indexed values of each class; lists of one class are left out."""
-    e = classes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    """``v, node, n`` and signature: the keys of each class; lists of one class are left out."""
+    e = classes.select("node", F.size("whole").alias("k"), F.explode("whole").alias("v"))
     counts = e.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     per = e.join(counts, "v").groupBy("node").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("c", "v"))).alias("l"))
-    need = F.least(F.lit(shared_values(percent)), F.ceil(F.col("k") * percent / 100)).cast("int")
+    need = F.ceil(F.col("k") * percent / 100).cast("int")
     take = F.greatest(F.lit(0), F.size("l") - need + 1)  # values found nowhere else come first in the order of rarity
-    index = per.select("node", F.explode(F.slice("l", 1, take)).alias("x")).select(F.col("x.v").alias("v"), "node")
-    index = scratch(index, "near-index")
+    rare = scratch(per.select("node", F.explode(F.slice("l", 1, take)).alias("x")).select("node", F.col("x.v").alias("v")), "near-index")
+    index = rare.unionByName(classes.select("node", F.explode("keys").alias("v")))
     full = index.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
     return scratch(index.join(full, "v").join(classes.select("node", "n", *SIGN), "node").select("v", "node", "n", *SIGN), "near-lists")
 
@@ -447,17 +492,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity of at least ``percent`` / 100."""
     keyed = with_row_key(docs).select("_file_key", "_row_index", F.col(id_col).cast("bigint").alias("doc_id"),
                                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_bin"))
-    rows = scratch(keyed.mapInArrow(_sketch(size, K), "_file_key bigint, _row_index bigint, doc_id bigint, n_shingles bigint, cls binary, sketch array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "near-rows")
+    rows = scratch(keyed.mapInArrow(_summary(size, percent), "_file_key bigint, _row_index bigint, doc_id bigint, n_shingles bigint, cls binary, whole array<bigint>, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "near-rows")
     fat_rows, fat = rows, _classes(rows)
-    rows = scratch(rows.drop("sketch", *SIGN), "near-rows")
+    rows = scratch(rows.drop("whole", "keys", *SIGN), "near-rows")
     drop_scratch(fat_rows)
     lists = inverted_lists(fat, percent)
     # the texts and sketches that any comparison may need
-    nodes = scratch(fat.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "_file_key", "_row_index"), "near-nodes")
-    classes = scratch(fat.drop("sketch", *SIGN), "near-classes")
+    classes = scratch(fat.drop("whole", "keys", *SIGN), "near-classes")
     drop_scratch(fat)
-    texts = scratch(keyed.join(nodes.select("node", "_file_key", "_row_index"), ["_file_key", "_row_index"]).select("node", "_bin"), "near-texts")
-    labels, links = link(lists, texts, nodes.select("node", "n", "sketch"), size, percent, star_rounds)
+    nodes = scratch(classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "_file_key", "_row_index"), "near-nodes")
+    texts = scratch(keyed.join(nodes, ["_file_key", "_row_index"]).select("node", "_bin"), "near-texts")
+    sketches = scratch(texts.mapInArrow(_sketch(size), "node bigint, n bigint, sketch array<bigint>"), "near-sketches")
+    labels, links = link(lists, texts, sketches, size, percent, star_rounds)
     if labels is None:
         labels = classes.limit(0).select("node", F.col("node").alias("comp"))
         links = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))

@@ -132,6 +132,57 @@ def test_near_hot_group_in_cells(spark, monkeypatch, cell, dense, long, percent,
     assert 5 < len({v[0] for v in want.values()}) < 105
 
 
+def test_near_lists_grow_with_the_input(spark, monkeypatch):
+    """Unrelated texts of common words share many shingles; few of them may meet, or the families outgrow the input."""
+    found, lists = [], N.inverted_lists
+
+    def spy(classes, percent):
+        found.append((classes.count(), lists(classes, percent)))
+        return found[-1][1]
+
+    monkeypatch.setattr(N, "inverted_lists", spy)
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(120)]
+    texts = [" ".join(r.choices(vocab, k=r.randint(100, 300))) for _ in range(800)]
+    rows = N.near_duplicates(frame(spark, [*texts, texts[5] + " end"]), size=2).rows.collect()
+    n, listed = found[0]
+    assert n == 801 and listed.select("node").distinct().count() < 0.2 * n and listed.count() < n
+    assert {x.doc_id: x.component_id for x in rows if x.doc_id != x.component_id} == {800: 5}
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_links_across_the_border_of_small_sets(spark, percent):
+    """Sets of at most K shingles and larger ones: pairs within, beyond and across the border."""
+    r = random.Random(percent)
+    texts = []
+    for n in (60, 76, 77, 78, 79, 90, 95, 96, 97, 98, 99, 100, 115, 120, 121, 122, 150):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for share in (percent - 1, percent, percent + 1):
+            more = [f"m{n}x{share}x{i}" for i in range(n * 100 // share - n)]
+            texts += [" ".join(base), " ".join(base + more), " ".join(r.sample(base, -(-n * share // 100)))]
+    want = near_brute(list(enumerate(texts)), 1, percent)
+    got = N.near_duplicates(frame(spark, texts), size=1, percent=percent).rows.collect()
+    assert {x.doc_id: (x.component_id, x.n_shingles) for x in got} == want
+    assert 17 < len({v[0] for v in want.values()}) < len(texts)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_keys_of_ranges(percent):
+    """The chance that no range agrees, and the keys against a plain version."""
+    ranges = N.key_ranges(percent)
+    assert (1 - (percent / 100) ** N.DEEP) ** ranges <= N.TAIL and N.key_ranges(100) == 1
+    r = random.Random(percent)
+    x = sorted(r.randrange(-(1 << 63), 1 << 63) for _ in range(3 * ranges))
+    group = lambda v: ((v + (1 << 63)) >> 32) * ranges >> 32
+    plain = [(g, tuple([v for v in x if group(v) == g][:N.DEEP])) for g in sorted({group(v) for v in x})]
+    y = sorted([v for v in x if v not in plain[0][1]] + [x[-1] - 1])
+    other = [(g, tuple([v for v in y if group(v) == g][:N.DEEP])) for g in sorted({group(v) for v in y})]
+    with N.np.errstate(over="ignore"):
+        a, b = N.range_keys(N.np.array(x), ranges).tolist(), N.range_keys(N.np.array(y), ranges).tolist()
+    assert len(a) == len(plain) and len(set(a)) == len(a)
+    assert len(set(a) & set(b)) == len(set(plain) & set(other)) > 0
+
+
 @pytest.mark.parametrize("percent", [50, 80, 95])
 def test_limits_follow_the_similarity(percent):
     """Binomial tails beyond the limits."""
