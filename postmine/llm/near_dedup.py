@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_scratch, hash_words, mix64, scratch, stored, with_row_key, without_rows
+from .substring_dedup import FILTER_BITS, _bitmap, _has
 
 K = 96  # values of a sketch; sets of at most so many are looked up by their rarest values
 DEEP = 3  # smallest values of a range that make its key
@@ -486,6 +487,27 @@ def link(lists: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, per
     return labels, links
 
 
+def _listed(words):
+    """Rows whose key may be among the listed ones (bitmap test)."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_has(words.value, b.column("h").to_numpy())))
+
+    return run
+
+
+def listed_texts(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, _bin`` of the listed classes. Most other texts are left out before the join moves them."""
+    key = ["_file_key", "_row_index"]
+    h = F.xxhash64(*key).alias("h")
+    n, bits = nodes.count(), FILTER_BITS[0]
+    while bits < 16 * n and bits < FILTER_BITS[1]:
+        bits *= 2
+    words = keyed.sparkSession.sparkContext.broadcast(_bitmap(nodes.select(h), bits))
+    may = keyed.select(h, *key, "_bin").mapInArrow(_listed(words), "h bigint, _file_key bigint, _row_index bigint, _bin binary")
+    return scratch(may.join(nodes, key).select("node", "_bin"), "near-texts")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT,
                     star_rounds: int = STAR_ROUNDS) -> NearDuplicates:
     """Components of documents whose sets of ``size``-word shingles (ASCII lower case) have a Jaccard
@@ -501,7 +523,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch(fat.drop("whole", "keys", *SIGN), "near-classes")
     drop_scratch(fat)
     nodes = scratch(classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "_file_key", "_row_index"), "near-nodes")
-    texts = scratch(keyed.join(nodes, ["_file_key", "_row_index"]).select("node", "_bin"), "near-texts")
+    texts = listed_texts(keyed, nodes)
     sketches = scratch(texts.mapInArrow(_sketch(size), "node bigint, n bigint, sketch array<bigint>"), "near-sketches")
     labels, links = link(lists, texts, sketches, size, percent, star_rounds)
     if labels is None:

@@ -166,6 +166,17 @@ def test_near_links_across_the_border_of_small_sets(spark, percent):
     assert 17 < len({v[0] for v in want.values()}) < len(texts)
 
 
+def test_near_texts_are_cut_before_they_are_joined(spark):
+    """Few listed classes: the join reads few texts, and gives each listed class its own."""
+    d = spark.range(4000).selectExpr("id % 7 AS _file_key", "id AS _row_index", "cast(concat('text ', id) AS binary) AS _bin")
+    nodes = d.filter("_row_index % 400 = 3").selectExpr("_row_index AS node", "_file_key", "_row_index")
+    got = N.listed_texts(d, nodes)
+    assert {r.node: bytes(r._bin).decode() for r in got.collect()} == {i: f"text {i}" for i in range(3, 4000, 400)}
+    bits = spark.sparkContext.broadcast(N._bitmap(nodes.selectExpr("xxhash64(_file_key, _row_index) AS h"), 1 << 16))
+    passed = d.selectExpr("xxhash64(_file_key, _row_index) AS h").mapInArrow(N._listed(bits), "h bigint").count()
+    assert 10 <= passed < 40
+
+
 @pytest.mark.parametrize("percent", [50, 80, 95])
 def test_keys_of_ranges(percent):
     """The chance that no range agrees, and the keys against a plain version."""
