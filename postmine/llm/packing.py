@@ -42,6 +42,9 @@ SLICE_CHARS = 1 << 20  # texts tokenised together
 # A chunk is a maximal run of non-blank characters with the blank before it, or blanks. The vocabulary's
 # own pattern never joins characters across such a border, so ids may be looked up chunk by chunk.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# Letters, then marks: the pattern cuts between them (no contraction, as no letter follows a mark), so the
+# letters' ids serve the chunk with and without marks.
+MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]++)([!-/:-@\\[-`{-~]+)")
 # Where Python's and the tokenizer's notions of blanks differ, whole texts are encoded.
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")
 
@@ -49,10 +52,10 @@ ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")
 class ChunkIds:
     """Little-endian 32-bit ids of texts by way of their chunks. Ids of chunks are remembered in two
     generations of bounded size: when the young one is full it becomes the old one, so frequent chunks
-    survive. Unknown chunks are encoded together, one a line: a line feed is a token of its own before
-    any chunk, and no chunk contains one."""
+    survive. Unknown chunks (of those that end in marks, the letters and the marks) are encoded together, one a
+    line: a line feed is a token of its own before any chunk, and no chunk contains one."""
 
-    LIMIT, LINES = 600_000, 512
+    LIMIT, LINES = 600_000, 64
 
     def __init__(self, tokenizer):
         self.tokenizer, self.young, self.old = tokenizer, {}, {}
@@ -73,14 +76,26 @@ class ChunkIds:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         found = {c: v for c in chunks if (v := self.old.get(c)) is not None}
-        new = [c for c in chunks if c not in found]
-        lines = [c for c in new if not c.isspace()]
+        new, split, lines = [c for c in chunks if c not in found], {}, []
+        for c in new:
+            if c[-1].isalpha():
+                lines.append(c)
+            elif m := MARKED.fullmatch(c):
+                split[c] = m.groups()
+            elif c.isspace():
+                found[c] = self._encode(c)
+            else:
+                lines.append(c)
+        for p in {p for pair in split.values() for p in pair}.difference(new):
+            if (v := self.young.get(p) or self.old.get(p)) is not None:
+                found[p] = v
+            else:
+                lines.append(p)
         for k in range(0, len(lines), self.LINES):
             part = lines[k:k + self.LINES]
             found.update(zip(part, self._lines(part), strict=True))
-        for c in new:
-            if c not in found:
-                found[c] = self._encode(c)
+        for c, (word, marks) in split.items():
+            found[c] = found[word] + found[marks]
         if len(self.young) + len(found) > self.LIMIT:
             self.old, self.young = self.young, {}
         self.young.update((c, v) for c, v in found.items() if len(c) <= 64)
@@ -88,21 +103,18 @@ class ChunkIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
-        open_: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
+        open_: list[tuple[int, list[str]]] = []
         for k, text in enumerate(texts):
             if ODD_BLANKS.search(text) or "<|" in text:  # special tokens know no borders
                 out.append(self._encode(text))
                 continue
-            chunks = CHUNK.findall(text)
-            parts = list(map(self.young.get, chunks))
             out.append(None)
-            open_.append((k, chunks, parts))
-            missing.update(c for c, p in zip(chunks, parts) if p is None)
-        learnt = self._learn(missing) if missing else {}
-        for k, chunks, parts in open_:
-            if None in parts:
-                parts = [p if p is not None else learnt[c] for c, p in zip(chunks, parts)]
+            open_.append((k, CHUNK.findall(text)))
+        learnt = self._learn(set().union(*[chunks for _, chunks in open_]).difference(self.young))
+        for k, chunks in open_:
+            parts = list(map(self.young.get, chunks))
+            if None in parts:  # long chunks, or a generation that has just become the old one
+                parts = [p or learnt.get(c) or self.old[c] for c, p in zip(chunks, parts)]
             out[k] = b"".join(parts)
         return out
 

@@ -95,6 +95,31 @@ def test_one_size_holds_a_third():
     assert bins <= 831  # sizes are multiples of 100, so 1,000 tokens of a sequence can be used
 
 
+def test_words_with_and_without_marks_are_encoded_once(monkeypatch):
+    """Ids of the tokenizer itself, of texts in several slices and through a full cache; letters known from one
+    chunk are not encoded again with other marks behind them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgéñß×÷Ωж1_", k=r.randint(1, 8))) for _ in range(60)] + ["it", "don", "s", "ll", "T"]
+    marks = ["", ".", ",", "'", "''", "'s", "'S.", "...", "%$", "]", "[\\]^_`", "-x", "\"", "’", "—", "!a!", "<", "|>", "1."]
+    texts = ["".join(r.choice([" ", " ", "  ", "\n", "", "\t"]) + r.choice(words) + r.choice(marks) for _ in range(80)) for _ in range(60)]
+    texts = [x.replace("<|", "<") for x in texts]
+    for limit in (P.ChunkIds.LIMIT, 50):
+        monkeypatch.setattr(P.ChunkIds, "LIMIT", limit)
+        ids_of = P.ChunkIds(t)
+        got = [x for k in range(0, len(texts), 7) for x in ids_of.ids(texts[k:k + 7])]
+        assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    monkeypatch.undo()
+    ids_of, encoded = P.ChunkIds(t), []
+    lines = ids_of._lines
+    monkeypatch.setattr(ids_of, "_lines", lambda chunks: encoded.extend(chunks) or lines(chunks))
+    ids_of.ids(["one word. one word"])
+    ids_of.ids(["a word, a (word) one; word? one... word!"])
+    assert encoded.count(" word") == 1 and not any(c in (" word,", " one...", " word!") for c in encoded)
+
+
 def test_packed_documents(spark):
     from tokenizers import Tokenizer
 
