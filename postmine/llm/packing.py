@@ -22,11 +22,11 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,85 +37,156 @@ END_ID = 2
 GROUPS = 64  # sizes of the linear program
 SMALL = 128  # shorter pieces are not grouped, they fill gaps
 TOLERANCE = 1e-4  # of the linear program's optimum
-SLICE_CHARS = 1 << 20  # texts tokenised together
-
-# A chunk is a maximal run of non-blank characters with the blank before it, or blanks. The vocabulary's
-# own pattern never joins characters across such a border, so ids may be looked up chunk by chunk.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-# Letters, then marks: the pattern cuts between them (no contraction, as no letter follows a mark), so the
-# letters' ids serve the chunk with and without marks.
-MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]++)([!-/:-@\\[-`{-~]+)")
-# Where Python's and the tokenizer's notions of blanks differ, whole texts are encoded.
-ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")
+SLICE_BYTES = 1 << 22  # texts tokenised together
+
+# Kinds of UTF-8 bytes. Letters are those of ASCII and Latin-1; marks are ASCII marks.
+OTHER, SPACE, BLANK, LETTER, DIGIT, MARK, QUOTE = range(7)
+KIND = np.zeros(256, np.uint8)
+for _kind, _bytes in ((SPACE, b" "), (BLANK, b"\t\n\x0b\x0c\r"), (LETTER, bytes([*range(65, 91), *range(97, 123)])), (DIGIT, b"0123456789"),
+                      (MARK, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), (QUOTE, b"'")):
+    KIND[list(_bytes)] = _kind
+# Neighbours between which the vocabulary's own pattern always cuts, so ids may be looked up chunk by chunk: where the
+# kind changes, but a letter behind a quote may belong to it ("'s"), a space belongs to what follows, and nothing is
+# known of other characters. Inside blanks see _begins.
+CUT = np.zeros((7, 7), bool)
+for _a, _b in ((LETTER, (DIGIT, MARK, QUOTE)), (DIGIT, (LETTER, MARK, QUOTE)), (MARK, (LETTER, DIGIT)), (QUOTE, (DIGIT,)), (BLANK, (OTHER, LETTER, DIGIT, MARK, QUOTE))):
+    CUT[_a, list(_b)] = True
+CUT[np.ix_([OTHER, LETTER, DIGIT, MARK, QUOTE], [SPACE, BLANK])] = True
+# A chunk that the pattern leaves whole.
+WHOLE = re.compile(" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-/:-@\\[-`{-~]+)")
+# Texts with other blanks (the pattern cuts at them) or special tokens (they know no borders) are encoded as they are.
+ODD = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|"
+
+
+def _begins(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts begin, given their UTF-8 bytes and where each (not empty) text begins."""
+    kind = KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # not the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = LETTER
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = first[-1] = True
+    cut = first[:-1].copy()
+    cut[1:] |= CUT.ravel()[kind[:-1] * np.uint8(7) + kind[1:]]
+    blank = (kind == SPACE) | (kind == BLANK)
+    # of several blanks before something else, the last stands alone or goes with it
+    last = blank[1:-1] & blank[:-2] & ~blank[2:] & ~first[2:-1]
+    cut[1:-1] |= last
+    return np.flatnonzero(cut)
+
+
+def _take(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the given rows one after the other, and where each row's end. Row k has those up to ``ends[k]``."""
+    starts = np.append(0, ends[:-1])[rows]
+    size = ends[rows] - starts
+    to = np.cumsum(size)
+    return ids[np.repeat(starts - (to - size), size) + np.arange(to[-1] if len(to) else 0)], to
 
 
 class ChunkIds:
-    """Little-endian 32-bit ids of texts by way of their chunks. Ids of chunks are remembered in two
-    generations of bounded size: when the young one is full it becomes the old one, so frequent chunks
-    survive. Unknown chunks (of those that end in marks, the letters and the marks) are encoded together, one a
-    line: a line feed is a token of its own before any chunk, and no chunk contains one."""
+    """Little-endian 32-bit ids of texts by way of their chunks. Arrow finds the distinct chunks of a slice, those not
+    yet known are encoded, many together, one a line: a line feed is a token of its own before any chunk, and no chunk but
+    blanks contains one. A token stands for as many bytes as it has characters, so the lines' ends are found by counting.
+    Ids of chunks are remembered up to a bounded number; then only those of the latest slice stay, so frequent ones survive."""
 
-    LIMIT, LINES = 600_000, 64
+    LIMIT, LINES = 600_000, 512
+    LONG = 64  # bytes; longer chunks are not remembered
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.young, self.old = tokenizer, {}, {}
-        self.line_feed = self._encode("\n")
-        assert len(self.line_feed) == 4
-
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _lines(self, chunks: list[str]) -> list[bytes]:
-        ids = array("I", self._encode("\n".join(chunks)))
-        feed, data, out, at = array("I", self.line_feed)[0], ids.tobytes(), [], 0
-        for i, x in enumerate(ids):
-            if x == feed:
-                out.append(data[at:4 * i])
-                at = 4 * i + 4
-        return [*out, data[at:]]
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        found = {c: v for c in chunks if (v := self.old.get(c)) is not None}
-        new, split, lines = [c for c in chunks if c not in found], {}, []
-        for c in new:
-            if c[-1].isalpha():
-                lines.append(c)
-            elif m := MARKED.fullmatch(c):
-                split[c] = m.groups()
-            elif c.isspace():
-                found[c] = self._encode(c)
-            else:
-                lines.append(c)
-        for p in {p for pair in split.values() for p in pair}.difference(new):
-            if (v := self.young.get(p) or self.old.get(p)) is not None:
-                found[p] = v
-            else:
-                lines.append(p)
-        for k in range(0, len(lines), self.LINES):
-            part = lines[k:k + self.LINES]
-            found.update(zip(part, self._lines(part), strict=True))
-        for c, (word, marks) in split.items():
-            found[c] = found[word] + found[marks]
-        if len(self.young) + len(found) > self.LIMIT:
-            self.old, self.young = self.young, {}
-        self.young.update((c, v) for c, v in found.items() if len(c) <= 64)
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        open_: list[tuple[int, list[str]]] = []
-        for k, text in enumerate(texts):
-            if ODD_BLANKS.search(text) or "<|" in text:  # special tokens know no borders
-                out.append(self._encode(text))
-                continue
-            out.append(None)
-            open_.append((k, CHUNK.findall(text)))
-        learnt = self._learn(set().union(*[chunks for _, chunks in open_]).difference(self.young))
-        for k, chunks in open_:
-            parts = list(map(self.young.get, chunks))
-            if None in parts:  # long chunks, or a generation that has just become the old one
-                parts = [p or learnt.get(c) or self.old[c] for c, p in zip(chunks, parts)]
-            out[k] = b"".join(parts)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = tokenizer
+        # the same vocabulary, for lines of chunks that the pattern leaves whole
+        self.whole = Tokenizer.from_str(tokenizer.to_str())
+        self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.at: dict[bytes, int] = {}  # number of each remembered chunk
+        self.known, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        assert len(self._encode("\n")) == 1
+
+    def _encode(self, text: str, whole: bool = False) -> np.ndarray:
+        t = self.whole if whole else self.tokenizer
+        return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after the other, and where each one's end."""
+        whole = np.array([WHOLE.fullmatch(c) is not None for c in chunks], bool)
+        ids, count = [], []
+        rows = np.argsort(~whole, kind="stable")
+        n = int(whole.sum())
+        for lo, hi, feed in ((0, n, 0), (n, len(chunks), 1)):
+            for k in range(lo, hi, self.LINES):
+                part = [chunks[i] for i in rows[k:min(hi, k + self.LINES)].tolist()]
+                got = self._encode("\n".join(part), not feed)
+                to, want = np.cumsum(self.size[got]), np.cumsum([len(c.encode()) + feed for c in part]) - feed
+                end = np.searchsorted(to, want) + 1
+                if not np.array_equal(to[end - 1], want):
+                    raise ValueError("a token that is not made of bytes of its text")
+                if feed:
+                    keep = np.ones(len(got), bool)
+                    keep[end[:-1]] = False
+                    got, end = got[keep], end - np.arange(len(end))
+                ids.append(got)
+                count.append(np.diff(end, prepend=0))
+        back = np.empty(len(chunks), np.int64)
+        back[rows] = np.arange(len(chunks))
+        return _take(np.concatenate(ids), np.cumsum(np.concatenate(count)), back)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Number and ids of chunks not yet known; all are remembered until the slice is done."""
+        blank = [c for c in chunks if c.isspace()]
+        lines = [c for c in chunks if not c.isspace()]
+        ids, ends = [self.known], [self.ends]
+        if lines:
+            got, to = self._lines(b"\n".join(lines).decode().split("\n"))
+            ids.append(got)
+            ends.append(to + len(self.known))
+        for c in blank:
+            ids.append(self._encode(c.decode()))
+            ends.append(np.array([sum(map(len, ids))]))
+        n = len(self.ends)
+        self.at.update(zip(lines + blank, range(n, n + len(chunks))))
+        self.known, self.ends = np.concatenate(ids), np.concatenate(ends)
+
+    def _forget(self, chunks: list[bytes], rows: np.ndarray) -> None:
+        """Of what is remembered only the chunks of this slice stay, but for long ones."""
+        short = np.array([len(c) <= self.LONG for c in chunks], bool)
+        if len(self.at) > self.LIMIT or not short.all():
+            if len(self.at) <= self.LIMIT:
+                for c in (chunks[i] for i in np.flatnonzero(~short).tolist()):
+                    del self.at[c]
+                if len(self.known) <= 16 * self.LIMIT:
+                    return
+            self.known, self.ends = _take(self.known, self.ends, rows[short])
+            self.at = {chunks[i]: k for k, i in enumerate(np.flatnonzero(short).tolist())}
+
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = np.flatnonzero(~odd & (size > 0))
+        out = [b""] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self._encode(texts[k].as_py()).tobytes()
+        if not len(plain):
+            return out
+        data = np.frombuffer(b"".join(texts.cast(pa.binary()).take(pa.array(plain)).to_pylist()), np.uint8)
+        starts = np.append(0, np.cumsum(size[plain]))
+        begins = _begins(data, starts[:-1])
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        chunks = found.dictionary.to_pylist()
+        self._learn([c for c in chunks if c not in self.at])
+        rows = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        got, ends = _take(self.known, self.ends, rows[found.indices.to_numpy()])
+        self._forget(chunks, rows)
+        # ids up to the last chunk of each text
+        to = np.append(0, ends[np.searchsorted(begins, starts[1:]) - 1]).tolist()
+        got = got.astype("<u4")
+        for k, lo, hi in zip(plain.tolist(), to, to[1:]):
+            out[k] = got[lo:hi].tobytes()
         return out
 
 
@@ -142,19 +213,15 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = chunk_ids(tokenizer_path)
         for b in batches:
-            slice_, chars = [], 0
-            for row in zip(*[b.column(c) for c in ("_file_key", "_row_index", "doc_id", "_t")]):
-                slice_.append([x.as_py() for x in row])
-                chars += len(slice_[-1][3])
-                if chars > SLICE_CHARS:
-                    yield table(ids_of, slice_)
-                    slice_, chars = [], 0
-            if slice_:
-                yield table(ids_of, slice_)
+            size = pc.binary_length(b.column("_t")).to_numpy(zero_copy_only=False).astype(np.int64)
+            no = (np.cumsum(size) - size) // SLICE_BYTES
+            begin = [0, *(np.flatnonzero(np.diff(no)) + 1).tolist()] if b.num_rows else []
+            for lo, hi in zip(begin, [*begin[1:], b.num_rows]):
+                yield table(ids_of, b.slice(lo, hi - lo))
 
     def table(ids_of, slice_):
         rows = []
-        for (fk, ri, doc, _), ids in zip(slice_, ids_of.ids([x[3] for x in slice_])):
+        for fk, ri, doc, ids in zip(*[slice_.column(c).to_pylist() for c in ("_file_key", "_row_index", "doc_id")], ids_of.ids(slice_.column("_t"))):
             ids += end
             for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                 part = ids[4 * start:4 * (start + n)]

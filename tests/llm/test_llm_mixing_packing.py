@@ -120,6 +120,27 @@ def test_words_with_and_without_marks_are_encoded_once(monkeypatch):
     assert encoded.count(" word") == 1 and not any(c in (" word,", " one...", " word!") for c in encoded)
 
 
+def test_letters_digits_and_marks_are_looked_up_apart(monkeypatch):
+    """Ids of the tokenizer itself for every kind of neighbours, and what is remembered has a bound."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    ids_of, encoded = P.ChunkIds(t), []
+    lines = ids_of._lines
+    monkeypatch.setattr(ids_of, "_lines", lambda chunks: encoded.extend(chunks) or lines(chunks))
+    ids_of.ids(["a word1 word22", "(word333) word4444word", "x.word"])
+    assert encoded.count(" word") == 1 and encoded.count("word") == 1 and not any("word1" in c or "word22" in c for c in encoded)
+    r = random.Random(6)
+    alphabet = ["a", "Z", "é", "×", "÷", "ж", "漢", "e\u0301", "1", "٣", "½", "'", "'s", "'ll", "’", ".", "_", "\x7f", "\x00", "\x1c", "\x85", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\xa0", "\u3000", "\u200b", "😀", "<"]
+    texts = ["".join(r.choices(r.choice([alphabet, [c for c in alphabet if c not in ("\x85", "\xa0", "\u3000")]]), k=r.choice([0, 1, 2, 4, 40]))) for _ in range(1500)] + ["y" * 500, " " * 300]
+    monkeypatch.setattr(P.ChunkIds, "LIMIT", 200)
+    ids_of = P.ChunkIds(t)
+    for k in range(0, len(texts), 5):
+        part = texts[k:k + 5]
+        assert ids_of.ids(part) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in part]
+        assert len(ids_of.at) <= 200 + 5 * 80 and max(map(len, ids_of.at), default=0) <= 64
+
+
 def test_packed_documents(spark):
     from tokenizers import Tokenizer
 
