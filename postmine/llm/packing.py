@@ -23,6 +23,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,7 @@ class ChunkIds:
     Ids of chunks are remembered up to a bounded number; then only those of the latest slice stay, so frequent ones survive."""
 
     LIMIT, LINES = 600_000, 512
+    KEPT = 100_000  # from task to task
     LONG = 64  # bytes; longer chunks are not remembered
 
     def __init__(self, tokenizer):
@@ -162,6 +164,14 @@ class ChunkIds:
             self.known, self.ends = _take(self.known, self.ends, rows[short])
             self.at = {chunks[i]: k for k, i in enumerate(np.flatnonzero(short).tolist())}
 
+    def rest(self) -> None:
+        """A task is done, its process may wait or serve other steps: only the first chunks stay, those of the
+        slice that the others were added to, with the frequent ones."""
+        first = list(islice(self.at.items(), self.KEPT))
+        self.known, self.ends = _take(self.known, self.ends, np.array([k for _, k in first], np.int64))
+        self.at = {c: k for k, (c, _) in enumerate(first)}
+        pa.default_memory_pool().release_unused()
+
     def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
         texts = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
@@ -218,6 +228,7 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool):
             begin = [0, *(np.flatnonzero(np.diff(no)) + 1).tolist()] if b.num_rows else []
             for lo, hi in zip(begin, [*begin[1:], b.num_rows]):
                 yield table(ids_of, b.slice(lo, hi - lo))
+        ids_of.rest()
 
     def table(ids_of, slice_):
         rows = []

@@ -141,6 +141,24 @@ def test_letters_digits_and_marks_are_looked_up_apart(monkeypatch):
         assert len(ids_of.at) <= 200 + 5 * 80 and max(map(len, ids_of.at), default=0) <= 64
 
 
+def test_little_is_remembered_between_tasks(monkeypatch):
+    """A process that waits, or serves other steps, holds only the frequent chunks; ids stay right."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    monkeypatch.setattr(P.ChunkIds, "KEPT", 300)
+    ids_of = P.ChunkIds(Tokenizer.from_file(tokenizer_path()))
+    monkeypatch.setattr(P, "chunk_ids", lambda path: ids_of)
+    run = P._pieces(tokenizer_path(), 1024, 2, True)
+    for task in range(3):
+        texts = [" ".join(["the", "of"] + ["".join(r.choices("abcdefgh", k=7)) for _ in range(90)]) for _ in range(40)]
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 40), pa.array(range(40)), pa.array(range(40)), pa.array(texts)], names=["_file_key", "_row_index", "doc_id", "_t"])
+        got = [bytes(x) for t in run(iter([batch.slice(0, 20), batch.slice(20)])) for x in t.column("ids").to_pylist()]
+        assert got == [np.array(ids_of.tokenizer.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes() for x in texts]
+        assert len(ids_of.at) == len(ids_of.ends) == 300 and b" of" in ids_of.at and len(ids_of.known) < 300 * 10
+
+
 def test_packed_documents(spark):
     from tokenizers import Tokenizer
 
